@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shipwatch.operators import curate, filters, metrics
+from shipwatch import fixed_values as fv
+from shipwatch.operators import curate, filters, metrics, sample, sensors, stock, trace
 from shipwatch.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +84,130 @@ def q_late_risk_by_mode(spark, sf_dir):
 def q_market_region_mode(spark, sf_dir):
     return metrics.market_region_mode(fx.order_lines(spark, sf_dir)) \
         .orderBy(F.desc("late_delivery_rate"), "market", "order_region", "shipping_mode")
+
+
+# ---- shared building blocks -------------------------------------------------------
+
+def lines(spark, sf_dir) -> DataFrame:
+    return fx.order_lines(spark, sf_dir)
+
+
+def classified(spark, sf_dir) -> DataFrame:
+    return sensors.classify_readings(sensors.with_shipment_ids(fx.iot_readings(spark, sf_dir)))
+
+
+def inventory(spark, sf_dir) -> DataFrame:
+    daily = metrics.orders_daily(lines(spark, sf_dir))
+    return stock.replenishment(stock.product_demand(daily), fx.stock_levels(spark, sf_dir))
+
+
+def enriched_reads(spark, sf_dir) -> DataFrame:
+    return trace.enrich_reads(fx.rfid_reads(spark, sf_dir), lines(spark, sf_dir))
+
+
+# ---- step 4: samples, distinct, top-k ----------------------------------------------
+
+@query("orders_sample")
+def q_orders_sample(spark, sf_dir):
+    return sample.sort_orders_sample(sample.orders_sample(lines(spark, sf_dir)))
+
+
+@query("shipments_distinct")
+def q_shipments_distinct(spark, sf_dir):
+    return sensors.distinct_shipments(lines(spark, sf_dir))
+
+
+@query("top_reorder")
+def q_top_reorder(spark, sf_dir):
+    return stock.top_reorder(inventory(spark, sf_dir), fv.TOP_REORDER_ROWS)
+
+
+@query("first_alerts")
+def q_first_alerts(spark, sf_dir):
+    return sensors.alerts(classified(spark, sf_dir)) \
+        .orderBy("timestamp", "order_id", "event_id").limit(fv.FIRST_ALERT_ROWS)
+
+
+# ---- step 5: RFID milestones ---------------------------------------------------------
+
+@query("milestone_plan")
+def q_milestone_plan(spark, sf_dir):
+    return trace.milestone_plan(lines(spark, sf_dir))
+
+
+@query("milestone_conformance")
+def q_milestone_conformance(spark, sf_dir):
+    plan = trace.milestone_plan(lines(spark, sf_dir))
+    return trace.milestone_conformance(plan, fx.rfid_reads(spark, sf_dir), tolerance_minutes=60)
+
+
+@query("order_trace")
+def q_order_trace(spark, sf_dir):
+    # the first candidate of the default order filter, as the trace view picks it
+    candidates = filters.default_filtered_orders(lines(spark, sf_dir))
+    first_id = candidates.agg(F.min("order_id")).scalar()
+    reads = enriched_reads(spark, sf_dir)
+    return reads.filter(F.col("order_id") == first_id).orderBy("timestamp", "event_type")
+
+
+@query("rfid_coverage")
+def q_rfid_coverage(spark, sf_dir):
+    return metrics.rfid_coverage(enriched_reads(spark, sf_dir))
+
+
+# ---- step 6: IoT ------------------------------------------------------------------------
+
+@query("checkpoint_plan")
+def q_checkpoint_plan(spark, sf_dir):
+    return sensors.checkpoint_plan(lines(spark, sf_dir))
+
+
+@query("classified_readings")
+def q_classified_readings(spark, sf_dir):
+    return classified(spark, sf_dir)
+
+
+@query("iot_status_summary")
+def q_iot_status_summary(spark, sf_dir):
+    return metrics.status_counts(classified(spark, sf_dir)).orderBy(F.desc("events"), "iot_status")
+
+
+@query("iot_alerts_for_orders")
+def q_iot_alerts_for_orders(spark, sf_dir):
+    orders = filters.default_filtered_orders(lines(spark, sf_dir))
+    return sensors.alerts(filters.readings_for_orders(classified(spark, sf_dir), orders))
+
+
+@query("alert_rate_gap")
+def q_alert_rate_gap(spark, sf_dir):
+    return sensors.alert_rate_gap(classified(spark, sf_dir)) \
+        .orderBy("shipping_mode", "late_delivery_risk")
+
+
+@query("iot_coverage")
+def q_iot_coverage(spark, sf_dir):
+    return metrics.iot_coverage(classified(spark, sf_dir))
+
+
+# ---- step 7: stock ----------------------------------------------------------------------
+
+@query("product_demand")
+def q_product_demand(spark, sf_dir):
+    return stock.product_demand(metrics.orders_daily(lines(spark, sf_dir)))
+
+
+@query("replenishment")
+def q_replenishment(spark, sf_dir):
+    return stock.sort_replenishment(inventory(spark, sf_dir))
+
+
+@query("stock_summary")
+def q_stock_summary(spark, sf_dir):
+    return metrics.stock_summary(inventory(spark, sf_dir))
+
+
+@query("kpis")
+def q_kpis(spark, sf_dir):
+    return metrics.kpis(filters.default_filtered_orders(lines(spark, sf_dir)),
+                        fx.rfid_reads(spark, sf_dir), classified(spark, sf_dir),
+                        inventory(spark, sf_dir))

@@ -109,3 +109,298 @@ WHERE market IS NOT NULL AND order_region IS NOT NULL AND shipping_mode IS NOT N
 GROUP BY market, order_region, shipping_mode
 ORDER BY late_delivery_rate DESC, market, order_region, shipping_mode
 """, "order_lines"))
+
+
+# ---- shared SQL blocks for steps 4-7 -------------------------------------------------
+
+DEFAULT_FILTERED = f"""
+SELECT {CURATED_COLUMNS} FROM order_lines
+WHERE market IS NOT NULL AND shipping_mode IS NOT NULL
+  AND category_name IN (SELECT DISTINCT category_name FROM order_lines
+                        WHERE category_name IS NOT NULL ORDER BY 1 LIMIT 10)
+"""
+
+ORDERS_DAILY = f"""
+SELECT order_date_day, product_id, product_name, category_name, department_name,
+       shipping_mode, market, order_region,
+       count(DISTINCT order_id) AS order_count,
+       count(order_item_id) AS line_count,
+       CAST(sum(quantity) AS BIGINT) AS quantity,
+       {money_sum('sales')} AS sales,
+       {money_sum('profit')} AS profit,
+       avg(late_delivery_risk) AS late_delivery_rate,
+       avg(days_shipping_real) AS avg_days_shipping_real,
+       avg(days_shipping_scheduled) AS avg_days_shipping_scheduled
+FROM order_lines
+GROUP BY ALL
+"""
+
+PRODUCT_DAILY = """
+SELECT order_date_day, product_id, product_name, category_name, department_name,
+       CAST(sum(quantity) AS BIGINT) AS quantity
+FROM daily GROUP BY ALL
+"""
+
+DEMAND = """
+SELECT product_id, product_name, category_name, department_name,
+       CAST(sum(quantity) AS BIGINT) AS total_quantity,
+       count(DISTINCT order_date_day) AS active_days,
+       CAST(max(quantity) AS BIGINT) AS max_daily_demand,
+       (SELECT greatest(count(DISTINCT order_date_day), 1) FROM product_daily) AS calendar_days,
+       sum(quantity) / (SELECT greatest(count(DISTINCT order_date_day), 1) FROM product_daily)
+         AS avg_daily_demand,
+       sum(quantity) / greatest(count(DISTINCT order_date_day), 1) AS avg_active_day_demand
+FROM product_daily GROUP BY product_id, product_name, category_name, department_name
+"""
+
+INVENTORY = """
+SELECT product_id, product_name, category_name, department_name,
+       ['WH_NORTH', 'WH_CENTER', 'WH_SOUTH', 'WH_ECOMMERCE'][(product_id % 4) + 1] AS warehouse_id,
+       stock_on_hand,
+       round_even(avg_daily_demand, 4) AS avg_daily_demand,
+       round_even(avg_active_day_demand, 4) AS avg_active_day_demand,
+       lead_time_days,
+       CAST(round_even(safety, 0) AS INTEGER) AS safety_stock,
+       CAST(round_even(rop, 0) AS INTEGER) AS reorder_point,
+       CAST(trunc(greatest(avg_daily_demand * lead_time_days * 1.2 + safety - stock_on_hand, 0.0))
+            AS INTEGER) AS recommended_order_qty,
+       CASE WHEN stock_on_hand <= rop THEN 'LOW_STOCK'
+            WHEN stock_on_hand <= rop * 1.25 THEN 'WATCH' ELSE 'NORMAL' END AS inventory_status
+FROM (
+  SELECT d.*, s.stock_on_hand, s.lead_time_days,
+         greatest(d.avg_daily_demand * 3.0, 5.0) AS safety,
+         d.avg_daily_demand * s.lead_time_days + greatest(d.avg_daily_demand * 3.0, 5.0) AS rop
+  FROM demand d JOIN stock_levels s ON d.product_id = s.product_id) t
+"""
+
+INVENTORY_CTES = {"daily": ORDERS_DAILY, "product_daily": PRODUCT_DAILY, "demand": DEMAND,
+                  "inventory": INVENTORY}
+
+CLASSIFIED = """
+SELECT "timestamp", order_id, event_id, temperature_c, humidity_pct, vibration_g,
+       shipping_mode, late_delivery_risk, shipment_id, sensor_id, alert_channels,
+       CASE WHEN alert_channels >= 2 THEN 'MULTI_ALERT'
+            WHEN ft THEN 'TEMP_ALERT' WHEN fh THEN 'HUMIDITY_ALERT'
+            WHEN fv THEN 'VIBRATION_ALERT' ELSE 'NORMAL' END AS iot_status
+FROM (
+  SELECT *, CAST(ft AS INTEGER) + CAST(fh AS INTEGER) + CAST(fv AS INTEGER) AS alert_channels
+  FROM (
+    SELECT "timestamp", order_id, event_id, temperature_c, h AS humidity_pct, v AS vibration_g,
+           shipping_mode, late_delivery_risk,
+           'SHP-' || CAST(order_id AS VARCHAR) AS shipment_id,
+           'SENSOR-' || lpad(CAST(order_id % 1000 AS VARCHAR), 4, '0') AS sensor_id,
+           coalesce(temperature_c < 13.0 OR temperature_c > 31.0, false) AS ft,
+           coalesce(h < 25.0 OR h > 85.0, false) AS fh,
+           coalesce(v < -0.11 OR v > 0.61, false) AS fv
+    FROM (SELECT *, least(greatest(humidity_pct, 0.0), 100.0) AS h,
+                 greatest(vibration_g, 0.0) AS v FROM iot_readings) r
+  ) a
+) b
+"""
+
+ALERT_RATE = """CAST(least(greatest(0.04 + CASE WHEN late_delivery_risk = 1 THEN 0.12 ELSE 0.00 END
+     + CASE shipping_mode WHEN 'Standard Class' THEN 0.05 WHEN 'Same Day' THEN -0.02 ELSE 0.00 END,
+     0.01), 0.35) AS DOUBLE)"""
+
+MILESTONE_PLAN = """
+SELECT order_id, order_item_id, product_id, product_name,
+       'EPC-' || CAST(product_id AS VARCHAR) || '-' || CAST(order_id AS VARCHAR) || '-'
+         || CAST(order_item_id AS VARCHAR) AS epc,
+       'LOT-' || CAST(product_id AS VARCHAR) || '-' || replace(order_month, '-', '') AS lot_id,
+       s.stage_seq, s.event_type, s.reader_id, s.location,
+       CASE s.event_type
+         WHEN 'RECEIVED' THEN order_date
+         WHEN 'PICKED' THEN order_date + INTERVAL 15 MINUTE
+         WHEN 'PACKED' THEN order_date + INTERVAL 240 MINUTE
+         WHEN 'SHIPPED' THEN shipping_date
+         WHEN 'IN_TRANSIT_SCAN' THEN mid - INTERVAL 180 MINUTE
+         ELSE closing END AS expected_start,
+       CASE s.event_type
+         WHEN 'RECEIVED' THEN order_date
+         WHEN 'PICKED' THEN order_date + INTERVAL 239 MINUTE
+         WHEN 'PACKED' THEN order_date + INTERVAL 719 MINUTE
+         WHEN 'SHIPPED' THEN shipping_date
+         WHEN 'IN_TRANSIT_SCAN' THEN mid + INTERVAL 179 MINUTE
+         ELSE closing END AS expected_end
+FROM (
+  SELECT *,
+    order_date + to_microseconds(CAST(floor(greatest(days_shipping_real, 0) * 86400000000 / 2) AS BIGINT)) AS mid,
+    greatest(shipping_date,
+             order_date + to_microseconds(greatest(days_shipping_real, 0) * 86400000000)) AS closing
+  FROM order_lines) o
+CROSS JOIN (VALUES
+  (1, 'RECEIVED', 'READER_WH_RECEIVING_01', 'WAREHOUSE_RECEIVING'),
+  (2, 'PICKED', 'READER_WH_PICKING_01', 'WAREHOUSE_PICKING'),
+  (3, 'PACKED', 'READER_PACKING_01', 'PACKING_AREA'),
+  (4, 'SHIPPED', 'READER_DOCK_01', 'SHIPPING_DOCK'),
+  (5, 'IN_TRANSIT_SCAN', 'READER_TRANSIT_GATE_01', 'TRANSIT_NODE'),
+  (6, 'DELIVERED_OR_CLOSED', 'READER_LAST_MILE_01', 'LAST_MILE_OR_CLOSED')
+) s(stage_seq, event_type, reader_id, location)
+"""
+
+ENRICHED_READS = """
+SELECT r."timestamp",
+       CASE WHEN l.product_id IS NOT NULL THEN 'EPC-' || CAST(l.product_id AS VARCHAR) || '-'
+            || CAST(r.order_id AS VARCHAR) || '-' || CAST(r.order_item_id AS VARCHAR) END AS epc,
+       r.order_id, r.order_item_id, l.product_id, l.product_name,
+       CASE WHEN l.product_id IS NOT NULL THEN 'LOT-' || CAST(l.product_id AS VARCHAR) || '-'
+            || replace(l.order_month, '-', '') END AS lot_id,
+       CASE r.event_type WHEN 'RECEIVED' THEN 'READER_WH_RECEIVING_01'
+            WHEN 'PICKED' THEN 'READER_WH_PICKING_01' WHEN 'PACKED' THEN 'READER_PACKING_01'
+            WHEN 'SHIPPED' THEN 'READER_DOCK_01' WHEN 'IN_TRANSIT_SCAN' THEN 'READER_TRANSIT_GATE_01'
+            WHEN 'DELIVERED_OR_CLOSED' THEN 'READER_LAST_MILE_01' END AS reader_id,
+       r.antenna_id, r.event_type,
+       CASE r.event_type WHEN 'RECEIVED' THEN 'WAREHOUSE_RECEIVING'
+            WHEN 'PICKED' THEN 'WAREHOUSE_PICKING' WHEN 'PACKED' THEN 'PACKING_AREA'
+            WHEN 'SHIPPED' THEN 'SHIPPING_DOCK' WHEN 'IN_TRANSIT_SCAN' THEN 'TRANSIT_NODE'
+            WHEN 'DELIVERED_OR_CLOSED' THEN 'LAST_MILE_OR_CLOSED' END AS location,
+       r.rssi
+FROM rfid_reads r LEFT JOIN order_lines l ON r.order_item_id = l.order_item_id
+"""
+
+FIRST_SHIPMENTS = f"""
+SELECT {CURATED_COLUMNS} FROM order_lines
+QUALIFY row_number() OVER (PARTITION BY order_id, product_id ORDER BY order_item_id) = 1
+"""
+
+# ---- step 4 -----------------------------------------------------------------------------
+
+oracle("orders_sample", with_ctes(f"""
+SELECT {CURATED_COLUMNS} FROM order_lines
+ORDER BY md5('42-' || CAST(order_item_id AS VARCHAR)) LIMIT 50000
+""", "order_lines"))
+
+oracle("shipments_distinct", with_ctes(FIRST_SHIPMENTS, "order_lines"))
+
+oracle("top_reorder", with_ctes("""
+SELECT * FROM inventory ORDER BY recommended_order_qty DESC, product_id LIMIT 20
+""", "order_lines", "stock_levels", extra=INVENTORY_CTES))
+
+oracle("first_alerts", with_ctes("""
+SELECT * FROM classified WHERE iot_status IS DISTINCT FROM 'NORMAL'
+ORDER BY "timestamp", order_id, event_id LIMIT 500
+""", "iot_readings", extra={"classified": CLASSIFIED}))
+
+# ---- step 5 -----------------------------------------------------------------------------
+
+oracle("milestone_plan", with_ctes(MILESTONE_PLAN, "order_lines"))
+
+oracle("milestone_conformance", with_ctes("""
+SELECT coalesce(p.order_id, r.read_order_id) AS order_id,
+       coalesce(p.order_item_id, r.order_item_id) AS order_item_id,
+       coalesce(p.event_type, r.event_type) AS event_type,
+       p.expected_start, p.expected_end, r.first_read,
+       coalesce(r.read_count, 0) AS read_count,
+       CASE WHEN p.expected_start IS NULL THEN 'UNPLANNED'
+            WHEN r.first_read IS NULL THEN 'MISSING'
+            WHEN r.first_read < p.expected_start - INTERVAL 60 MINUTE THEN 'EARLY'
+            WHEN r.first_read > p.expected_end + INTERVAL 60 MINUTE THEN 'LATE'
+            ELSE 'IN_WINDOW' END AS conformance
+FROM plan p FULL OUTER JOIN first_reads r
+  ON p.order_item_id = r.order_item_id AND p.event_type = r.event_type
+""", "order_lines", "rfid_reads", extra={
+    "plan": MILESTONE_PLAN,
+    "first_reads": """SELECT order_item_id, event_type, min("timestamp") AS first_read,
+                      count(*) AS read_count, min(order_id) AS read_order_id
+                      FROM rfid_reads GROUP BY order_item_id, event_type"""}))
+
+oracle("order_trace", with_ctes("""
+SELECT * FROM enriched WHERE order_id = (SELECT min(order_id) FROM filtered)
+ORDER BY "timestamp", event_type
+""", "order_lines", "rfid_reads", extra={"filtered": DEFAULT_FILTERED, "enriched": ENRICHED_READS}))
+
+oracle("rfid_coverage", with_ctes("""
+SELECT count(*) AS events, count(DISTINCT epc) AS distinct_epc,
+       count(DISTINCT order_id) AS distinct_orders, count(DISTINCT reader_id) AS distinct_readers
+FROM enriched
+""", "order_lines", "rfid_reads", extra={"enriched": ENRICHED_READS}))
+
+# ---- step 6 -----------------------------------------------------------------------------
+
+oracle("checkpoint_plan", with_ctes(f"""
+SELECT CASE WHEN checkpoint_count <= 1 THEN st
+            ELSE st + to_microseconds(CAST(floor(CAST(span * checkpoint_index AS DOUBLE)
+                                              / greatest(checkpoint_count - 1, 1)) AS BIGINT))
+       END AS "timestamp",
+       'SHP-' || CAST(order_id AS VARCHAR) AS shipment_id,
+       order_id, product_id,
+       'SENSOR-' || lpad(CAST(order_id % 1000 AS VARCHAR), 4, '0') AS sensor_id,
+       market || ' | ' || order_region AS location,
+       shipping_mode, late_delivery_risk, checkpoint_index, checkpoint_count,
+       {ALERT_RATE} AS expected_alert_rate
+FROM (
+  SELECT *, unnest(range(0, checkpoint_count)) AS checkpoint_index
+  FROM (
+    SELECT *, CASE WHEN en <= st THEN CAST(21600000000 AS BIGINT)
+                   ELSE date_diff('microsecond', st, en) END AS span
+    FROM (
+      SELECT order_id, product_id, shipping_mode, late_delivery_risk, market, order_region,
+             shipping_date AS st,
+             order_date + to_microseconds(greatest(CAST(days_shipping_real AS BIGINT) * 86400000000,
+                                                   21600000000)) AS en,
+             CAST(CASE shipping_mode WHEN 'Same Day' THEN 2 WHEN 'First Class' THEN 3
+                  WHEN 'Second Class' THEN 3 WHEN 'Standard Class' THEN 4 ELSE 3 END AS INTEGER)
+               AS checkpoint_count
+      FROM ships) a) b) c
+""", "order_lines", extra={"ships": FIRST_SHIPMENTS}))
+
+oracle("classified_readings", with_ctes("SELECT * FROM classified", "iot_readings",
+                                        extra={"classified": CLASSIFIED}))
+
+oracle("iot_status_summary", with_ctes("""
+SELECT iot_status, count(*) AS events FROM classified WHERE iot_status IS NOT NULL
+GROUP BY iot_status ORDER BY events DESC, iot_status
+""", "iot_readings", extra={"classified": CLASSIFIED}))
+
+oracle("iot_alerts_for_orders", with_ctes("""
+SELECT * FROM classified
+WHERE order_id IN (SELECT order_id FROM filtered) AND iot_status IS DISTINCT FROM 'NORMAL'
+""", "iot_readings", "order_lines", extra={"classified": CLASSIFIED, "filtered": DEFAULT_FILTERED}))
+
+oracle("alert_rate_gap", with_ctes(f"""
+SELECT shipping_mode, late_delivery_risk, readings, observed_alert_rate,
+       {ALERT_RATE} AS expected_alert_rate,
+       observed_alert_rate - {ALERT_RATE} AS alert_rate_gap
+FROM (
+  SELECT shipping_mode, late_delivery_risk, count(*) AS readings,
+         avg(CAST(iot_status IS DISTINCT FROM 'NORMAL' AS INTEGER)) AS observed_alert_rate
+  FROM classified WHERE shipping_mode IS NOT NULL AND late_delivery_risk IS NOT NULL
+  GROUP BY shipping_mode, late_delivery_risk) t
+ORDER BY shipping_mode, late_delivery_risk
+""", "iot_readings", extra={"classified": CLASSIFIED}))
+
+oracle("iot_coverage", with_ctes("""
+SELECT events, distinct_shipments, alerts, alerts / greatest(events, 1) AS alert_rate
+FROM (SELECT count(*) AS events, count(DISTINCT shipment_id) AS distinct_shipments,
+             CAST(count_if(iot_status IS DISTINCT FROM 'NORMAL') AS BIGINT) AS alerts
+      FROM classified) t
+""", "iot_readings", extra={"classified": CLASSIFIED}))
+
+# ---- step 7 -----------------------------------------------------------------------------
+
+oracle("product_demand", with_ctes("SELECT * FROM demand", "order_lines",
+                                   extra={"daily": ORDERS_DAILY, "product_daily": PRODUCT_DAILY,
+                                          "demand": DEMAND}))
+
+oracle("replenishment", with_ctes("""
+SELECT * FROM inventory ORDER BY inventory_status, recommended_order_qty DESC, product_id
+""", "order_lines", "stock_levels", extra=INVENTORY_CTES))
+
+oracle("stock_summary", with_ctes("""
+SELECT count(*) AS products,
+       CAST(count_if(inventory_status = 'LOW_STOCK') AS BIGINT) AS low_stock,
+       CAST(count_if(inventory_status = 'WATCH') AS BIGINT) AS watch,
+       CAST(coalesce(sum(stock_on_hand), 0) AS BIGINT) AS total_stock
+FROM inventory
+""", "order_lines", "stock_levels", extra=INVENTORY_CTES))
+
+oracle("kpis", with_ctes(f"""
+SELECT (SELECT count(DISTINCT order_id) FROM filtered) AS total_orders,
+       (SELECT {money_sum('sales')} FROM filtered) AS total_sales,
+       (SELECT coalesce(avg(late_delivery_risk), 0.0) FROM filtered) AS late_rate,
+       (SELECT count(*) FROM rfid_reads) AS rfid_events,
+       (SELECT CAST(count_if(iot_status IS DISTINCT FROM 'NORMAL') AS BIGINT) FROM classified)
+         AS iot_alerts,
+       (SELECT CAST(count_if(inventory_status = 'LOW_STOCK') AS BIGINT) FROM inventory) AS low_stock
+""", "order_lines", "stock_levels", "rfid_reads", "iot_readings",
+    extra={"filtered": DEFAULT_FILTERED, "classified": CLASSIFIED, **INVENTORY_CTES}))
