@@ -33,8 +33,9 @@ def mark_bottom_k(df: DataFrame, key: str, k: Column | int, groups: list[str] |
                   seed: int = fv.RANDOM_SEED, flag: str = "selected") -> DataFrame:
     """Add boolean ``flag``: row is among the ``k`` smallest hashes of its group.
 
-    ``k`` is an int or a column expression over the group columns (e.g. a
-    per-class quota). ``key`` must be unique within a group.
+    ``k`` is an int or a column expression over the group columns and
+    ``_group_n`` (the group's row count), e.g. a per-class quota. ``key`` must
+    be unique within a group.
     """
     groups = list(groups or [])
     h = "_h"
@@ -45,7 +46,10 @@ def mark_bottom_k(df: DataFrame, key: str, k: Column | int, groups: list[str] |
     hist = hashed.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("_n"))
     w = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy(b) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.withColumn("_cum", F.sum("_n").over(w)).withColumn("_quota", quota.cast("bigint"))
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy()
+    cum = (hist.withColumn("_cum", F.sum("_n").over(w))
+           .withColumn("_group_n", F.sum("_n").over(whole))
+           .withColumn("_quota", quota.cast("bigint")))
     # the bucket where the running count first reaches the quota
     cut = (cum.filter((F.col("_cum") - F.col("_n") < F.col("_quota"))
                       & (F.col("_cum") >= F.col("_quota")))
@@ -93,11 +97,9 @@ def stratified_split(df: DataFrame, key: str, label: str,
 
     Test size of a class = its row count x fraction, rounded half up. The
     class counts come from one aggregate and ride along as a join on the
-    label (one row per class).
+    label (one row per class), computed inside the bucket histogram.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
-    sized = df.join(sizes, label)
-    quota = F.floor(F.col("_class_n") * F.lit(test_fraction) + F.lit(0.5))
-    marked = mark_bottom_k(sized, key, quota, groups=[label], seed=seed, flag="_test")
+    quota = F.floor(F.col("_group_n") * F.lit(test_fraction) + F.lit(0.5))
+    marked = mark_bottom_k(df, key, quota, groups=[label], seed=seed, flag="_test")
     return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")) \
-        .drop("_test", "_class_n")
+        .drop("_test")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shipwatch import fixed_values as fv
-from shipwatch.operators import curate, filters, metrics, sample, sensors, stock, trace
+from shipwatch.operators import curate, filters, metrics, model, sample, sensors, stock, trace
 from shipwatch.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,3 +211,51 @@ def q_kpis(spark, sf_dir):
     return metrics.kpis(filters.default_filtered_orders(lines(spark, sf_dir)),
                         fx.rfid_reads(spark, sf_dir), classified(spark, sf_dir),
                         inventory(spark, sf_dir))
+
+
+# ---- step 8: model frame, split, profiles, metrics --------------------------------------
+
+def frame(spark, sf_dir) -> DataFrame:
+    return model.model_frame(lines(spark, sf_dir), key="order_item_id")
+
+
+@query("model_frame")
+def q_model_frame(spark, sf_dir):
+    return frame(spark, sf_dir)
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return sample.stratified_split(frame(spark, sf_dir), "order_item_id", fv.TARGET_COLUMN) \
+        .select("order_item_id", fv.TARGET_COLUMN, "split")
+
+
+@query("category_vocabulary")
+def q_category_vocabulary(spark, sf_dir):
+    return model.category_vocabulary(frame(spark, sf_dir))
+
+
+@query("numeric_profile")
+def q_numeric_profile(spark, sf_dir):
+    return model.numeric_profile(frame(spark, sf_dir))
+
+
+@query("class_balance")
+def q_class_balance(spark, sf_dir):
+    split = sample.stratified_split(frame(spark, sf_dir), "order_item_id", fv.TARGET_COLUMN)
+    return model.class_balance(split)
+
+
+@query("classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    return model.classification_metrics(fx.scored_lines(lines(spark, sf_dir)))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return model.confusion_matrix(fx.scored_lines(lines(spark, sf_dir)))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return model.roc_auc(fx.scored_lines(lines(spark, sf_dir)))

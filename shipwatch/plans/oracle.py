@@ -404,3 +404,91 @@ SELECT (SELECT count(DISTINCT order_id) FROM filtered) AS total_orders,
        (SELECT CAST(count_if(inventory_status = 'LOW_STOCK') AS BIGINT) FROM inventory) AS low_stock
 """, "order_lines", "stock_levels", "rfid_reads", "iot_readings",
     extra={"filtered": DEFAULT_FILTERED, "classified": CLASSIFIED, **INVENTORY_CTES}))
+
+
+# ---- step 8 -----------------------------------------------------------------------------
+
+CATS = ["shipping_mode", "market", "order_region", "order_country", "order_city",
+        "customer_segment", "category_name", "department_name", "product_id",
+        "order_month", "order_day_of_week"]
+NUMS = ["days_shipping_scheduled", "quantity", "sales"]
+
+
+def _clean(c: str) -> str:
+    t = f"regexp_replace(CAST({c} AS VARCHAR), '^\\s+|\\s+$', '', 'g')"
+    return f"CASE WHEN {c} IS NULL OR {t} = '' THEN 'UNKNOWN' ELSE {t} END"
+
+
+MODEL_FRAME = ("SELECT order_item_id, "
+               + ", ".join(f"{_clean(c)} AS {c}" for c in CATS) + ", "
+               + ", ".join(f"coalesce(TRY_CAST({c} AS DOUBLE), "
+                           f"(SELECT coalesce(median(TRY_CAST({c} AS DOUBLE)), 0.0) FROM order_lines)) AS {c}"
+                           for c in NUMS)
+               + ", CAST(late_delivery_risk AS INTEGER) AS late_delivery_risk FROM order_lines")
+
+SPLIT = """
+SELECT *, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split
+FROM (SELECT *,
+        row_number() OVER (PARTITION BY late_delivery_risk
+                           ORDER BY md5('42-' || CAST(order_item_id AS VARCHAR))) AS rn,
+        floor(count(*) OVER (PARTITION BY late_delivery_risk) * 0.25 + 0.5) AS quota
+      FROM model_frame) t
+"""
+
+oracle("model_frame", with_ctes(MODEL_FRAME, "order_lines"))
+
+oracle("stratified_split", with_ctes("SELECT order_item_id, late_delivery_risk, split FROM split",
+                                     "order_lines", extra={"model_frame": MODEL_FRAME, "split": SPLIT}))
+
+oracle("category_vocabulary", with_ctes("""
+SELECT feature, value, frequency, position, position = 1 AS is_default
+FROM (SELECT feature, value, frequency,
+             row_number() OVER (PARTITION BY feature ORDER BY frequency DESC, value) AS position
+      FROM (SELECT feature, value, count(*) AS frequency FROM tall
+            WHERE value IS NOT NULL GROUP BY feature, value) c) r
+WHERE position <= 80
+""", "order_lines", extra={"model_frame": MODEL_FRAME, "tall": "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM model_frame" for c in CATS)}))
+
+oracle("numeric_profile", with_ctes("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, median(CAST({c} AS DOUBLE)) AS median, "
+    f"min(CAST({c} AS DOUBLE)) AS min, max(CAST({c} AS DOUBLE)) AS max FROM model_frame"
+    for c in NUMS), "order_lines", extra={"model_frame": MODEL_FRAME}))
+
+oracle("class_balance", with_ctes("""
+SELECT split, rows, pos / rows AS positive_rate FROM (
+  SELECT split, count(*) AS rows, sum(late_delivery_risk) AS pos FROM split GROUP BY split
+  UNION ALL
+  SELECT 'total', count(*), sum(late_delivery_risk) FROM split) t
+""", "order_lines", extra={"model_frame": MODEL_FRAME, "split": SPLIT}))
+
+oracle("classification_metrics", with_ctes("""
+SELECT tn, fp, fn, tp,
+       CASE WHEN tn + fp + fn + tp = 0 THEN 0.0 ELSE (tp + tn) / (tn + fp + fn + tp) END AS accuracy,
+       CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+       CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+       CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1_score
+FROM (SELECT CAST(count_if(label = 0 AND prediction = 0) AS BIGINT) AS tn,
+             CAST(count_if(label = 0 AND prediction = 1) AS BIGINT) AS fp,
+             CAST(count_if(label = 1 AND prediction = 0) AS BIGINT) AS fn,
+             CAST(count_if(label = 1 AND prediction = 1) AS BIGINT) AS tp FROM scored_lines) c
+""", "scored_lines"))
+
+oracle("confusion_matrix", with_ctes("""
+SELECT l.label, coalesce(c.pred_0, 0) AS pred_0, coalesce(c.pred_1, 0) AS pred_1
+FROM (VALUES (0), (1)) l(label)
+LEFT JOIN (SELECT label, CAST(count_if(prediction = 0) AS BIGINT) AS pred_0,
+                  CAST(count_if(prediction = 1) AS BIGINT) AS pred_1
+           FROM scored_lines GROUP BY label) c ON l.label = c.label
+""", "scored_lines"))
+
+oracle("roc_auc", with_ctes("""
+SELECT CASE WHEN sum(p) * sum(n) = 0 THEN NULL
+            ELSE CAST(sum(n * (2 * above + p)) AS DOUBLE) / CAST(2 * sum(p) * sum(n) AS DOUBLE) END
+         AS roc_auc,
+       CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives
+FROM (SELECT s, p, n, coalesce(sum(p) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING
+                                            AND 1 PRECEDING), 0) AS above
+      FROM (SELECT score AS s, count_if(label = 1) AS p, count_if(label = 0) AS n
+            FROM scored_lines GROUP BY score) g) t
+""", "scored_lines"))

@@ -142,8 +142,9 @@ cte("scored_lines", ["order_lines"], """
 SELECT order_item_id, label, score, CAST(score > 0.5 AS INTEGER) AS prediction
 FROM (
   SELECT order_item_id, late_delivery_risk AS label,
-         least(((order_item_id * 7919) % 1000) / 1000.0
-               + CASE WHEN shipping_mode <> 'Standard Class' THEN 0.3 ELSE 0.0 END, 1.0) AS score
+         least(CAST((order_item_id * 7919) % 1000 AS DOUBLE) / CAST(1000.0 AS DOUBLE)
+               + CASE WHEN shipping_mode <> 'Standard Class' THEN CAST(0.3 AS DOUBLE)
+                      ELSE CAST(0.0 AS DOUBLE) END, CAST(1.0 AS DOUBLE)) AS score
   FROM order_lines) t
 """)
 
