@@ -126,12 +126,14 @@ def order_quantity(avg_daily_demand, lead_time_days, stock_on_hand) -> Column:
 
 
 def clamp(c, lo: float | None = None, hi: float | None = None) -> Column:
-    out = _c(c)
+    """Clamp into [lo, hi]; a null stays null (greatest/least skip nulls)."""
+    src = _c(c)
+    out = src
     if lo is not None:
         out = F.greatest(out, F.lit(lo))
     if hi is not None:
         out = F.least(out, F.lit(hi))
-    return out
+    return F.when(src.isNull(), F.lit(None)).otherwise(out)
 
 
 def channel_bounds(nominal: tuple[float, float], k: float) -> tuple[float, float]:

@@ -32,10 +32,12 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Exact median of each numeric column (mean of the two middle values).
 
     No task holds a whole column: one pass brackets the middle ranks with
-    ``percentile_approx`` (whose rank error is bounded), a second counts the
-    rows below each bracket, and only the distinct values inside the bracket
-    are ranked. A bracket that misses (it cannot, within the bound) falls back
-    to the full value range, which stays exact.
+    ``percentile_approx`` (whose rank error is bounded by 1/accuracy of the
+    row count) and counts the rows; a second pass counts the rows below each
+    bracket; a third ranks only the distinct values inside the brackets, all
+    columns in one job, partitioned by column. A bracket that misses (it
+    cannot, within the bound) falls back to the column's full range, which
+    stays exact.
     """
     if not columns:
         return {}
@@ -47,41 +49,51 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
                  F.percentile_approx(c, [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], MEDIAN_ACCURACY)
                  .alias(f"{c}__b")]
     first = vals.agg(*aggs).first()
-    bounds = {}
+    info = {}
     for c in columns:
         n = first[f"{c}__n"]
-        if not n:
-            bounds[c] = None
-            continue
-        lo, hi = first[f"{c}__b"]
-        bounds[c] = (n, lo, hi, first[f"{c}__min"], first[f"{c}__max"])
-    live = [c for c in columns if bounds[c] is not None]
-    if live:
-        counts = vals.agg(*[x for c in live for x in (
-            F.count_if(F.col(c) < bounds[c][1]).alias(f"{c}__below"),
-            F.count_if((F.col(c) >= bounds[c][1]) & (F.col(c) <= bounds[c][2])).alias(f"{c}__in"))]).first()
-    out: dict[str, float | None] = {}
-    for c in columns:
-        if bounds[c] is None:
-            out[c] = None
-            continue
-        n, lo, hi, vmin, vmax = bounds[c]
+        if n:
+            lo, hi = first[f"{c}__b"]
+            info[c] = [n, lo, hi, first[f"{c}__min"], first[f"{c}__max"]]
+    out: dict[str, float | None] = {c: None for c in columns}
+    if not info:
+        return out
+    counts = vals.agg(*[x for c, (n, lo, hi, _, _) in info.items() for x in (
+        F.count_if(F.col(c) < lo).alias(f"{c}__below"),
+        F.count_if((F.col(c) >= lo) & (F.col(c) <= hi)).alias(f"{c}__in"))]).first()
+    parts = []
+    for c, rec in info.items():
+        n, lo, hi, vmin, vmax = rec
         k1, k2 = (n + 1) // 2, n // 2 + 1
         below, inside = counts[f"{c}__below"], counts[f"{c}__in"]
         if not (below < k1 and below + inside >= k2):
             lo, hi, below = vmin, vmax, 0
-        bracket = (vals.select(F.col(c).alias("v"))
-                   .filter((F.col("v") >= lo) & (F.col("v") <= hi))
-                   .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = bracket.withColumn("cum", F.sum("n").over(w) + F.lit(below))
-        picks = ranked.agg(F.min(F.when(F.col("cum") >= k1, F.col("v"))).alias("a"),
-                           F.min(F.when(F.col("cum") >= k2, F.col("v"))).alias("b")).first()
-        a, b = picks["a"], picks["b"]
-        out[c] = a + (b - a) * 0.5
+        rec[1:3] = [lo, hi]
+        parts.append(F.when((F.col(c) >= lo) & (F.col(c) <= hi),
+                            F.struct(F.lit(c).alias("feature"), F.col(c).alias("v"),
+                                     F.lit(below).cast("bigint").alias("below"),
+                                     F.lit(k1).cast("bigint").alias("k1"),
+                                     F.lit(k2).cast("bigint").alias("k2"))))
+    tall = vals.select(F.explode(F.array(*parts)).alias("x")).filter(F.col("x").isNotNull()).select("x.*")
+    bracket = tall.groupBy("feature", "v", "below", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = bracket.withColumn("cum", F.sum("n").over(w) + F.col("below"))
+    picks = ranked.groupBy("feature").agg(
+        F.min(F.when(F.col("cum") >= F.col("k1"), F.col("v"))).alias("a"),
+        F.min(F.when(F.col("cum") >= F.col("k2"), F.col("v"))).alias("b")).collect()
+    for r in picks:
+        out[r["feature"]] = r["a"] + (r["b"] - r["a"]) * 0.5
     return out
 
 
+def imputation_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Medians needed to fill missing values: only columns that have any."""
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    need = [c for c in columns if row[c]]
+    meds = exact_medians(df, need) if need else {}
+    return {c: meds.get(c) for c in columns}
+
+
 def model_frame(df: DataFrame, key: str | None = "order_item_id", check: bool = True,
                 medians: dict[str, float | None] | None = None) -> DataFrame:
     """Categorical features to trimmed text (missing/blank -> UNKNOWN),
@@ -93,7 +105,7 @@ def model_frame(df: DataFrame, key: str | None = "order_item_id", check: bool =
         check_target(df)
     nums = {c: F.col(c).cast("string").try_cast("double") for c in fv.NUMERICAL_FEATURES}
     staged = df.withColumns(nums)
-    med = medians if medians is not None else exact_medians(staged, fv.NUMERICAL_FEATURES)
+    med = medians if medians is not None else imputation_medians(staged, fv.NUMERICAL_FEATURES)
     cols = [key] if key else []
     cols += [clean_text(c, nan_is_missing=False).alias(c) for c in fv.CATEGORICAL_FEATURES]
     cols += [F.coalesce(F.col(c), F.lit(med.get(c) if med.get(c) is not None else 0.0)).alias(c)
