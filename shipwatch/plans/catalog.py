@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shipwatch import fixed_values as fv
-from shipwatch.operators import curate, filters, metrics, model, sample, sensors, stock, trace
+from shipwatch.operators import curate, filters, learn, metrics, model, sample, sensors, stock, trace
 from shipwatch.sources import fixtures as fx
+from shipwatch.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,3 +260,50 @@ def q_confusion_matrix(spark, sf_dir):
 @query("roc_auc")
 def q_roc_auc(spark, sf_dir):
     return model.roc_auc(fx.scored_lines(lines(spark, sf_dir)))
+
+
+# ---- step 9: learning (rows-only checks) ---------------------------------------------------
+
+_RUNS: dict[tuple[str, str], "learn.TrainingRun"] = {}
+
+
+def training_run(spark, sf_dir) -> "learn.TrainingRun":
+    """Fit once per session and input; later queries reuse the fitted model."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = learn.TrainingRun(frame(spark, sf_dir))
+    return _RUNS[key]
+
+
+@query("late_risk_predictions")
+def q_late_risk_predictions(spark, sf_dir):
+    return training_run(spark, sf_dir).predictions()
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    return learn.feature_importance(training_run(spark, sf_dir).model)
+
+
+@query("scenario_scores")
+def q_scenario_scores(spark, sf_dir):
+    run = training_run(spark, sf_dir)
+    lanes = frame(spark, sf_dir).select("shipping_mode", "market", "days_shipping_scheduled").distinct()
+    return learn.score_scenarios(run.model, lanes)
+
+
+@query("training_run")
+def q_training_run(spark, sf_dir):
+    return training_run(spark, sf_dir).record()
+
+
+# ---- step 11: streaming (drained with availableNow, read back) -------------------------------
+
+@query("stream_alerts")
+def q_stream_alerts(spark, sf_dir):
+    return live.run_to_table(live.live_alerts(live.readings_stream(spark, sf_dir)), "alerts")
+
+
+@query("stream_status_counts")
+def q_stream_status_counts(spark, sf_dir):
+    return live.run_to_table(live.live_status_counts(live.readings_stream(spark, sf_dir)), "status_counts")

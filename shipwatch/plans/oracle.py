@@ -492,3 +492,17 @@ FROM (SELECT s, p, n, coalesce(sum(p) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUND
       FROM (SELECT score AS s, count_if(label = 1) AS p, count_if(label = 0) AS n
             FROM scored_lines GROUP BY score) g) t
 """, "scored_lines"))
+
+
+# ---- step 11: streams, as the batch result over closed windows ---------------------------
+
+oracle("stream_alerts", with_ctes("""
+SELECT * FROM classified WHERE iot_status IS DISTINCT FROM 'NORMAL'
+""", "iot_readings", extra={"classified": CLASSIFIED}))
+
+oracle("stream_status_counts", with_ctes("""
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, iot_status, count(*) AS events
+FROM (SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS window_start, iot_status FROM classified) t
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+GROUP BY window_start, iot_status
+""", "iot_readings", extra={"classified": CLASSIFIED}))

@@ -258,9 +258,14 @@ def iot_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     # late risk of an order = max over its lines; orders without lines -> 0
     risk = order_lines(spark, sf_dir).groupBy("order_id") \
         .agg(F.max("late_delivery_risk").alias("order_risk"))
+    return readings_from_events(ev, starts, risk)
+
+
+def readings_from_events(ev: DataFrame, starts: DataFrame, risk: DataFrame) -> DataFrame:
+    """Events (batch or stream) -> readings; ``starts``/``risk`` are per order."""
     mode, _ = _priority_mode(F.col("o_orderpriority"))
-    j = ev.join(starts, ev.user_id == starts.order_id, "left") \
-          .join(risk, "order_id", "left")
+    j = ev.join(starts, ev.user_id == starts.order_id, "left").drop("order_id") \
+          .join(risk, ev.user_id == risk.order_id, "left").drop("order_id")
     k = F.get_json_object("props", "$.k").cast("double")
     return j.select(
         F.col("ts").alias("timestamp"),
