@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shipwatch import fixed_values as fv
-from shipwatch.operators import curate, filters, learn, metrics, model, sample, sensors, stock, trace
+from shipwatch.operators import (curate, filters, learn, metrics, model, quality, sample, sensors,
+                                 stock, trace)
 from shipwatch.sources import fixtures as fx
 from shipwatch.streaming import live
 
@@ -307,3 +308,21 @@ def q_stream_alerts(spark, sf_dir):
 @query("stream_status_counts")
 def q_stream_status_counts(spark, sf_dir):
     return live.run_to_table(live.live_status_counts(live.readings_stream(spark, sf_dir)), "status_counts")
+
+
+# ---- step 3: web demand, data quality ---------------------------------------------------------
+
+@query("web_demand")
+def q_web_demand(spark, sf_dir):
+    return curate.sort_web_demand(curate.web_demand(fx.raw_access_logs(spark, sf_dir)))
+
+
+@query("missing_share")
+def q_missing_share(spark, sf_dir):
+    return quality.missing_share(fx.raw_orders(spark, sf_dir))
+
+
+@query("quality_report")
+def q_quality_report(spark, sf_dir):
+    raw = fx.raw_orders(spark, sf_dir)
+    return quality.quality_report(raw, curate.curate_orders(raw, on_bad_dates="drop"))

@@ -506,3 +506,54 @@ FROM (SELECT time_bucket(INTERVAL 1 HOUR, "timestamp") AS window_start, iot_stat
 WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
 GROUP BY window_start, iot_status
 """, "iot_readings", extra={"classified": CLASSIFIED}))
+
+
+# ---- step 3 -----------------------------------------------------------------------------
+
+def _clean_sql(c: str) -> str:
+    t = f"regexp_replace(CAST({c} AS VARCHAR), '^\\s+|\\s+$', '', 'g')"
+    return f"CASE WHEN {c} IS NULL OR {t} IN ('', 'nan') THEN 'UNKNOWN' ELSE {t} END"
+
+
+oracle("web_demand", """
+SELECT date_day, product, category, department, hour, count(*) AS page_views
+FROM (
+  SELECT CAST(e.ts AS DATE) AS date_day,
+         """ + _clean_sql("p.p_name") + """ AS product,
+         """ + _clean_sql("p.p_type") + """ AS category,
+         """ + _clean_sql("p.p_brand") + """ AS department,
+         CASE WHEN e.event_id % 50 = 0 THEN -1 ELSE CAST(hour(e.ts) AS INTEGER) END AS hour
+  FROM events e LEFT JOIN part p ON e.event_id % 200 = p.p_partkey) t
+GROUP BY date_day, product, category, department, hour
+ORDER BY date_day, page_views DESC, product, category, department, hour
+""")
+
+RAW_MISSING = {"Sales": "count_if(order_item_id % 83 = 0)"}
+RAW_NAMES = ["Order Id", "Order Item Id", "order date (DateOrders)", "shipping date (DateOrders)",
+             "Customer Id", "Customer Segment", "Product Card Id", "Product Name", "Category Id",
+             "Category Name", "Department Id", "Department Name", "Order Item Quantity", "Sales",
+             "Order Item Total", "Order Profit Per Order", "Shipping Mode", "Delivery Status",
+             "Late_delivery_risk", "Order Status", "Market", "Order Region", "Order Country",
+             "Order City", "Days for shipping (real)", "Days for shipment (scheduled)",
+             "Customer Email", "Customer Fname", "Customer Lname", "Customer Password",
+             "Customer Street", "Customer Zipcode", "Latitude", "Longitude"]
+
+oracle("missing_share", with_ctes("""
+SELECT column_name,
+       (CASE WHEN 2 * r > n OR (2 * r = n AND q % 2 = 1) THEN q + 1 ELSE q END) / 10000.0 AS missing_share
+FROM (SELECT column_name, k, n, (k * 10000) // n AS q, k * 10000 - ((k * 10000) // n) * n AS r
+      FROM (""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, CAST({RAW_MISSING.get(c, '0')} AS BIGINT) AS k, "
+    f"count(*) AS n FROM order_lines" for c in RAW_NAMES) + """) u) t
+ORDER BY k DESC, column_name LIMIT 20
+""", "order_lines"))
+
+oracle("quality_report", with_ctes("""
+SELECT (SELECT count(*) FROM order_lines) AS raw_rows, 34 AS raw_columns,
+       count(*) AS clean_rows, 30 AS clean_columns,
+       count(DISTINCT order_id) AS unique_orders, count(DISTINCT product_id) AS unique_products,
+       count(DISTINCT order_country) AS unique_countries,
+       min(order_date) AS date_min, max(order_date) AS date_max,
+       avg(late_delivery_risk) AS late_delivery_risk_rate
+FROM curated
+""", "order_lines", extra={"curated": CURATED_FROM_RAW}))
