@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from shipwatch.functions.text import WHITESPACE
+
 # Formats tried in order; the first that parses wins.
 TIMESTAMP_FORMATS: list[str] = [
     "M/d/yyyy H:mm",
@@ -23,7 +25,7 @@ TIMESTAMP_FORMATS: list[str] = [
 def parse_timestamp(c: Column | str, formats: list[str] | None = None) -> Column:
     """Text -> zone-less timestamp; text matching no format -> null."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    s = F.btrim(c.cast("string"), F.lit(WHITESPACE))
     tried = [F.try_to_timestamp(s, F.lit(fmt)) for fmt in (formats or TIMESTAMP_FORMATS)]
     # try_to_timestamp yields a session-zone timestamp; read it back as wall time
     return F.coalesce(*tried).cast("timestamp_ntz")
@@ -32,7 +34,7 @@ def parse_timestamp(c: Column | str, formats: list[str] | None = None) -> Column
 def parse_number(c: Column | str, to: str = "double") -> Column:
     """Text -> number, unparsable -> null."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    s = F.btrim(c.cast("string"), F.lit(WHITESPACE))
     if to in ("int", "bigint", "long"):
         # accept "12.0"-style text for integer columns, as a numeric parse would
         return s.try_cast("double").try_cast(to)

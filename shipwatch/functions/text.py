@@ -7,9 +7,12 @@ from pyspark.sql import Column, functions as F
 from shipwatch.fixed_values import MISSING_TEXT
 
 
+WHITESPACE = " \t\n\x0b\f\r"
+
+
 def _strip(c: Column) -> Column:
-    # Spark's trim() removes spaces only; strip all leading/trailing whitespace
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    # plain trim() removes spaces only; strip every ASCII whitespace character
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def clean_text(c: Column | str, *, nan_is_missing: bool = True,

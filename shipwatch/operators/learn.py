@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
@@ -159,15 +160,27 @@ class TrainingRun:
 
     def __init__(self, frame: DataFrame, key: str = "order_item_id"):
         self.key = key
-        split = stratified_split(frame, key, fv.TARGET_COLUMN)
+        # the split feeds the vocabulary, encoder, scaler, weights, the fit and
+        # every evaluation: keep it (memory, spilling to disk) instead of
+        # re-deriving it; a lost block is recomputed from its lineage
+        split = stratified_split(frame, key, fv.TARGET_COLUMN).persist(StorageLevel.MEMORY_AND_DISK)
         self.split = split
         self.train = split.filter(F.col("split") == "train").drop("split")
         self.test = split.filter(F.col("split") == "test").drop("split")
         self.model = fit_late_risk_model(self.train)
         self.created_at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        self._scores: DataFrame | None = None
 
     def test_scores(self) -> DataFrame:
-        return score(self.model, self.test)
+        if self._scores is None:
+            self._scores = score(self.model, self.test).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._scores
+
+    def release(self) -> None:
+        """Drop the kept split and scores."""
+        if self._scores is not None:
+            self._scores.unpersist()
+        self.split.unpersist()
 
     def predictions(self, n: int = fv.PREDICTION_SAMPLE_ROWS) -> DataFrame:
         s = self.test_scores()

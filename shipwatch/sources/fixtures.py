@@ -251,21 +251,24 @@ def rfid_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def iot_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensor readings (one per event) with the shipment attributes attached."""
-    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value", "props")
+def order_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order: priority and late risk (max over its lines; 0 without lines)."""
     starts = order_starts(spark, sf_dir).select("order_id", "o_orderpriority")
-    # late risk of an order = max over its lines; orders without lines -> 0
     risk = order_lines(spark, sf_dir).groupBy("order_id") \
         .agg(F.max("late_delivery_risk").alias("order_risk"))
-    return readings_from_events(ev, starts, risk)
+    return starts.join(risk, "order_id", "left")
+
+
+def iot_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensor readings (one per event) with the shipment attributes attached."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value", "props")
+    return readings_from_events(ev, order_lookup(spark, sf_dir))
 
 
-def readings_from_events(ev: DataFrame, starts: DataFrame, risk: DataFrame) -> DataFrame:
-    """Events (batch or stream) -> readings; ``starts``/``risk`` are per order."""
+def readings_from_events(ev: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Events (batch or stream) -> readings, joined to the per-order lookup."""
     mode, _ = _priority_mode(F.col("o_orderpriority"))
-    j = ev.join(starts, ev.user_id == starts.order_id, "left").drop("order_id") \
-          .join(risk, ev.user_id == risk.order_id, "left").drop("order_id")
+    j = ev.join(lookup, ev.user_id == lookup.order_id, "left").drop("order_id")
     k = F.get_json_object("props", "$.k").cast("double")
     return j.select(
         F.col("ts").alias("timestamp"),
