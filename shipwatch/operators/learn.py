@@ -18,7 +18,7 @@ import datetime as dt
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -50,6 +50,24 @@ def frequent_vocabulary(train: DataFrame, min_frequency: int = fv.MIN_CATEGORY_F
     return vocab, rare
 
 
+def population_scaler(train: DataFrame) -> SQLTransformer:
+    """Zero mean, unit population variance for the numeric features.
+
+    Mean and population standard deviation come from one aggregate over the
+    training rows; a zero deviation scales by 1. The fitted constants live in
+    a SQL stage, so the step is saved and loaded with the model.
+    """
+    row = train.agg(*[x for c in NUM for x in (F.avg(c).alias(f"{c}__m"),
+                                              F.stddev_pop(c).alias(f"{c}__s"))]).first()
+    parts = []
+    for c in NUM:
+        m = float(row[f"{c}__m"] or 0.0)
+        sd = float(row[f"{c}__s"] or 0.0)
+        sd = sd if sd > 0.0 else 1.0
+        parts.append(f"(`{c}` - CAST('{m!r}' AS DOUBLE)) / CAST('{sd!r}' AS DOUBLE) AS `numerical__{c}`")
+    return SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")
+
+
 def balanced_weights(train: DataFrame, label: str = fv.TARGET_COLUMN) -> DataFrame:
     """weight = n / (2 x n_class), from two scalar subqueries."""
     n = train.agg(F.count(F.lit(1))).scalar()
@@ -79,11 +97,10 @@ def fit_late_risk_model(train: DataFrame, max_iter: int = fv.MAX_ITERATIONS,
     for ix in indexers:
         prepared = ix.transform(prepared)
     ohe = OneHotEncoder(inputCols=idx_cols, outputCols=vec_cols, dropLast=False).fit(prepared)
-    nums = VectorAssembler(inputCols=NUM, outputCol="numerical__raw")
-    scaler = StandardScaler(inputCol="numerical__raw", outputCol="numerical__scaled",
-                            withMean=True, withStd=True).fit(nums.transform(prepared))
-    assembler = VectorAssembler(inputCols=vec_cols + ["numerical__scaled"], outputCol="features")
-    encoded = assembler.transform(scaler.transform(nums.transform(ohe.transform(prepared))))
+    scaler = population_scaler(prepared)
+    assembler = VectorAssembler(inputCols=vec_cols + [f"numerical__{c}" for c in NUM],
+                                outputCol="features")
+    encoded = assembler.transform(scaler.transform(ohe.transform(prepared)))
     weighted = balanced_weights(encoded, label).select("features", label, "class_weight")
     weighted = weighted.persist()
     try:
@@ -95,7 +112,7 @@ def fit_late_risk_model(train: DataFrame, max_iter: int = fv.MAX_ITERATIONS,
         lr_model = lr.fit(weighted)
     finally:
         weighted.unpersist()
-    return PipelineModel(stages=[*indexers, ohe, nums, scaler, assembler, lr_model])
+    return PipelineModel(stages=[*indexers, ohe, scaler, assembler, lr_model])
 
 
 def score(model: PipelineModel, frame: DataFrame) -> DataFrame:

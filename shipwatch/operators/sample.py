@@ -12,6 +12,8 @@ a narrow filter, so no task sees more than about 1/65,536 of a group.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shipwatch import fixed_values as fv
@@ -29,21 +31,25 @@ def _bucket(h: Column) -> Column:
     return F.conv(F.substring(h, 1, BUCKET_HEX), 16, 10).cast("int")
 
 
-def mark_bottom_k(df: DataFrame, key: str, k: Column | int, groups: list[str] | None = None,
+def mark_bottom_k(df: DataFrame, key: str, k: Column | int | DataFrame, groups: list[str] | None = None,
                   seed: int = fv.RANDOM_SEED, flag: str = "selected") -> DataFrame:
     """Add boolean ``flag``: row is among the ``k`` smallest hashes of its group.
 
-    ``k`` is an int or a column expression over the group columns and
-    ``_group_n`` (the group's row count), e.g. a per-class quota. ``key`` must
-    be unique within a group.
+    ``k`` is an int, a column expression over the group columns and
+    ``_group_n`` (the group's row count), or a DataFrame of per-group quotas
+    (group columns + ``_quota``). ``key`` must be unique within a group.
     """
     groups = list(groups or [])
     h = "_h"
     b = "_b"
     hashed = df.withColumn(h, seeded_hash(key, seed)).withColumn(b, _bucket(F.col(h)))
-    quota = F.lit(k) if isinstance(k, int) else k
-
     hist = hashed.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("_n"))
+    if isinstance(k, DataFrame):
+        # per-group quotas given as a table (one row per group)
+        hist = hist.join(k.select(*groups, F.col("_quota").alias("_k")), groups, "left")
+        quota = F.coalesce(F.col("_k"), F.lit(0))
+    else:
+        quota = F.lit(k) if isinstance(k, int) else k
     w = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy(b) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy()
@@ -90,16 +96,33 @@ def sort_orders_sample(sample: DataFrame) -> DataFrame:
     return sample.orderBy("order_date", "order_id", "order_item_id")
 
 
+def class_quotas(df: DataFrame, label: str, test_fraction: float) -> DataFrame:
+    """Test rows per class: the total is ceil(fraction x n); each class gets
+    floor(total x n_c / n) and the rows left over go to the classes with the
+    largest remainders (ties to the smaller label). Integer arithmetic only;
+    the table has one row per class.
+    """
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    num, den = Fraction(str(test_fraction)).numerator, Fraction(str(test_fraction)).denominator
+    whole = Window.partitionBy()
+    t = sizes.withColumn("n", F.sum("n_c").over(whole))
+    t = t.withColumn("total", F.expr(f"(n * {num} + {den} - 1) div {den}"))
+    t = t.withColumn("base", F.expr("(total * n_c) div n")).withColumn("rem", F.expr("(total * n_c) % n"))
+    t = t.withColumn("left", F.col("total") - F.sum("base").over(whole))
+    order = Window.partitionBy().orderBy(F.desc("rem"), label)
+    t = t.withColumn("r", F.row_number().over(order))
+    return t.select(label, (F.col("base") + (F.col("r") <= F.col("left")).cast("bigint")).alias("_quota"))
+
+
 def stratified_split(df: DataFrame, key: str, label: str,
                      test_fraction: float = fv.TEST_FRACTION,
                      seed: int = fv.RANDOM_SEED) -> DataFrame:
-    """Add ``split`` = train/test with exact per-class test sizes.
+    """Add ``split`` = train/test with exact, stratified test sizes.
 
-    Test size of a class = its row count x fraction, rounded half up. The
-    class counts come from one aggregate and ride along as a join on the
-    label (one row per class), computed inside the bucket histogram.
+    Sizes follow ``class_quotas``; within a class the test rows are the ones
+    with the smallest seeded hash of ``key``.
     """
-    quota = F.floor(F.col("_group_n") * F.lit(test_fraction) + F.lit(0.5))
-    marked = mark_bottom_k(df, key, quota, groups=[label], seed=seed, flag="_test")
+    marked = mark_bottom_k(df, key, class_quotas(df, label, test_fraction), groups=[label],
+                           seed=seed, flag="_test")
     return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")) \
         .drop("_test")

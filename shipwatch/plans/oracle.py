@@ -427,18 +427,29 @@ MODEL_FRAME = ("SELECT order_item_id, "
                + ", CAST(late_delivery_risk AS INTEGER) AS late_delivery_risk FROM order_lines")
 
 SPLIT = """
-SELECT *, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split
+SELECT m.*, CASE WHEN rn <= q.quota THEN 'test' ELSE 'train' END AS split
 FROM (SELECT *,
         row_number() OVER (PARTITION BY late_delivery_risk
-                           ORDER BY md5('42-' || CAST(order_item_id AS VARCHAR))) AS rn,
-        floor(count(*) OVER (PARTITION BY late_delivery_risk) * 0.25 + 0.5) AS quota
-      FROM model_frame) t
+                           ORDER BY md5('42-' || CAST(order_item_id AS VARCHAR))) AS rn
+      FROM model_frame) m
+JOIN quotas q ON m.late_delivery_risk = q.late_delivery_risk
+"""
+
+QUOTAS = """
+SELECT late_delivery_risk,
+       base + CASE WHEN row_number() OVER (ORDER BY rem DESC, late_delivery_risk)
+                        <= total - sum(base) OVER () THEN 1 ELSE 0 END AS quota
+FROM (SELECT late_delivery_risk, total, (total * n_c) // n AS base, (total * n_c) % n AS rem
+      FROM (SELECT late_delivery_risk, n_c, sum(n_c) OVER () AS n,
+                   (sum(n_c) OVER () * 1 + 4 - 1) // 4 AS total
+            FROM (SELECT late_delivery_risk, count(*) AS n_c FROM model_frame
+                  GROUP BY late_delivery_risk) c) a) b
 """
 
 oracle("model_frame", with_ctes(MODEL_FRAME, "order_lines"))
 
 oracle("stratified_split", with_ctes("SELECT order_item_id, late_delivery_risk, split FROM split",
-                                     "order_lines", extra={"model_frame": MODEL_FRAME, "split": SPLIT}))
+                                     "order_lines", extra={"model_frame": MODEL_FRAME, "quotas": QUOTAS, "split": SPLIT}))
 
 oracle("category_vocabulary", with_ctes("""
 SELECT feature, value, frequency, position, position = 1 AS is_default
@@ -460,7 +471,7 @@ SELECT split, rows, pos / rows AS positive_rate FROM (
   SELECT split, count(*) AS rows, sum(late_delivery_risk) AS pos FROM split GROUP BY split
   UNION ALL
   SELECT 'total', count(*), sum(late_delivery_risk) FROM split) t
-""", "order_lines", extra={"model_frame": MODEL_FRAME, "split": SPLIT}))
+""", "order_lines", extra={"model_frame": MODEL_FRAME, "quotas": QUOTAS, "split": SPLIT}))
 
 oracle("classification_metrics", with_ctes("""
 SELECT tn, fp, fn, tp,

@@ -170,11 +170,20 @@ def test_stratified_split_sizes(spark):
     sizes = {(r.y, r.split): r.n for r in out.groupBy("y", "split").agg(F.count("*").alias("n")).collect()}
     n1 = sum(1 for _, y in rows if y == 1)
     n0 = len(rows) - n1
-    assert sizes[(1, "test")] == int(n1 * 0.25 + 0.5) and sizes[(0, "test")] == int(n0 * 0.25 + 0.5)
-    assert sizes[(1, "train")] + sizes[(1, "test")] == n1
+    # total test size ceil(0.25 * 3001) = 751; 1001 * 751 / 3001 = 250.5..., 2000 * 751 / 3001 = 500.4...
+    assert sizes[(1, "test")] + sizes[(0, "test")] == 751
+    assert (sizes[(1, "test")], sizes[(0, "test")]) == (251, 500)
+    assert sizes[(1, "train")] + sizes[(1, "test")] == n1 and sizes[(0, "train")] + sizes[(0, "test")] == n0
     assert out.count() == len(rows)
 
 
+def test_split_sizes_of_reference_run(spark):
+    # 50,000 rows with a 0.54829 positive rate split 37,500 / 12,500
+    df = spark.createDataFrame([(i, 1 if i < 27414 else 0) for i in range(50000)], "k long, y int")
+    out = sample.stratified_split(df, "k", "y")
+    assert out.filter("split = 'test'").count() == 12500
+
+
 def test_distinct_shipments_takes_first_line(spark):
     df = spark.createDataFrame([(1, 5, 103, "c"), (1, 5, 101, "a"), (1, 6, 102, "b"), (2, 5, 201, "d")],
                                "order_id long, product_id long, order_item_id long, tag string")
