@@ -329,7 +329,7 @@ SELECT CASE WHEN checkpoint_count <= 1 THEN st
        shipping_mode, late_delivery_risk, checkpoint_index, checkpoint_count,
        {ALERT_RATE} AS expected_alert_rate
 FROM (
-  SELECT *, unnest(range(0, checkpoint_count)) AS checkpoint_index
+  SELECT *, CAST(unnest(range(0, checkpoint_count)) AS INTEGER) AS checkpoint_index
   FROM (
     SELECT *, CASE WHEN en <= st THEN CAST(21600000000 AS BIGINT)
                    ELSE date_diff('microsecond', st, en) END AS span
@@ -454,7 +454,8 @@ oracle("stratified_split", with_ctes("SELECT order_item_id, late_delivery_risk,
 oracle("category_vocabulary", with_ctes("""
 SELECT feature, value, frequency, position, position = 1 AS is_default
 FROM (SELECT feature, value, frequency,
-             row_number() OVER (PARTITION BY feature ORDER BY frequency DESC, value) AS position
+             CAST(row_number() OVER (PARTITION BY feature ORDER BY frequency DESC, value) AS INTEGER)
+               AS position
       FROM (SELECT feature, value, count(*) AS frequency FROM tall
             WHERE value IS NOT NULL GROUP BY feature, value) c) r
 WHERE position <= 80
