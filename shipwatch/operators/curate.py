@@ -60,7 +60,7 @@ def curate_orders(raw: DataFrame, on_bad_dates: str = "raise") -> DataFrame:
     ``on_bad_dates``: ``"raise"`` fails the run when any date is unparsable
     (with the row count); ``"drop"`` removes those rows instead.
     """
-    df = normalize_columns(raw)
+    df = normalize_columns(raw, reject_empty=True)
     df = parse_order_dates(df)
     if on_bad_dates == "raise":
         assert_dates_parsed(df)
@@ -85,7 +85,7 @@ def web_demand(raw_logs: DataFrame) -> DataFrame:
     Personal columns are dropped first, rows with an unparsable date go, null
     group keys are kept. Sorted by day ascending, views descending.
     """
-    logs = normalize_columns(raw_logs)
+    logs = normalize_columns(raw_logs, reject_empty=True)
     require_columns(logs, fv.ACCESS_LOG_REQUIRED, "access log")
     logs = drop_present(logs, fv.SENSITIVE_COLUMNS)
     logs = logs.withColumn("date", parse_timestamp("date")).filter(F.col("date").isNotNull())

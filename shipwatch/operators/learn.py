@@ -152,6 +152,11 @@ def feature_importance(model: PipelineModel) -> DataFrame:
                                                                 "abs_importance")
 
 
+def top_features(importance: DataFrame, n: int = fv.TOP_FEATURES) -> DataFrame:
+    """The ``n`` features with the largest absolute coefficient."""
+    return importance.orderBy(F.desc("abs_importance"), "feature").limit(n)
+
+
 def fill_scenarios(scenarios: DataFrame) -> DataFrame:
     """Scoring input: missing category -> UNKNOWN, missing or bad number -> 0.0."""
     cols = {}

@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame
 from shipwatch.functions.names import normalize_names
 
 
-def normalize_columns(df: DataFrame) -> DataFrame:
-    """Snake-case every column name (metadata only; no job runs)."""
+def normalize_columns(df: DataFrame, reject_empty: bool = False) -> DataFrame:
+    """Snake-case every column name.
+
+    With ``reject_empty`` an input without rows is an error; the check reads
+    at most one row (``isEmpty``), so it costs the same at any scale.
+    """
+    if reject_empty and df.isEmpty():
+        raise ValueError("the table is empty; there are no columns to normalise")
     return df.toDF(*normalize_names(df.columns))
 
 

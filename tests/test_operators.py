@@ -261,3 +261,17 @@ def test_product_demand_and_replenishment(spark):
     inv = {r.product_id: r for r in stock.replenishment(stock.product_demand(daily), lv).collect()}
     assert inv[1].inventory_status == "LOW_STOCK" and inv[2].inventory_status == "NORMAL"
     assert inv[2].recommended_order_qty == 0
+
+
+def test_empty_raw_export_is_rejected(spark):
+    from shipwatch.sources.fixtures import RAW_ORDER_HEADER
+    schema = ", ".join(f"`{raw}` string" for raw, _ in RAW_ORDER_HEADER)
+    with pytest.raises(ValueError, match="empty"):
+        curate_orders(spark.createDataFrame([], schema))
+
+
+def test_top_features(spark):
+    from shipwatch.operators.learn import top_features
+    df = spark.createDataFrame([(f"f{i}", float(i % 7)) for i in range(30)], "feature string, abs_importance double")
+    got = [r.feature for r in top_features(df, 3).collect()]
+    assert got == ["f13", "f20", "f27"]
