@@ -54,13 +54,14 @@ def add_order_calendar(df: DataFrame) -> DataFrame:
     })
 
 
-def curate_orders(raw: DataFrame, on_bad_dates: str = "raise") -> DataFrame:
+def curate_orders(raw: DataFrame, on_bad_dates: str = "raise", check_empty: bool = True) -> DataFrame:
     """Raw order export (text) -> curated 30-column order-line table.
 
     ``on_bad_dates``: ``"raise"`` fails the run when any date is unparsable
-    (with the row count); ``"drop"`` removes those rows instead.
+    (with the row count); ``"drop"`` removes those rows instead. An empty
+    input is an error unless ``check_empty`` is off (the caller checked).
     """
-    df = normalize_columns(raw, reject_empty=True)
+    df = normalize_columns(raw, reject_empty=check_empty)
     df = parse_order_dates(df)
     if on_bad_dates == "raise":
         assert_dates_parsed(df)

@@ -58,24 +58,26 @@ def _is_missing(df: DataFrame, c: str) -> Column:
     return col.isNull()
 
 
-def missing_share(raw: DataFrame, top: int = fv.MISSING_SHARE_TOP) -> DataFrame:
-    """Share of missing values per raw column, 4 decimals, largest first.
+def missing_count_columns(raw: DataFrame) -> list[Column]:
+    """Aggregate expressions: row count and one missing count per column.
 
-    One aggregate computes every column's missing count in a single pass;
-    the counts are then unpivoted into (column, share) rows. Empty text counts
-    as missing, as an empty CSV field does. Rounding is half-to-even on the
-    exact ratio, done with integer arithmetic so it is engine-independent.
+    Usable in ``agg`` or in ``observe`` (to collect them during another job's
+    scan of the same data).
     """
-    cols = raw.columns
-    counts = raw.agg(F.count(F.lit(1)).alias("__rows"),
-                     *[F.count_if(_is_missing(raw, c)).alias(f"m{i}") for i, c in enumerate(cols)])
+    return [F.count(F.lit(1)).alias("__rows"),
+            *[F.count_if(_is_missing(raw, c)).alias(f"m{i}") for i, c in enumerate(raw.columns)]]
+
+
+def missing_share_from_counts(counts: DataFrame, columns: list[str],
+                              top: int = fv.MISSING_SHARE_TOP) -> DataFrame:
+    """(column, share) rows from a one-row table of ``missing_count_columns``."""
     tall = counts.select("__rows", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").cast("bigint").alias("k"))
-        for i, c in enumerate(cols)])).alias("kv")).select("__rows", "kv.*")
+        for i, c in enumerate(columns)])).alias("kv")).select("__rows", "kv.*")
     scale = 10_000
-    q = F.expr(f"(k * {scale}) div greatest(__rows, 1)")
-    r = F.col("k") * scale - q * F.greatest(F.col("__rows"), F.lit(1))
     n = F.greatest(F.col("__rows"), F.lit(1))
+    q = F.expr(f"(k * {scale}) div greatest(__rows, 1)")
+    r = F.col("k") * scale - q * n
     rounded = (F.when(r * 2 > n, q + 1).when((r * 2 == n) & (F.pmod(q, F.lit(2)) == 1), q + 1)
                .otherwise(q))
     # order by the exact count (all shares have one denominator), then name
@@ -83,10 +85,30 @@ def missing_share(raw: DataFrame, top: int = fv.MISSING_SHARE_TOP) -> DataFrame:
             .orderBy(F.desc("k"), "column_name").limit(top).drop("k"))
 
 
+def missing_share(raw: DataFrame, top: int = fv.MISSING_SHARE_TOP) -> DataFrame:
+    """Share of missing values per raw column, 4 decimals, largest first.
+
+    One aggregate computes every column's missing count in a single pass;
+    the counts are then unpivoted into (column, share) rows. Empty text counts
+    as missing, as an empty CSV field does. Rounding is half-to-even on the
+    exact ratio, done with integer arithmetic so it is engine-independent.
+    """
+    return missing_share_from_counts(raw.agg(*missing_count_columns(raw)), raw.columns, top)
+
+
+def raw_side(counts: DataFrame, n_columns: int) -> DataFrame:
+    return counts.select(F.col("__rows").alias("raw_rows"), F.lit(n_columns).alias("raw_columns"))
+
+
 def quality_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """One row: raw/clean sizes, distinct orders/products/countries, date
     range and late-delivery rate. Each side is one global aggregate."""
-    r = raw.agg(F.count(F.lit(1)).alias("raw_rows")).withColumn("raw_columns", F.lit(len(raw.columns)))
+    return quality_report_from_counts(raw.agg(F.count(F.lit(1)).alias("__rows")), len(raw.columns), clean)
+
+
+def quality_report_from_counts(counts: DataFrame, n_raw_columns: int, clean: DataFrame) -> DataFrame:
+    """The report with the raw side taken from a one-row counts table."""
+    r = raw_side(counts, n_raw_columns)
     c = clean.agg(F.count(F.lit(1)).alias("clean_rows"),
                   F.countDistinct("order_id").alias("unique_orders"),
                   F.countDistinct("product_id").alias("unique_products"),
@@ -101,11 +123,15 @@ def quality_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
                       "late_delivery_risk_rate")
 
 
-def quality_document(raw: DataFrame, clean: DataFrame) -> DataFrame:
+def quality_document(raw: DataFrame, clean: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """The report with the missing-share map and the removed personal columns,
-    shaped for a JSON document."""
-    shares = missing_share(raw).agg(F.map_from_entries(F.collect_list(
+    shaped for a JSON document. ``counts`` (a one-row table of
+    ``missing_count_columns`` over ``raw``) saves another scan of the raw data
+    when it was already observed."""
+    if counts is None:
+        counts = raw.agg(*missing_count_columns(raw))
+    shares = missing_share_from_counts(counts, raw.columns).agg(F.map_from_entries(F.collect_list(
         F.struct("column_name", "missing_share"))).alias("top_missing_raw_columns_pct"))
-    rep = combine_one_row(quality_report(raw, clean), shares)
+    rep = combine_one_row(quality_report_from_counts(counts, len(raw.columns), clean), shares)
     return rep.withColumn("sensitive_columns_removed",
                           F.array(*[F.lit(c) for c in sorted(fv.SENSITIVE_COLUMNS)]))

@@ -28,13 +28,19 @@ def curation_job(spark: SparkSession, raw_orders_path: str, raw_logs_path: str,
     clean = curate.curate_orders(raw, on_bad_dates=on_bad_dates)
     orders_path = io.write_table(clean, _out(out_dir, "orders"), partition_by=["order_month"])
     orders = spark.read.parquet(orders_path)
+    # Raw-side figures (row count, missing counts of every column) are one
+    # more aggregate pass over the export. Spark's Observation could collect
+    # them during the write above, but in Spark 4.1 a session that has used an
+    # Observation can no longer serialise pyspark.ml model transforms
+    # (NotSerializableException: ObservationManager), so it is not used.
+    counts = raw.agg(*quality.missing_count_columns(raw))
     io.write_table(sample.sort_orders_sample(sample.orders_sample(orders, sample_rows, seed)),
                    _out(out_dir, "orders_sample"))
     io.write_table(metrics.orders_daily(orders), _out(out_dir, "orders_daily"))
     logs = io.read_raw_csv(spark, raw_logs_path)
     io.write_table(curate.sort_web_demand(curate.web_demand(logs)), _out(out_dir, "web_demand"))
     io.write_table(quality.data_dictionary(spark), _out(out_dir, "data_dictionary"))
-    report = quality.quality_document(raw, orders)
+    report = quality.quality_document(raw, orders, counts)
     io.write_json_report(report, _out(out_dir, "quality_report"))
     return io.report_as_dict(report)
 
