@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shipwatch import fixed_values as fv
-from shipwatch.operators import curate, learn, metrics, quality, sample, sensors, trace
+from shipwatch.operators import curate, learn, metrics, quality, sample, sensors, stock, trace
 from shipwatch.operators.model import model_frame
 from shipwatch.sources import io
 
@@ -26,7 +26,8 @@ def curation_job(spark: SparkSession, raw_orders_path: str, raw_logs_path: str,
     dictionary and quality report."""
     raw = io.read_raw_csv(spark, raw_orders_path)
     clean = curate.curate_orders(raw, on_bad_dates=on_bad_dates)
-    orders_path = io.write_table(clean, _out(out_dir, "orders"), partition_by=["order_month"])
+    orders_path = io.write_table(clean, _out(out_dir, "orders"), partition_by=["order_month"],
+                                 cluster_by=["order_id", "order_item_id"])
     orders = spark.read.parquet(orders_path)
     # Raw-side figures (row count, missing counts of every column) are one
     # more aggregate pass over the export. Spark's Observation could collect
@@ -78,18 +79,13 @@ def sensor_job(spark: SparkSession, orders_path: str, out_dir: str,
 def stock_job(spark: SparkSession, daily_path: str, levels: DataFrame, out_dir: str) -> dict:
     """P4: demand from the daily table, replenishment against the stock table."""
     daily = io.load_orders_daily(spark, daily_path)
-    inv = _replenish(daily, levels)
+    inv = stock.sort_replenishment(stock.replenishment(stock.product_demand(daily), levels))
     path = io.write_table(inv, _out(out_dir, "inventory"))
     summary = metrics.stock_summary(spark.read.parquet(path))
     io.write_json_report(summary, _out(out_dir, "stock_summary"))
     return io.report_as_dict(summary)
 
 
-def _replenish(daily: DataFrame, levels: DataFrame) -> DataFrame:
-    from shipwatch.operators import stock as st
-    return st.sort_replenishment(st.replenishment(st.product_demand(daily), levels))
-
-
 def foundation_job(spark: SparkSession, raw_orders_path: str, raw_logs_path: str, out_dir: str,
                    stock_levels: DataFrame, reads: DataFrame | None = None,
                    readings: DataFrame | None = None, on_bad_dates: str = "raise") -> dict:

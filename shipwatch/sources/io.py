@@ -7,11 +7,10 @@ partition pruning); CSV with a header is available for exports.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from shipwatch.operators.schema_ops import require_columns
@@ -79,8 +78,19 @@ def read_json_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
-                partition_by: list[str] | None = None) -> str:
-    """Overwrite ``path`` with ``df``; CSV gets a header row."""
+                partition_by: list[str] | None = None, cluster_by: list[str] | None = None) -> str:
+    """Overwrite ``path`` with ``df``; CSV gets a header row.
+
+    With ``partition_by`` the rows are first range-partitioned on the
+    partition columns plus ``cluster_by`` and sorted within each task: every
+    task then writes files for a few adjacent partition values only (no
+    tasks x partitions small-file explosion), a hot partition value is split
+    across several tasks by the ``cluster_by`` columns, and the files carry
+    tight min/max statistics on those columns for row-group skipping.
+    """
+    if partition_by:
+        keys = [*partition_by, *(cluster_by or [])]
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -168,7 +178,3 @@ def load_model_artifacts(spark: SparkSession, base: str) -> dict[str, object]:
             out[name] = spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/{name}")
     return out
 
-
-def local_dir(path: str) -> str:
-    os.makedirs(path, exist_ok=True)
-    return path

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shipwatch.operators.sensors import classify_readings, with_shipment_ids
-from shipwatch.session import ensure_checkpoint_dir
+from shipwatch.session import shared_path
 from shipwatch.sources import fixtures as fx
 from shipwatch.sources.tables import read_table, table_path
 
@@ -69,7 +69,7 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> D
     the run restartable after an executor or driver loss.
     """
     spark = stream.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/shipwatch-stream/{name}-{uuid.uuid4().hex}"
+    base = shared_path(spark, f"shipwatch-stream/{name}-{uuid.uuid4().hex}")
     q = (stream.writeStream.format("parquet").outputMode(output_mode)
          .option("checkpointLocation", base + "/_checkpoint")
          .option("path", base + "/data")
