@@ -14,6 +14,8 @@ from shipwatch.operators.schema_ops import require_columns
 
 # rank error bound of percentile_approx is 1/accuracy of the row count
 MEDIAN_ACCURACY = 100_000
+# largest bracket whose distinct values are ranked in one task per column
+MAX_BRACKET_ROWS = 1_000_000
 
 
 def check_target(df: DataFrame, target: str = fv.TARGET_COLUMN) -> DataFrame:
@@ -31,13 +33,16 @@ def check_target(df: DataFrame, target: str = fv.TARGET_COLUMN) -> DataFrame:
 def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Exact median of each numeric column (mean of the two middle values).
 
-    No task holds a whole column: one pass brackets the middle ranks with
-    ``percentile_approx`` (whose rank error is bounded by 1/accuracy of the
-    row count) and counts the rows; a second pass counts the rows below each
-    bracket; a third ranks only the distinct values inside the brackets, all
-    columns in one job, partitioned by column. A bracket that misses (it
-    cannot, within the bound) falls back to the column's full range, which
-    stays exact.
+    No task holds a whole column. One pass counts the rows and brackets the
+    middle ranks with ``percentile_approx`` (rank error bounded by
+    1/accuracy of the row count); a pass counts the rows below and inside
+    each bracket; while a bracket still holds more than ``MAX_BRACKET_ROWS``
+    rows it is narrowed again with ``percentile_approx`` over its own rows
+    (each round shrinks it about accuracy/4-fold). Finally only the distinct
+    values inside the brackets are ranked, all columns in one job,
+    partitioned by column. A bracket that misses the middle ranks (it cannot,
+    within the bound) falls back to the column's full range, which stays
+    exact.
     """
     if not columns:
         return {}
@@ -49,26 +54,47 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
                  F.percentile_approx(c, [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], MEDIAN_ACCURACY)
                  .alias(f"{c}__b")]
     first = vals.agg(*aggs).first()
-    info = {}
+    # per column: [n, k1, k2, lo, hi, below, inside, vmin, vmax]
+    state: dict[str, list] = {}
     for c in columns:
         n = first[f"{c}__n"]
         if n:
             lo, hi = first[f"{c}__b"]
-            info[c] = [n, lo, hi, first[f"{c}__min"], first[f"{c}__max"]]
+            state[c] = [n, (n + 1) // 2, n // 2 + 1, lo, hi, 0, 0, first[f"{c}__min"], first[f"{c}__max"]]
     out: dict[str, float | None] = {c: None for c in columns}
-    if not info:
+    if not state:
         return out
-    counts = vals.agg(*[x for c, (n, lo, hi, _, _) in info.items() for x in (
-        F.count_if(F.col(c) < lo).alias(f"{c}__below"),
-        F.count_if((F.col(c) >= lo) & (F.col(c) <= hi)).alias(f"{c}__in"))]).first()
+
+    def count_brackets(cols: list[str]) -> None:
+        row = vals.agg(*[x for c in cols for x in (
+            F.count_if(F.col(c) < state[c][3]).alias(f"{c}__below"),
+            F.count_if((F.col(c) >= state[c][3]) & (F.col(c) <= state[c][4])).alias(f"{c}__in"))]).first()
+        for c in cols:
+            st = state[c]
+            st[5], st[6] = row[f"{c}__below"], row[f"{c}__in"]
+            if not (st[5] < st[1] and st[5] + st[6] >= st[2]):
+                st[3], st[4], st[5], st[6] = st[7], st[8], 0, st[0]
+
+    count_brackets(list(state))
+    wide = [c for c in state if state[c][6] > MAX_BRACKET_ROWS]
+    while wide:
+        narrowed = []
+        for c in wide:
+            n, k1, k2, lo, hi, below, inside = state[c][:7]
+            q_lo = max(0.0, (k1 - below) / inside - eps)
+            q_hi = min(1.0, (k2 - below) / inside + eps)
+            inner = vals.select(F.col(c).alias("v")).filter((F.col("v") >= lo) & (F.col("v") <= hi))
+            b = inner.agg(F.percentile_approx("v", [q_lo, q_hi], MEDIAN_ACCURACY).alias("b")).first()["b"]
+            if b[0] > lo or b[1] < hi:
+                state[c][3], state[c][4] = b[0], b[1]
+                narrowed.append(c)
+        if not narrowed:
+            break
+        count_brackets(narrowed)
+        wide = [c for c in narrowed if state[c][6] > MAX_BRACKET_ROWS]
+
     parts = []
-    for c, rec in info.items():
-        n, lo, hi, vmin, vmax = rec
-        k1, k2 = (n + 1) // 2, n // 2 + 1
-        below, inside = counts[f"{c}__below"], counts[f"{c}__in"]
-        if not (below < k1 and below + inside >= k2):
-            lo, hi, below = vmin, vmax, 0
-        rec[1:3] = [lo, hi]
+    for c, (n, k1, k2, lo, hi, below, inside, _, _) in state.items():
         parts.append(F.when((F.col(c) >= lo) & (F.col(c) <= hi),
                             F.struct(F.lit(c).alias("feature"), F.col(c).alias("v"),
                                      F.lit(below).cast("bigint").alias("below"),

@@ -275,3 +275,14 @@ def test_top_features(spark):
     df = spark.createDataFrame([(f"f{i}", float(i % 7)) for i in range(30)], "feature string, abs_importance double")
     got = [r.feature for r in top_features(df, 3).collect()]
     assert got == ["f13", "f20", "f27"]
+
+
+def test_exact_median_refines_wide_brackets(spark, monkeypatch):
+    import statistics
+    from shipwatch.operators import model as mdl
+    monkeypatch.setattr(mdl, "MAX_BRACKET_ROWS", 5)
+    monkeypatch.setattr(mdl, "MEDIAN_ACCURACY", 100)
+    rnd = random.Random(11)
+    vals = [rnd.gauss(0, 1) for _ in range(3001)] + [0.5] * 200
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    assert mdl.exact_medians(df, ["x"])["x"] == statistics.median(vals)
