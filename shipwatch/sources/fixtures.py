@@ -82,15 +82,17 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     geo = dimension_geo(spark, sf_dir)
 
+    # customer and geography ride on the orders side first (a join of
+    # orders-sized inputs; nation/region is a fixed 25-row dimension, so
+    # broadcasting it is size-safe) ...
+    cust = customer.join(F.broadcast(geo), customer.c_nationkey == geo.n_nationkey)
+    orders = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    # ... so the line table meets them in one join on the order key, and the
+    # line-number window reuses that join's partitioning on the order key:
+    # the only exchanges of line-sized data are on the order and part keys
     lines = li.join(orders, li.l_orderkey == orders.o_orderkey)
-    # line number within the order: the join already hash-partitions on the
-    # order key, so this window adds no exchange of its own
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     lines = lines.withColumn("line_no", F.row_number().over(w))
-
-    # nation/region is a fixed 25-row dimension; broadcasting it is size-safe
-    cust = customer.join(F.broadcast(geo), customer.c_nationkey == geo.n_nationkey)
-    lines = lines.join(cust, lines.o_custkey == cust.c_custkey)
     lines = lines.join(product_dimension(spark, sf_dir), lines.l_partkey == F.col("product_id"))
 
     mode, sched = _priority_mode(F.col("o_orderpriority"))
