@@ -6,6 +6,7 @@ logistic regression, scoring) is in ``shipwatch.operators.learn``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shipwatch import fixed_values as fv
@@ -46,8 +47,18 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """
     if not columns:
         return {}
+    # the passes below all read the same narrow projection: keep it (memory,
+    # spilling to disk) for the duration instead of re-deriving its lineage
+    vals = df.select(*[F.col(c).cast("double").alias(c) for c in columns]) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_medians(vals, columns)
+    finally:
+        vals.unpersist()
+
+
+def _exact_medians(vals: DataFrame, columns: list[str]) -> dict[str, float | None]:
     eps = 2.0 / MEDIAN_ACCURACY
-    vals = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     aggs = []
     for c in columns:
         aggs += [F.count(c).alias(f"{c}__n"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"),

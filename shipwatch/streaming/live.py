@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shipwatch.operators.sensors import classify_readings, with_shipment_ids
 from shipwatch.session import shared_path
 from shipwatch.sources import fixtures as fx
-from shipwatch.sources.tables import read_table, table_path
+from shipwatch.sources.tables import read_table, table_path, table_schema
 
 EVENT_TIME = "event_time"
 
@@ -28,7 +28,7 @@ def readings_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int
     the static side is the small per-order table, the stream is never shuffled
     against the whole order-line table.
     """
-    schema = read_table(spark, sf_dir, "events").schema
+    schema = table_schema("events") or read_table(spark, sf_dir, "events").schema
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
