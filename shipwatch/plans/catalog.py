@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shipwatch import fixed_values as fv
+from shipwatch.functions import parse_number
 from shipwatch.operators import (curate, filters, learn, metrics, model, quality, sample, sensors,
                                  stock, trace)
 from shipwatch.sources import fixtures as fx
@@ -45,8 +46,8 @@ def q_rejects_bad_dates(spark, sf_dir):
     parsed = curate.parse_order_dates(
         curate.normalize_columns(fx.raw_orders(spark, sf_dir)))
     return curate.bad_date_rows(parsed).select(
-        F.col("order_id").cast("bigint").alias("order_id"),
-        F.col("order_item_id").cast("bigint").alias("order_item_id"))
+        parse_number("order_id", "bigint").alias("order_id"),
+        parse_number("order_item_id", "bigint").alias("order_item_id"))
 
 
 # ---- step 2: filters and order aggregates ---------------------------------------

@@ -66,7 +66,7 @@ def product_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("p_name").alias("product_name"),
                     "category_id",
                     F.col("p_type").alias("category_name"),
-                    F.regexp_extract("p_brand", r"#(\d+)", 1).cast("bigint").alias("department_id"),
+                    F.regexp_extract("p_brand", r"#(\d+)", 1).try_cast("bigint").alias("department_id"),
                     F.col("p_brand").alias("department_name")))
 
 
