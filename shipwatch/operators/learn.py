@@ -185,7 +185,12 @@ class TrainingRun:
         # the split feeds the vocabulary, encoder, scaler, weights, the fit and
         # every evaluation: keep it (memory, spilling to disk) instead of
         # re-deriving it; a lost block is recomputed from its lineage
+        # the split makes several passes over its input: keep the frame only
+        # until the split itself is materialised
+        frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
         split = stratified_split(frame, key, fv.TARGET_COLUMN).persist(StorageLevel.MEMORY_AND_DISK)
+        split.count()
+        frame.unpersist()
         self.split = split
         self.train = split.filter(F.col("split") == "train").drop("split")
         self.test = split.filter(F.col("split") == "test").drop("split")

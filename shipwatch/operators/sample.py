@@ -31,22 +31,26 @@ def _bucket(h: Column) -> Column:
     return F.conv(F.substring(h, 1, BUCKET_HEX), 16, 10).cast("int")
 
 
-def mark_bottom_k(df: DataFrame, key: str, k: Column | int | DataFrame, groups: list[str] | None = None,
+def mark_bottom_k(df: DataFrame, key: str, k, groups: list[str] | None = None,
                   seed: int = fv.RANDOM_SEED, flag: str = "selected") -> DataFrame:
     """Add boolean ``flag``: row is among the ``k`` smallest hashes of its group.
 
     ``k`` is an int, a column expression over the group columns and
-    ``_group_n`` (the group's row count), or a DataFrame of per-group quotas
-    (group columns + ``_quota``). ``key`` must be unique within a group.
+    ``_group_n`` (the group's row count), or a function from the table of
+    group sizes (group columns + ``_group_n``) to per-group quotas (group
+    columns + ``_quota``). ``key`` must be unique within a group.
     """
     groups = list(groups or [])
     h = "_h"
     b = "_b"
     hashed = df.withColumn(h, seeded_hash(key, seed)).withColumn(b, _bucket(F.col(h)))
     hist = hashed.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("_n"))
-    if isinstance(k, DataFrame):
-        # per-group quotas given as a table (one row per group)
-        hist = hist.join(k.select(*groups, F.col("_quota").alias("_k")), groups, "left")
+    if callable(k):
+        # per-group quotas computed from the group sizes, which the histogram
+        # already holds: no separate pass over the input
+        sizes = hist.groupBy(*groups).agg(F.sum("_n").alias("_group_n"))
+        quotas = k(sizes).select(*groups, F.col("_quota").alias("_k"))
+        hist = hist.join(quotas, groups, "left")
         quota = F.coalesce(F.col("_k"), F.lit(0))
     else:
         quota = F.lit(k) if isinstance(k, int) else k
@@ -66,9 +70,9 @@ def mark_bottom_k(df: DataFrame, key: str, k: Column | int | DataFrame, groups:
         # one row per group; joined on the group key
         with_cut = hashed.join(cut, groups, "left")
     else:
-        # a single cut: carried as two scalar subqueries, no join at all
-        with_cut = hashed.withColumns({"_cut": cut.select("_cut").scalar(),
-                                       "_need": cut.select("_need").scalar()})
+        # a single cut: one scalar subquery (used twice, planned once), no join
+        pair = cut.select(F.struct("_cut", "_need")).scalar()
+        with_cut = hashed.withColumns({"_cut": pair["_cut"], "_need": pair["_need"]})
     with_cut = with_cut.withColumn("_cut", F.coalesce("_cut", F.lit(N_BUCKETS)))
     with_cut = with_cut.withColumn("_need", F.coalesce("_need", F.lit(0)))
 
@@ -96,13 +100,15 @@ def sort_orders_sample(sample: DataFrame) -> DataFrame:
     return sample.orderBy("order_date", "order_id", "order_item_id")
 
 
-def class_quotas(df: DataFrame, label: str, test_fraction: float) -> DataFrame:
-    """Test rows per class: the total is ceil(fraction x n); each class gets
-    floor(total x n_c / n) and the rows left over go to the classes with the
-    largest remainders (ties to the smaller label). Integer arithmetic only;
-    the table has one row per class.
+def class_quotas(sizes: DataFrame, label: str, test_fraction: float) -> DataFrame:
+    """Test rows per class from the class sizes (``label``, ``_group_n``).
+
+    The total is ceil(fraction x n); each class gets floor(total x n_c / n)
+    and the rows left over go to the classes with the largest remainders
+    (ties to the smaller label). Integer arithmetic only; the table has one
+    row per class.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    sizes = sizes.select(label, F.col("_group_n").alias("n_c"))
     num, den = Fraction(str(test_fraction)).numerator, Fraction(str(test_fraction)).denominator
     whole = Window.partitionBy()
     t = sizes.withColumn("n", F.sum("n_c").over(whole))
@@ -122,7 +128,7 @@ def stratified_split(df: DataFrame, key: str, label: str,
     Sizes follow ``class_quotas``; within a class the test rows are the ones
     with the smallest seeded hash of ``key``.
     """
-    marked = mark_bottom_k(df, key, class_quotas(df, label, test_fraction), groups=[label],
-                           seed=seed, flag="_test")
+    marked = mark_bottom_k(df, key, lambda sizes: class_quotas(sizes, label, test_fraction),
+                           groups=[label], seed=seed, flag="_test")
     return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")) \
         .drop("_test")
