@@ -87,12 +87,15 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     # broadcasting it is size-safe) ...
     cust = customer.join(F.broadcast(geo), customer.c_nationkey == geo.n_nationkey)
     orders = orders.join(cust, orders.o_custkey == cust.c_custkey)
-    # ... so the line table meets them in one join on the order key, and the
-    # line-number window reuses that join's partitioning on the order key:
-    # the only exchanges of line-sized data are on the order and part keys
-    lines = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    # ... and the lines are numbered within their order on the line table
+    # alone: the join on the order key then reuses the window's partitioning
+    # (line-sized data is exchanged only on the order and part keys), and
+    # filters on order-side columns (market, mode, ...) can be pushed below
+    # the join into the dimension scans, which they could not be through a
+    # window sitting above it
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    lines = lines.withColumn("line_no", F.row_number().over(w))
+    li = li.withColumn("line_no", F.row_number().over(w))
+    lines = li.join(orders, li.l_orderkey == orders.o_orderkey)
     lines = lines.join(product_dimension(spark, sf_dir), lines.l_partkey == F.col("product_id"))
 
     mode, sched = _priority_mode(F.col("o_orderpriority"))
