@@ -61,6 +61,12 @@ MISSING_TEXT = "UNKNOWN"
 CUSTOMER_HASH_PREFIX = "cust_"
 CUSTOMER_HASH_HEX_DIGITS = 16
 
+# data dictionary: origin of a curated column and its privacy level
+ORIGIN_EXPORT = "DataCo"
+ORIGIN_DERIVED = "Derived"
+PRIVACY_ANONYMIZED = "anonymized"
+PRIVACY_OPEN = "non_sensitive"
+
 ORDER_SAMPLE_ROWS = 50_000
 RANDOM_SEED = 42
 

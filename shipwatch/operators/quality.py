@@ -7,45 +7,46 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shipwatch import fixed_values as fv
 from shipwatch.operators.metrics import combine_one_row
 
-# (description, origin) of each curated column; origin "DataCo" means carried
-# over from the order export, "Derived" computed during curation
+# (description, origin) of each curated column; E = carried over from the
+# order export, D = computed during curation
+E, D = fv.ORIGIN_EXPORT, fv.ORIGIN_DERIVED
 COLUMN_NOTES: dict[str, tuple[str, str]] = {
-    "order_id": ("Order identifier.", "DataCo"),
-    "order_item_id": ("Order line identifier.", "DataCo"),
-    "order_date": ("Date and time the order was placed.", "DataCo"),
-    "shipping_date": ("Date and time the order shipped.", "DataCo"),
-    "customer_id_hash": ("Customer, anonymised with truncated SHA-256.", "Derived"),
-    "customer_segment": ("Customer segment.", "DataCo"),
-    "product_id": ("Product identifier, used as base SKU.", "DataCo"),
-    "product_name": ("Product name.", "DataCo"),
-    "category_id": ("Category identifier.", "DataCo"),
-    "category_name": ("Category name.", "DataCo"),
-    "department_id": ("Department identifier.", "DataCo"),
-    "department_name": ("Department name.", "DataCo"),
-    "quantity": ("Units ordered on the line.", "DataCo"),
-    "sales": ("Gross sales of the line.", "DataCo"),
-    "order_item_total": ("Net total of the line.", "DataCo"),
-    "profit": ("Profit of the order line.", "DataCo"),
-    "shipping_mode": ("Shipping mode.", "DataCo"),
-    "delivery_status": ("Observed delivery status.", "DataCo"),
-    "late_delivery_risk": ("Late-delivery target flag.", "DataCo"),
-    "order_status": ("Operational order status.", "DataCo"),
-    "market": ("Logistics market.", "DataCo"),
-    "order_region": ("Destination region.", "DataCo"),
-    "order_country": ("Destination country.", "DataCo"),
-    "order_city": ("Destination city.", "DataCo"),
-    "days_shipping_real": ("Actual shipping days.", "DataCo"),
-    "days_shipping_scheduled": ("Scheduled shipping days.", "DataCo"),
-    "order_date_day": ("Calendar day of the order.", "Derived"),
-    "order_month": ("Month of the order.", "Derived"),
-    "order_day_of_week": ("Weekday of the order.", "Derived"),
-    "shipment_delay_delta": ("Actual minus scheduled shipping days.", "Derived"),
+    "order_id": ("Order identifier.", E),
+    "order_item_id": ("Order line identifier.", E),
+    "order_date": ("Date and time the order was placed.", E),
+    "shipping_date": ("Date and time the order shipped.", E),
+    "customer_id_hash": ("Customer, anonymised with truncated SHA-256.", D),
+    "customer_segment": ("Customer segment.", E),
+    "product_id": ("Product identifier, used as base SKU.", E),
+    "product_name": ("Product name.", E),
+    "category_id": ("Category identifier.", E),
+    "category_name": ("Category name.", E),
+    "department_id": ("Department identifier.", E),
+    "department_name": ("Department name.", E),
+    "quantity": ("Units ordered on the line.", E),
+    "sales": ("Gross sales of the line.", E),
+    "order_item_total": ("Net total of the line.", E),
+    "profit": ("Profit of the order line.", E),
+    "shipping_mode": ("Shipping mode.", E),
+    "delivery_status": ("Observed delivery status.", E),
+    "late_delivery_risk": ("Late-delivery target flag.", E),
+    "order_status": ("Operational order status.", E),
+    "market": ("Logistics market.", E),
+    "order_region": ("Destination region.", E),
+    "order_country": ("Destination country.", E),
+    "order_city": ("Destination city.", E),
+    "days_shipping_real": ("Actual shipping days.", E),
+    "days_shipping_scheduled": ("Scheduled shipping days.", E),
+    "order_date_day": ("Calendar day of the order.", D),
+    "order_month": ("Month of the order.", D),
+    "order_day_of_week": ("Weekday of the order.", D),
+    "shipment_delay_delta": ("Actual minus scheduled shipping days.", D),
 }
 
 
 def data_dictionary(spark: SparkSession) -> DataFrame:
     """One row per curated column: name, description, origin, privacy level."""
-    rows = [(c, d, o, "anonymized" if c == "customer_id_hash" else "non_sensitive")
+    rows = [(c, d, o, fv.PRIVACY_ANONYMIZED if c == "customer_id_hash" else fv.PRIVACY_OPEN)
             for c, (d, o) in COLUMN_NOTES.items()]
     return spark.createDataFrame(rows, "column_name string, description string, source string, "
                                        "privacy_level string")
