@@ -10,7 +10,12 @@ def _c(c: Column | str) -> Column:
 
 
 def calendar_day(ts) -> Column:
-    return F.to_date(_c(ts))
+    """Calendar day as ISO text ``yyyy-MM-dd`` (sorts chronologically).
+
+    Kept as text, as the curated tables of the original tool do, so the day
+    reads the same through every client (Arrow, pandas, CSV, JSON).
+    """
+    return F.date_format(_c(ts), "yyyy-MM-dd")
 
 
 def month_text(ts) -> Column:

@@ -530,7 +530,7 @@ def _clean_sql(c: str) -> str:
 oracle("web_demand", """
 SELECT date_day, product, category, department, hour, count(*) AS page_views
 FROM (
-  SELECT CAST(e.ts AS DATE) AS date_day,
+  SELECT strftime(e.ts, '%Y-%m-%d') AS date_day,
          """ + _clean_sql("p.p_name") + """ AS product,
          """ + _clean_sql("p.p_type") + """ AS category,
          """ + _clean_sql("p.p_brand") + """ AS department,

@@ -77,7 +77,7 @@ SELECT
   CAST(days_shipping_real > days_shipping_scheduled AS INTEGER) AS late_delivery_risk,
   order_status, market, order_region, order_country, order_city,
   days_shipping_real, days_shipping_scheduled,
-  CAST(order_date AS DATE) AS order_date_day,
+  strftime(order_date, '%Y-%m-%d') AS order_date_day,
   strftime(order_date, '%Y-%m') AS order_month,
   dayname(order_date) AS order_day_of_week,
   days_shipping_real - days_shipping_scheduled AS shipment_delay_delta
