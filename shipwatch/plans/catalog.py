@@ -327,3 +327,11 @@ def q_missing_share(spark, sf_dir):
 def q_quality_report(spark, sf_dir):
     raw = fx.raw_orders(spark, sf_dir)
     return quality.quality_report(raw, curate.curate_orders(raw, on_bad_dates="drop"))
+
+
+@query("metrics_table")
+def q_metrics_table(spark, sf_dir):
+    scored = fx.scored_lines(lines(spark, sf_dir))
+    cls = model.classification_metrics(scored)
+    auc = model.roc_auc(scored).select("roc_auc")
+    return model.metrics_table(metrics.combine_one_row(cls, auc))

@@ -569,3 +569,27 @@ SELECT (SELECT count(*) FROM order_lines) AS raw_rows, 34 AS raw_columns,
        avg(late_delivery_risk) AS late_delivery_risk_rate
 FROM curated
 """, "order_lines", extra={"curated": CURATED_FROM_RAW}))
+
+oracle("metrics_table", with_ctes("""
+SELECT metric, value, printf('%.2f', value * 100) || '%' AS value_percent
+FROM (
+  SELECT 'accuracy' AS metric, accuracy AS value FROM m UNION ALL
+  SELECT 'precision', precision FROM m UNION ALL
+  SELECT 'recall', recall FROM m UNION ALL
+  SELECT 'f1_score', f1_score FROM m UNION ALL
+  SELECT 'roc_auc', roc_auc FROM a) t
+""", "scored_lines", extra={
+    "m": """
+SELECT CASE WHEN tn + fp + fn + tp = 0 THEN 0.0 ELSE (tp + tn) / (tn + fp + fn + tp) END AS accuracy,
+       CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+       CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+       CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1_score
+FROM (SELECT count_if(label = 0 AND prediction = 0) AS tn, count_if(label = 0 AND prediction = 1) AS fp,
+             count_if(label = 1 AND prediction = 0) AS fn, count_if(label = 1 AND prediction = 1) AS tp
+      FROM scored_lines) c""",
+    "a": """
+SELECT CAST(sum(n * (2 * above + p)) AS DOUBLE) / CAST(2 * sum(p) * sum(n) AS DOUBLE) AS roc_auc
+FROM (SELECT s, p, n, coalesce(sum(p) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING
+                                            AND 1 PRECEDING), 0) AS above
+      FROM (SELECT score AS s, count_if(label = 1) AS p, count_if(label = 0) AS n
+            FROM scored_lines GROUP BY score) g) t"""}))
