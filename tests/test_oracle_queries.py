@@ -52,3 +52,14 @@ def test_query_matches_oracle(spark, con, name):
     a = sorted(tuple(canon(r[cols.index(c)]) for c in order) for r in rows)
     b = sorted(tuple(canon(r[ocols.index(c)]) for c in order) for r in orows)
     assert a == b
+
+
+def test_entry_loads_by_file_path(tmp_path, monkeypatch):
+    import importlib.util
+    import os as _os
+    monkeypatch.chdir(tmp_path)
+    path = _os.path.join(_os.path.dirname(_os.path.dirname(_os.path.abspath(__file__))), "__spark_entry__.py")
+    spec = importlib.util.spec_from_file_location("entry_by_path", path)
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    assert set(mod.oracle_sql()) <= set(mod.queries()) and len(mod.queries()) == len(entry.queries())
