@@ -16,7 +16,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(entry.QUERIES) - SKIP))
 def test_no_all_pairs_joins(spark, name):
     plan = _plan(entry.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan
