@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from shipwatch.llm import decontaminate, substring
-from shipwatch.llm.store import read
+from shipwatch.llm import decontaminate, maxscore, packing, substring, token_counts
+from shipwatch.llm.store import new_folder, read
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = token_counts.TokenLedger(spark, new_folder(spark, "token-ledger"))
+    return token_counts.maintained(read(spark, sf_dir, "documents"), ledger)
+
+
+def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +29,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_report(read(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_decontaminate, op6_substring_dedup)
+    f.__name__: f for f in (
+        op1_token_counts, op2_maxscore, op5_decontaminate, op6_substring_dedup, op10_packing)
 }
