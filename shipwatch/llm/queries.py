@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from shipwatch.llm import decontaminate, language, maxscore, packing, substring, token_counts
+from shipwatch.llm import decontaminate, language, maxscore, packing, privacy, substring, token_counts
 from shipwatch.llm.store import new_folder, read
 
 
@@ -29,6 +29,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_report(read(spark, sf_dir, "documents"))
 
 
+def op7_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.privacy_report(read(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(read(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_counts, op2_maxscore, op5_decontaminate, op6_substring_dedup, op9_language, op10_packing)
+        op1_token_counts, op2_maxscore, op5_decontaminate, op6_substring_dedup, op7_privacy, op9_language, op10_packing)
 }
