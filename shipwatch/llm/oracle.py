@@ -61,3 +61,19 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 ORACLE["op2_maxscore"] = OP2
+
+OP3 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (
+  SELECT page_id, payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS top,
+         list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           (CAST('0x' || substr(h || '0', 1 + CAST(floor(i * 5 / 4) AS INT), 2) AS INT) >> CAST(3 - (i * 5) % 4 AS INT)) & 31 AS INT), 1)) AS letters
+  FROM p)
+SELECT page_id, payload_bytes, array_to_string(letters, '') AS payload_digest,
+       CASE WHEN top IS DISTINCT FROM page_id AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
+FROM bits
+"""
+
+ORACLE["op3_warc"] = OP3
