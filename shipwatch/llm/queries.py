@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from shipwatch.llm import decontaminate, language, maxscore, packing, privacy, substring, token_counts, warc
+from shipwatch.llm import bagminhash, decontaminate, language, maxscore, packing, privacy, substring, token_counts, warc
 from shipwatch.llm.store import new_folder, read
 
 
@@ -24,6 +24,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages"), new_folder(spark, "warc"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(read(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return decontaminate.verdicts(decontaminate.contamination(docs, items))
@@ -47,5 +51,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_counts, op2_maxscore, op3_warc, op5_decontaminate, op6_substring_dedup, op7_privacy, op9_language, op10_packing)
+        op1_token_counts, op2_maxscore, op3_warc, op4_near_duplicates, op5_decontaminate, op6_substring_dedup, op7_privacy, op9_language, op10_packing)
 }
