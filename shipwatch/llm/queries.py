@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from shipwatch.llm import bagminhash, decontaminate, language, maxscore, packing, privacy, substring, token_counts, warc
+from shipwatch.llm import bagminhash, decontaminate, extraction, language, maxscore, packing, privacy, substring, token_counts, warc
 from shipwatch.llm.store import new_folder, read
 
 
@@ -41,6 +42,10 @@ def op7_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.privacy_report(read(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(read(spark, sf_dir, "pages"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(read(spark, sf_dir, "documents"))
 
@@ -49,7 +54,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_token_counts, op2_maxscore, op3_warc, op4_near_duplicates, op5_decontaminate, op6_substring_dedup, op7_privacy, op9_language, op10_packing)
+        op1_token_counts, op2_maxscore, op3_warc, op4_near_duplicates, op5_decontaminate, op6_substring_dedup, op7_privacy, op8_main_text, op9_language, op10_packing,
+        pipeline)
 }
