@@ -61,9 +61,7 @@ MISSING_TEXT = "UNKNOWN"
 CUSTOMER_HASH_PREFIX = "cust_"
 CUSTOMER_HASH_HEX_DIGITS = 16
 
-# data dictionary: origin of a curated column and its privacy level
-ORIGIN_EXPORT = "DataCo"
-ORIGIN_DERIVED = "Derived"
+# data dictionary: privacy levels
 PRIVACY_ANONYMIZED = "anonymized"
 PRIVACY_OPEN = "non_sensitive"
 
@@ -127,6 +125,8 @@ SAFETY_MIN_UNITS = 5.0
 WATCH_FACTOR = 1.25
 ORDER_UP_FACTOR = 1.2
 STOCK_STATES: list[str] = ["LOW_STOCK", "WATCH", "NORMAL"]
+# ours: a product in demand that the stock table does not know
+NO_STOCK_ROW = "NO_STOCK_ROW"
 
 # --- fixed values: late-delivery model ----------------------------------------
 TARGET_COLUMN = "late_delivery_risk"

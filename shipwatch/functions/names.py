@@ -2,34 +2,29 @@
 
 from __future__ import annotations
 
-import re
+import string
 
-_SEPARATORS = re.compile(r"[\s\-/()]+")
-_NON_WORD = re.compile(r"[^0-9a-zA-Z_]+")
-_UNDERSCORES = re.compile(r"_+")
+KEPT = frozenset(string.ascii_letters + string.digits)
+BREAKS = frozenset("_-/()")
 
 
 def normalize_column_name(name: str) -> str:
     """Snake-case one header name.
 
-    Trim; runs of whitespace, ``-``, ``/``, ``(`` and ``)`` become one ``_``;
-    any other non-alphanumeric character is dropped; repeated ``_`` collapse;
-    leading/trailing ``_`` go; the result is lower-cased.
+    The name is read as runs of ASCII letters and digits. Blanks, ``_``, ``-``,
+    ``/`` and parentheses end a run; any other sign is passed over without
+    ending it. The runs, in lower case, are joined by ``_``.
     """
-    out = _SEPARATORS.sub("_", name.strip())
-    out = _NON_WORD.sub("", out)
-    out = _UNDERSCORES.sub("_", out)
-    return out.strip("_").lower()
+    spaced = (ch if ch in KEPT else " " if ch in BREAKS or ch.isspace() else "" for ch in name)
+    return "_".join("".join(spaced).lower().split())
 
 
 def normalize_names(names: list[str], *, reject_collisions: bool = True) -> list[str]:
     """Normalise a header; two raw names landing on one result is an error."""
     out = [normalize_column_name(n) for n in names]
     if reject_collisions:
-        seen: dict[str, str] = {}
-        for raw, new in zip(names, out):
-            if new in seen:
-                raise ValueError(
-                    f"columns {seen[new]!r} and {raw!r} both normalise to {new!r}")
-            seen[new] = raw
+        first: dict[str, int] = {}
+        for i, new in enumerate(out):
+            if first.setdefault(new, i) != i:
+                raise ValueError(f"columns {names[first[new]]!r} and {names[i]!r} both normalise to {new!r}")
     return out

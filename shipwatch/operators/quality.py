@@ -1,57 +1,14 @@
-"""Data-quality report and data dictionary of the curation step."""
+"""Data-quality report of the curation step."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shipwatch import fixed_values as fv
+from shipwatch.functions import parse_timestamp
+from shipwatch.functions.names import normalize_names
 from shipwatch.operators.metrics import combine_one_row
 
-# (description, origin) of each curated column; E = carried over from the
-# order export, D = computed during curation
-E, D = fv.ORIGIN_EXPORT, fv.ORIGIN_DERIVED
-COLUMN_NOTES: dict[str, tuple[str, str]] = {
-    "order_id": ("Order identifier.", E),
-    "order_item_id": ("Order line identifier.", E),
-    "order_date": ("Date and time the order was placed.", E),
-    "shipping_date": ("Date and time the order shipped.", E),
-    "customer_id_hash": ("Customer, anonymised with truncated SHA-256.", D),
-    "customer_segment": ("Customer segment.", E),
-    "product_id": ("Product identifier, used as base SKU.", E),
-    "product_name": ("Product name.", E),
-    "category_id": ("Category identifier.", E),
-    "category_name": ("Category name.", E),
-    "department_id": ("Department identifier.", E),
-    "department_name": ("Department name.", E),
-    "quantity": ("Units ordered on the line.", E),
-    "sales": ("Gross sales of the line.", E),
-    "order_item_total": ("Net total of the line.", E),
-    "profit": ("Profit of the order line.", E),
-    "shipping_mode": ("Shipping mode.", E),
-    "delivery_status": ("Observed delivery status.", E),
-    "late_delivery_risk": ("Late-delivery target flag.", E),
-    "order_status": ("Operational order status.", E),
-    "market": ("Logistics market.", E),
-    "order_region": ("Destination region.", E),
-    "order_country": ("Destination country.", E),
-    "order_city": ("Destination city.", E),
-    "days_shipping_real": ("Actual shipping days.", E),
-    "days_shipping_scheduled": ("Scheduled shipping days.", E),
-    "order_date_day": ("Calendar day of the order.", D),
-    "order_month": ("Month of the order.", D),
-    "order_day_of_week": ("Weekday of the order.", D),
-    "shipment_delay_delta": ("Actual minus scheduled shipping days.", D),
-}
-
-
-def data_dictionary(spark: SparkSession) -> DataFrame:
-    """One row per curated column: name, description, origin, privacy level."""
-    rows = [(c, d, o, fv.PRIVACY_ANONYMIZED if c == "customer_id_hash" else fv.PRIVACY_OPEN)
-            for c, (d, o) in COLUMN_NOTES.items()]
-    return spark.createDataFrame(rows, "column_name string, description string, source string, "
-                                       "privacy_level string")
-
-
 def _is_missing(df: DataFrame, c: str) -> Column:
     col = F.col(f"`{c}`")
     if dict(df.dtypes)[c] == "string":
@@ -97,19 +54,28 @@ def missing_share(raw: DataFrame, top: int = fv.MISSING_SHARE_TOP) -> DataFrame:
     return missing_share_from_counts(raw.agg(*missing_count_columns(raw)), raw.columns, top)
 
 
-def raw_side(counts: DataFrame, n_columns: int) -> DataFrame:
-    return counts.select(F.col("__rows").alias("raw_rows"), F.lit(n_columns).alias("raw_columns"))
+def date_rejects(raw: DataFrame) -> Column:
+    """Aggregate expression: raw rows whose order or shipping date does not parse."""
+    by_name = dict(zip(normalize_names(raw.columns, reject_collisions=False), raw.columns))
+    dates = [parse_timestamp(F.col(f"`{by_name[c]}`")) for c in fv.DATE_RENAMES if c in by_name]
+    bad = F.lit(False)
+    for d in dates:
+        bad = bad | d.isNull()
+    return F.count_if(bad).alias("__bad_dates")
 
 
-def quality_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    """One row: raw/clean sizes, distinct orders/products/countries, date
-    range and late-delivery rate. Each side is one global aggregate."""
-    return quality_report_from_counts(raw.agg(F.count(F.lit(1)).alias("__rows")), len(raw.columns), clean)
+def raw_figures(raw: DataFrame) -> DataFrame:
+    """One row with everything the report needs of the raw side: one pass."""
+    return raw.agg(*missing_count_columns(raw), date_rejects(raw))
 
 
-def quality_report_from_counts(counts: DataFrame, n_raw_columns: int, clean: DataFrame) -> DataFrame:
-    """The report with the raw side taken from a one-row counts table."""
-    r = raw_side(counts, n_raw_columns)
+def quality_report(raw: DataFrame, clean: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """One row: raw/clean sizes, rows rejected and why, distinct orders, products
+    and countries, date range and late-delivery rate. Each side is one global
+    aggregate; ``figures`` (``raw_figures``) saves the raw one."""
+    r = (raw_figures(raw) if figures is None else figures).select(
+        F.col("__rows").alias("raw_rows"), F.lit(len(raw.columns)).alias("raw_columns"),
+        F.col("__bad_dates").alias("rejected_date_rows"))
     c = clean.agg(F.count(F.lit(1)).alias("clean_rows"),
                   F.countDistinct("order_id").alias("unique_orders"),
                   F.countDistinct("product_id").alias("unique_products"),
@@ -118,21 +84,20 @@ def quality_report_from_counts(counts: DataFrame, n_raw_columns: int, clean: Dat
                   F.max("order_date").alias("date_max"),
                   F.avg("late_delivery_risk").alias("late_delivery_risk_rate")) \
         .withColumn("clean_columns", F.lit(len(clean.columns)))
-    out = combine_one_row(r, c)
-    return out.select("raw_rows", "raw_columns", "clean_rows", "clean_columns", "unique_orders",
-                      "unique_products", "unique_countries", "date_min", "date_max",
-                      "late_delivery_risk_rate")
+    return combine_one_row(r, c).select(
+        "raw_rows", "raw_columns", "rejected_date_rows",
+        (F.col("raw_rows") - F.col("rejected_date_rows") - F.col("clean_rows")).alias("rejected_incomplete_rows"),
+        "clean_rows", "clean_columns", "unique_orders", "unique_products", "unique_countries", "date_min", "date_max",
+        "late_delivery_risk_rate")
 
 
-def quality_document(raw: DataFrame, clean: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def quality_document(raw: DataFrame, clean: DataFrame, figures: DataFrame | None = None) -> DataFrame:
     """The report with the missing-share map and the removed personal columns,
-    shaped for a JSON document. ``counts`` (a one-row table of
-    ``missing_count_columns`` over ``raw``) saves another scan of the raw data
-    when it was already observed."""
-    if counts is None:
-        counts = raw.agg(*missing_count_columns(raw))
-    shares = missing_share_from_counts(counts, raw.columns).agg(F.map_from_entries(F.collect_list(
+    shaped for a JSON document."""
+    if figures is None:
+        figures = raw_figures(raw)
+    shares = missing_share_from_counts(figures, raw.columns).agg(F.map_from_entries(F.collect_list(
         F.struct("column_name", "missing_share"))).alias("top_missing_raw_columns_pct"))
-    rep = combine_one_row(quality_report_from_counts(counts, len(raw.columns), clean), shares)
+    rep = combine_one_row(quality_report(raw, clean, figures), shares)
     return rep.withColumn("sensitive_columns_removed",
                           F.array(*[F.lit(c) for c in sorted(fv.SENSITIVE_COLUMNS)]))

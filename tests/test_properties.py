@@ -2,29 +2,39 @@
 of the same rules."""
 
 import hashlib
-import re
 import string
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from shipwatch.functions import clean_text, hash_identifier
-from shipwatch.functions.names import normalize_column_name
+from shipwatch.functions.names import normalize_column_name, normalize_names
 
 WS = " \t\n\x0b\f\r"
 
 
-def _snake(name):
-    out = re.sub(r"[\s\-/()]+", "_", name.strip())
-    out = re.sub(r"[^0-9a-zA-Z_]+", "", out)
-    out = re.sub(r"_+", "_", out)
-    return out.strip("_").lower()
-
-
 @given(st.text(alphabet=string.ascii_letters + string.digits + " -/()_.#$%\t", max_size=30))
 def test_snake_case_rule(name):
     got = normalize_column_name(name)
-    assert got == _snake(name)
     assert got == got.lower() and "__" not in got and not got.startswith("_") and not got.endswith("_")
+    # letters and digits survive in their order, and nothing else but the joints
+    assert got.replace("_", "") == "".join(c for c in name if c.isalnum()).lower()
+    assert normalize_column_name(got) == got
+    assert normalize_column_name(f"  {name}\t") == got == normalize_column_name(name.replace("-", "/").replace(" ", "__"))
+
+
+@pytest.mark.parametrize(("raw", "want"), [
+    ("order date (DateOrders)", "order_date_dateorders"), ("Days for shipping (real)", "days_for_shipping_real"),
+    ("Late_delivery_risk", "late_delivery_risk"), ("  A--B//c  ", "a_b_c"), ("pr%ice $", "price"), ("a.b", "ab"), ("(x)", "x"),
+    ("", ""), ("_-/", ""), ("Ünit 5", "nit_5")])
+def test_snake_case_examples(raw, want):
+    assert normalize_column_name(raw) == want
+
+
+def test_colliding_names_are_rejected():
+    with pytest.raises(ValueError, match="both normalise"):
+        normalize_names(["Order Id", "x", "order-id"])
+    assert normalize_names(["a b", "a-b"], reject_collisions=False) == ["a_b", "a_b"]
 
 
 @settings(max_examples=5, deadline=None)
