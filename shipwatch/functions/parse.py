@@ -10,35 +10,37 @@ from pyspark.sql import Column, functions as F
 
 from shipwatch.functions.text import WHITESPACE
 
-# Formats tried in order; the first that parses wins.
-TIMESTAMP_FORMATS: list[str] = [
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "M/d/yyyy",
-]
-
-
-def parse_timestamp(c: Column | str, formats: list[str] | None = None) -> Column:
-    """Text -> zone-less timestamp; text matching no format -> null."""
+# The shapes of timestamps that are read: month/day/year, or ISO, each with or
+# without a time, whose seconds may be left out.
+TIMESTAMP_SHAPE = (r"^(\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{2}(:\d{2})?)?"
+                   r"|\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?)$")
+
+
+def parse_timestamp(c: Column | str) -> Column:
+    """Text -> zone-less timestamp; text of another shape, or no such day -> null.
+
+    The text is brought into ISO order and parsed once.
+    """
     c = F.col(c) if isinstance(c, str) else c
     s = F.btrim(c.cast("string"), F.lit(WHITESPACE))
-    tried = [F.try_to_timestamp(s, F.lit(fmt)) for fmt in (formats or TIMESTAMP_FORMATS)]
-    # try_to_timestamp yields a session-zone timestamp; read it back as wall time
-    return F.coalesce(*tried).cast("timestamp_ntz")
+    iso = F.regexp_replace(s, r"^(\d+)/(\d+)/(\d+)", "$3-$1-$2")
+    iso = F.regexp_replace(iso, r"^(\S+)[ T](\d+:\d+)$", "$1 $2:00")
+    return F.when(s.rlike(TIMESTAMP_SHAPE), iso).try_cast("timestamp_ntz")
 
 
 def parse_number(c: Column | str, to: str = "double") -> Column:
-    """Text -> number, unparsable -> null."""
+    """Text -> number, unparsable -> null.
+
+    Integers are exact: their digits are read as such, after a fraction of
+    zeros (``12.0``) is taken off; any other fraction is no integer. ``nan``,
+    infinities and the type suffixes that casts accept (``1d``, ``2f``) are no
+    numbers: text that ends with a letter is none.
+    """
     c = F.col(c) if isinstance(c, str) else c
     s = F.btrim(c.cast("string"), F.lit(WHITESPACE))
     if to in ("int", "bigint", "long"):
-        # accept "12.0"-style text for integer columns, as a numeric parse would
-        return s.try_cast("double").try_cast(to)
-    return s.try_cast(to)
+        return F.regexp_replace(s, r"^([+-]?[0-9]+)\.0*$", "$1").try_cast(to)
+    return F.when(~s.rlike("[A-Za-z]$"), s).try_cast(to)
 
 
 def parse_hour(c: Column | str) -> Column:

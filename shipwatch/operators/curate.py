@@ -26,10 +26,13 @@ def bad_date_rows(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("order_date").isNull() | F.col("shipping_date").isNull())
 
 
-def assert_dates_parsed(parsed: DataFrame) -> DataFrame:
-    """Fail with the row count when any date is unparsable (one aggregate job)."""
-    bad = parsed.agg(F.count_if(F.col("order_date").isNull() | F.col("shipping_date").isNull())
-                     .alias("n")).first()["n"]
+def assert_dates_parsed(parsed: DataFrame, check_empty: bool = False) -> DataFrame:
+    """Fail with the row count when any date is unparsable, and, if asked, on an
+    empty table (one aggregate job for both)."""
+    rows, bad = parsed.agg(F.count(F.lit(1)), F.count_if(
+        F.col("order_date").isNull() | F.col("shipping_date").isNull())).first()
+    if check_empty and not rows:
+        raise ValueError("the order export is empty")
     if bad:
         raise ValueError(f"{bad} rows have unparsable order or shipping dates")
     return parsed
@@ -58,13 +61,13 @@ def curate_orders(raw: DataFrame, on_bad_dates: str = "raise", check_empty: bool
     """Raw order export (text) -> curated 30-column order-line table.
 
     ``on_bad_dates``: ``"raise"`` fails the run when any date is unparsable
-    (with the row count); ``"drop"`` removes those rows instead. An empty
-    input is an error unless ``check_empty`` is off (the caller checked).
+    (with the row count) or the input is empty; ``"drop"`` removes those rows
+    instead (the quality report counts them) and runs no job of its own, so an
+    empty input gives an empty table.
     """
-    df = normalize_columns(raw, reject_empty=check_empty)
-    df = parse_order_dates(df)
+    df = parse_order_dates(normalize_columns(raw))
     if on_bad_dates == "raise":
-        assert_dates_parsed(df)
+        assert_dates_parsed(df, check_empty)
     elif on_bad_dates == "drop":
         df = df.filter(F.col("order_date").isNotNull() & F.col("shipping_date").isNotNull())
     else:
@@ -86,7 +89,7 @@ def web_demand(raw_logs: DataFrame) -> DataFrame:
     Personal columns are dropped first, rows with an unparsable date go, null
     group keys are kept. Sorted by day ascending, views descending.
     """
-    logs = normalize_columns(raw_logs, reject_empty=True)
+    logs = normalize_columns(raw_logs)
     require_columns(logs, fv.ACCESS_LOG_REQUIRED, "access log")
     logs = drop_present(logs, fv.SENSITIVE_COLUMNS)
     logs = logs.withColumn("date", parse_timestamp("date")).filter(F.col("date").isNotNull())

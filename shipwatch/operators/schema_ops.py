@@ -12,8 +12,10 @@ from shipwatch.functions.names import normalize_names
 def normalize_columns(df: DataFrame, reject_empty: bool = False) -> DataFrame:
     """Snake-case every column name.
 
-    With ``reject_empty`` an input without rows is an error; the check reads
-    at most one row (``isEmpty``), so it costs the same at any scale.
+    With ``reject_empty`` an input without rows is an error. That check runs
+    the input's own plan until a row comes: cheap on a file, but on a computed
+    table with shuffles it costs most of a pass, so callers that count rows
+    anyway leave it off.
     """
     if reject_empty and df.isEmpty():
         raise ValueError("the table is empty; there are no columns to normalise")

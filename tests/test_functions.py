@@ -89,3 +89,24 @@ def test_parsers(spark):
     assert rows[0].d == dt.datetime(2020, 1, 5, 3, 7) and rows[0].n == 12.5 and rows[0].h == 7
     assert rows[1].d is None and rows[1].n is None and rows[1].h == -1
     assert rows[2].d == dt.datetime(2020, 1, 5, 3, 7) and rows[2].n is None and rows[2].h == -1
+
+
+def test_integers_are_exact(spark):
+    texts = ["9007199254740993", "12.7", "1d", "2f", "12.0", " -7 ", "1.2e1", "+3.", "nan", None, "9223372036854775807", "9223372036854775808"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.n for r in df.select(parse_number("t", "bigint").alias("n")).collect()]
+    assert got == [9007199254740993, None, None, None, 12, -7, None, 3, None, None, 9223372036854775807, None]
+    assert [r.n for r in df.select(parse_number("t", "int").alias("n")).collect()][:2] == [None, None]
+    got = [r.n for r in df.select(parse_number("t").alias("n")).collect()]
+    assert got[1:10] == [12.7, None, None, 12.0, -7.0, 12.0, 3.0, None, None]
+
+
+def test_every_shape_of_timestamp(spark):
+    import datetime as dt
+    texts = ["1/5/2020 3:07", "12/31/2020 23:59", "1/5/2020 3:07:09", "2020-01-05 03:07:09", "2020-01-05T03:07:09", "2020-01-05 03:07",
+             "2020-01-05", "1/5/2020", "bad", "", None, "13/40/2020 1:00", "2020-01-05 03", " 1/5/2020 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.d for r in df.select(parse_timestamp("t").alias("d")).collect()]
+    day = dt.datetime(2020, 1, 5)
+    assert got == [day.replace(hour=3, minute=7), dt.datetime(2020, 12, 31, 23, 59), *[day.replace(hour=3, minute=7, second=9)] * 3,
+                   day.replace(hour=3, minute=7), day, day, None, None, None, None, None, day]
