@@ -2,24 +2,27 @@
 
 The rows kept are the ``k`` with the smallest ``md5("<seed>-<key>")``, so the
 result is the same under any partitioning and matches
-``ORDER BY md5(...) LIMIT k`` exactly. Instead of a global sort or a
-single-task top-k, the hash space is cut into 65,536 buckets: a histogram of
-bucket counts (at most 65,536 rows per group) finds the bucket where the
-running count crosses ``k``; rows below it are kept outright and only the
-rows of that one bucket are ranked. Every step is a partitioned aggregate or
-a narrow filter, so no task sees more than about 1/65,536 of a group.
+``ORDER BY md5(...) LIMIT k`` exactly, without a global sort or a single-task
+top-k. The first hash digits cut the rows into buckets; a histogram finds the
+bucket in which the running count reaches ``k``. While that bucket holds more
+than ``EDGE_ROWS`` rows its own rows are cut by the next digits, and the hash
+of the last row kept is read from what is left. A row is kept if its hash is
+not above that limit: a comparison with a literal per group, so the rows
+themselves are neither shuffled nor joined.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shipwatch import fixed_values as fv
 
-BUCKET_HEX = 4
-N_BUCKETS = 16 ** BUCKET_HEX
+BUCKET_HEX = 4          # digits that one histogram looks at
+EDGE_ROWS = 10_000      # hashes of one group that may be ordered on the driver
+HASH_HEX = 32
 
 
 def seeded_hash(key: Column | str, seed: int = fv.RANDOM_SEED) -> Column:
@@ -27,67 +30,84 @@ def seeded_hash(key: Column | str, seed: int = fv.RANDOM_SEED) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), key.cast("string")))
 
 
-def _bucket(h: Column) -> Column:
-    return F.conv(F.substring(h, 1, BUCKET_HEX), 16, 10).cast("int")
+def _literal_of(values: dict, column: str, kind: str) -> Column:
+    """The value of the row's group, as a chain of literals (one per group)."""
+    out = F.lit(None).cast(kind)
+    for group, value in values.items():
+        out = F.when(F.col(column).eqNullSafe(F.lit(group)), F.lit(value).cast(kind)).otherwise(out)
+    return out
 
 
-def mark_bottom_k(df: DataFrame, key: str, k, groups: list[str] | None = None,
-                  seed: int = fv.RANDOM_SEED, flag: str = "selected") -> DataFrame:
-    """Add boolean ``flag``: row is among the ``k`` smallest hashes of its group.
+def hash_limits(hashed: DataFrame, h: str, group: str, quotas) -> dict:
+    """Per group the hash of its last row kept (``""``: none is, ``None``: all are).
 
-    ``k`` is an int, a column expression over the group columns and
-    ``_group_n`` (the group's row count), or a function from the table of
-    group sizes (group columns + ``_group_n``) to per-group quotas (group
-    columns + ``_quota``). ``key`` must be unique within a group.
+    ``quotas`` gives rows to keep per group from the group sizes. Groups are
+    few (classes of a label); each round reads one histogram of at most
+    16 ** BUCKET_HEX counts a group, summed per task first.
+    """
+    def histogram(rows: DataFrame, width: int) -> dict:
+        counts: dict = {}
+        for g, prefix, n in rows.groupBy(group, F.substring(h, 1, width)).agg(F.count(F.lit(1))).collect():
+            counts.setdefault(g, []).append((prefix, n))
+        return {g: sorted(x) for g, x in counts.items()}
+
+    counts = histogram(hashed, BUCKET_HEX)
+    sizes = {g: sum(n for _, n in x) for g, x in counts.items()}
+    wanted = quotas(sizes)
+    limits = {g: None if wanted.get(g, 0) >= n else "" for g, n in sizes.items()}
+    need = {g: wanted[g] for g, n in sizes.items() if 0 < wanted.get(g, 0) < n}
+    edge = {}                                           # group: prefix of its edge bucket, rows in it
+    width = BUCKET_HEX
+    wide = set(need)
+    while wide:
+        for g in wide:
+            for prefix, n in counts[g]:
+                if need[g] <= n:
+                    edge[g] = (prefix, n)
+                    break
+                need[g] -= n
+        wide = {g for g in wide if edge[g][1] > EDGE_ROWS and width < HASH_HEX}
+        if wide:
+            width += BUCKET_HEX
+            counts = histogram(hashed.where(_inside(wide, edge, group, h)), width)
+    if need:
+        last: dict = {g: [] for g in need}
+        for g, x in hashed.where(_inside(set(need), edge, group, h)).select(group, h).collect():
+            last[g].append(x)
+        limits |= {g: sorted(x)[need[g] - 1] for g, x in last.items()}
+    return limits
+
+
+def _inside(groups: set, edge: dict, group: str, h: str) -> Column:
+    """The row lies in the edge bucket of its group."""
+    out = F.lit(False)
+    for g in groups:
+        out = out | (F.col(group).eqNullSafe(F.lit(g)) & F.col(h).startswith(edge[g][0]))
+    return out
+
+
+def mark_bottom_k(df: DataFrame, key: str, quotas, group: str, seed: int = fv.RANDOM_SEED,
+                  flag: str = "selected") -> DataFrame:
+    """Add boolean ``flag``: row is among the smallest hashes of its group.
+
+    ``quotas`` maps group sizes (a dict) to the rows to mark per group;
+    ``key`` must be unique within a group.
     """
-    groups = list(groups or [])
     h = "_h"
-    b = "_b"
-    hashed = df.withColumn(h, seeded_hash(key, seed)).withColumn(b, _bucket(F.col(h)))
-    hist = hashed.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("_n"))
-    if callable(k):
-        # per-group quotas computed from the group sizes, which the histogram
-        # already holds: no separate pass over the input
-        sizes = hist.groupBy(*groups).agg(F.sum("_n").alias("_group_n"))
-        quotas = k(sizes).select(*groups, F.col("_quota").alias("_k"))
-        hist = hist.join(quotas, groups, "left")
-        quota = F.coalesce(F.col("_k"), F.lit(0))
-    else:
-        quota = F.lit(k) if isinstance(k, int) else k
-    w = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy(b) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy()
-    cum = (hist.withColumn("_cum", F.sum("_n").over(w))
-           .withColumn("_group_n", F.sum("_n").over(whole))
-           .withColumn("_quota", quota.cast("bigint")))
-    # the bucket where the running count first reaches the quota
-    cut = (cum.filter((F.col("_cum") - F.col("_n") < F.col("_quota"))
-                      & (F.col("_cum") >= F.col("_quota")))
-           .select(*groups, F.col(b).alias("_cut"),
-                   (F.col("_quota") - (F.col("_cum") - F.col("_n"))).alias("_need")))
-    # groups whose size is within quota have no cut row: keep all their rows
-    if groups:
-        # one row per group; joined on the group key
-        with_cut = hashed.join(cut, groups, "left")
-    else:
-        # a single cut: one scalar subquery (used twice, planned once), no join
-        pair = cut.select(F.struct("_cut", "_need")).scalar()
-        with_cut = hashed.withColumns({"_cut": pair["_cut"], "_need": pair["_need"]})
-    with_cut = with_cut.withColumn("_cut", F.coalesce("_cut", F.lit(N_BUCKETS)))
-    with_cut = with_cut.withColumn("_need", F.coalesce("_need", F.lit(0)))
-
-    clear = with_cut.filter(F.col(b) != F.col("_cut")) \
-        .withColumn(flag, F.col(b) < F.col("_cut"))
-    edge = with_cut.filter(F.col(b) == F.col("_cut"))
-    rank_w = Window.partitionBy(*groups, b).orderBy(h)
-    edge = edge.withColumn(flag, F.row_number().over(rank_w) <= F.col("_need"))
-    return clear.unionByName(edge).drop(h, b, "_cut", "_need")
+    hashed = df.select(group, seeded_hash(key, seed).alias(h)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        limits = hash_limits(hashed, h, group, quotas)
+    finally:
+        hashed.unpersist()
+    limit = _literal_of({g: "g" if x is None else x for g, x in limits.items()}, group, "string")
+    return df.withColumn(flag, F.coalesce(seeded_hash(key, seed) <= limit, F.lit(False)))
 
 
 def exact_sample(df: DataFrame, key: str, n: int = fv.ORDER_SAMPLE_ROWS,
                  seed: int = fv.RANDOM_SEED) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, seeded and repeatable."""
-    return mark_bottom_k(df, key, n, seed=seed).filter("selected").drop("selected")
+    one = df.withColumn("_all", F.lit(0))
+    return mark_bottom_k(one, key, lambda sizes: {0: n}, "_all", seed).filter("selected").drop("selected", "_all")
 
 
 def orders_sample(orders: DataFrame, n: int = fv.ORDER_SAMPLE_ROWS,
@@ -100,24 +120,20 @@ def sort_orders_sample(sample: DataFrame) -> DataFrame:
     return sample.orderBy("order_date", "order_id", "order_item_id")
 
 
-def class_quotas(sizes: DataFrame, label: str, test_fraction: float) -> DataFrame:
-    """Test rows per class from the class sizes (``label``, ``_group_n``).
+def class_quotas(sizes: dict, test_fraction: float) -> dict:
+    """Test rows per class from the class sizes.
 
     The total is ceil(fraction x n); each class gets floor(total x n_c / n)
     and the rows left over go to the classes with the largest remainders
-    (ties to the smaller label). Integer arithmetic only; the table has one
-    row per class.
+    (ties to the smaller label). Integer arithmetic only.
     """
-    sizes = sizes.select(label, F.col("_group_n").alias("n_c"))
-    num, den = Fraction(str(test_fraction)).numerator, Fraction(str(test_fraction)).denominator
-    whole = Window.partitionBy()
-    t = sizes.withColumn("n", F.sum("n_c").over(whole))
-    t = t.withColumn("total", F.expr(f"(n * {num} + {den} - 1) div {den}"))
-    t = t.withColumn("base", F.expr("(total * n_c) div n")).withColumn("rem", F.expr("(total * n_c) % n"))
-    t = t.withColumn("left", F.col("total") - F.sum("base").over(whole))
-    order = Window.partitionBy().orderBy(F.desc("rem"), label)
-    t = t.withColumn("r", F.row_number().over(order))
-    return t.select(label, (F.col("base") + (F.col("r") <= F.col("left")).cast("bigint")).alias("_quota"))
+    share, n = Fraction(str(test_fraction)), sum(sizes.values())
+    total = -(-n * share.numerator // share.denominator)
+    out = {c: total * k // n for c, k in sizes.items()}
+    by_rest = sorted(sizes, key=lambda c: (-(total * sizes[c] % n), c is None, c))
+    for c in by_rest[:total - sum(out.values())]:
+        out[c] += 1
+    return out
 
 
 def stratified_split(df: DataFrame, key: str, label: str,
@@ -128,7 +144,6 @@ def stratified_split(df: DataFrame, key: str, label: str,
     Sizes follow ``class_quotas``; within a class the test rows are the ones
     with the smallest seeded hash of ``key``.
     """
-    marked = mark_bottom_k(df, key, lambda sizes: class_quotas(sizes, label, test_fraction),
-                           groups=[label], seed=seed, flag="_test")
+    marked = mark_bottom_k(df, key, lambda sizes: class_quotas(sizes, test_fraction), label, seed, "_test")
     return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")) \
         .drop("_test")
