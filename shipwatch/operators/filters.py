@@ -58,11 +58,13 @@ def default_categories(orders: DataFrame, n: int = fv.DEFAULT_CATEGORY_CHOICES)
     return filter_values(orders, "category_name").limit(n)
 
 
-def default_filtered_orders(orders: DataFrame) -> DataFrame:
-    """Orders under the default selection: all markets and modes, first categories."""
-    cats = F.broadcast(default_categories(orders))
-    return apply_filters(orders, None, None, None).join(cats, "category_name", "left_semi") \
-        .select(*orders.columns)
+def first_category_orders(orders: DataFrame, products: DataFrame, n: int = fv.DEFAULT_CATEGORY_CHOICES) -> DataFrame:
+    """Orders under the first-``n``-categories choice, with all markets and modes.
+
+    The choice is read from ``products`` (any table with the category names),
+    not from the order lines.
+    """
+    return apply_filters(orders, categories=default_categories(products, n)).select(*orders.columns)
 
 
 def filter_options(orders: DataFrame) -> DataFrame:

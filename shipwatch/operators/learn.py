@@ -20,9 +20,10 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shipwatch import fixed_values as fv
+from shipwatch.functions import parse_number
 from shipwatch.operators import model as mdl
 from shipwatch.operators.metrics import combine_one_row
 from shipwatch.operators.sample import stratified_split
@@ -32,23 +33,64 @@ CAT = fv.CATEGORICAL_FEATURES
 NUM = fv.NUMERICAL_FEATURES
 
 
-def frequent_vocabulary(train: DataFrame, min_frequency: int = fv.MIN_CATEGORY_FREQUENCY
-                        ) -> tuple[dict[str, list[str]], dict[str, bool]]:
-    """Per feature: sorted values seen at least ``min_frequency`` times, and
-    whether any value was rarer (the feature then has an infrequent slot)."""
+def value_counts(train: DataFrame) -> DataFrame:
+    """(feature, value, n) of every categorical feature: one partial aggregate."""
     tall = train.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in CAT]))
         .alias("kv")).select("kv.*")
-    counts = tall.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("feature").agg(
-        F.sort_array(F.collect_list(F.when(F.col("n") >= min_frequency, F.col("value")))).alias("labels"),
-        F.max((F.col("n") < min_frequency).cast("int")).alias("has_rare")).collect()
-    vocab = {c: [] for c in CAT}
-    rare = {c: False for c in CAT}
-    for r in per:
-        vocab[r["feature"]] = [v for v in r["labels"] if v is not None]
-        rare[r["feature"]] = bool(r["has_rare"])
-    return vocab, rare
+    return tall.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def encoder_slots(train: DataFrame, min_frequency: int = fv.MIN_CATEGORY_FREQUENCY) -> DataFrame:
+    """The encoder as a table: (feature, value, n, slot) of every slot.
+
+    A value seen at least ``min_frequency`` times has a slot of its own, in
+    value order; all rarer values of a feature share its last slot (value
+    null), which a feature without rare values has too, with n = 0.
+    """
+    counts = value_counts(train)
+    frequent = counts.where(F.col("n") >= min_frequency).withColumn(
+        "slot", F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1)
+    spare = F.explode(F.array(*[F.lit(c) for c in CAT])).alias("feature")
+    rare = (counts.where(F.col("n") < min_frequency).groupBy("feature").agg(F.sum("n").alias("n"))
+            .unionByName(train.sparkSession.range(1).select(spare, F.lit(0).cast("bigint").alias("n")))
+            .groupBy("feature").agg(F.sum("n").alias("n")))
+    width = frequent.groupBy("feature").agg(F.count(F.lit(1)).cast("int").alias("width"))
+    rare = rare.join(width, "feature", "left").select(
+        "feature", F.lit(None).cast("string").alias("value"), "n", F.coalesce("width", F.lit(0)).alias("slot"))
+    return frequent.select("feature", "value", "n", F.col("slot").cast("int").alias("slot")).unionByName(rare)
+
+
+def frequent_vocabulary(train: DataFrame, min_frequency: int = fv.MIN_CATEGORY_FREQUENCY) -> dict[str, list[str]]:
+    """Per feature the sorted values with slots of their own.
+
+    This is the model's own state: the fitted encoder and its coefficient
+    vector hold one entry per value on the driver in any case. Values below
+    ``min_frequency`` stay behind, so there are at most
+    rows x features / min_frequency of them; they come row by row, never as
+    one list in one task.
+    """
+    vocab: dict[str, list[str]] = {c: [] for c in CAT}
+    kept = value_counts(train).where(F.col("n") >= min_frequency).select("feature", "value")
+    for r in kept.toLocalIterator():
+        if r["value"] is not None:
+            vocab[r["feature"]].append(r["value"])
+    return {c: sorted(v) for c, v in vocab.items()}
+
+
+def scaler_constants(train: DataFrame) -> DataFrame:
+    """(feature, mean, deviation): population values, a zero deviation as 1."""
+    tall = train.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in NUM])).alias("kv")).select("kv.*")
+    return tall.groupBy("feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("s")).select(
+        "feature", "mean", F.when(F.col("s") > 0, F.col("s")).otherwise(F.lit(1.0)).alias("deviation"))
+
+
+def class_weights(train: DataFrame, label: str = fv.TARGET_COLUMN) -> DataFrame:
+    """(label, rows, class_weight): n / (2 x rows of the class)."""
+    per = train.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
+    n = train.agg(F.count(F.lit(1))).scalar()
+    return per.select(label, "rows", (n / (F.lit(2) * F.col("rows"))).cast("double").alias("class_weight"))
 
 
 def population_scaler(train: DataFrame) -> SQLTransformer:
@@ -87,7 +129,7 @@ def fit_late_risk_model(train: DataFrame, max_iter: int = fv.MAX_ITERATIONS,
     mean-weighted-loss + regParam / 2 |b|^2 with regParam = 1 / n.
     """
     label = fv.TARGET_COLUMN
-    vocab, _ = frequent_vocabulary(train, min_frequency)
+    vocab = frequent_vocabulary(train, min_frequency)
     idx_cols = [f"{c}__idx" for c in CAT]
     vec_cols = [f"{c}__vec" for c in CAT]
     # one single-column indexer per feature: the multi-column constructor pads
@@ -134,22 +176,24 @@ def feature_names(model: PipelineModel) -> list[str]:
     return names
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
-    """Coefficient per encoded feature, its absolute value and rank.
+def ranked_importance(coefficients: DataFrame) -> DataFrame:
+    """(feature, coefficient) -> absolute importance and rank (ties by name).
 
-    The table has one row per model input slot, so its size is the model's
-    size; the rank window runs over that small table only.
+    One row per model slot; the window runs over that table only.
     """
+    df = coefficients.withColumn("abs_importance", F.abs("coefficient"))
+    w = Window.orderBy(F.desc("abs_importance"), "feature")
+    return df.withColumn("rank", F.row_number().over(w)).select("rank", "feature", "coefficient", "abs_importance")
+
+
+def feature_importance(model: PipelineModel) -> DataFrame:
+    """Coefficient per encoded feature, its absolute value and rank."""
     coefs = model.stages[-1].coefficients.toArray().tolist()
     names = feature_names(model)
     if len(names) != len(coefs):
         raise ValueError(f"{len(names)} names for {len(coefs)} coefficients")
     spark = SparkSession.getActiveSession()
-    rows = [(n, float(c), abs(float(c))) for n, c in zip(names, coefs)]
-    df = spark.createDataFrame(rows, "feature string, coefficient double, abs_importance double")
-    w = Window.orderBy(F.desc("abs_importance"), "feature")
-    return df.withColumn("rank", F.row_number().over(w)).select("rank", "feature", "coefficient",
-                                                                "abs_importance")
+    return ranked_importance(spark.createDataFrame(list(zip(names, map(float, coefs))), "feature string, coefficient double"))
 
 
 def top_features(importance: DataFrame, n: int = fv.TOP_FEATURES) -> DataFrame:
@@ -164,7 +208,7 @@ def fill_scenarios(scenarios: DataFrame) -> DataFrame:
         cols[c] = F.coalesce(F.col(c).cast("string"), F.lit(fv.MISSING_TEXT)) if c in scenarios.columns \
             else F.lit(fv.MISSING_TEXT)
     for c in NUM:
-        cols[c] = F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)) if c in scenarios.columns \
+        cols[c] = F.coalesce(parse_number(c), F.lit(0.0)) if c in scenarios.columns \
             else F.lit(0.0)
     return scenarios.withColumns(cols)
 
@@ -177,6 +221,18 @@ def score_scenarios(model: PipelineModel, scenarios: DataFrame) -> DataFrame:
                          .cast("int").alias("late_delivery_risk_class"))
 
 
+def run_counts(split: DataFrame) -> DataFrame:
+    """Rows and positive rates of a split, in one row."""
+    y = F.col(fv.TARGET_COLUMN)
+    return split.groupBy().agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.count_if(F.col("split") == "train").alias("train_rows"),
+        F.count_if(F.col("split") == "test").alias("test_rows"),
+        F.avg(y).alias("positive_class_rate_total"),
+        F.avg(F.when(F.col("split") == "train", y)).alias("positive_class_rate_train"),
+        F.avg(F.when(F.col("split") == "test", y)).alias("positive_class_rate_test"))
+
+
 class TrainingRun:
     """Everything one training produces, lazily usable as DataFrames."""
 
@@ -209,12 +265,16 @@ class TrainingRun:
             self._scores.unpersist()
         self.split.unpersist()
 
-    def predictions(self, n: int = fv.PREDICTION_SAMPLE_ROWS) -> DataFrame:
+    def predictions(self) -> DataFrame:
+        """Every scored test row."""
         s = self.test_scores()
         return s.select(self.key, *CAT, *NUM,
                         F.col(fv.TARGET_COLUMN).alias("late_delivery_risk_real"),
-                        "late_delivery_risk_pred", "late_delivery_risk_probability") \
-            .orderBy(self.key).limit(n)
+                        "late_delivery_risk_pred", "late_delivery_risk_probability")
+
+    def prediction_head(self, n: int = fv.PREDICTION_SAMPLE_ROWS) -> DataFrame:
+        """The first ``n`` scored rows by key: what the dashboard shows."""
+        return self.predictions().orderBy(self.key).limit(n)
 
     def metrics(self) -> DataFrame:
         s = self.test_scores()
@@ -224,14 +284,7 @@ class TrainingRun:
 
     def record(self) -> DataFrame:
         """One-row run record: counts, class rates, metrics, settings."""
-        bal = self.split.groupBy().agg(
-            F.count(F.lit(1)).alias("total_rows"),
-            F.count_if(F.col("split") == "train").alias("train_rows"),
-            F.count_if(F.col("split") == "test").alias("test_rows"),
-            F.avg(fv.TARGET_COLUMN).alias("positive_class_rate_total"),
-            F.avg(F.when(F.col("split") == "train", F.col(fv.TARGET_COLUMN))).alias("positive_class_rate_train"),
-            F.avg(F.when(F.col("split") == "test", F.col(fv.TARGET_COLUMN))).alias("positive_class_rate_test"))
-        out = combine_one_row(self.metrics(), bal)
+        out = combine_one_row(self.metrics(), run_counts(self.split))
         return out.select(
             F.lit(fv.MODEL_NAME).alias("model_name"),
             F.lit(self.created_at).cast("timestamp_ntz").alias("created_at_utc"),
@@ -242,31 +295,33 @@ class TrainingRun:
             F.lit(fv.DECISION_THRESHOLD).alias("decision_threshold"))
 
 
-def feature_schema(frame: DataFrame) -> DataFrame:
+def feature_schema(frame: DataFrame, created_at: dt.datetime | None = None) -> DataFrame:
     """Options (top values), defaults, and numeric ranges for scenario input, one row."""
+    created_at = created_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     vocab = mdl.category_vocabulary(frame)
     opts = vocab.groupBy("feature").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda s: s["value"])
         .alias("options"))
     options = opts.agg(F.map_from_entries(F.collect_list(F.struct("feature", "options")))
                        .alias("categorical_options"))
-    meds = mdl.exact_medians(frame, NUM)
-    rng = frame.agg(*[x for c in NUM for x in (F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"))])
-    ranges = rng.select(
-        F.create_map(*[x for c in NUM for x in (F.lit(c), F.coalesce(F.col(f"{c}__min"), F.lit(0.0)))])
-        .alias("numerical_min"),
-        F.create_map(*[x for c in NUM for x in (F.lit(c), F.coalesce(F.col(f"{c}__max"), F.lit(1.0)))])
-        .alias("numerical_max"))
-    defaults_num = F.create_map(*[x for c in NUM for x in (F.lit(c), F.lit(meds[c] if meds[c] is not None else 0.0))])
+    ends: dict[str, tuple] = {}
+    meds = mdl.exact_medians(frame, NUM, ends)
+
+    def numbers(values: dict, default: float) -> Column:
+        return F.create_map(*[x for c in NUM for x in (F.lit(c), F.lit(default if values[c] is None else values[c]))])
+
     cat_defaults = F.map_from_entries(F.transform(
         F.map_entries("categorical_options"),
         lambda e: F.struct(e["key"], F.coalesce(F.element_at(e["value"], 1), F.lit(fv.MISSING_TEXT)))))
-    both = combine_one_row(options, ranges)
-    return both.select(
+    return options.select(
+        F.lit(fv.MODEL_NAME).alias("model_type"),
+        F.lit(created_at).cast("timestamp_ntz").alias("created_at_utc"),
         F.lit(fv.TARGET_COLUMN).alias("target_column"),
         F.array(*[F.lit(c) for c in CAT]).alias("categorical_features"),
         F.array(*[F.lit(c) for c in NUM]).alias("numerical_features"),
         F.array(*[F.lit(c) for c in fv.LEAKAGE_COLUMNS]).alias("leakage_columns_excluded"),
         "categorical_options", cat_defaults.alias("categorical_defaults"),
-        defaults_num.alias("numerical_defaults"), "numerical_min", "numerical_max",
+        numbers(meds, 0.0).alias("numerical_defaults"),
+        numbers({c: ends[c][0] for c in NUM}, 0.0).alias("numerical_min"),
+        numbers({c: ends[c][1] for c in NUM}, 1.0).alias("numerical_max"),
         F.lit(fv.RANDOM_SEED).alias("random_seed"))

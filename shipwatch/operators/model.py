@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shipwatch import fixed_values as fv
-from shipwatch.functions import clean_text
+from shipwatch.functions import clean_text, parse_number
 from shipwatch.operators.schema_ops import require_columns
 
 # rank error bound of percentile_approx is 1/accuracy of the row count
@@ -19,19 +19,22 @@ MEDIAN_ACCURACY = 100_000
 MAX_BRACKET_ROWS = 1_000_000
 
 
-def check_target(df: DataFrame, target: str = fv.TARGET_COLUMN) -> DataFrame:
-    """Fail when the target has nulls, unparsable text or classes other than 0/1."""
-    t = F.col(target).cast("string").try_cast("double")
+def check_target(df: DataFrame, target: str = fv.TARGET_COLUMN, also: list[Column] | None = None):
+    """Fail when the target has nulls, unparsable text or classes other than 0/1.
+
+    ``also``: aggregates to take in the same pass; the row with them is returned.
+    """
+    t = parse_number(target)
     row = df.agg(F.count_if(t.isNull()).alias("bad"),
-                 F.count_if(t.isNotNull() & ~t.isin(0.0, 1.0)).alias("other")).first()
+                 F.count_if(t.isNotNull() & ~t.isin(0.0, 1.0)).alias("other"), *(also or [])).first()
     if row["bad"]:
         raise ValueError(f"target {target!r} has {row['bad']} missing or unparsable values")
     if row["other"]:
         raise ValueError(f"target {target!r} has {row['other']} values outside {{0, 1}}")
-    return df
+    return row
 
 
-def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: list[str], ends: dict | None = None) -> dict[str, float | None]:
     """Exact median of each numeric column (mean of the two middle values).
 
     No task holds a whole column. One pass counts the rows and brackets the
@@ -52,12 +55,12 @@ def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     vals = df.select(*[F.col(c).cast("double").alias(c) for c in columns]) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _exact_medians(vals, columns)
+        return _exact_medians(vals, columns, {} if ends is None else ends)
     finally:
         vals.unpersist()
 
 
-def _exact_medians(vals: DataFrame, columns: list[str]) -> dict[str, float | None]:
+def _exact_medians(vals: DataFrame, columns: list[str], ends: dict) -> dict[str, float | None]:
     eps = 2.0 / MEDIAN_ACCURACY
     aggs = []
     for c in columns:
@@ -69,6 +72,7 @@ def _exact_medians(vals: DataFrame, columns: list[str]) -> dict[str, float | Non
     state: dict[str, list] = {}
     for c in columns:
         n = first[f"{c}__n"]
+        ends[c] = (first[f"{c}__min"], first[f"{c}__max"])
         if n:
             lo, hi = first[f"{c}__b"]
             state[c] = [n, (n + 1) // 2, n // 2 + 1, lo, hi, 0, 0, first[f"{c}__min"], first[f"{c}__max"]]
@@ -123,14 +127,6 @@ def _exact_medians(vals: DataFrame, columns: list[str]) -> dict[str, float | Non
     return out
 
 
-def imputation_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Medians needed to fill missing values: only columns that have any."""
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    need = [c for c in columns if row[c]]
-    meds = exact_medians(df, need) if need else {}
-    return {c: meds.get(c) for c in columns}
-
-
 def model_frame(df: DataFrame, key: str | None = "order_item_id", check: bool = True,
                 medians: dict[str, float | None] | None = None) -> DataFrame:
     """Categorical features to trimmed text (missing/blank -> UNKNOWN),
@@ -138,26 +134,36 @@ def model_frame(df: DataFrame, key: str | None = "order_item_id", check: bool =
     target to int (checked to be 0/1)."""
     require_columns(df, fv.CATEGORICAL_FEATURES + fv.NUMERICAL_FEATURES + [fv.TARGET_COLUMN],
                     "model input")
-    if check:
-        check_target(df)
-    nums = {c: F.col(c).cast("string").try_cast("double") for c in fv.NUMERICAL_FEATURES}
-    staged = df.withColumns(nums)
-    med = medians if medians is not None else imputation_medians(staged, fv.NUMERICAL_FEATURES)
+    staged = df.withColumns({c: parse_number(c) for c in fv.NUMERICAL_FEATURES})
+    med = medians
+    if check or med is None:
+        # one pass for the target check and the missing counts; medians only where a value is missing
+        missing = [F.count_if(F.col(c).isNull()).alias(c) for c in fv.NUMERICAL_FEATURES]
+        row = check_target(staged, also=missing) if check else staged.agg(*missing).first()
+        if med is None:
+            med = exact_medians(staged, [c for c in fv.NUMERICAL_FEATURES if row[c]])
     cols = [key] if key else []
     cols += [clean_text(c, nan_is_missing=False).alias(c) for c in fv.CATEGORICAL_FEATURES]
     cols += [F.coalesce(F.col(c), F.lit(med.get(c) if med.get(c) is not None else 0.0)).alias(c)
              for c in fv.NUMERICAL_FEATURES]
-    cols += [F.col(fv.TARGET_COLUMN).cast("string").try_cast("double").cast("int")
+    cols += [parse_number(fv.TARGET_COLUMN).cast("int")
              .alias(fv.TARGET_COLUMN)]
     return staged.select(*cols)
 
 
-def features_and_target(frame: DataFrame) -> tuple[list[str], str]:
-    """Feature and target column names; refuses frames carrying leakage columns."""
-    leaked = [c for c in fv.LEAKAGE_COLUMNS if c in fv.CATEGORICAL_FEATURES + fv.NUMERICAL_FEATURES]
+def features_and_target(frame: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The feature table X and the target table y of a model frame (each with ``key`` if given).
+
+    A frame that carries a leakage column (known only after delivery), or lacks
+    a feature or the target, is refused.
+    """
+    leaked = [c for c in frame.columns if c.lower() in fv.LEAKAGE_COLUMNS]
     if leaked:
-        raise ValueError(f"leakage columns among features: {leaked}")
-    return fv.CATEGORICAL_FEATURES + fv.NUMERICAL_FEATURES, fv.TARGET_COLUMN
+        raise ValueError(f"leakage columns in the model frame: {leaked}")
+    features = fv.CATEGORICAL_FEATURES + fv.NUMERICAL_FEATURES
+    require_columns(frame, [*features, fv.TARGET_COLUMN, *([key] if key else [])], "model frame")
+    keys = [key] if key else []
+    return frame.select(*keys, *features), frame.select(*keys, fv.TARGET_COLUMN)
 
 
 def category_vocabulary(frame: DataFrame, top: int = fv.MAX_CATEGORY_OPTIONS) -> DataFrame:
@@ -176,16 +182,14 @@ def category_vocabulary(frame: DataFrame, top: int = fv.MAX_CATEGORY_OPTIONS) ->
 
 
 def numeric_profile(frame: DataFrame) -> DataFrame:
-    """Median (exact), min and max of each numeric feature, one row each."""
-    meds = exact_medians(frame, fv.NUMERICAL_FEATURES)
-    mins_maxs = frame.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"))
-        for c in fv.NUMERICAL_FEATURES])).alias("kv")).select("kv.*") \
-        .groupBy("feature").agg(F.min("v").alias("min"), F.max("v").alias("max"))
-    med_col = F.lit(None).cast("double")
-    for c, m in meds.items():
-        med_col = F.when(F.col("feature") == c, F.lit(m).cast("double")).otherwise(med_col)
-    return mins_maxs.select("feature", med_col.alias("median"), "min", "max")
+    """Median (exact), min and max of each numeric feature, one row each.
+
+    Least and largest value come with the medians' first pass.
+    """
+    ends: dict[str, tuple] = {}
+    meds = exact_medians(frame, fv.NUMERICAL_FEATURES, ends)
+    rows = [(c, meds[c], *ends.get(c, (None, None))) for c in fv.NUMERICAL_FEATURES]
+    return frame.sparkSession.createDataFrame(rows, "feature string, median double, min double, max double")
 
 
 def class_balance(split: DataFrame, label: str = fv.TARGET_COLUMN) -> DataFrame:
@@ -234,37 +238,31 @@ def metrics_table(metrics: DataFrame) -> DataFrame:
     return stacked.withColumn("value_percent", F.concat(F.format_number(F.col("value") * 100, 2), F.lit("%")))
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
-            buckets: int = 1 << 20) -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve; tied scores count one half.
 
     AUC = sum over negatives of (positives scored above + positives tied / 2),
-    over P x N. Scores are grouped to distinct values first. To get each
-    value's count of higher-scored positives without a single-task window
-    over all distinct scores, values are put in ``buckets`` equal-width score
-    buckets: a running sum over bucket totals (at most ``buckets`` rows) plus
-    a running sum inside each bucket. Integer arithmetic throughout.
+    over P x N. Scores are grouped to distinct values, which are spread by
+    range over the partitions; each partition's positives are summed, and a
+    value's count of higher-scored positives is that of the partitions above
+    plus a running sum inside its own. So neither skewed scores nor their
+    number put them in one task; only one row per partition meets in one.
+    Integer arithmetic throughout.
     """
     per = scored.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(label) == 1).cast("bigint").alias("p"),
         F.count_if(F.col(label) == 0).cast("bigint").alias("n"))
-    lo = per.agg(F.min("s")).scalar()
-    hi = per.agg(F.max("s")).scalar()
-    width = F.greatest(hi - lo, F.lit(1e-300))
-    per = per.withColumn("b", F.least(F.floor((F.col("s") - lo) / width * buckets),
-                                      F.lit(buckets - 1)).cast("bigint"))
+    # the range bounds are sampled: written down once, both readers see the same partitions
+    per = per.repartitionByRange(F.desc("s")).withColumn("b", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     tot = per.groupBy("b").agg(F.sum("p").alias("bp"))
-    above_w = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("p_higher_buckets", F.coalesce(F.sum("bp").over(above_w), F.lit(0)))
+    above_w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("p_higher", F.coalesce(F.sum("bp").over(above_w), F.lit(0))).select("b", "p_higher")
     in_w = Window.partitionBy("b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("p_higher_in_bucket", F.coalesce(F.sum("p").over(in_w), F.lit(0)))
-    j = per.join(tot.select("b", "p_higher_buckets"), "b")
-    above = (F.col("p_higher_buckets") + F.col("p_higher_in_bucket")).cast("decimal(38,0)")
+    j = per.withColumn("p_inside", F.coalesce(F.sum("p").over(in_w), F.lit(0))).join(tot, "b")
+    above = (F.col("p_higher") + F.col("p_inside")).cast("decimal(38,0)")
     twice = F.col("n").cast("decimal(38,0)") * (F.lit(2) * above + F.col("p"))
-    agg = j.agg(F.sum(twice).alias("num"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
-    denom = (F.lit(2) * F.col("positives") * F.col("negatives")).cast("decimal(38,0)")
-    return agg.select(
-        F.when(denom == 0, F.lit(None).cast("double"))
-        .otherwise(F.col("num").cast("double") / denom.cast("double")).alias("roc_auc"),
-        F.col("positives").cast("bigint").alias("positives"),
-        F.col("negatives").cast("bigint").alias("negatives"))
+    row = j.agg(F.sum(twice), F.sum("p"), F.sum("n")).first()
+    per.unpersist()
+    double_area, p, n = (int(x or 0) for x in row)
+    value = double_area / (2 * p * n) if p and n else None
+    return scored.sparkSession.createDataFrame([(value, p, n)], "roc_auc double, positives bigint, negatives bigint")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from shipwatch import fixed_values as fv
 from shipwatch.functions.rules import (order_quantity, reorder_point, safety_stock,
                                        stock_status, warehouse_for)
 from shipwatch.operators.schema_ops import require_columns
@@ -42,10 +43,12 @@ def replenishment(demand: DataFrame, stock: DataFrame) -> DataFrame:
     """Demand joined to on-hand stock and lead time -> reorder quantities and states.
 
     ``stock`` has one row per product (``product_id, stock_on_hand,
-    lead_time_days``); the equi join is 1:1 on the product id.
+    lead_time_days``); the equi join is 1:1 on the product id. A product with
+    demand but no stock row stays, with the state ``NO_STOCK_ROW`` and no
+    quantities that would need one.
     """
     require_columns(stock, ["product_id", "stock_on_hand", "lead_time_days"], "stock table")
-    j = demand.join(stock.select("product_id", "stock_on_hand", "lead_time_days"), "product_id")
+    j = demand.join(stock.select("product_id", "stock_on_hand", "lead_time_days"), "product_id", "left")
     d, lead, s = F.col("avg_daily_demand"), F.col("lead_time_days"), F.col("stock_on_hand")
     rop = reorder_point(d, lead)
     return j.select(
@@ -57,8 +60,9 @@ def replenishment(demand: DataFrame, stock: DataFrame) -> DataFrame:
         lead.cast("int").alias("lead_time_days"),
         F.bround(safety_stock(d), 0).cast("int").alias("safety_stock"),
         F.bround(rop, 0).cast("int").alias("reorder_point"),
-        order_quantity(d, lead, s).alias("recommended_order_qty"),
-        stock_status(s, rop).alias("inventory_status"))
+        F.when(s.isNotNull() & lead.isNotNull(), order_quantity(d, lead, s)).alias("recommended_order_qty"),
+        F.when(s.isNull() | lead.isNull(), F.lit(fv.NO_STOCK_ROW)).otherwise(stock_status(s, rop))
+        .alias("inventory_status"))
 
 
 def sort_replenishment(inv: DataFrame) -> DataFrame:
@@ -67,4 +71,4 @@ def sort_replenishment(inv: DataFrame) -> DataFrame:
 
 def top_reorder(inv: DataFrame, n: int = 20) -> DataFrame:
     """Largest recommended quantities first (product id breaks ties)."""
-    return inv.orderBy(F.desc("recommended_order_qty"), "product_id").limit(n)
+    return inv.orderBy(F.desc_nulls_last("recommended_order_qty"), "product_id").limit(n)

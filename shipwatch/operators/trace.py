@@ -106,12 +106,12 @@ def conformance_counts(conformance: DataFrame) -> DataFrame:
 def enrich_reads(reads: DataFrame, orders: DataFrame) -> DataFrame:
     """Attach EPC, lot, reader and location to observed reads.
 
-    The line attributes come from a join on the line id; reads of unknown
-    lines keep null EPC and lot.
+    The line attributes come from a join on the order and line ids (so a
+    predicate on the order prunes the lines too); reads of unknown lines keep
+    null EPC and lot.
     """
-    lines = orders.select("order_item_id", "product_id", "product_name", "order_month",
-                          F.col("order_id").alias("_line_order"))
-    j = reads.join(lines, "order_item_id", "left")
+    lines = orders.select("order_id", "order_item_id", "product_id", "product_name", "order_month")
+    j = reads.join(lines, ["order_id", "order_item_id"], "left")
     return j.select(
         "timestamp",
         F.when(F.col("product_id").isNotNull(),

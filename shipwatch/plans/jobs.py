@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shipwatch import fixed_values as fv
-from shipwatch.operators import curate, learn, metrics, quality, sample, sensors, stock, trace
+from shipwatch.operators import curate, curated_schema, learn, metrics, quality, sample, sensors, stock, trace
 from shipwatch.operators.model import model_frame
 from shipwatch.sources import io
 
@@ -34,16 +34,14 @@ def curation_job(spark: SparkSession, raw_orders_path: str, raw_logs_path: str,
     # them during the write above, but in Spark 4.1 a session that has used an
     # Observation can no longer serialise pyspark.ml model transforms
     # (NotSerializableException: ObservationManager), so it is not used.
-    counts = raw.agg(*quality.missing_count_columns(raw))
+    counts = quality.raw_figures(raw)
     io.write_table(sample.sort_orders_sample(sample.orders_sample(orders, sample_rows, seed)),
                    _out(out_dir, "orders_sample"))
     io.write_table(metrics.orders_daily(orders), _out(out_dir, "orders_daily"))
     logs = io.read_raw_csv(spark, raw_logs_path)
     io.write_table(curate.sort_web_demand(curate.web_demand(logs)), _out(out_dir, "web_demand"))
-    io.write_table(quality.data_dictionary(spark), _out(out_dir, "data_dictionary"))
-    report = quality.quality_document(raw, orders, counts)
-    io.write_json_report(report, _out(out_dir, "quality_report"))
-    return io.report_as_dict(report)
+    io.write_table(curated_schema.data_dictionary(spark), _out(out_dir, "data_dictionary"))
+    return io.write_json_report(quality.quality_document(raw, orders, counts), _out(out_dir, "quality_report"))
 
 
 def milestone_job(spark: SparkSession, orders_path: str, out_dir: str,
@@ -58,8 +56,7 @@ def milestone_job(spark: SparkSession, orders_path: str, out_dir: str,
         cov = metrics.rfid_coverage(trace.enrich_reads(reads, orders))
     else:
         cov = metrics.rfid_coverage(plan)
-    io.write_json_report(cov, _out(out_dir, "rfid_coverage"))
-    return io.report_as_dict(cov)
+    return io.write_json_report(cov, _out(out_dir, "rfid_coverage"))
 
 
 def sensor_job(spark: SparkSession, orders_path: str, out_dir: str,
@@ -72,8 +69,7 @@ def sensor_job(spark: SparkSession, orders_path: str, out_dir: str,
     cls = sensors.classify_readings(sensors.with_shipment_ids(readings))
     path = io.write_table(cls, _out(out_dir, "iot_readings"))
     cov = metrics.iot_coverage(spark.read.parquet(path))
-    io.write_json_report(cov, _out(out_dir, "iot_coverage"))
-    return io.report_as_dict(cov)
+    return io.write_json_report(cov, _out(out_dir, "iot_coverage"))
 
 
 def stock_job(spark: SparkSession, daily_path: str, levels: DataFrame, out_dir: str) -> dict:
@@ -82,8 +78,7 @@ def stock_job(spark: SparkSession, daily_path: str, levels: DataFrame, out_dir:
     inv = stock.sort_replenishment(stock.replenishment(stock.product_demand(daily), levels))
     path = io.write_table(inv, _out(out_dir, "inventory"))
     summary = metrics.stock_summary(spark.read.parquet(path))
-    io.write_json_report(summary, _out(out_dir, "stock_summary"))
-    return io.report_as_dict(summary)
+    return io.write_json_report(summary, _out(out_dir, "stock_summary"))
 
 
 def foundation_job(spark: SparkSession, raw_orders_path: str, raw_logs_path: str, out_dir: str,
@@ -101,15 +96,14 @@ def foundation_job(spark: SparkSession, raw_orders_path: str, raw_logs_path: str
 
 def training_job(spark: SparkSession, orders_path: str, out_dir: str) -> dict:
     """J11 with A10: train, evaluate, and save model, metrics, schema,
-    importance and prediction sample."""
+    importance and predictions."""
     orders = io.load_orders(spark, orders_path)
     frame = model_frame(orders, key="order_item_id")
     run = learn.TrainingRun(frame)
     root = out_dir.rstrip("/")
     io.save_model(run.model, f"{root}/model")
-    record = run.record()
-    io.write_json_report(record, f"{root}/metrics")
+    record = io.write_json_report(run.record(), f"{root}/metrics")
     io.write_json_report(learn.feature_schema(frame.drop("order_item_id")), f"{root}/feature_schema")
     io.export_csv(learn.feature_importance(run.model), f"{root}/feature_importance")
     io.export_csv(run.predictions(), f"{root}/predictions")
-    return io.report_as_dict(record)
+    return record

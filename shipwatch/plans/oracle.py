@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shipwatch import fixed_values as fv
 from shipwatch.plans.oracle_fixtures import with_ctes
 
 ORACLE: dict[str, str] = {}
@@ -49,8 +50,17 @@ SELECT order_id, order_item_id FROM order_lines WHERE order_id % 97 = 0
 oracle("orders_filtered", with_ctes(f"""
 SELECT {CURATED_COLUMNS} FROM order_lines
 WHERE market IS NOT NULL AND shipping_mode IS NOT NULL
-  AND category_name IN (SELECT DISTINCT category_name FROM order_lines
-                        WHERE category_name IS NOT NULL ORDER BY 1 LIMIT 10)
+  AND category_name IN (SELECT category_name FROM cats ORDER BY 1 LIMIT 10)
+""", "order_lines"))
+
+oracle("orders_filtered_all", with_ctes(f"""
+SELECT {CURATED_COLUMNS} FROM order_lines
+WHERE market IS NOT NULL AND shipping_mode IS NOT NULL AND category_name IS NOT NULL
+""", "order_lines"))
+
+oracle("orders_filtered_choice", with_ctes(f"""
+SELECT {CURATED_COLUMNS} FROM order_lines
+WHERE market IN ('ASIA', 'EUROPE') AND shipping_mode IN ('Same Day', 'First Class') AND category_name IS NOT NULL
 """, "order_lines"))
 
 oracle("orders_filtered_empty", with_ctes(f"""
@@ -113,11 +123,9 @@ ORDER BY late_delivery_rate DESC, market, order_region, shipping_mode
 
 # ---- shared SQL blocks for steps 4-7 -------------------------------------------------
 
-DEFAULT_FILTERED = f"""
+ALL_FILTERED = f"""
 SELECT {CURATED_COLUMNS} FROM order_lines
-WHERE market IS NOT NULL AND shipping_mode IS NOT NULL
-  AND category_name IN (SELECT DISTINCT category_name FROM order_lines
-                        WHERE category_name IS NOT NULL ORDER BY 1 LIMIT 10)
+WHERE market IS NOT NULL AND shipping_mode IS NOT NULL AND category_name IS NOT NULL
 """
 
 ORDERS_DAILY = f"""
@@ -162,15 +170,16 @@ SELECT product_id, product_name, category_name, department_name,
        lead_time_days,
        CAST(round_even(safety, 0) AS INTEGER) AS safety_stock,
        CAST(round_even(rop, 0) AS INTEGER) AS reorder_point,
+       CASE WHEN stock_on_hand IS NOT NULL THEN
        CAST(trunc(greatest(avg_daily_demand * lead_time_days * 1.2 + safety - stock_on_hand, 0.0))
-            AS INTEGER) AS recommended_order_qty,
-       CASE WHEN stock_on_hand <= rop THEN 'LOW_STOCK'
+            AS INTEGER) END AS recommended_order_qty,
+       CASE WHEN stock_on_hand IS NULL THEN 'NO_STOCK_ROW' WHEN stock_on_hand <= rop THEN 'LOW_STOCK'
             WHEN stock_on_hand <= rop * 1.25 THEN 'WATCH' ELSE 'NORMAL' END AS inventory_status
 FROM (
   SELECT d.*, s.stock_on_hand, s.lead_time_days,
          greatest(d.avg_daily_demand * 3.0, 5.0) AS safety,
          d.avg_daily_demand * s.lead_time_days + greatest(d.avg_daily_demand * 3.0, 5.0) AS rop
-  FROM demand d JOIN stock_levels s ON d.product_id = s.product_id) t
+  FROM demand d LEFT JOIN stock_levels s ON d.product_id = s.product_id) t
 """
 
 INVENTORY_CTES = {"daily": ORDERS_DAILY, "product_daily": PRODUCT_DAILY, "demand": DEMAND,
@@ -255,7 +264,7 @@ SELECT r."timestamp",
             WHEN 'SHIPPED' THEN 'SHIPPING_DOCK' WHEN 'IN_TRANSIT_SCAN' THEN 'TRANSIT_NODE'
             WHEN 'DELIVERED_OR_CLOSED' THEN 'LAST_MILE_OR_CLOSED' END AS location,
        r.rssi
-FROM rfid_reads r LEFT JOIN order_lines l ON r.order_item_id = l.order_item_id
+FROM rfid_reads r LEFT JOIN order_lines l ON r.order_id = l.order_id AND r.order_item_id = l.order_item_id
 """
 
 FIRST_SHIPMENTS = f"""
@@ -273,7 +282,7 @@ ORDER BY md5('42-' || CAST(order_item_id AS VARCHAR)) LIMIT 50000
 oracle("shipments_distinct", with_ctes(FIRST_SHIPMENTS, "order_lines"))
 
 oracle("top_reorder", with_ctes("""
-SELECT * FROM inventory ORDER BY recommended_order_qty DESC, product_id LIMIT 20
+SELECT * FROM inventory ORDER BY recommended_order_qty DESC NULLS LAST, product_id LIMIT 20
 """, "order_lines", "stock_levels", extra=INVENTORY_CTES))
 
 oracle("first_alerts", with_ctes("""
@@ -307,7 +316,12 @@ FROM plan p FULL OUTER JOIN first_reads r
 oracle("order_trace", with_ctes("""
 SELECT * FROM enriched WHERE order_id = (SELECT min(order_id) FROM filtered)
 ORDER BY "timestamp", event_type
-""", "order_lines", "rfid_reads", extra={"filtered": DEFAULT_FILTERED, "enriched": ENRICHED_READS}))
+""", "order_lines", "rfid_reads", extra={"filtered": ALL_FILTERED, "enriched": ENRICHED_READS}))
+
+oracle("traces_for_orders", with_ctes("""
+SELECT * FROM enriched WHERE order_id IN (SELECT order_id FROM order_lines WHERE market = 'ASIA'
+  AND shipping_mode IS NOT NULL AND category_name IS NOT NULL)
+""", "order_lines", "rfid_reads", extra={"enriched": ENRICHED_READS}))
 
 oracle("rfid_coverage", with_ctes("""
 SELECT count(*) AS events, count(DISTINCT epc) AS distinct_epc,
@@ -355,7 +369,22 @@ GROUP BY iot_status ORDER BY events DESC, iot_status
 oracle("iot_alerts_for_orders", with_ctes("""
 SELECT * FROM classified
 WHERE order_id IN (SELECT order_id FROM filtered) AND iot_status IS DISTINCT FROM 'NORMAL'
-""", "iot_readings", "order_lines", extra={"classified": CLASSIFIED, "filtered": DEFAULT_FILTERED}))
+""", "iot_readings", "order_lines", extra={"classified": CLASSIFIED, "filtered": ALL_FILTERED}))
+
+STANDARD_ORDERS = """
+SELECT order_id FROM order_lines WHERE shipping_mode = 'Standard Class' AND market IS NOT NULL AND category_name IS NOT NULL
+"""
+
+oracle("iot_status_for_orders", with_ctes("""
+SELECT iot_status, count(*) AS events FROM classified
+WHERE iot_status IS NOT NULL AND order_id IN (SELECT order_id FROM chosen) GROUP BY iot_status
+""", "iot_readings", "order_lines", extra={"classified": CLASSIFIED, "chosen": STANDARD_ORDERS}))
+
+oracle("first_alerts_for_orders", with_ctes("""
+SELECT * FROM classified
+WHERE iot_status IS DISTINCT FROM 'NORMAL' AND order_id IN (SELECT order_id FROM chosen)
+ORDER BY "timestamp", order_id, event_id LIMIT 500
+""", "iot_readings", "order_lines", extra={"classified": CLASSIFIED, "chosen": STANDARD_ORDERS}))
 
 oracle("alert_rate_gap", with_ctes(f"""
 SELECT shipping_mode, late_delivery_risk, readings, observed_alert_rate,
@@ -386,6 +415,10 @@ oracle("replenishment", with_ctes("""
 SELECT * FROM inventory ORDER BY inventory_status, recommended_order_qty DESC, product_id
 """, "order_lines", "stock_levels", extra=INVENTORY_CTES))
 
+oracle("stock_by_state", with_ctes("""
+SELECT * FROM inventory WHERE inventory_status IN ('LOW_STOCK', 'NO_STOCK_ROW')
+""", "order_lines", "stock_levels", extra=INVENTORY_CTES))
+
 oracle("stock_summary", with_ctes("""
 SELECT count(*) AS products,
        CAST(count_if(inventory_status = 'LOW_STOCK') AS BIGINT) AS low_stock,
@@ -403,7 +436,7 @@ SELECT (SELECT count(DISTINCT order_id) FROM filtered) AS total_orders,
          AS iot_alerts,
        (SELECT CAST(count_if(inventory_status = 'LOW_STOCK') AS BIGINT) FROM inventory) AS low_stock
 """, "order_lines", "stock_levels", "rfid_reads", "iot_readings",
-    extra={"filtered": DEFAULT_FILTERED, "classified": CLASSIFIED, **INVENTORY_CTES}))
+    extra={"filtered": ALL_FILTERED, "classified": CLASSIFIED, **INVENTORY_CTES}))
 
 
 # ---- step 8 -----------------------------------------------------------------------------
@@ -419,12 +452,14 @@ def _clean(c: str) -> str:
     return f"CASE WHEN {c} IS NULL OR {t} = '' THEN 'UNKNOWN' ELSE {t} END"
 
 
+MODEL_LINES = """(SELECT * REPLACE (CASE WHEN order_item_id % 79 <> 0 THEN quantity END AS quantity) FROM order_lines)"""
+
 MODEL_FRAME = ("SELECT order_item_id, "
                + ", ".join(f"{_clean(c)} AS {c}" for c in CATS) + ", "
                + ", ".join(f"coalesce(TRY_CAST({c} AS DOUBLE), "
-                           f"(SELECT coalesce(median(TRY_CAST({c} AS DOUBLE)), 0.0) FROM order_lines)) AS {c}"
+                           f"(SELECT coalesce(median(TRY_CAST({c} AS DOUBLE)), 0.0) FROM {MODEL_LINES})) AS {c}"
                            for c in NUMS)
-               + ", CAST(late_delivery_risk AS INTEGER) AS late_delivery_risk FROM order_lines")
+               + f", CAST(late_delivery_risk AS INTEGER) AS late_delivery_risk FROM {MODEL_LINES}")
 
 SPLIT = """
 SELECT m.*, CASE WHEN rn <= q.quota THEN 'test' ELSE 'train' END AS split
@@ -474,6 +509,76 @@ SELECT split, rows, pos / rows AS positive_rate FROM (
   SELECT 'total', count(*), sum(late_delivery_risk) FROM split) t
 """, "order_lines", extra={"model_frame": MODEL_FRAME, "quotas": QUOTAS, "split": SPLIT}))
 
+TRAIN = {"model_frame": MODEL_FRAME, "quotas": QUOTAS, "split": SPLIT,
+         "train": "SELECT * FROM split WHERE split = 'train'"}
+TALL_TRAIN = "\nUNION ALL\n".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM train" for c in CATS)
+
+oracle("encoder_slots", with_ctes("""
+SELECT feature, value, n, CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS slot
+FROM counts WHERE n >= 25
+UNION ALL
+SELECT f.feature, NULL, CAST(coalesce(sum(n) FILTER (WHERE n < 25), 0) AS BIGINT),
+       CAST(coalesce(count(n) FILTER (WHERE n >= 25), 0) AS INTEGER)
+FROM (SELECT DISTINCT feature FROM counts) f JOIN counts USING (feature) GROUP BY f.feature
+""", "order_lines", extra=TRAIN | {"tall": TALL_TRAIN, "counts": "SELECT feature, value, count(*) AS n FROM tall GROUP BY ALL"}))
+
+oracle("scaler_constants", with_ctes("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END, 6) "
+    f"AS deviation FROM train" for c in NUMS), "order_lines", extra=TRAIN))
+
+oracle("class_weights", with_ctes("""
+SELECT late_delivery_risk, count(*) AS rows, (SELECT count(*) FROM train) / (2 * count(*)) AS class_weight
+FROM train GROUP BY late_delivery_risk
+""", "order_lines", extra=TRAIN))
+
+oracle("run_counts", with_ctes("""
+SELECT count(*) AS total_rows, CAST(count_if(split = 'train') AS BIGINT) AS train_rows,
+       CAST(count_if(split = 'test') AS BIGINT) AS test_rows, avg(late_delivery_risk) AS positive_class_rate_total,
+       avg(late_delivery_risk) FILTER (WHERE split = 'train') AS positive_class_rate_train,
+       avg(late_delivery_risk) FILTER (WHERE split = 'test') AS positive_class_rate_test
+FROM split
+""", "order_lines", extra=TRAIN))
+
+SCENARIOS = """
+SELECT DISTINCT CASE WHEN shipping_mode <> 'Same Day' THEN shipping_mode END AS shipping_mode, market, order_city,
+       CASE market WHEN 'ASIA' THEN 'nan' WHEN 'AFRICA' THEN 'soon' ELSE CAST(days_shipping_scheduled AS VARCHAR) END
+         AS days_shipping_scheduled
+FROM (SELECT DISTINCT shipping_mode, market, days_shipping_scheduled, order_city FROM order_lines) t
+"""
+# shipping mode and scheduled days go together, so the lanes stay distinct
+
+oracle("filled_scenarios", with_ctes("SELECT " + ", ".join(
+    f"coalesce({c}, 'UNKNOWN') AS {c}" if c in ("shipping_mode", "market", "order_city") else f"'UNKNOWN' AS {c}" for c in CATS)
+    + """, coalesce(CASE WHEN days_shipping_scheduled <> 'nan' THEN TRY_CAST(days_shipping_scheduled AS DOUBLE) END, 0.0)
+       AS days_shipping_scheduled, CAST(0.0 AS DOUBLE) AS quantity, CAST(0.0 AS DOUBLE) AS sales
+FROM scenarios
+""", "order_lines", extra={"scenarios": SCENARIOS}))
+
+COEFFICIENTS = """
+SELECT category_name AS feature, sum(late_delivery_risk) / count(*) - 0.5::DOUBLE AS coefficient
+FROM order_lines GROUP BY category_name
+"""
+RANKED = """
+SELECT CAST(row_number() OVER (ORDER BY abs(coefficient) DESC, feature) AS INTEGER) AS rank, feature, coefficient,
+       abs(coefficient) AS abs_importance FROM coefficients
+"""
+
+oracle("ranked_importance", with_ctes(RANKED, "order_lines", extra={"coefficients": COEFFICIENTS}))
+
+oracle("top_features", with_ctes("SELECT * FROM ranked ORDER BY abs_importance DESC, feature LIMIT 20", "order_lines",
+                                 extra={"coefficients": COEFFICIENTS, "ranked": RANKED}))
+
+oracle("feature_schema", with_ctes(f"""
+SELECT 'late_delivery_risk' AS target_column, '{",".join(CATS)}' AS categorical_features,
+       '{",".join(NUMS)}' AS numerical_features,
+       (SELECT string_agg(shipping_mode, ',' ORDER BY n DESC, shipping_mode)
+        FROM (SELECT shipping_mode, count(*) AS n FROM model_frame GROUP BY shipping_mode) t) AS shipping_modes,
+       (SELECT CAST(least(count(DISTINCT category_name), 80) AS INTEGER) FROM model_frame) AS category_options,
+       (SELECT market FROM model_frame GROUP BY market ORDER BY count(*) DESC, market LIMIT 1) AS default_market,
+       median(quantity) AS default_quantity, min(sales) AS least_sales, max(sales) AS largest_sales
+FROM model_frame
+""", "order_lines", extra={"model_frame": MODEL_FRAME}))
+
 oracle("classification_metrics", with_ctes("""
 SELECT tn, fp, fn, tp,
        CASE WHEN tn + fp + fn + tp = 0 THEN 0.0 ELSE (tp + tn) / (tn + fp + fn + tp) END AS accuracy,
@@ -535,7 +640,8 @@ FROM (
          """ + _clean_sql("p.p_type") + """ AS category,
          """ + _clean_sql("p.p_brand") + """ AS department,
          CASE WHEN e.event_id % 50 = 0 THEN -1 ELSE CAST(hour(e.ts) AS INTEGER) END AS hour
-  FROM events e LEFT JOIN part p ON e.event_id % 200 = p.p_partkey) t
+  FROM events e LEFT JOIN part p ON e.event_id % (SELECT max(p_partkey) + 1 FROM part) = p.p_partkey
+  WHERE e.event_id % 61 <> 0) t
 GROUP BY date_day, product, category, department, hour
 ORDER BY date_day, page_views DESC, product, category, department, hour
 """)
@@ -550,7 +656,7 @@ RAW_NAMES = ["Order Id", "Order Item Id", "order date (DateOrders)", "shipping d
              "Customer Email", "Customer Fname", "Customer Lname", "Customer Password",
              "Customer Street", "Customer Zipcode", "Latitude", "Longitude"]
 
-oracle("missing_share", with_ctes("""
+MISSING_SHARE = """
 SELECT column_name,
        (CASE WHEN 2 * r > n OR (2 * r = n AND q % 2 = 1) THEN q + 1 ELSE q END) / 10000.0 AS missing_share
 FROM (SELECT column_name, k, n, (k * 10000) // n AS q, k * 10000 - ((k * 10000) // n) * n AS r
@@ -558,17 +664,31 @@ FROM (SELECT column_name, k, n, (k * 10000) // n AS q, k * 10000 - ((k * 10000)
     f"SELECT '{c}' AS column_name, CAST({RAW_MISSING.get(c, '0')} AS BIGINT) AS k, "
     f"count(*) AS n FROM order_lines" for c in RAW_NAMES) + """) u) t
 ORDER BY k DESC, column_name LIMIT 20
-""", "order_lines"))
+"""
+
+oracle("missing_share", with_ctes(MISSING_SHARE, "order_lines"))
 
-oracle("quality_report", with_ctes("""
+QUALITY_REPORT = """
 SELECT (SELECT count(*) FROM order_lines) AS raw_rows, 34 AS raw_columns,
+       (SELECT count(*) FROM order_lines WHERE order_id % 97 = 0) AS rejected_date_rows,
+       (SELECT count(*) FROM order_lines WHERE order_id % 97 <> 0 AND order_item_id % 83 = 0) AS rejected_incomplete_rows,
        count(*) AS clean_rows, 30 AS clean_columns,
        count(DISTINCT order_id) AS unique_orders, count(DISTINCT product_id) AS unique_products,
        count(DISTINCT order_country) AS unique_countries,
        min(order_date) AS date_min, max(order_date) AS date_max,
        avg(late_delivery_risk) AS late_delivery_risk_rate
 FROM curated
-""", "order_lines", extra={"curated": CURATED_FROM_RAW}))
+"""
+
+oracle("quality_report", with_ctes(QUALITY_REPORT, "order_lines", extra={"curated": CURATED_FROM_RAW}))
+
+oracle("quality_document", with_ctes(f"""
+SELECT report.*,
+       (SELECT string_agg(column_name || '=' || printf('%.4f', missing_share), ';' ORDER BY column_name) FROM shares)
+         AS top_missing_raw_columns_pct,
+       '{";".join(sorted(fv.SENSITIVE_COLUMNS))}' AS sensitive_columns_removed
+FROM report
+""", "order_lines", extra={"curated": CURATED_FROM_RAW, "report": QUALITY_REPORT, "shares": MISSING_SHARE}))
 
 oracle("metrics_table", with_ctes("""
 SELECT metric, value, printf('%.2f', value * 100) || '%' AS value_percent

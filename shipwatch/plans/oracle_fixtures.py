@@ -23,14 +23,14 @@ FROM lineitem l
 """)
 
 cte("cats", [], """
-SELECT p_type, row_number() OVER (ORDER BY p_type) AS category_id
-FROM (SELECT DISTINCT p_type FROM part) t
+SELECT category_name, row_number() OVER (ORDER BY category_name) AS category_id
+FROM (SELECT DISTINCT p_type || '-' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS category_name FROM part) t
 """)
 
 cte("staged_lines", ["numbered_lines", "cats"], """
 SELECT
   l.l_orderkey AS order_id,
-  l.l_orderkey * 100 + l.line_no AS order_item_id,
+  l.l_orderkey * 1000003 + l.line_no AS order_item_id,
   o.o_orderdate + to_minutes(CAST(((l.l_orderkey * 37) % 1440) AS BIGINT)) AS order_date,
   CAST((((datediff('day', o.o_orderdate, l.l_shipdate)) % 7) + 7) % 7 AS INTEGER) AS days_shipping_real,
   CAST(CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2
@@ -43,7 +43,7 @@ SELECT
   p.p_partkey AS product_id,
   p.p_name AS product_name,
   cats.category_id,
-  p.p_type AS category_name,
+  cats.category_name,
   TRY_CAST(regexp_extract(p.p_brand, '#([0-9]+)', 1) AS BIGINT) AS department_id,
   p.p_brand AS department_name,
   CAST(trunc(l.l_quantity) AS INTEGER) AS quantity,
@@ -61,7 +61,7 @@ JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey
 JOIN region r ON n.n_regionkey = r.r_regionkey
 JOIN part p ON l.l_partkey = p.p_partkey
-JOIN cats ON p.p_type = cats.p_type
+JOIN cats ON p.p_type || '-' || lpad(CAST(p.p_size AS VARCHAR), 2, '0') = cats.category_name
 """)
 
 cte("order_lines_full", ["staged_lines"], """
@@ -102,7 +102,7 @@ cte("rfid_reads", ["order_starts"], """
 SELECT
   s.order_date + to_minutes(CAST(floor(e.value * 10) AS BIGINT)) AS "timestamp",
   e.user_id AS order_id,
-  e.user_id * 100 + 1 AS order_item_id,
+  e.user_id * 1000003 + 1 AS order_item_id,
   CASE e.event_type WHEN 'signup' THEN 'RECEIVED' WHEN 'view' THEN 'PICKED'
        WHEN 'click' THEN 'PACKED' WHEN 'purchase' THEN 'SHIPPED'
        WHEN 'error' THEN 'IN_TRANSIT_SCAN' END AS event_type,
@@ -122,7 +122,7 @@ SELECT
   e.user_id AS order_id,
   e.event_id,
   round(10 + e.value / 5, 2) AS temperature_c,
-  CAST((e.event_id * 7) % 101 AS DOUBLE) AS humidity_pct,
+  CAST((e.event_id * 7) % 131 - 10 AS DOUBLE) AS humidity_pct,
   CAST(json_extract_string(e.props, '$.k') AS DOUBLE) / 125 AS vibration_g,
   s.shipping_mode,
   CAST(coalesce(r.order_risk, 0) AS INTEGER) AS late_delivery_risk
@@ -135,7 +135,7 @@ cte("stock_levels", [], """
 SELECT p_partkey AS product_id,
        CAST((p_partkey * 7) % 15 AS INTEGER) AS stock_on_hand,
        CAST(3 + p_partkey % 12 AS INTEGER) AS lead_time_days
-FROM part
+FROM part WHERE p_partkey % 41 <> 0
 """)
 
 cte("scored_lines", ["order_lines"], """

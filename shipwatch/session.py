@@ -53,8 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint directory, setting one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant
-    folder and is left alone. Only when nothing is configured (local tests)
-    is a scratch folder created.
+    folder and is left alone. Only a local session without one gets a scratch
+    folder; on a cluster that would be a folder that no other machine sees, so
+    a missing setting is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="shipwatch-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -32,6 +32,10 @@ EVENT_STAGES: dict[str, str] = {
     "error": "IN_TRANSIT_SCAN",
 }
 
+# line id = order id * LINE_SPAN + line number: ids cannot meet while an order has
+# fewer lines; odd, so that remainders of the ids vary with the order too
+LINE_SPAN = 1_000_003
+
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
               "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
@@ -56,16 +60,17 @@ def dimension_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part -> product, category and department ids and names."""
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type")
-    # category id = position of the type in the sorted list of distinct types;
-    # the window runs over the distinct types only, never over part rows
-    categories = part.select("p_type").distinct() \
-        .withColumn("category_id", F.row_number().over(Window.orderBy("p_type")).cast("bigint"))
-    return (part.join(categories, "p_type")
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size") \
+        .withColumn("category_name", F.concat_ws("-", "p_type", F.format_string("%02d", F.col("p_size"))))
+    # category id = position of the category in the sorted list of distinct ones
+    # (type and size: 300 at most); the window runs over these, never over part rows
+    categories = part.select("category_name").distinct() \
+        .withColumn("category_id", F.row_number().over(Window.orderBy("category_name")).cast("bigint"))
+    return (part.join(categories, "category_name")
             .select(F.col("p_partkey").alias("product_id"),
                     F.col("p_name").alias("product_name"),
                     "category_id",
-                    F.col("p_type").alias("category_name"),
+                    "category_name",
                     F.regexp_extract("p_brand", r"#(\d+)", 1).try_cast("bigint").alias("department_id"),
                     F.col("p_brand").alias("department_name")))
 
@@ -114,7 +119,7 @@ def _order_lines(spark: SparkSession, sf_dir: str, opaque: bool = False) -> Data
 
     staged = lines.select(
         F.col("l_orderkey").alias("order_id"),
-        (F.col("l_orderkey") * 100 + F.col("line_no")).alias("order_item_id"),
+        (F.col("l_orderkey") * LINE_SPAN + F.col("line_no")).alias("order_item_id"),
         order_date.alias("order_date"),
         real.cast("int").alias("days_shipping_real"),
         sched.cast("int").alias("days_shipping_scheduled"),
@@ -221,13 +226,15 @@ def raw_access_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", "event_id", "ts")
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand")
     pages = read_table(spark, sf_dir, "pages", "page_id", "url")
-    ev = ev.withColumn("pk", F.pmod("event_id", F.lit(200))) \
-           .withColumn("pg", F.pmod("event_id", F.lit(50)))
+    # keys cover the whole of both tables (and 0, which no part has)
+    ev = ev.withColumn("pk", F.pmod("event_id", part.agg(F.max("p_partkey") + 1).scalar())) \
+           .withColumn("pg", F.pmod("event_id", pages.agg(F.max("page_id") + 1).scalar()))
     j = ev.join(part, ev.pk == part.p_partkey, "left").join(pages, ev.pg == pages.page_id, "left")
     return j.select(
         F.col("p_name").alias("Product"),
         F.col("p_type").alias("Category"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Date"),
+        F.when(F.pmod("event_id", F.lit(61)) == 0, F.lit("n/a"))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("Date"),
         F.date_format("ts", "MMM").alias("Month"),
         F.when(F.pmod("event_id", F.lit(50)) == 0, F.lit("x"))
         .otherwise(F.hour("ts").cast("string")).alias("Hour"),
@@ -258,7 +265,7 @@ def rfid_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         add_minutes("order_date", F.floor(F.col("value") * 10)).alias("timestamp"),
         F.col("user_id").alias("order_id"),
-        (F.col("user_id") * 100 + 1).alias("order_item_id"),
+        (F.col("user_id") * LINE_SPAN + 1).alias("order_item_id"),
         stage.alias("event_type"),
         F.concat(F.lit("ANT_0"), (F.lit(1) + F.pmod("event_id", F.lit(4))).cast("string")).alias("antenna_id"),
         (F.lit(-78) + F.pmod("event_id", F.lit(44))).cast("int").alias("rssi"),
@@ -290,7 +297,7 @@ def readings_from_events(ev: DataFrame, lookup: DataFrame) -> DataFrame:
         F.col("user_id").alias("order_id"),
         "event_id",
         F.round(F.lit(10) + F.col("value") / 5, 2).alias("temperature_c"),
-        F.pmod(F.col("event_id") * 7, F.lit(101)).cast("double").alias("humidity_pct"),
+        (F.pmod(F.col("event_id") * 7, F.lit(131)) - 10).cast("double").alias("humidity_pct"),
         (k / 125).alias("vibration_g"),
         mode.alias("shipping_mode"),
         F.coalesce(F.col("order_risk"), F.lit(0)).cast("int").alias("late_delivery_risk"),
@@ -298,8 +305,8 @@ def readings_from_events(ev: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def stock_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On-hand stock and lead time per product."""
-    part = read_table(spark, sf_dir, "part", "p_partkey")
+    """On-hand stock and lead time per product; every 41st product has no stock row."""
+    part = read_table(spark, sf_dir, "part", "p_partkey").where(F.pmod("p_partkey", F.lit(41)) != 0)
     return part.select(
         F.col("p_partkey").alias("product_id"),
         (F.pmod(F.col("p_partkey") * 7, F.lit(15))).cast("int").alias("stock_on_hand"),
@@ -309,7 +316,7 @@ def stock_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_lines(lines: DataFrame) -> DataFrame:
     """A fixed rule-based score over order lines, for the metric operators."""
-    base = F.pmod(F.col("order_item_id") * 7919, F.lit(1000)) / F.lit(1000.0)
+    base = F.pmod(F.pmod("order_item_id", F.lit(1000)) * 7919, F.lit(1000)) / F.lit(1000.0)
     bump = F.when(F.col("shipping_mode") != "Standard Class", F.lit(0.3)).otherwise(F.lit(0.0))
     score = F.least(base + bump, F.lit(1.0))
     return lines.select(

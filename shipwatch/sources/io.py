@@ -10,12 +10,16 @@ import json
 from collections.abc import Iterable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from shipwatch import fixed_values as fv
 from shipwatch.operators.schema_ops import require_columns
 
 RAW_ENCODING = "ISO-8859-1"
+# fixed values: texts that the usual CSV readers take as a missing field
+MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                  "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 ORDERS_REQUIRED = ["order_id", "order_item_id", "order_date", "shipping_date", "product_id",
                    "product_name", "order_month", "days_shipping_real", "delivery_status",
@@ -44,10 +48,10 @@ def read_raw_csv(spark: SparkSession, path: str, encoding: str = RAW_ENCODING) -
           .option("inferSchema", False).option("mode", "FAILFAST").csv(path))
     if not df.columns:
         raise ValueError(f"no header in {path}")
-    return df
+    return df.select([F.when(~F.col(f"`{c}`").isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def read_curated(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None,
+def read_curated(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None,
                  required: Iterable[str] = (), what: str = "table") -> DataFrame:
     """Curated table; fails when the path is missing, a column is missing, or it is empty."""
     check_path(spark, path)
@@ -101,20 +105,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     return path
 
 
-def write_json_report(report: DataFrame, path: str) -> str:
-    """A one-row report as JSON (UTF-8, non-ASCII kept as is)."""
-    if report.limit(2).count() != 1:
-        raise ValueError("a JSON report must have exactly one row")
-    # one row by the check above, so one output file is one task's work
-    report.coalesce(1).write.mode("overwrite").json(path)
-    return path
+def write_json_report(report: DataFrame, path: str) -> dict:
+    """A one-row report as JSON (UTF-8, non-ASCII kept as is); returns its values.
 
-
-def report_as_dict(report: DataFrame) -> dict:
-    """The single row of a report as plain Python values (one row only)."""
+    The report is computed once: its one row is read, and that row is written.
+    """
     rows = report.limit(2).collect()
     if len(rows) != 1:
-        raise ValueError("a report must have exactly one row")
+        raise ValueError("a JSON report must have exactly one row")
+    report.sparkSession.createDataFrame(rows, report.schema).coalesce(1).write.mode("overwrite").json(path)
     return json.loads(json.dumps(rows[0].asDict(recursive=True), default=str))
 
 
@@ -148,6 +147,16 @@ REPORTS = ["quality_report", "rfid_coverage", "iot_coverage", "stock_summary"]
 MODEL_ARTEFACTS = ["model", "metrics", "feature_schema", "feature_importance", "predictions"]
 
 
+# the tables beside a saved model: declared, never inferred
+MODEL_TABLES: dict[str, str] = {
+    "feature_importance": "rank int, feature string, coefficient double, abs_importance double",
+    "predictions": (
+        "order_item_id bigint, " + ", ".join(f"{c} string" for c in fv.CATEGORICAL_FEATURES) + ", "
+        + ", ".join(f"{c} double" for c in fv.NUMERICAL_FEATURES)
+        + ", late_delivery_risk_real int, late_delivery_risk_pred int, late_delivery_risk_probability double"),
+}
+
+
 def register_datasets(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """Load every dataset present under ``base`` and expose it as a temp view."""
     out = {}
@@ -175,6 +184,6 @@ def load_model_artifacts(spark: SparkSession, base: str) -> dict[str, object]:
             out[name] = read_json_report(spark, f"{root}/{name}")
     for name in ("feature_importance", "predictions"):
         if _exists(spark, f"{root}/{name}"):
-            out[name] = spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/{name}")
+            out[name] = read_curated(spark, f"{root}/{name}", "csv", MODEL_TABLES[name], what=name)
     return out
 

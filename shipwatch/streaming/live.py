@@ -61,20 +61,25 @@ def live_status_counts(readings: DataFrame, window: str = "1 hour", delay: str =
                          "iot_status", "events")
 
 
-def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Drain the stream's available input into Parquet under the shared
-    checkpoint folder, then read the result back as a batch DataFrame.
+def new_paths(spark: SparkSession, name: str) -> tuple[str, str]:
+    """Fresh output and checkpoint paths in the shared folder, for a run of its own."""
+    base = shared_path(spark, f"shipwatch-stream/{name}-{uuid.uuid4().hex}")
+    return f"{base}/data", f"{base}/checkpoint"
+
 
-    ``availableNow`` processes what is there and stops; the checkpoint makes
-    the run restartable after an executor or driver loss.
+def run_to_table(stream: DataFrame, output: str, checkpoint: str, output_mode: str = "append") -> DataFrame:
+    """Drain the stream's available input into Parquet at ``output``, then read
+    all that the stream has written there as a batch DataFrame.
+
+    ``availableNow`` processes what is there and stops. A later call with the
+    same two paths goes on where the ``checkpoint`` ended, after a normal end
+    as after a loss of the driver: input that is committed is not read again.
     """
     spark = stream.sparkSession
-    base = shared_path(spark, f"shipwatch-stream/{name}-{uuid.uuid4().hex}")
     q = (stream.writeStream.format("parquet").outputMode(output_mode)
-         .option("checkpointLocation", base + "/_checkpoint")
-         .option("path", base + "/data")
+         .option("checkpointLocation", checkpoint).option("path", output)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.schema(stream.schema).parquet(base + "/data")
+    return spark.read.schema(stream.schema).parquet(output)

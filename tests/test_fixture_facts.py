@@ -31,18 +31,18 @@ def test_conformance_classes(spark):
 
 def test_iot_states(spark):
     got = _counts(catalog.classified(spark, SF_MID), "iot_status")
-    assert got == {"NORMAL": 2941, "TEMP_ALERT": 1716, "HUMIDITY_ALERT": 1860,
-                   "VIBRATION_ALERT": 879, "MULTI_ALERT": 2604}
+    assert got == {"NORMAL": 2192, "TEMP_ALERT": 1377, "HUMIDITY_ALERT": 2609,
+                   "VIBRATION_ALERT": 686, "MULTI_ALERT": 3136}
 
 
 def test_stock_states(spark):
     got = _counts(catalog.inventory(spark, SF_MID), "inventory_status")
-    assert got == {"LOW_STOCK": 1086, "WATCH": 275, "NORMAL": 639}
+    assert got == {"LOW_STOCK": 1057, "WATCH": 270, "NORMAL": 624, "NO_STOCK_ROW": 49}
 
 
 def test_roc_auc(spark):
     auc = catalog.QUERIES["roc_auc"](spark, SF_MID).first().roc_auc
-    assert auc == pytest.approx(0.61088, abs=5e-6)
+    assert auc == pytest.approx(0.602746, abs=5e-7)
 
 
 def test_plan_sizes(spark):

@@ -25,7 +25,8 @@ def test_csv_round_trip_with_declared_schema(spark, tmp_path):
 def test_json_report_round_trip(spark, tmp_path):
     rep = spark.range(1).select(F.lit(3).alias("n"), F.array(F.lit("a"), F.lit("b")).alias("xs"),
                                 F.create_map(F.lit("k"), F.lit(0.5)).alias("m"))
-    path = io.write_json_report(rep, str(tmp_path / "r"))
+    path = str(tmp_path / "r")
+    assert io.write_json_report(rep, path) == {"n": 3, "xs": ["a", "b"], "m": {"k": 0.5}}
     back = io.read_json_report(spark, path).first()
     assert back["n"] == 3 and list(back["xs"]) == ["a", "b"] and back["m"]["k"] == 0.5
     with pytest.raises(ValueError):
@@ -38,3 +39,23 @@ def test_partitioned_write_clusters_rows(spark, tmp_path):
     back = spark.read.parquet(path)
     assert back.count() == 1000
     assert back.filter("p = '1'").count() == len([i for i in range(1000) if i % 3 == 1])
+
+
+def test_raw_csv_reads_missing_tokens(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("Id,Na me,v\n1,NA,nan\n2,caf\xe9,N/A\n3,NULL,\n4,nano,0\n".encode("latin-1"))
+    got = [tuple(r) for r in io.read_raw_csv(spark, str(folder)).collect()]
+    assert got == [("1", None, None), ("2", "caf\xe9", None), ("3", None, None), ("4", "nano", "0")]
+
+
+def test_filtered_orders_are_exported(spark, tmp_path):
+    from shipwatch.operators import filters
+    from shipwatch.plans import catalog
+    from tests.conftest import SF_SMALL
+    lines = catalog.lines(spark, SF_SMALL)
+    chosen = filters.apply_filters(lines, markets=["ASIA"], shipping_modes=["Same Day"])
+    back = io.read_curated(spark, io.export_csv(chosen, str(tmp_path / "export")), "csv", lines.schema, what="export")
+    assert back.count() == chosen.count() > 0
+    assert back.agg(F.min("market"), F.max("market"), F.sum("quantity")).first() == chosen.agg(
+        F.min("market"), F.max("market"), F.sum("quantity")).first()

@@ -101,9 +101,25 @@ def test_model_frame_bad_target(spark, bad):
         model.model_frame(spark.createDataFrame(rows, MODEL_SCHEMA), key=None)
 
 
-def test_leakage_guard():
-    feats, target = model.features_and_target(None)
-    assert not set(feats) & set(fv.LEAKAGE_COLUMNS) and target == "late_delivery_risk"
+def test_leakage_guard(spark):
+    frame = model.model_frame(spark.createDataFrame(_model_rows(), MODEL_SCHEMA), key=None)
+    x, y = model.features_and_target(frame)
+    assert x.columns == fv.CATEGORICAL_FEATURES + fv.NUMERICAL_FEATURES and y.columns == [fv.TARGET_COLUMN]
+    for leak in fv.LEAKAGE_COLUMNS:
+        with pytest.raises(ValueError, match="leakage"):
+            model.features_and_target(frame.withColumn(leak, F.lit(1)))
+    with pytest.raises(ValueError, match="missing required"):
+        model.features_and_target(frame.drop("sales"))
+
+
+def test_nan_text_is_a_missing_number(spark):
+    rows = _model_rows()
+    rows[0] = rows[0][:13] + (" NaN ",) + rows[0][14:]
+    mf = model.model_frame(spark.createDataFrame(rows, MODEL_SCHEMA), key=None).collect()
+    assert mf[0].sales == mf[2].sales == 45.0        # median of 20, 40, 50, 60
+    rows[0] = rows[0][:-1] + ("nan",)
+    with pytest.raises(ValueError, match="1 missing"):
+        model.model_frame(spark.createDataFrame(rows, MODEL_SCHEMA), key=None)
 
 
 def test_metrics_from_confusion_counts(spark):
@@ -138,10 +154,11 @@ def test_roc_auc_matches_brute_force(spark):
     rnd = random.Random(7)
     pairs = [(round(rnd.random(), 2), rnd.randint(0, 1)) for _ in range(400)]
     df = spark.createDataFrame(pairs, "score double, label int")
-    got = model.roc_auc(df, buckets=16).first()
-    assert got.roc_auc == pytest.approx(_brute_auc(pairs), abs=1e-12)
     got = model.roc_auc(df).first()
     assert got.roc_auc == pytest.approx(_brute_auc(pairs), abs=1e-12)
+    pairs[0] = (1e300, 1)                            # an outlier skews nothing
+    got = model.roc_auc(spark.createDataFrame(pairs, "score double, label int")).first()
+    assert got.roc_auc == pytest.approx(_brute_auc(pairs), abs=1e-12)
 
 
 def test_exact_median(spark):
@@ -163,6 +180,15 @@ def test_exact_sample_matches_hash_order(spark):
     assert sample.exact_sample(df, "k", 10_000).count() == 5000
 
 
+def test_edge_buckets_are_refined(spark, monkeypatch):
+    monkeypatch.setattr(sample, "EDGE_ROWS", 3)
+    monkeypatch.setattr(sample, "BUCKET_HEX", 1)
+    df = spark.range(2000).withColumnRenamed("id", "k")
+    want = sorted(range(2000), key=lambda k: hashlib.md5(f"42-{k}".encode()).hexdigest())
+    for n in (0, 1, 777, 1999, 2000):
+        assert {r.k for r in sample.exact_sample(df, "k", n).collect()} == set(want[:n])
+
+
 def test_stratified_split_sizes(spark):
     rows = [(i, 1 if i % 3 == 0 else 0) for i in range(3001)]
     df = spark.createDataFrame(rows, "k long, y int")
@@ -261,6 +287,8 @@ def test_product_demand_and_replenishment(spark):
     inv = {r.product_id: r for r in stock.replenishment(stock.product_demand(daily), lv).collect()}
     assert inv[1].inventory_status == "LOW_STOCK" and inv[2].inventory_status == "NORMAL"
     assert inv[2].recommended_order_qty == 0
+    inv = {r.product_id: r for r in stock.replenishment(stock.product_demand(daily), lv.where("product_id = 1")).collect()}
+    assert inv[2].inventory_status == "NO_STOCK_ROW" and inv[2].recommended_order_qty is None
 
 
 def test_empty_raw_export_is_rejected(spark):
@@ -268,6 +296,7 @@ def test_empty_raw_export_is_rejected(spark):
     schema = ", ".join(f"`{raw}` string" for raw, _ in RAW_ORDER_HEADER)
     with pytest.raises(ValueError, match="empty"):
         curate_orders(spark.createDataFrame([], schema))
+    assert curate_orders(spark.createDataFrame([], schema), on_bad_dates="drop").count() == 0
 
 
 def test_top_features(spark):
