@@ -226,14 +226,14 @@ def verified(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
                     names=["node", "elements"])
 
     wanted = members.select("node").distinct()
-    texts = docs.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("node"), "text").join(wanted, "node")
+    texts = docs.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("node"), "text").join(wanted.hint("merge"), "node")
     elements = texts.mapInArrow(sets, "node long, elements binary")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = (members.withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("node", "gid"), F.col("n")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
               .select("gid", "node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                       (F.col("own") <= F.col("other")).alias("left")))
-    rows = placed.join(elements, "node").repartition("gid", "x", "y").sortWithinPartitions("gid", "x", "y")
+    rows = placed.hint("merge").join(elements, "node").repartition("gid", "x", "y").sortWithinPartitions("gid", "x", "y")
 
     def pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
@@ -287,7 +287,7 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     found = settled(classes(docs, similarity), "near-classes")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     rows, ids = found.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows == ids:
         return kept
