@@ -1,4 +1,6 @@
-"""Named queries: each takes (spark, sf_dir) and returns a lazy DataFrame.
+"""Named queries: each takes (spark, sf_dir) and returns a DataFrame.
+
+Results are lazy, but for the passes that fits, medians and splits need first.
 
 The set mirrors the operator inventory: every operator that produces a
 table is reachable through at least one named query run over whole tables.
@@ -375,29 +377,38 @@ def scenarios(spark, sf_dir) -> DataFrame:
         .alias("days_shipping_scheduled"))
 
 
+def trained(spark, sf_dir, use: Callable[["learn.TrainingRun"], DataFrame]) -> DataFrame:
+    """``use`` a training run of its own; what the run keeps in memory goes when it has been used."""
+    run = learn.TrainingRun(frame(spark, sf_dir))
+    try:
+        return use(run)
+    finally:
+        run.release()
+
+
 @query("late_risk_predictions")
 def q_late_risk_predictions(spark, sf_dir):
-    return learn.TrainingRun(frame(spark, sf_dir)).predictions()
+    return trained(spark, sf_dir, lambda run: run.predictions().checkpoint())
 
 
 @query("late_risk_prediction_head")
 def q_late_risk_prediction_head(spark, sf_dir):
-    return learn.TrainingRun(frame(spark, sf_dir)).prediction_head()
+    return trained(spark, sf_dir, lambda run: run.prediction_head().checkpoint())
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    return learn.feature_importance(learn.TrainingRun(frame(spark, sf_dir)).model)
+    return trained(spark, sf_dir, lambda run: learn.feature_importance(run.model))
 
 
 @query("scenario_scores")
 def q_scenario_scores(spark, sf_dir):
-    return learn.score_scenarios(learn.TrainingRun(frame(spark, sf_dir)).model, scenarios(spark, sf_dir))
+    return trained(spark, sf_dir, lambda run: learn.score_scenarios(run.model, scenarios(spark, sf_dir)))
 
 
 @query("training_run")
 def q_training_run(spark, sf_dir):
-    return learn.TrainingRun(frame(spark, sf_dir)).record()
+    return trained(spark, sf_dir, lambda run: run.record().checkpoint())
 
 
 # ---- step 11: streaming (drained with availableNow, read back) -------------------------------

@@ -106,4 +106,5 @@ def training_job(spark: SparkSession, orders_path: str, out_dir: str) -> dict:
     io.write_json_report(learn.feature_schema(frame.drop("order_item_id")), f"{root}/feature_schema")
     io.export_csv(learn.feature_importance(run.model), f"{root}/feature_importance")
     io.export_csv(run.predictions(), f"{root}/predictions")
+    run.release()
     return record
