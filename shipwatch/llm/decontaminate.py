@@ -19,7 +19,6 @@ benchmark leaves every document clean; rows with a null doc_id are kept.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -184,22 +183,18 @@ def _run(a: SuffixAutomaton, ids: np.ndarray) -> tuple[list[list[int]], int]:
 def _hits(a: SuffixAutomaton, texts: B.Texts, words: B.Words) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
     """Per text index: merged hit spans in words of the text, and item names."""
     ids = a.ids(words.hash)
+    if not len(ids):
+        return {}
+    # runs of item words inside one text; only those long enough can hold a window
     known = ids >= 0
-    if a.least > 1 and len(known):
-        # runs of item words that are long enough to hold a window, inside one text
-        edge = np.ones(len(ids), bool)
-        edge[1:] = known[1:] != known[:-1]
-        edge[words.first[:-1][words.first[:-1] < len(ids)]] = True
-        begin = np.flatnonzero(edge)
-        end = np.concatenate([begin[1:], [len(ids)]])
-    else:
-        begin = words.first[:-1]
-        end = words.first[1:]
-    keep = (end - begin >= a.least) & known[np.minimum(begin, max(len(known) - 1, 0))] if len(known) else []
-    if a.least <= 1 and len(known):
-        keep = end > begin
+    edge = np.ones(len(ids), bool)
+    edge[1:] = known[1:] != known[:-1]
+    edge[words.first[:-1][words.first[:-1] < len(ids)]] = True
+    begin = np.flatnonzero(edge)
+    end = np.concatenate([begin[1:], [len(ids)]])
+    keep = known[begin] & (end - begin >= a.least)
     out: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-    for b, e in zip(begin[keep].tolist(), end[keep].tolist()) if len(known) else ():
+    for b, e in zip(begin[keep].tolist(), end[keep].tolist()):
         spans, bits = _run(a, ids[b:e])
         k = int(np.searchsorted(words.first, b, "right")) - 1
         wrong = [w for x, y in spans for w in range(b + x, b + y)
