@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 U64 = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _ODD2 = 0xD1342543DE82EF95
 
@@ -24,7 +24,7 @@ _ODD2 = 0xD1342543DE82EF95
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes, so that long texts cannot fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,13 +51,13 @@ class _Powers:
 
     def take(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 20)
+            size = max(n + (n >> 3), 1 << 16)
             grown = []
             for b in (self.base, self.inverse):
                 a = np.full(size, b, U64)
                 a[0] = 1
                 grown.append(np.multiply.accumulate(a))
-            if size > 16 << 20:  # one huge text: do not keep its tables
+            if size > 2 << 20:  # one huge text: do not keep its tables
                 return grown[0], grown[1]
             self.up, self.down = grown
         return self.up, self.down

@@ -43,6 +43,7 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
 SCALE = 100.0                       # frequencies are per cent
 UNKNOWN = "und"
+SLICE_BYTES = 256 << 10             # of text at a time: an n-gram costs some 100 bytes
 
 
 @cache
@@ -184,7 +185,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     def frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FEATURES, np.int64)
         for batch in it:
-            for part in B.slices(batch, limit=1 << 20):
+            for part in B.slices(batch, limit=SLICE_BYTES):
                 total += np.bincount(_counts(part.column("text").to_pylist())[1], minlength=FEATURES)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["f", "n"])
@@ -201,7 +202,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part in B.slices(batch, limit=1 << 20):
+            for part in B.slices(batch, limit=SLICE_BYTES):
                 owner, f, n, total = _counts(part.column("text").to_pylist())
                 cut = np.searchsorted(owner, np.arange(len(total) + 1))
                 rows = list(zip(cut[:-1].tolist(), cut[1:].tolist(), total.tolist()))
@@ -236,7 +237,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part in B.slices(batch, limit=1 << 20):
+            for part in B.slices(batch, limit=SLICE_BYTES):
                 names, score = sent.value.predict([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())],

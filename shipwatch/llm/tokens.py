@@ -20,7 +20,8 @@ from shipwatch.llm import batches as B
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE_WORDS = 1_000_000             # distinct words kept by a worker before it starts anew
-PART_CHARS = 1 << 20                # a longer text is split between words
+RECENT_WORDS = 50_000               # of them in a dictionary, the others in ordered arrays
+PART_CHARS = 1 << 19                # a longer text is split between words
 _LETTER, _NUMBER, _SPACE, _OTHER, _FOREIGN = range(5)
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Unicode White_Space below U+2300 (fixed values)
@@ -85,10 +86,12 @@ class Encoder:
         return cls._made.get(path) or cls._made.setdefault(path, cls(path))
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[int, int] = {}      # words learned lately
+        self.known = np.zeros(0, np.uint64)   # the others: hashes in order, with their slots
+        self.known_slot = np.zeros(0, np.int32)
         self.size = 0
-        self.begin = np.zeros(1024, np.int64)
-        self.count = np.zeros(1024, np.int64)
+        self.begin = np.zeros(1024, np.int32)
+        self.count = np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
 
@@ -107,6 +110,13 @@ class Encoder:
         self.slot.update(zip(hashes, range(self.size, need)))
         self.size, self.used = need, self.used + total
 
+    def _settle(self) -> None:
+        """Move what was learned lately into the ordered arrays, which take a tenth of the memory."""
+        keys = np.concatenate([self.known, np.fromiter(self.slot, np.uint64, len(self.slot))])
+        slots = np.concatenate([self.known_slot, np.fromiter(self.slot.values(), np.int32, len(self.slot))])
+        order = np.argsort(keys)
+        self.known, self.known_slot, self.slot = keys[order], slots[order], {}
+
     def _slots(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cache slots of all words, and the number of words of each part."""
         joined = "".join(parts)
@@ -122,13 +132,20 @@ class Encoder:
         unique, at, back = np.unique(h, return_index=True, return_inverse=True)
         if self.size + len(unique) > CACHE_WORDS:
             self._clear()
-        keys = unique.tolist()
+        slots = np.full(len(unique), -1, np.int64)
+        if len(self.known):
+            near = np.minimum(np.searchsorted(self.known, unique), len(self.known) - 1)
+            slots = np.where(self.known[near] == unique, self.known_slot[near], -1).astype(np.int64)
+        rest = np.flatnonzero(slots < 0)
+        keys = unique[rest].tolist()
         missing = [k for k, x in enumerate(keys) if x not in self.slot]
         if missing:
-            where = at[missing]
+            where = at[rest[missing]]
             self._learn([keys[k] for k in missing],
                         [joined[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())])
-        slots = np.fromiter((self.slot[x] for x in keys), np.int64, len(keys))
+        slots[rest] = np.fromiter((self.slot[x] for x in keys), np.int64, len(keys))
+        if len(self.slot) > RECENT_WORDS:
+            self._settle()
         return slots[back], np.diff(np.searchsorted(start, offsets))
 
     def _split(self, texts: Iterable[str]) -> tuple[list[str], list[int], dict[int, str]]:
@@ -150,7 +167,7 @@ class Encoder:
         return parts, owner, foreign
 
     def _groups(self, texts: list[str]):
-        """(slots, words per text) of runs of parts with about a million characters."""
+        """(slots, words per text) of runs of parts with about PART_CHARS characters."""
         parts, owner, foreign = self._split(texts)
         i = 0
         while i < len(parts):
@@ -170,7 +187,7 @@ class Encoder:
             if slots is None:
                 out[owner] += len(words)
                 continue
-            total = np.concatenate([[0], np.cumsum(self.count[slots])])
+            total = np.concatenate([[0], np.cumsum(self.count[slots], dtype=np.int64)])
             ends = np.cumsum(words)
             np.add.at(out, owner, total[ends] - total[ends - words])
         return out
@@ -181,8 +198,8 @@ class Encoder:
             if slots is None:
                 pieces[owner].append(np.array(words, np.uint32))
                 continue
-            count = self.count[slots]
-            flat = self.flat[B.ranges(self.begin[slots], count)]
+            count = self.count[slots].astype(np.int64)
+            flat = self.flat[B.ranges(self.begin[slots].astype(np.int64), count)]
             total = np.concatenate([[0], np.cumsum(count)])
             ends = np.cumsum(words)
             for k, x, y in zip(owner, total[ends - words].tolist(), total[ends].tolist()):

@@ -32,6 +32,7 @@ def test_ids_are_those_of_the_library(texts):
 def test_long_texts_and_a_full_cache(encoder, monkeypatch):
     monkeypatch.setattr(T, "PART_CHARS", 1000)
     monkeypatch.setattr(T, "CACHE_WORDS", 300)
+    monkeypatch.setattr(T, "RECENT_WORDS", 50)
     text = " ".join(words(3000, 1)) + "\n\n" + "x" * 5000 + "  y"
     assert encoder.ids([text, "a"])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
