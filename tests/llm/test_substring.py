@@ -84,7 +84,14 @@ def test_texts_are_exchanged_once(spark, rows):
     assert "Window" not in text and "CartesianProduct" not in text
 
 
+def test_homes_are_those_of_spark(spark):
+    import pyspark.sql.functions as F
+    ids = [0, 1, -1, 7, 2 ** 40, S.NULL_ID, -2 ** 63]
+    got = [r.h for r in spark.createDataFrame([(i,) for i in ids], "i long").select(F.pmod(F.xxhash64("i"), F.lit(37)).alias("h")).collect()]
+    assert S.home_of(np.array(ids, np.int64), 37).tolist() == got
+
+
 def test_places_survive_packing():
-    ids, rows = np.array([5, 5, 9, 9, 9]), np.array([1, 1, 2, 2, 2])
+    ids, rows = np.array([5, 5, 9, 9, 9]), np.array([1, 1, -2, -2, -2])
     places = S._Places(S._sent_home(ids, rows, np.array([3, 4, 0, 7, 7], np.int32), 1))
-    assert places.of(5, 1).tolist() == [3, 4] and places.of(9, 2).tolist() == [0, 7] and places.of(5, 2) is None
+    assert places.of(5, 1).tolist() == [3, 4] and places.of(9, -2).tolist() == [0, 7] and places.of(5, 2) is None
