@@ -8,7 +8,7 @@ import corpus_pipeline
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from shipwatch.llm import bagminhash, decontaminate, extraction, language, maxscore, packing, privacy, substring, token_counts, warc
+from shipwatch.llm import bagminhash, decontaminate, extraction, language, maxscore, packing, privacy, runs, substring, token_counts, warc
 from shipwatch.llm.store import new_folder, read
 
 
@@ -54,6 +54,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(runs.looped(read(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -61,5 +65,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_maxscore, op3_warc, op4_near_duplicates, op5_decontaminate, op6_substring_dedup, op7_privacy, op8_main_text, op9_language, op10_packing,
+        op11_word_runs,
         pipeline)
 }
