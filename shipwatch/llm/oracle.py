@@ -77,3 +77,48 @@ FROM bits
 """
 
 ORACLE["op3_warc"] = OP3
+
+#: crc32 by its table of 256 entries, which is built from the reflected polynomial
+OP13 = """
+WITH crc AS (
+  SELECT list_transform(generate_series(0, 255), lambda x: list_reduce(
+           [x::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+base AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+             lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM base), crc),
+turns AS (
+  SELECT i.conv_id, b.pos, b.role, b.text FROM ids i JOIN base b ON b.conv_id = i.base WHERE b.pos <= i.h
+  UNION ALL
+  SELECT i.conv_id, b.pos, b.role, b.text FROM ids i JOIN base b ON b.conv_id = i.conv_id WHERE b.pos > i.h),
+steps AS (
+  SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+         list(sha256(strlen(role) || ':' || role || text)) OVER w AS path
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+paths AS (
+  SELECT conv_id, depth, bytes, sha256(array_to_string(path, '')) AS node,
+         CASE WHEN depth > 1 THEN sha256(array_to_string(path[:-2], '')) ELSE '' END AS parent FROM steps
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM ids),
+ended AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT node, any_value(p.depth) AS depth, any_value(parent) AS parent, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE p.depth = e.depth), '')) AS ends_sha256
+  FROM paths p JOIN ended e USING (conv_id) GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+weights AS (
+  SELECT n.conv_id, n.depth, (n.n_convs - 1) * n.bytes AS saved, CASE WHEN c.n IS NULL THEN 1 ELSE 0 END AS leaf
+  FROM nodes n LEFT JOIN children c USING (node)),
+subtree AS (
+  SELECT p.node, sum(saved) AS saved, sum(leaf) AS leaves
+  FROM weights w JOIN paths p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+       s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtree s USING (node) LEFT JOIN children c ON c.node = n.node LEFT JOIN nodes u ON u.node = n.parent
+"""
+
+ORACLE["op13_prefix_trie"] = OP13

@@ -8,7 +8,7 @@ import corpus_pipeline
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from shipwatch.llm import bagminhash, decontaminate, extraction, language, maxscore, packing, privacy, quality, runs, substring, token_counts, warc
+from shipwatch.llm import bagminhash, decontaminate, extraction, language, maxscore, packing, prefix_trie, privacy, quality, runs, substring, token_counts, warc
 from shipwatch.llm.store import new_folder, read
 
 
@@ -62,6 +62,10 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -69,6 +73,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_maxscore, op3_warc, op4_near_duplicates, op5_decontaminate, op6_substring_dedup, op7_privacy, op8_main_text, op9_language, op10_packing,
-        op11_word_runs, op12_quality,
+        op11_word_runs, op12_quality, op13_prefix_trie,
         pipeline)
 }
