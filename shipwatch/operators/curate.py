@@ -38,6 +38,14 @@ def assert_dates_parsed(parsed: DataFrame, check_empty: bool = False) -> DataFra
     return parsed
 
 
+def dates_checked(parsed: DataFrame) -> DataFrame:
+    """Any unparsable date fails the job that reads the rows; no job of its own."""
+    told = F.concat(F.lit("unparsable order or shipping date in a row of the order export (order "),
+                    F.coalesce(F.col("order_id").cast("string") if "order_id" in parsed.columns else F.lit(None), F.lit("unknown")), F.lit(")"))
+    return parsed.withColumns({c: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(told).cast("timestamp_ntz"))
+                               for c in ("order_date", "shipping_date")})
+
+
 def coerce_order_numbers(df: DataFrame) -> DataFrame:
     out = {}
     for c in fv.NUMERIC_ORDER_COLUMNS:
@@ -61,17 +69,21 @@ def curate_orders(raw: DataFrame, on_bad_dates: str = "raise", check_empty: bool
     """Raw order export (text) -> curated 30-column order-line table.
 
     ``on_bad_dates``: ``"raise"`` fails the run when any date is unparsable
-    (with the row count) or the input is empty; ``"drop"`` removes those rows
-    instead (the quality report counts them) and runs no job of its own, so an
-    empty input gives an empty table.
+    (with the row count) or the input is empty, in a job of its own; ``"assert"``
+    checks every row in the plan itself, so the pass that writes or reads the
+    table fails at the first such row; ``"drop"`` removes those rows instead
+    (the quality report counts them). With the last two an empty input gives an
+    empty table.
     """
     df = parse_order_dates(normalize_columns(raw))
     if on_bad_dates == "raise":
         assert_dates_parsed(df, check_empty)
+    elif on_bad_dates == "assert":
+        df = dates_checked(df)
     elif on_bad_dates == "drop":
         df = df.filter(F.col("order_date").isNotNull() & F.col("shipping_date").isNotNull())
     else:
-        raise ValueError(f"on_bad_dates must be 'raise' or 'drop', not {on_bad_dates!r}")
+        raise ValueError(f"on_bad_dates must be 'raise', 'assert' or 'drop', not {on_bad_dates!r}")
     df = rename_present(df, fv.ORDER_RENAMES)
     require_columns(df, ["customer_id"], "order export")
     df = df.withColumn("customer_id_hash", hash_identifier("customer_id"))

@@ -1,32 +1,38 @@
-"""Late-delivery risk model on pyspark.ml: encode, fit, score, explain.
+"""Late-delivery risk model: encode, fit with pyspark.ml, score by SQL, explain.
 
 Encoding follows "one-hot with a minimum frequency": category values seen
 fewer than ``min_frequency`` times in training share one slot, and so do
-values never seen in training. The vocabulary of frequent values is the
-model's own state (it is what the fitted encoder stores), collected once from
-one partial aggregate over the training rows. A ``StringIndexerModel`` built
-from it with ``handleInvalid="keep"`` sends rare and unseen values to the
-extra index; when a feature had no rare values that slot has no training
-rows, its coefficient stays 0 under the L2 penalty, and unseen values then
-contribute nothing, as an all-zero encoding would.
+values never seen in training. The encoder is a table of slots that rows are
+joined with (``encoding``); no vocabulary passes the driver. When a feature
+had no rare values its shared slot has no training rows, its coefficient stays
+0 under the L2 penalty, and unseen values then contribute nothing, as an
+all-zero encoding would.
+
+The fitted model is a table of terms: a coefficient per slot, per number and
+for the intercept. Scoring joins rows with it and adds up (``score_by_terms``);
+the pyspark.ml stages are kept beside it and give the same probabilities.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shipwatch import fixed_values as fv
 from shipwatch.functions import parse_number
 from shipwatch.operators import model as mdl
+from shipwatch.operators.encoding import indexed_slots, slot_column, with_slots
+from shipwatch.operators.medians import median_table
 from shipwatch.operators.metrics import combine_one_row
+from shipwatch.operators.ranking import global_rank
 from shipwatch.operators.sample import stratified_split
+from shipwatch.sources.committed import Store
 
 INFREQUENT = "__infrequent__"
 CAT = fv.CATEGORICAL_FEATURES
@@ -61,23 +67,6 @@ def encoder_slots(train: DataFrame, min_frequency: int = fv.MIN_CATEGORY_FREQUEN
     return frequent.select("feature", "value", "n", F.col("slot").cast("int").alias("slot")).unionByName(rare)
 
 
-def frequent_vocabulary(train: DataFrame, min_frequency: int = fv.MIN_CATEGORY_FREQUENCY) -> dict[str, list[str]]:
-    """Per feature the sorted values with slots of their own.
-
-    This is the model's own state: the fitted encoder and its coefficient
-    vector hold one entry per value on the driver in any case. Values below
-    ``min_frequency`` stay behind, so there are at most
-    rows x features / min_frequency of them; they come row by row, never as
-    one list in one task.
-    """
-    vocab: dict[str, list[str]] = {c: [] for c in CAT}
-    kept = value_counts(train).where(F.col("n") >= min_frequency).select("feature", "value")
-    for r in kept.toLocalIterator():
-        if r["value"] is not None:
-            vocab[r["feature"]].append(r["value"])
-    return {c: sorted(v) for c, v in vocab.items()}
-
-
 def scaler_constants(train: DataFrame) -> DataFrame:
     """(feature, mean, deviation): population values, a zero deviation as 1."""
     tall = train.select(F.explode(F.array(*[
@@ -120,32 +109,60 @@ def balanced_weights(train: DataFrame, label: str = fv.TARGET_COLUMN) -> DataFra
     return train.withColumn("class_weight", w.cast("double"))
 
 
+TERMS = "kind string, feature string, value string, slot int, index int, coefficient double, mean double, deviation double"
+
+
+class LateRiskModel:
+    """The fitted model: its table of terms (``TERMS``) and the pyspark.ml stages behind it."""
+
+    def __init__(self, terms: DataFrame, pipeline: PipelineModel):
+        self.terms, self.pipeline = terms, pipeline
+
+    @property
+    def stages(self) -> list:
+        return self.pipeline.stages
+
+    @property
+    def slots(self) -> DataFrame:
+        return self.terms.where("kind = 'category'").select("feature", "value", "slot")
+
+    def save(self, path: str) -> str:
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.pipeline.write().overwrite().save(f"{path}/stages")
+        return path
+
+    @staticmethod
+    def load(path: str) -> "LateRiskModel":
+        spark = SparkSession.getActiveSession()
+        return LateRiskModel(spark.read.schema(TERMS).parquet(f"{path}/terms"), PipelineModel.load(f"{path}/stages"))
+
+
+def with_indexes(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """Slots as the doubles that pyspark.ml encodes."""
+    return with_slots(rows, slots).withColumns({slot_column(c): F.col(slot_column(c)).cast("double") for c in CAT})
+
+
 def fit_late_risk_model(train: DataFrame, max_iter: int = fv.MAX_ITERATIONS,
-                        min_frequency: int = fv.MIN_CATEGORY_FREQUENCY) -> PipelineModel:
-    """Fit encoder, scaler and balanced, L2-penalised logistic regression.
+                        min_frequency: int = fv.MIN_CATEGORY_FREQUENCY, slots: DataFrame | None = None) -> LateRiskModel:
+    """Fit scaler and balanced, L2-penalised logistic regression over the slot table.
 
     Penalty: the reference objective C * sum(w_i loss_i) + |b|^2 / 2 with
     C = 1 and balanced weights (sum w_i = n) equals Spark's
     mean-weighted-loss + regParam / 2 |b|^2 with regParam = 1 / n.
     """
-    label = fv.TARGET_COLUMN
-    vocab = frequent_vocabulary(train, min_frequency)
-    idx_cols = [f"{c}__idx" for c in CAT]
+    spark, label = train.sparkSession, fv.TARGET_COLUMN
+    if slots is None:
+        slots = encoder_slots(train, min_frequency).checkpoint()
     vec_cols = [f"{c}__vec" for c in CAT]
-    # one single-column indexer per feature: the multi-column constructor pads
-    # shorter label lists with nulls, which breaks the one-hot metadata
-    indexers = [StringIndexerModel.from_labels(vocab[c], inputCol=c, outputCol=i, handleInvalid="keep")
-                for c, i in zip(CAT, idx_cols)]
-    prepared = train.withColumns({c: F.col(c).cast("string") for c in CAT})
-    for ix in indexers:
-        prepared = ix.transform(prepared)
-    ohe = OneHotEncoder(inputCols=idx_cols, outputCols=vec_cols, dropLast=False).fit(prepared)
-    scaler = population_scaler(prepared)
-    assembler = VectorAssembler(inputCols=vec_cols + [f"numerical__{c}" for c in NUM],
-                                outputCol="features")
+    last = {r["feature"]: float(r["last"]) for r in slots.groupBy("feature").agg(F.max("slot").alias("last")).collect()}
+    # the one-hot stage learns the number of slots from a row of the last ones: eleven numbers
+    sizes = spark.createDataFrame([tuple(last[c] for c in CAT)], ", ".join(f"`{slot_column(c)}` double" for c in CAT))
+    ohe = OneHotEncoder(inputCols=[slot_column(c) for c in CAT], outputCols=vec_cols, dropLast=False).fit(sizes)
+    prepared = with_indexes(train, slots)
+    scaler = population_scaler(train)
+    assembler = VectorAssembler(inputCols=vec_cols + [f"numerical__{c}" for c in NUM], outputCol="features")
     encoded = assembler.transform(scaler.transform(ohe.transform(prepared)))
-    weighted = balanced_weights(encoded, label).select("features", label, "class_weight")
-    weighted = weighted.persist()
+    weighted = balanced_weights(encoded, label).select("features", label, "class_weight").persist()
     try:
         n = weighted.count()
         lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="class_weight",
@@ -155,45 +172,124 @@ def fit_late_risk_model(train: DataFrame, max_iter: int = fv.MAX_ITERATIONS,
         lr_model = lr.fit(weighted)
     finally:
         weighted.unpersist()
-    return PipelineModel(stages=[*indexers, ohe, scaler, assembler, lr_model])
+    return LateRiskModel(model_terms(train, slots, lr_model), PipelineModel(stages=[ohe, scaler, assembler, lr_model]))
+
+
+def model_terms(train: DataFrame, slots: DataFrame, fitted) -> DataFrame:
+    """The coefficient vector met with the slots by index; the vector is the fit's own state."""
+    spark, values = train.sparkSession, fitted.coefficients.toArray().tolist()
+    by_index = spark.createDataFrame(list(enumerate(map(float, values))), "index int, coefficient double")
+    n_slots = len(values) - len(NUM)
+    categories = indexed_slots(slots).join(by_index.where(F.col("index") < n_slots), "index").select(
+        F.lit("category").alias("kind"), "feature", "value", "slot", "index", "coefficient",
+        F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("deviation"))
+    at = F.array_position(F.array(*[F.lit(c) for c in NUM]), F.col("feature")).cast("int") - 1 + n_slots
+    none = F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("slot")
+    numbers = scaler_constants(train).withColumn("index", at).join(by_index, "index").select(
+        F.lit("number").alias("kind"), "feature", *none, "index", "coefficient", "mean", "deviation")
+    return categories.unionByName(numbers).unionByName(intercept_term(spark, float(fitted.intercept))).checkpoint()
+
+
+def intercept_term(spark: SparkSession, value: float) -> DataFrame:
+    return spark.createDataFrame([("intercept", "intercept", None, None, None, value, None, None)], TERMS)
+
+
+def share_terms(train: DataFrame, slots: DataFrame) -> DataFrame:
+    """Terms straight from the shares of the training rows, without a fit.
+
+    A slot's coefficient is the late share of its rows less one half (0 without
+    rows); a number's is the mean of the late rows less the mean of all, in
+    units of its range; the intercept is the late share less one half. A plain
+    model to compare a fitted one with; its sums are exact.
+    """
+    y = F.col(fv.TARGET_COLUMN)
+    tall = train.select(y.alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in CAT])).alias("kv")).select("y", "kv.*")
+    late = tall.groupBy("feature", "value").agg(F.sum("y").alias("late"), F.count(F.lit(1)).alias("n"))
+    frequent = slots.where("value is not null").select("feature", "value", "slot")
+    met = late.join(frequent, ["feature", "value"], "left").withColumn("value", F.when(F.col("slot").isNotNull(), F.col("value")))
+    shares = met.groupBy("feature", "value").agg((F.sum("late") / F.sum("n") - F.lit(0.5)).alias("share"))
+    key = [F.col("s.feature") == F.col("h.feature"), F.col("s.value").eqNullSafe(F.col("h.value"))]
+    none = F.lit(None).cast("double")
+    categories = indexed_slots(slots).alias("s").join(shares.alias("h"), key, "left").select(
+        F.lit("category").alias("kind"), "s.feature", "s.value", "s.slot", "s.index", F.coalesce("share", F.lit(0.0)).alias("coefficient"),
+        none.alias("mean"), none.alias("deviation"))
+    exact, pos = {c: F.col(c).cast("decimal(38,6)") for c in NUM}, F.sum(y)
+    n = F.count(F.lit(1))
+    figures = train.agg(
+        (pos / n - F.lit(0.5)).alias("intercept"),
+        *[x for c in NUM for x in (
+            (F.sum(exact[c]).cast("double") / n).alias(f"{c}__mean"),
+            (F.sum(F.when(y == 1, exact[c])).cast("double") / pos).alias(f"{c}__late"),
+            (F.max(c) - F.min(c)).alias(f"{c}__range"))])
+    none_text, none_int = F.lit(None).cast("string"), F.lit(None).cast("int")
+    rows = [F.struct(F.lit("number").alias("kind"), F.lit(c).alias("feature"), none_text.alias("value"), none_int.alias("slot"), none_int.alias("index"),
+                     ((F.col(f"{c}__late") - F.col(f"{c}__mean")) / F.nullif(F.col(f"{c}__range"), F.lit(0.0))).alias("coefficient"),
+                     F.col(f"{c}__mean").alias("mean"), F.coalesce(F.nullif(F.col(f"{c}__range"), F.lit(0.0)), F.lit(1.0)).alias("deviation"))
+            for c in NUM]
+    rows.append(F.struct(F.lit("intercept").alias("kind"), F.lit("intercept").alias("feature"), none_text.alias("value"), none_int.alias("slot"),
+                         none_int.alias("index"), F.coalesce("intercept", F.lit(0.0)).alias("coefficient"), none.alias("mean"), none.alias("deviation")))
+    others = figures.select(F.explode(F.array(*rows)).alias("t")).select("t.*").withColumn("coefficient", F.coalesce("coefficient", F.lit(0.0)))
+    return categories.unionByName(others).checkpoint()
+
+
+def score_by_terms(terms: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add ``late_delivery_risk_probability`` and the strict >0.5 class: a sparse dot product by joins.
+
+    Each categorical feature meets its terms by an equi join on the value (one
+    that is rare or unknown takes the shared term); the numbers, the shared
+    terms and the intercept, some fifteen values, are one scalar subquery.
+    """
+    shared = terms.where("kind <> 'category' or value is null").agg(F.map_from_entries(F.collect_list(
+        F.struct("feature", F.struct("coefficient", "mean", "deviation"))))).scalar()
+
+    def one(feature: str, part: str = "coefficient") -> Column:
+        return F.element_at(shared, F.lit(feature))[part]
 
+    out, total = rows, one("intercept")
+    for c in CAT:
+        mine = terms.where((F.col("kind") == "category") & (F.col("feature") == c) & F.col("value").isNotNull()).select(
+            F.col("value").alias(f"{c}__value"), F.col("coefficient").alias(f"{c}__term"))
+        out = out.join(mine, F.col(c).cast("string") == F.col(f"{c}__value"), "left")
+        total = total + F.coalesce(f"{c}__term", one(c), F.lit(0.0))
+    for c in NUM:
+        total = total + one(c) * ((F.col(c) - one(c, "mean")) / one(c, "deviation"))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+    return out.withColumn("late_delivery_risk_probability", p).select(
+        *rows.columns, "late_delivery_risk_probability",
+        (F.col("late_delivery_risk_probability") > F.lit(fv.DECISION_THRESHOLD)).cast("int").alias("late_delivery_risk_pred"))
 
-def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
-    """Add ``late_delivery_risk_probability`` and the strict >0.5 class."""
-    out = model.transform(frame.withColumns({c: F.col(c).cast("string") for c in CAT}))
+
+def score(model: LateRiskModel, frame: DataFrame) -> DataFrame:
+    """The same through the pyspark.ml stages; keeps their ``features`` vector."""
+    out = model.pipeline.transform(with_indexes(frame.withColumns({c: F.col(c).cast("string") for c in CAT}), model.slots))
     p = vector_to_array("probability")[1]
     return out.withColumn("late_delivery_risk_probability", p) \
         .withColumn("late_delivery_risk_pred", (p > F.lit(fv.DECISION_THRESHOLD)).cast("int"))
 
 
-def feature_names(model: PipelineModel) -> list[str]:
-    """Names of the model's input slots, in coefficient order."""
-    names = []
-    for c, ix in zip(CAT, model.stages[:len(CAT)]):
-        labels = ix.labelsArray[0]
-        names += [f"categorical__{c}_{v}" for v in labels] + [f"categorical__{c}_{INFREQUENT}"]
-    names += [f"numerical__{c}" for c in NUM]
-    return names
+def term_names(terms: DataFrame) -> DataFrame:
+    """(index, feature, coefficient) of every input of the model, with the names that reports show."""
+    name = F.when(F.col("kind") == "category", F.concat(F.lit("categorical__"), "feature", F.lit("_"), F.coalesce("value", F.lit(INFREQUENT)))) \
+        .otherwise(F.concat(F.lit("numerical__"), "feature"))
+    return terms.where("kind <> 'intercept'").select("index", name.alias("feature"), "coefficient")
 
 
-def ranked_importance(coefficients: DataFrame) -> DataFrame:
-    """(feature, coefficient) -> absolute importance and rank (ties by name).
+def feature_names(model: LateRiskModel) -> list[str]:
+    """The names in coefficient order, on the driver: to look at a model, no step of scoring or training."""
+    return [r["feature"] for r in term_names(model.terms).orderBy("index").collect()]
 
-    One row per model slot; the window runs over that table only.
-    """
-    df = coefficients.withColumn("abs_importance", F.abs("coefficient"))
-    w = Window.orderBy(F.desc("abs_importance"), "feature")
-    return df.withColumn("rank", F.row_number().over(w)).select("rank", "feature", "coefficient", "abs_importance")
+
+def ranked_importance(coefficients: DataFrame) -> DataFrame:
+    """(feature, coefficient) -> absolute importance and rank (ties by name)."""
+    df = coefficients.select("feature", "coefficient", F.abs("coefficient").alias("abs_importance"))
+    ranked = global_rank(df, F.desc("abs_importance"), F.col("feature"))
+    return ranked.select(F.col("rank").cast("int").alias("rank"), "feature", "coefficient", "abs_importance")
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
-    """Coefficient per encoded feature, its absolute value and rank."""
-    coefs = model.stages[-1].coefficients.toArray().tolist()
-    names = feature_names(model)
-    if len(names) != len(coefs):
-        raise ValueError(f"{len(names)} names for {len(coefs)} coefficients")
-    spark = SparkSession.getActiveSession()
-    return ranked_importance(spark.createDataFrame(list(zip(names, map(float, coefs))), "feature string, coefficient double"))
+def feature_importance(model: "LateRiskModel | DataFrame") -> DataFrame:
+    """Coefficient per encoded feature (of a model or its terms), its absolute value and rank."""
+    return ranked_importance(term_names(model if isinstance(model, DataFrame) else model.terms).drop("index"))
 
 
 def top_features(importance: DataFrame, n: int = fv.TOP_FEATURES) -> DataFrame:
@@ -213,10 +309,13 @@ def fill_scenarios(scenarios: DataFrame) -> DataFrame:
     return scenarios.withColumns(cols)
 
 
-def score_scenarios(model: PipelineModel, scenarios: DataFrame) -> DataFrame:
-    """Probability and class (probability >= 0.5) for a table of scenarios."""
-    scored = score(model, fill_scenarios(scenarios))
-    return scored.select(*scenarios.columns, "late_delivery_risk_probability",
+def score_scenarios(model: "LateRiskModel | DataFrame", scenarios: DataFrame) -> DataFrame:
+    """Probability and class (probability >= 0.5) for a table of scenarios, by the model's terms."""
+    terms = model if isinstance(model, DataFrame) else model.terms
+    # the filled values stand in the feature columns while scoring, the given ones in the result
+    given = scenarios.select("*", F.struct(*[F.col(f"`{c}`") for c in scenarios.columns]).alias("_given"))
+    scored = score_by_terms(terms, fill_scenarios(given))
+    return scored.select("_given.*", "late_delivery_risk_probability",
                          (F.col("late_delivery_risk_probability") >= F.lit(fv.DECISION_THRESHOLD))
                          .cast("int").alias("late_delivery_risk_class"))
 
@@ -233,61 +332,102 @@ def run_counts(split: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("split") == "test", y)).alias("positive_class_rate_test"))
 
 
+def rows_fingerprint(rows: DataFrame, settings: str = "") -> str:
+    """A name for the content of ``rows``, whatever their order and partitioning (one aggregate)."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
+    a, b = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    r = rows.select(a.alias("a"), b.alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("x"), F.sum(F.col("a").cast("decimal(38,0)")).alias("s"),
+        F.bit_xor("b").alias("y"), F.sum(F.col("b").cast("decimal(38,0)")).alias("t")).first()
+    return hashlib.sha256("|".join(map(str, [*r, settings, fv.RANDOM_SEED, fv.TEST_FRACTION, fv.MIN_CATEGORY_FREQUENCY])).encode()).hexdigest()[:32]
+
+
 class TrainingRun:
-    """Everything one training produces, lazily usable as DataFrames."""
-
-    def __init__(self, frame: DataFrame, key: str = "order_item_id"):
-        self.key = key
-        # the split feeds the vocabulary, encoder, scaler, weights, the fit and
-        # every evaluation: keep it (memory, spilling to disk) instead of
-        # re-deriving it; a lost block is recomputed from its lineage
-        # the split makes several passes over its input: keep the frame only
-        # until the split itself is materialised
-        frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
-        split = stratified_split(frame, key, fv.TARGET_COLUMN).persist(StorageLevel.MEMORY_AND_DISK)
-        split.count()
-        frame.unpersist()
-        self.split = split
-        self.train = split.filter(F.col("split") == "train").drop("split")
-        self.test = split.filter(F.col("split") == "test").drop("split")
-        self.model = fit_late_risk_model(self.train)
-        self.created_at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        self._scores: DataFrame | None = None
-
-    def test_scores(self) -> DataFrame:
-        if self._scores is None:
-            self._scores = score(self.model, self.test).persist(StorageLevel.MEMORY_AND_DISK)
-        return self._scores
-
-    def release(self) -> None:
-        """Drop the kept split and scores."""
-        if self._scores is not None:
-            self._scores.unpersist()
-        self.split.unpersist()
+    """Everything one training produces, read from a store of committed results.
+
+    The store is keyed by the fingerprint of the training rows: the first run
+    over some rows writes the split once, then the model and what follows from
+    it, and commits them; every later run over the same rows reads them. A run
+    that breaks commits nothing.
+    """
+
+    def __init__(self, orders: DataFrame, store: Store, key: str = "order_item_id"):
+        self.spark, self.store, self.key = orders.sparkSession, store, key
+        self.orders = orders.select(key, *CAT, *NUM, fv.TARGET_COLUMN)
+        self.name = rows_fingerprint(self.orders)
+
+    # -- the split
+
+    def _write_split(self, path: str) -> None:
+        frame = mdl.model_frame(self.orders, key=self.key, check="plan")
+        frame.write.parquet(f"{path}/frame")
+        frame = self.spark.read.schema(frame.schema).parquet(f"{path}/frame")
+        stratified_split(frame, self.key, fv.TARGET_COLUMN).write.parquet(f"{path}/split")
+
+    @property
+    def split(self) -> DataFrame:
+        path = self.store.get(f"split-{self.name}", self._write_split)
+        columns = [f"{self.key} {self.orders.schema[self.key].dataType.simpleString()}", *[f"{c} string" for c in CAT],
+                   *[f"{c} double" for c in NUM], f"{fv.TARGET_COLUMN} int", "split string"]
+        return self.spark.read.schema(", ".join(columns)).parquet(f"{path}/split")
+
+    @property
+    def frame(self) -> DataFrame:
+        return self.split.drop("split")
+
+    @property
+    def train(self) -> DataFrame:
+        return self.split.where("split = 'train'").drop("split")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.split.where("split = 'test'").drop("split")
+
+    # -- the encoder and the model
+
+    @property
+    def slots(self) -> DataFrame:
+        path = self.store.get(f"slots-{self.name}", lambda at: encoder_slots(self.train).write.parquet(f"{at}/slots"))
+        return self.spark.read.schema("feature string, value string, n bigint, slot int").parquet(f"{path}/slots")
+
+    def _write_model(self, path: str) -> None:
+        model = fit_late_risk_model(self.train, slots=self.slots)
+        model.save(f"{path}/model")
+        scored = score_by_terms(self.spark.read.schema(TERMS).parquet(f"{path}/model/terms"), self.test)
+        scored.select(self.key, *CAT, *NUM, F.col(fv.TARGET_COLUMN).alias("late_delivery_risk_real"),
+                      "late_delivery_risk_pred", "late_delivery_risk_probability").write.parquet(f"{path}/predictions")
+        self._record(self.spark.read.parquet(f"{path}/predictions")).write.parquet(f"{path}/record")
+
+    def _fitted(self) -> str:
+        return self.store.get(f"model-{self.name}", self._write_model)
+
+    @property
+    def model(self) -> LateRiskModel:
+        return LateRiskModel.load(f"{self._fitted()}/model")
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.spark.read.schema(TERMS).parquet(f"{self._fitted()}/model/terms")
 
     def predictions(self) -> DataFrame:
         """Every scored test row."""
-        s = self.test_scores()
-        return s.select(self.key, *CAT, *NUM,
-                        F.col(fv.TARGET_COLUMN).alias("late_delivery_risk_real"),
-                        "late_delivery_risk_pred", "late_delivery_risk_probability")
+        return self.spark.read.parquet(f"{self._fitted()}/predictions")
 
     def prediction_head(self, n: int = fv.PREDICTION_SAMPLE_ROWS) -> DataFrame:
         """The first ``n`` scored rows by key: what the dashboard shows."""
         return self.predictions().orderBy(self.key).limit(n)
 
-    def metrics(self) -> DataFrame:
-        s = self.test_scores()
-        m = mdl.classification_metrics(s, fv.TARGET_COLUMN, "late_delivery_risk_pred")
-        auc = mdl.roc_auc(s, fv.TARGET_COLUMN, "late_delivery_risk_probability").select("roc_auc")
-        return combine_one_row(m, auc)
-
     def record(self) -> DataFrame:
         """One-row run record: counts, class rates, metrics, settings."""
-        out = combine_one_row(self.metrics(), run_counts(self.split))
+        return self.spark.read.parquet(f"{self._fitted()}/record")
+
+    def _record(self, scored: DataFrame) -> DataFrame:
+        m = mdl.classification_metrics(scored, "late_delivery_risk_real", "late_delivery_risk_pred")
+        auc = mdl.roc_auc(scored, "late_delivery_risk_real", "late_delivery_risk_probability").select("roc_auc")
+        out = combine_one_row(m, auc, run_counts(self.split))
         return out.select(
             F.lit(fv.MODEL_NAME).alias("model_name"),
-            F.lit(self.created_at).cast("timestamp_ntz").alias("created_at_utc"),
+            F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz").alias("created_at_utc"),
             F.lit(fv.TARGET_COLUMN).alias("target_column"), "*",
             F.array(*[F.lit(c) for c in CAT]).alias("categorical_features"),
             F.array(*[F.lit(c) for c in NUM]).alias("numerical_features"),
@@ -304,11 +444,12 @@ def feature_schema(frame: DataFrame, created_at: dt.datetime | None = None) -> D
         .alias("options"))
     options = opts.agg(F.map_from_entries(F.collect_list(F.struct("feature", "options")))
                        .alias("categorical_options"))
-    ends: dict[str, tuple] = {}
-    meds = mdl.exact_medians(frame, NUM, ends)
+    numbers = median_table(frame, NUM).agg(F.map_from_entries(F.collect_list(
+        F.struct("feature", F.struct("median", "min", "max")))).alias("m")).scalar()
 
-    def numbers(values: dict, default: float) -> Column:
-        return F.create_map(*[x for c in NUM for x in (F.lit(c), F.lit(default if values[c] is None else values[c]))])
+    def of_numbers(part: str, default: float) -> Column:
+        return F.create_map(*[x for c in NUM for x in (
+            F.lit(c), F.coalesce(F.try_element_at(numbers, F.lit(c))[part], F.lit(default)))])
 
     cat_defaults = F.map_from_entries(F.transform(
         F.map_entries("categorical_options"),
@@ -321,7 +462,7 @@ def feature_schema(frame: DataFrame, created_at: dt.datetime | None = None) -> D
         F.array(*[F.lit(c) for c in NUM]).alias("numerical_features"),
         F.array(*[F.lit(c) for c in fv.LEAKAGE_COLUMNS]).alias("leakage_columns_excluded"),
         "categorical_options", cat_defaults.alias("categorical_defaults"),
-        numbers(meds, 0.0).alias("numerical_defaults"),
-        numbers({c: ends[c][0] for c in NUM}, 0.0).alias("numerical_min"),
-        numbers({c: ends[c][1] for c in NUM}, 1.0).alias("numerical_max"),
+        of_numbers("median", 0.0).alias("numerical_defaults"),
+        of_numbers("min", 0.0).alias("numerical_min"),
+        of_numbers("max", 1.0).alias("numerical_max"),
         F.lit(fv.RANDOM_SEED).alias("random_seed"))

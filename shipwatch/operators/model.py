@@ -11,14 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shipwatch import fixed_values as fv
 from shipwatch.functions import clean_text, parse_number
+from shipwatch.operators.medians import exact_medians, median_map, median_table  # noqa: F401
 from shipwatch.operators.schema_ops import require_columns
 
-# rank error bound of percentile_approx is 1/accuracy of the row count
-MEDIAN_ACCURACY = 100_000
-# largest bracket whose distinct values are ranked in one task per column
-MAX_BRACKET_ROWS = 1_000_000
-
-
 def check_target(df: DataFrame, target: str = fv.TARGET_COLUMN, also: list[Column] | None = None):
     """Fail when the target has nulls, unparsable text or classes other than 0/1.
 
@@ -34,121 +29,40 @@ def check_target(df: DataFrame, target: str = fv.TARGET_COLUMN, also: list[Colum
     return row
 
 
-def exact_medians(df: DataFrame, columns: list[str], ends: dict | None = None) -> dict[str, float | None]:
-    """Exact median of each numeric column (mean of the two middle values).
+def checked_target(target: str = fv.TARGET_COLUMN) -> Column:
+    """The target as 0/1; any other value fails the job that reads it."""
+    t = parse_number(target)
+    told = F.concat(F.lit(f"target {target!r} is not 0 or 1: "), F.coalesce(F.col(target).cast("string"), F.lit("missing")))
+    return F.when(t.isin(0.0, 1.0), t.cast("int")).otherwise(F.raise_error(told).cast("int"))
 
-    No task holds a whole column. One pass counts the rows and brackets the
-    middle ranks with ``percentile_approx`` (rank error bounded by
-    1/accuracy of the row count); a pass counts the rows below and inside
-    each bracket; while a bracket still holds more than ``MAX_BRACKET_ROWS``
-    rows it is narrowed again with ``percentile_approx`` over its own rows
-    (each round shrinks it about accuracy/4-fold). Finally only the distinct
-    values inside the brackets are ranked, all columns in one job,
-    partitioned by column. A bracket that misses the middle ranks (it cannot,
-    within the bound) falls back to the column's full range, which stays
-    exact.
-    """
-    if not columns:
-        return {}
-    # the passes below all read the same narrow projection: keep it (memory,
-    # spilling to disk) for the duration instead of re-deriving its lineage
-    vals = df.select(*[F.col(c).cast("double").alias(c) for c in columns]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _exact_medians(vals, columns, {} if ends is None else ends)
-    finally:
-        vals.unpersist()
-
-
-def _exact_medians(vals: DataFrame, columns: list[str], ends: dict) -> dict[str, float | None]:
-    eps = 2.0 / MEDIAN_ACCURACY
-    aggs = []
-    for c in columns:
-        aggs += [F.count(c).alias(f"{c}__n"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"),
-                 F.percentile_approx(c, [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], MEDIAN_ACCURACY)
-                 .alias(f"{c}__b")]
-    first = vals.agg(*aggs).first()
-    # per column: [n, k1, k2, lo, hi, below, inside, vmin, vmax]
-    state: dict[str, list] = {}
-    for c in columns:
-        n = first[f"{c}__n"]
-        ends[c] = (first[f"{c}__min"], first[f"{c}__max"])
-        if n:
-            lo, hi = first[f"{c}__b"]
-            state[c] = [n, (n + 1) // 2, n // 2 + 1, lo, hi, 0, 0, first[f"{c}__min"], first[f"{c}__max"]]
-    out: dict[str, float | None] = {c: None for c in columns}
-    if not state:
-        return out
-
-    def count_brackets(cols: list[str]) -> None:
-        row = vals.agg(*[x for c in cols for x in (
-            F.count_if(F.col(c) < state[c][3]).alias(f"{c}__below"),
-            F.count_if((F.col(c) >= state[c][3]) & (F.col(c) <= state[c][4])).alias(f"{c}__in"))]).first()
-        for c in cols:
-            st = state[c]
-            st[5], st[6] = row[f"{c}__below"], row[f"{c}__in"]
-            if not (st[5] < st[1] and st[5] + st[6] >= st[2]):
-                st[3], st[4], st[5], st[6] = st[7], st[8], 0, st[0]
-
-    count_brackets(list(state))
-    wide = [c for c in state if state[c][6] > MAX_BRACKET_ROWS]
-    while wide:
-        narrowed = []
-        for c in wide:
-            n, k1, k2, lo, hi, below, inside = state[c][:7]
-            q_lo = max(0.0, (k1 - below) / inside - eps)
-            q_hi = min(1.0, (k2 - below) / inside + eps)
-            inner = vals.select(F.col(c).alias("v")).filter((F.col("v") >= lo) & (F.col("v") <= hi))
-            b = inner.agg(F.percentile_approx("v", [q_lo, q_hi], MEDIAN_ACCURACY).alias("b")).first()["b"]
-            if b[0] > lo or b[1] < hi:
-                state[c][3], state[c][4] = b[0], b[1]
-                narrowed.append(c)
-        if not narrowed:
-            break
-        count_brackets(narrowed)
-        wide = [c for c in narrowed if state[c][6] > MAX_BRACKET_ROWS]
-
-    parts = []
-    for c, (n, k1, k2, lo, hi, below, inside, _, _) in state.items():
-        parts.append(F.when((F.col(c) >= lo) & (F.col(c) <= hi),
-                            F.struct(F.lit(c).alias("feature"), F.col(c).alias("v"),
-                                     F.lit(below).cast("bigint").alias("below"),
-                                     F.lit(k1).cast("bigint").alias("k1"),
-                                     F.lit(k2).cast("bigint").alias("k2"))))
-    tall = vals.select(F.explode(F.array(*parts)).alias("x")).filter(F.col("x").isNotNull()).select("x.*")
-    bracket = tall.groupBy("feature", "v", "below", "k1", "k2").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = bracket.withColumn("cum", F.sum("n").over(w) + F.col("below"))
-    picks = ranked.groupBy("feature").agg(
-        F.min(F.when(F.col("cum") >= F.col("k1"), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("cum") >= F.col("k2"), F.col("v"))).alias("b")).collect()
-    for r in picks:
-        out[r["feature"]] = r["a"] + (r["b"] - r["a"]) * 0.5
-    return out
-
-
-def model_frame(df: DataFrame, key: str | None = "order_item_id", check: bool = True,
+
+def model_frame(df: DataFrame, key: str | None = "order_item_id", check: bool | str = True,
                 medians: dict[str, float | None] | None = None) -> DataFrame:
     """Categorical features to trimmed text (missing/blank -> UNKNOWN),
     numeric features to double with missing values set to the exact median,
-    target to int (checked to be 0/1)."""
+    target to int.
+
+    ``check``: True counts the targets that are not 0/1 in a job of its own and
+    fails at once with their number; ``"plan"`` checks every row in the plan
+    itself, so the job that reads the frame fails at the first such row and
+    nothing runs before it; False does not check. Medians that are not given
+    are a scalar subquery of the plan.
+    """
     require_columns(df, fv.CATEGORICAL_FEATURES + fv.NUMERICAL_FEATURES + [fv.TARGET_COLUMN],
                     "model input")
     staged = df.withColumns({c: parse_number(c) for c in fv.NUMERICAL_FEATURES})
-    med = medians
-    if check or med is None:
-        # one pass for the target check and the missing counts; medians only where a value is missing
-        missing = [F.count_if(F.col(c).isNull()).alias(c) for c in fv.NUMERICAL_FEATURES]
-        row = check_target(staged, also=missing) if check else staged.agg(*missing).first()
-        if med is None:
-            med = exact_medians(staged, [c for c in fv.NUMERICAL_FEATURES if row[c]])
+    if check is True:
+        check_target(staged)
+    if medians is None:
+        found = median_map(staged, fv.NUMERICAL_FEATURES)
+        filled = {c: F.coalesce(c, F.try_element_at(found, F.lit(c)), F.lit(0.0)) for c in fv.NUMERICAL_FEATURES}
+    else:
+        filled = {c: F.coalesce(c, F.lit(0.0 if medians.get(c) is None else medians[c])) for c in fv.NUMERICAL_FEATURES}
     cols = [key] if key else []
     cols += [clean_text(c, nan_is_missing=False).alias(c) for c in fv.CATEGORICAL_FEATURES]
-    cols += [F.coalesce(F.col(c), F.lit(med.get(c) if med.get(c) is not None else 0.0)).alias(c)
-             for c in fv.NUMERICAL_FEATURES]
-    cols += [parse_number(fv.TARGET_COLUMN).cast("int")
-             .alias(fv.TARGET_COLUMN)]
-    return staged.select(*cols)
+    cols += [filled[c].alias(c) for c in fv.NUMERICAL_FEATURES]
+    target = checked_target() if check == "plan" else parse_number(fv.TARGET_COLUMN).cast("int")
+    return staged.select(*cols, target.alias(fv.TARGET_COLUMN))
 
 
 def features_and_target(frame: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -182,14 +96,9 @@ def category_vocabulary(frame: DataFrame, top: int = fv.MAX_CATEGORY_OPTIONS) ->
 
 
 def numeric_profile(frame: DataFrame) -> DataFrame:
-    """Median (exact), min and max of each numeric feature, one row each.
-
-    Least and largest value come with the medians' first pass.
-    """
-    ends: dict[str, tuple] = {}
-    meds = exact_medians(frame, fv.NUMERICAL_FEATURES, ends)
-    rows = [(c, meds[c], *ends.get(c, (None, None))) for c in fv.NUMERICAL_FEATURES]
-    return frame.sparkSession.createDataFrame(rows, "feature string, median double, min double, max double")
+    """Median (exact), min and max of each numeric feature, one row each; null without a value."""
+    names = frame.sparkSession.createDataFrame([(c,) for c in fv.NUMERICAL_FEATURES], "feature string")
+    return names.join(median_table(frame, fv.NUMERICAL_FEATURES), "feature", "left").select("feature", "median", "min", "max")
 
 
 def class_balance(split: DataFrame, label: str = fv.TARGET_COLUMN) -> DataFrame:

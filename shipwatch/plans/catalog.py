@@ -1,6 +1,6 @@
 """Named queries: each takes (spark, sf_dir) and returns a DataFrame.
 
-Results are lazy, but for the passes that fits, medians and splits need first.
+Results are lazy, but for what fits, splits and ranks need first.
 
 The set mirrors the operator inventory: every operator that produces a
 table is reachable through at least one named query run over whole tables.
@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shipwatch import fixed_values as fv
 from shipwatch.functions import parse_number
-from shipwatch.operators import (curate, filters, learn, metrics, model, quality, sample, sensors,
+from shipwatch.operators import (curate, encoding, filters, learn, metrics, model, quality, ranking, sample, sensors,
                                  stock, trace)
+from shipwatch.session import shared_path
 from shipwatch.sources import fixtures as fx
+from shipwatch.sources.committed import Store
 from shipwatch.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,11 +256,20 @@ def q_kpis(spark, sf_dir):
 
 # ---- step 8: model frame, split, profiles, metrics --------------------------------------
 
-def frame(spark, sf_dir) -> DataFrame:
-    """The model frame over all lines; every 79th quantity is missing, by turns as null and as ``nan``."""
+def model_source(spark, sf_dir) -> DataFrame:
+    """All lines; every 79th quantity is missing, by turns as null and as ``nan``."""
     gap, odd = F.pmod("order_item_id", F.lit(79)) == 0, F.pmod("order_item_id", F.lit(2)) == 1
     text = F.when(~gap, F.col("quantity").cast("string")).when(odd, F.lit("nan"))
-    return model.model_frame(lines(spark, sf_dir).withColumn("quantity", text), key="order_item_id")
+    return lines(spark, sf_dir).withColumn("quantity", text)
+
+
+def frame(spark, sf_dir) -> DataFrame:
+    return model.model_frame(model_source(spark, sf_dir), key="order_item_id", check="plan")
+
+
+def training(spark, sf_dir) -> "learn.TrainingRun":
+    """The training over all lines: its split, encoder and model are stored once for the same rows."""
+    return learn.TrainingRun(model_source(spark, sf_dir), Store(spark, shared_path(spark, "training")))
 
 
 @query("model_frame")
@@ -268,24 +279,22 @@ def q_model_frame(spark, sf_dir):
 
 @query("stratified_split")
 def q_stratified_split(spark, sf_dir):
-    return sample.stratified_split(frame(spark, sf_dir), "order_item_id", fv.TARGET_COLUMN) \
-        .select("order_item_id", fv.TARGET_COLUMN, "split")
+    return training(spark, sf_dir).split.select("order_item_id", fv.TARGET_COLUMN, "split")
 
 
 @query("category_vocabulary")
 def q_category_vocabulary(spark, sf_dir):
-    return model.category_vocabulary(frame(spark, sf_dir))
+    return model.category_vocabulary(training(spark, sf_dir).frame)
 
 
 @query("numeric_profile")
 def q_numeric_profile(spark, sf_dir):
-    return model.numeric_profile(frame(spark, sf_dir))
+    return model.numeric_profile(training(spark, sf_dir).frame)
 
 
 @query("class_balance")
 def q_class_balance(spark, sf_dir):
-    split = sample.stratified_split(frame(spark, sf_dir), "order_item_id", fv.TARGET_COLUMN)
-    return model.class_balance(split)
+    return model.class_balance(training(spark, sf_dir).split)
 
 
 @query("classification_metrics")
@@ -305,32 +314,27 @@ def q_roc_auc(spark, sf_dir):
 
 # ---- step 9: learning -------------------------------------------------------------------------
 # What SQL can say exactly has an oracle; the fit itself is checked by its
-# gradient in the tests. Every query that needs the model fits its own.
-
-def training(spark, sf_dir) -> DataFrame:
-    split = sample.stratified_split(frame(spark, sf_dir), "order_item_id", fv.TARGET_COLUMN)
-    return split.filter(F.col("split") == "train").drop("split")
-
+# gradient in the tests. Its queries read the stored model of the same rows.
 
 @query("encoder_slots")
 def q_encoder_slots(spark, sf_dir):
-    return learn.encoder_slots(training(spark, sf_dir))
+    return training(spark, sf_dir).slots
 
 
 @query("scaler_constants")
 def q_scaler_constants(spark, sf_dir):
-    return learn.scaler_constants(training(spark, sf_dir)).select(
+    return learn.scaler_constants(training(spark, sf_dir).train).select(
         "feature", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
 @query("class_weights")
 def q_class_weights(spark, sf_dir):
-    return learn.class_weights(training(spark, sf_dir))
+    return learn.class_weights(training(spark, sf_dir).train)
 
 
 @query("run_counts")
 def q_run_counts(spark, sf_dir):
-    return learn.run_counts(sample.stratified_split(frame(spark, sf_dir), "order_item_id", fv.TARGET_COLUMN))
+    return learn.run_counts(training(spark, sf_dir).split)
 
 
 @query("filled_scenarios")
@@ -350,7 +354,7 @@ def q_top_features(spark, sf_dir):
 
 @query("feature_schema")
 def q_feature_schema(spark, sf_dir):
-    return learn.feature_schema(frame(spark, sf_dir)).select(
+    return learn.feature_schema(training(spark, sf_dir).frame).select(
         "target_column", F.array_join("categorical_features", ",").alias("categorical_features"),
         F.array_join("numerical_features", ",").alias("numerical_features"),
         F.array_join(F.element_at("categorical_options", F.lit("shipping_mode")), ",").alias("shipping_modes"),
@@ -377,38 +381,56 @@ def scenarios(spark, sf_dir) -> DataFrame:
         .alias("days_shipping_scheduled"))
 
 
-def trained(spark, sf_dir, use: Callable[["learn.TrainingRun"], DataFrame]) -> DataFrame:
-    """``use`` a training run of its own; what the run keeps in memory goes when it has been used."""
-    run = learn.TrainingRun(frame(spark, sf_dir))
-    try:
-        return use(run)
-    finally:
-        run.release()
-
-
 @query("late_risk_predictions")
 def q_late_risk_predictions(spark, sf_dir):
-    return trained(spark, sf_dir, lambda run: run.predictions().checkpoint())
+    return training(spark, sf_dir).predictions()
 
 
 @query("late_risk_prediction_head")
 def q_late_risk_prediction_head(spark, sf_dir):
-    return trained(spark, sf_dir, lambda run: run.prediction_head().checkpoint())
+    return training(spark, sf_dir).prediction_head()
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    return trained(spark, sf_dir, lambda run: learn.feature_importance(run.model))
+    return learn.feature_importance(training(spark, sf_dir).terms)
 
 
 @query("scenario_scores")
 def q_scenario_scores(spark, sf_dir):
-    return trained(spark, sf_dir, lambda run: learn.score_scenarios(run.model, scenarios(spark, sf_dir)))
+    return learn.score_scenarios(training(spark, sf_dir).terms, scenarios(spark, sf_dir))
 
 
 @query("training_run")
 def q_training_run(spark, sf_dir):
-    return trained(spark, sf_dir, lambda run: run.record().checkpoint())
+    return training(spark, sf_dir).record()
+
+
+@query("encoded_rows")
+def q_encoded_rows(spark, sf_dir):
+    run = training(spark, sf_dir)
+    found = encoding.encoded_rows(run.frame, run.slots, "order_item_id")
+    return found.select("order_item_id", F.array_join("slots", ",").alias("slots"))
+
+
+@query("term_scores")
+def q_term_scores(spark, sf_dir):
+    run = training(spark, sf_dir)
+    scored = learn.score_by_terms(learn.share_terms(run.train, run.slots), run.test)
+    return scored.select("order_item_id", F.round("late_delivery_risk_probability", 9).alias("probability"), "late_delivery_risk_pred")
+
+
+@query("term_scenario_scores")
+def q_term_scenario_scores(spark, sf_dir):
+    run = training(spark, sf_dir)
+    scored = learn.score_scenarios(learn.share_terms(run.train, run.slots), scenarios(spark, sf_dir))
+    return scored.withColumn("late_delivery_risk_probability", F.round("late_delivery_risk_probability", 9))
+
+
+@query("lines_by_profit")
+def q_lines_by_profit(spark, sf_dir):
+    rows = lines(spark, sf_dir).select("order_item_id", "profit")
+    return ranking.global_rank(rows, F.col("profit").desc_nulls_last(), F.col("order_item_id"))
 
 
 # ---- step 11: streaming (drained with availableNow, read back) -------------------------------

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shipwatch import fixed_values as fv
 from shipwatch.operators import curate, curated_schema, learn, metrics, quality, sample, sensors, stock, trace
-from shipwatch.operators.model import model_frame
+from shipwatch.session import shared_path
 from shipwatch.sources import io
+from shipwatch.sources.committed import Store
 
 
 def _out(base: str, name: str) -> str:
@@ -97,14 +98,11 @@ def foundation_job(spark: SparkSession, raw_orders_path: str, raw_logs_path: str
 def training_job(spark: SparkSession, orders_path: str, out_dir: str) -> dict:
     """J11 with A10: train, evaluate, and save model, metrics, schema,
     importance and predictions."""
-    orders = io.load_orders(spark, orders_path)
-    frame = model_frame(orders, key="order_item_id")
-    run = learn.TrainingRun(frame)
+    run = learn.TrainingRun(io.load_orders(spark, orders_path), Store(spark, shared_path(spark, "training")))
     root = out_dir.rstrip("/")
     io.save_model(run.model, f"{root}/model")
     record = io.write_json_report(run.record(), f"{root}/metrics")
-    io.write_json_report(learn.feature_schema(frame.drop("order_item_id")), f"{root}/feature_schema")
-    io.export_csv(learn.feature_importance(run.model), f"{root}/feature_importance")
+    io.write_json_report(learn.feature_schema(run.frame.drop("order_item_id")), f"{root}/feature_schema")
+    io.export_csv(learn.feature_importance(run.terms), f"{root}/feature_importance")
     io.export_csv(run.predictions(), f"{root}/predictions")
-    run.release()
     return record

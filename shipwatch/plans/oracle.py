@@ -522,6 +522,58 @@ SELECT f.feature, NULL, CAST(coalesce(sum(n) FILTER (WHERE n < 25), 0) AS BIGINT
 FROM (SELECT DISTINCT feature FROM counts) f JOIN counts USING (feature) GROUP BY f.feature
 """, "order_lines", extra=TRAIN | {"tall": TALL_TRAIN, "counts": "SELECT feature, value, count(*) AS n FROM tall GROUP BY ALL"}))
 
+SLOTS = """
+SELECT feature, value, n, CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS slot
+FROM counts WHERE n >= 25
+UNION ALL
+SELECT feature, NULL, CAST(coalesce(sum(n) FILTER (WHERE n < 25), 0) AS BIGINT), CAST(count(n) FILTER (WHERE n >= 25) AS INTEGER)
+FROM counts GROUP BY feature
+"""
+ENCODER = TRAIN | {"tall": TALL_TRAIN, "counts": "SELECT feature, value, count(*) AS n FROM tall GROUP BY ALL", "slots": SLOTS}
+CAT_LIST = "[" + ", ".join(f"'{c}'" for c in CATS) + "]"
+
+oracle("encoded_rows", with_ctes(f"""
+SELECT order_item_id, array_to_string(list_sort(list(CAST(f.first + coalesce(s.slot, r.slot) AS INTEGER))), ',') AS slots
+FROM everything t
+LEFT JOIN slots s ON s.feature = t.feature AND s.value = t.value
+JOIN slots r ON r.feature = t.feature AND r.value IS NULL
+JOIN (SELECT feature, coalesce(sum(width) OVER (ORDER BY list_position({CAT_LIST}, feature) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+      FROM (SELECT feature, max(slot) + 1 AS width FROM slots GROUP BY feature) w) f ON f.feature = t.feature
+GROUP BY order_item_id
+""", "order_lines", extra=ENCODER | {"everything": "\nUNION ALL\n".join(
+    f"SELECT order_item_id, '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM model_frame" for c in CATS)}))
+
+SHARE_TERMS = {
+    "late": "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value, sum(late_delivery_risk) AS late, count(*) AS n FROM train GROUP BY {c}" for c in CATS),
+    "terms": """
+SELECT feature, value, late / n - 0.5::DOUBLE AS coefficient FROM late WHERE n >= 25
+UNION ALL
+SELECT feature, NULL, coalesce(sum(late) FILTER (WHERE n < 25) / sum(n) FILTER (WHERE n < 25) - 0.5::DOUBLE, 0.0) FROM late GROUP BY feature""",
+    "figures": "SELECT sum(late_delivery_risk) / count(*) - 0.5::DOUBLE AS intercept, " + ", ".join(
+        f"CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) / count(*) AS {c}__mean, "
+        f"CAST(sum(CAST({c} AS DECIMAL(38,6))) FILTER (WHERE late_delivery_risk = 1) AS DOUBLE) / sum(late_delivery_risk) AS {c}__late, "
+        f"max({c}) - min({c}) AS {c}__range" for c in NUMS) + " FROM train"}
+
+
+def by_terms(rows: str, columns: str, at_least: str) -> str:
+    """The sparse dot product over ``rows`` (with a column ``part`` that tells them apart)."""
+    joins = "\n".join(f"LEFT JOIN terms t{k} ON t{k}.feature = '{c}' AND t{k}.value = x.{c}" for k, c in enumerate(CATS))
+    rare = ", ".join(f"max(coefficient) FILTER (WHERE feature = '{c}' AND value IS NULL) AS {c}__rare" for c in CATS)
+    total = "f.intercept" + "".join(f" + coalesce(t{k}.coefficient, r.{c}__rare)" for k, c in enumerate(CATS)) + "".join(
+        f" + (f.{c}__late - f.{c}__mean) / f.{c}__range * ((x.{c} - f.{c}__mean) / f.{c}__range)" for c in NUMS)
+    return f"""
+SELECT {columns}, p, CAST(p {at_least} 0.5 AS INTEGER) AS class
+FROM (SELECT x.*, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({total}))) AS p
+      FROM {rows} x {joins}, figures f, (SELECT {rare} FROM terms) r) y
+"""
+
+
+oracle("term_scores", with_ctes(f"""
+SELECT order_item_id, round(p, 9) AS probability, class AS late_delivery_risk_pred
+FROM ({by_terms("(SELECT * FROM split WHERE split = 'test')", "order_item_id", ">")}) s
+""", "order_lines", extra=TRAIN | SHARE_TERMS))
+
 oracle("scaler_constants", with_ctes("\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END, 6) "
     f"AS deviation FROM train" for c in NUMS), "order_lines", extra=TRAIN))
@@ -554,6 +606,22 @@ oracle("filled_scenarios", with_ctes("SELECT " + ", ".join(
 FROM scenarios
 """, "order_lines", extra={"scenarios": SCENARIOS}))
 
+FILLED = "SELECT " + ", ".join(
+    f"coalesce({c}, 'UNKNOWN') AS {c}" if c in ("shipping_mode", "market", "order_city") else f"'UNKNOWN' AS {c}" for c in CATS) + """,
+       coalesce(CASE WHEN days_shipping_scheduled <> 'nan' THEN TRY_CAST(days_shipping_scheduled AS DOUBLE) END, 0.0) AS days_shipping_scheduled,
+       CAST(0.0 AS DOUBLE) AS quantity, CAST(0.0 AS DOUBLE) AS sales, shipping_mode AS given_mode, days_shipping_scheduled AS given_days
+FROM scenarios"""
+
+oracle("term_scenario_scores", with_ctes(f"""
+SELECT given_mode AS shipping_mode, market, order_city, given_days AS days_shipping_scheduled,
+       round(p, 9) AS late_delivery_risk_probability, class AS late_delivery_risk_class
+FROM ({by_terms("filled", "given_mode, market, order_city, given_days", ">=")}) s
+""", "order_lines", extra=TRAIN | SHARE_TERMS | {"scenarios": SCENARIOS, "filled": FILLED}))
+
+oracle("lines_by_profit", with_ctes("""
+SELECT order_item_id, profit, row_number() OVER (ORDER BY profit DESC NULLS LAST, order_item_id) AS rank FROM order_lines
+""", "order_lines"))
+
 COEFFICIENTS = """
 SELECT category_name AS feature, sum(late_delivery_risk) / count(*) - 0.5::DOUBLE AS coefficient
 FROM order_lines GROUP BY category_name

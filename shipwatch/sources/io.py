@@ -9,11 +9,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from shipwatch import fixed_values as fv
+from shipwatch.operators.learn import LateRiskModel
 from shipwatch.operators.schema_ops import require_columns
 
 RAW_ENCODING = "ISO-8859-1"
@@ -121,13 +121,12 @@ def export_csv(df: DataFrame, path: str) -> str:
     return write_table(df, path, "csv")
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
-    return path
+def save_model(model: LateRiskModel, path: str) -> str:
+    return model.save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> LateRiskModel:
+    return LateRiskModel.load(path)
 
 
 # dataset name -> (relative path, format, required columns) of the curated layer

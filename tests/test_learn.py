@@ -6,14 +6,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from shipwatch import fixed_values as fv
-from shipwatch.operators import learn
+from shipwatch.operators import encoding, learn
 from shipwatch.plans import catalog
+from shipwatch.sources.committed import Store
 from tests.conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")
 def train(spark):
-    return catalog.frame(spark, SF_SMALL).where("order_item_id % 4 <> 0").cache()
+    return catalog.frame(spark, SF_SMALL).where("order_item_id % 4 <> 0").checkpoint()
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +61,66 @@ def test_probability_is_monotone_in_the_score(train, model):
     scored = learn.score(model, train)
     wrong = scored.where((F.col("late_delivery_risk_probability") > 0.5) != (F.col("late_delivery_risk_pred") == 1))
     assert wrong.count() == 0
+
+
+def test_scores_by_terms_equal_the_fitted_stages(train, model, spark):
+    test = catalog.frame(spark, SF_SMALL).where("order_item_id % 4 = 0").checkpoint()
+    odd = test.withColumn("market", F.lit("a market never seen")).withColumn("order_city", F.lit(None).cast("string")).where("order_item_id % 96 = 0") \
+        .na.fill("UNKNOWN", ["order_city"]).withColumn("order_item_id", F.col("order_item_id") + 10 ** 9)
+    rows = test.unionByName(odd)
+    name = "late_delivery_risk_probability"
+    staged = {r.order_item_id: r for r in learn.score(model, rows).select("order_item_id", name, "late_delivery_risk_pred").collect()}
+    summed = learn.score_by_terms(model.terms, rows).collect()
+    assert len(summed) == len(staged) > 1000
+    assert all(abs(r[name] - staged[r.order_item_id][name]) < 1e-9 and r.late_delivery_risk_pred == staged[r.order_item_id].late_delivery_risk_pred
+               for r in summed)
+
+
+def test_model_is_saved_and_loaded_with_its_terms(train, model, tmp_path):
+    again = learn.LateRiskModel.load(model.save(str(tmp_path / "model")))
+    assert sorted(map(str, again.terms.collect())) == sorted(map(str, model.terms.collect()))
+    a, b = (learn.score(m, train.limit(20)).select("order_item_id", "late_delivery_risk_probability").collect() for m in (model, again))
+    assert sorted(a) == sorted(b)
+
+
+def test_encoded_rows_have_one_slot_a_feature(train, model):
+    rows = encoding.encoded_rows(train, model.slots, "order_item_id").collect()
+    names = learn.feature_names(model)
+    given = {r.order_item_id: r for r in train.collect()}
+    known = set(names)
+    for r in rows[:300]:
+        want = []
+        for c in fv.CATEGORICAL_FEATURES:
+            name = f"categorical__{c}_{given[r.order_item_id][c]}"
+            want.append(name if name in known else f"categorical__{c}_{learn.INFREQUENT}")
+        assert [names[i] for i in r.slots] == want
+    assert len(rows) == len(given)
+
+
+def test_runs_over_the_same_rows_share_one_fit(spark, tmp_path, monkeypatch):
+    fits = []
+    fit = learn.fit_late_risk_model
+    monkeypatch.setattr(learn, "fit_late_risk_model", lambda *a, **k: fits.append(1) or fit(*a, max_iter=5, **k))
+    source = catalog.model_source(spark, SF_SMALL).checkpoint()
+    store = Store(spark, str(tmp_path / "store"))
+    one = learn.TrainingRun(source, store)
+    with monkeypatch.context() as broken:                 # a run that breaks commits nothing
+        broken.setattr(learn, "run_counts", lambda split: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            one.predictions()
+    assert store.find(f"model-{one.name}") is None
+    first = one.predictions().collect()
+    two = learn.TrainingRun(source.repartition(3).select(*reversed(source.columns)), store)
+    assert two.name == one.name and sorted(two.predictions().collect()) == sorted(first) and len(fits) == 2
+    assert two.record().collect() == one.record().collect()
+    other = learn.TrainingRun(source.where("order_item_id <> 1000003 or true").withColumn(
+        "sales", F.when(F.col("order_item_id") == source.agg(F.min("order_item_id")).first()[0], 0.0).otherwise(F.col("sales"))), store)
+    assert other.name != one.name
+
+
+def test_no_vocabulary_comes_to_the_driver(spark, train):
+    """Rows meet the encoder by joins; what is collected for the fit is a row a feature."""
+    slots = learn.encoder_slots(train).checkpoint()
+    plan = encoding.with_slots(train, slots)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") >= len(fv.CATEGORICAL_FEATURES) and "In(" not in plan
+    assert not hasattr(learn, "frequent_vocabulary")

@@ -306,12 +306,60 @@ def test_top_features(spark):
     assert got == ["f13", "f20", "f27"]
 
 
-def test_exact_median_refines_wide_brackets(spark, monkeypatch):
+def test_radix_medians_of_any_doubles(spark):
     import statistics
-    from shipwatch.operators import model as mdl
-    monkeypatch.setattr(mdl, "MAX_BRACKET_ROWS", 5)
-    monkeypatch.setattr(mdl, "MEDIAN_ACCURACY", 100)
+    from shipwatch.operators import medians
     rnd = random.Random(11)
-    vals = [rnd.gauss(0, 1) for _ in range(3001)] + [0.5] * 200
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
-    assert mdl.exact_medians(df, ["x"])["x"] == statistics.median(vals)
+    odd = [0.0, -0.0, float("inf"), float("-inf"), 5e-324, -5e-324, 1.7e308, -1.7e308]
+    for n in (1, 2, 3, 501, 3000):
+        some = [rnd.choice([rnd.gauss(0, 1), rnd.gauss(0, 1e-300), rnd.gauss(0, 1e200), float(rnd.randint(-2, 2)), rnd.choice(odd)]) for _ in range(n)]
+        near = [1.0 + rnd.randint(0, 40) * 2.0 ** -52 for _ in range(n)]     # equal but for the last bits
+        rows = [(a, b, None, "kept") for a, b in zip(some, near)] + [(None, None, None, "x")]
+        df = spark.createDataFrame(rows, "x double, y double, none double, feature string").repartition(3)
+        got = medians.exact_medians(df, ["x", "y", "none"], ends := {})
+        assert got == {"x": statistics.median(some), "y": statistics.median(near), "none": None}
+        assert ends["x"] == (min(some), max(some)) and ends["none"] == (None, None)
+
+
+def test_radix_medians_read_their_input_once_and_run_no_job(spark):
+    from shipwatch.operators import medians
+    df = spark.range(5000).selectExpr("cast(id % 77 as double) as x", "cast(id as double) as y").repartition(3)
+    table = medians.median_table(df, ["x", "y"])
+    table.collect()
+    final = table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Range (") == 1 and "ReusedExchange" in final
+
+
+def test_target_is_checked_in_the_plan(spark):
+    good = spark.createDataFrame(_model_rows(), MODEL_SCHEMA)
+    assert model.model_frame(good, key=None, check="plan").collect() == model.model_frame(good, key=None).collect()
+    for bad in ("2", None, "late", "nan"):
+        rows = _model_rows()
+        rows[0] = rows[0][:-1] + (bad,)
+        frame = model.model_frame(spark.createDataFrame(rows, MODEL_SCHEMA), key=None, check="plan")    # no job yet
+        with pytest.raises(Exception, match="is not 0 or 1"):
+            frame.collect()
+
+
+def test_dates_are_checked_in_the_plan(spark, tmp_path):
+    fine = _raw_orders(spark, [("1/5/2020 3:07", "1/7/2020 3:07")])
+    assert curate_orders(fine, on_bad_dates="assert").collect() == curate_orders(fine).collect()
+    bad = curate_orders(_raw_orders(spark, [("1/5/2020 3:07", "1/7/2020 3:07"), ("1/5/2020 3:07", "soon")]), on_bad_dates="assert")
+    with pytest.raises(Exception, match="unparsable order or shipping date"):
+        bad.write.parquet(str(tmp_path / "out"))
+    assert not (tmp_path / "out" / "_SUCCESS").exists()
+    with pytest.raises(Exception, match="unparsable"):
+        bad.count() and bad.collect()
+
+
+def test_global_rank(spark):
+    from shipwatch.operators.ranking import global_rank
+    rnd = random.Random(4)
+    rows = [(k, rnd.choice([None, 1.0, 1.0, 1.0, rnd.random()])) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k long, v double").repartition(7)
+    ranked = global_rank(df, F.col("v").desc_nulls_last(), F.col("k"))
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(r.k, r.v, r["rank"]) for r in ranked.orderBy("rank").collect()] == [(*r, i + 1) for i, r in enumerate(want)]
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    assert global_rank(df.limit(0), F.col("k")).count() == 0
