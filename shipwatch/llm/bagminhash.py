@@ -10,8 +10,8 @@ similarity. Points are drawn in order of time and stop at the text's latest
 register, so a text costs its distinct shingles plus a constant.
 
 Stages: (1) a map makes signatures and drops the texts; (2) texts that are
-equal word for word become one node, the smallest id (summed per task first);
-(3) nodes meet in band buckets; buckets with the same members, and buckets
+equal word for word become one node, told by 128 bits of the word sequence
+(summed per task first); ids play no part in what is a node; (3) nodes meet in band buckets; buckets with the same members, and buckets
 inside another bucket, go once; (4) buckets are cut into blocks of ``BLOCK``
 members and every pair of blocks is verified by exact multiset overlap in one
 bounded group, which gives at most a spanning forest of links, never all
@@ -21,12 +21,14 @@ With 20 bands of 4 registers a pair of similarity 0.8 is missed with a
 probability of 3e-5, one of 0.9 with 1e-9.
 
 Words are runs of letters and digits in lower case; shingles have five words
-(shorter texts are one shingle). Defined cases: null texts and texts without
-words are classes of their own; a null doc_id counts as larger than any other
-and its class id is null if all its members' are; rows that repeat a doc_id
-with the same text are one document; texts under one id are one node when
-they stand for themselves; extra columns are ignored; an empty table gives
-an empty result.
+(shorter texts are one shingle). A class is made of texts; its class id is the
+smallest doc_id that any of its rows has. Defined cases: rows whose text is
+null or has no words are classes of their own; a null doc_id counts as larger
+than any other, rows with one are told apart by their texts, and the class id
+is null if all its members' are; rows that repeat a doc_id with the same text
+are one document; different texts under one id are different documents (two
+classes may then have one class id, never one class two texts that no links
+join); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 from shipwatch.llm import batches as B
 from shipwatch.llm.graph import components
@@ -126,8 +129,41 @@ def band_hashes(registers: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_keys(words: B.Words, has: np.ndarray) -> list[np.ndarray]:
+    """128 bits of the word sequence of the texts ``has``."""
+    keys = []
+    for which, h in enumerate((words.hash, words.hash2)):
+        up, down = B._WORD_POWERS[which].take(len(h) + 1)
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * up[:len(h)], out=total[1:])
+        a, b = words.first[:-1][has], words.first[1:][has]
+        keys.append(B.signed(B.mix((total[b] - total[a]) * down[a])))
+    return keys
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the text key ``k1``, ``k2`` (null: no words) and ``doc``, the id with null as ``NULL_ID``.
+
+    Columns of ``docs`` with these names must not be there.
+    """
+    B.prepare(docs.sparkSession)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for part in B.slices(batch):
+                words = _words(part)
+                none = np.diff(words.first) == 0
+                k1, k2 = text_keys(words, np.arange(part.num_rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(k1, mask=none), pa.array(k2, mask=none)],
+                                                 names=[*part.schema.names, "k1", "k2"])
+
+    rows = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))))
+    schema = StructType([*rows.schema.fields, StructField("k1", LongType()), StructField("k2", LongType())])
+    return rows.mapInArrow(run, schema)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc, k1, k2, bands): 128 bits of the word sequence and the band hashes; no row for texts without words."""
+    """(doc, k1, k2, bands) of every row: the text key and the band hashes, null without words."""
     B.prepare(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,18 +171,14 @@ def signed(docs: DataFrame) -> DataFrame:
             for part in B.slices(batch):
                 words = _words(part)
                 n = len(words.first) - 1
-                has = np.flatnonzero(np.diff(words.first) > 0)
-                bands = band_hashes(signatures(*bag(*shingles(words)), n))[has]
-                keys = []
-                for which, h in enumerate((words.hash, words.hash2)):
-                    up, down = B._WORD_POWERS[which].take(len(h) + 1)
-                    total = np.zeros(len(h) + 1, np.uint64)
-                    np.cumsum(h * up[:len(h)], out=total[1:])
-                    a, b = words.first[:-1][has], words.first[1:][has]
-                    keys.append(pa.array(B.signed(B.mix((total[b] - total[a]) * down[a]))))
-                ids = np.asarray(part.column("doc_id").cast(pa.int64()).fill_null(int(NULL_ID)), np.int64)[has]
-                flat = pa.array(B.signed(np.ascontiguousarray(bands).reshape(-1)))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * BANDS, pa.int32()), flat)
+                none = np.diff(words.first) == 0
+                bands = band_hashes(signatures(*bag(*shingles(words)), n))
+                keys = [pa.array(k, mask=none) for k in text_keys(words, np.arange(n))]
+                ids = np.asarray(part.column("doc_id").cast(pa.int64()).fill_null(int(NULL_ID)), np.int64)
+                bands[none] = 0
+                flat = pa.array(B.signed(np.ascontiguousarray(bands[~none]).reshape(-1)))
+                offsets = np.concatenate([[0], np.cumsum(~none)]) * BANDS
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *keys, lists], names=["doc", "k1", "k2", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
@@ -207,10 +239,10 @@ def links(nodes: list[int], sets: list[np.ndarray], left: list[bool], similarity
     return out
 
 
-def verified(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified(members: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links that join all members whose texts have at least this weighted Jaccard similarity.
 
-    ``members``: gid, size, node. ``docs``: doc_id, text of the nodes.
+    ``members``: gid, size, node. ``nodes``: node, k1, k2. ``docs``: doc_id, text.
     """
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -219,14 +251,16 @@ def verified(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
                 # an element per occurrence: equal multisets have equal elements
                 k = np.repeat(np.arange(len(h)), w)
                 nth = np.arange(len(k)) - np.repeat(np.cumsum(w) - w, w)
-                e = (B.mix(h[k] + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+                e = B.mix(h[k] + nth.astype(np.uint64))
                 cut = np.searchsorted(owner[k], np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("node"), pa.array([e[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
                     names=["node", "elements"])
 
-    wanted = members.select("node").distinct()
-    texts = docs.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("node"), "text").join(wanted.hint("merge"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node")
+    # one text of each key; copies go in the task that reads them
+    once = keyed(docs.select("doc_id", "text")).where("k1 is not null").groupBy("k1", "k2").agg(F.min("text").alias("text"))
+    texts = once.join(wanted.hint("merge"), ["k1", "k2"]).select("node", "text")
     elements = texts.mapInArrow(sets, "node long, elements binary")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = (members.withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("node", "gid"), F.col("n")).cast("int"))
@@ -253,7 +287,7 @@ def verified(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
                 if (gid, x, y) != key:
                     close()
                     key, group = (gid, x, y), []
-                group.append((node, np.unique(np.frombuffer(e, np.uint32)), left))
+                group.append((node, np.unique(np.frombuffer(e, np.uint64)), left))
             yield table()
             out.clear()
         close()
@@ -262,33 +296,42 @@ def verified(members: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     return rows.mapInArrow(pairs, "a long, b long")
 
 
+def _rooted(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc, k1, k2) of every row, and (k1, k2, node, low, copies, root) of every different text."""
+    made = settled(signed(docs), "near-signed")
+    grouped = made.where("k1 is not null").groupBy("k1", "k2").agg(
+        F.min("doc").alias("low"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    # numbers given once and written: a node is a text, whatever ids it stands under
+    nodes = settled(grouped.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    roots = settled(components(verified(buckets(nodes), nodes, docs, similarity)), "near-roots")
+    rooted = nodes.select("node", "k1", "k2", "low", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return made.select("doc", "k1", "k2"), settled(rooted, "near-rooted")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) per row of ``docs``: the smallest id that links of near-duplicates lead to."""
     B.prepare(docs.sparkSession)
-    made = settled(signed(docs), "near-signed")
-    nodes = settled(made.groupBy("k1", "k2").agg(F.min("doc").alias("node"), F.count("*").alias("copies"),
-                                                 F.first("bands").alias("bands")), "near-nodes")
-    roots = settled(components(verified(buckets(nodes), docs, similarity)), "near-roots")
-    copied = (nodes.where("copies > 1").select("k1", "k2", F.col("node").alias("first"))
-              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    node = (made.select("doc", "k1", "k2", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
-            .join(copied, ["k1", "k2", "salt"], "left").select("doc", F.coalesce("first", "doc").alias("node")))
-    told = (node.join(roots, "node", "left").select("doc", F.coalesce("root", "node").alias("class"))
-            .groupBy("doc").agg(F.min("class").alias("class")))
+    rows, texts = _rooted(docs, similarity)
+    lows = texts.groupBy("root").agg(F.min("low").alias("class"))
+    # rows ask only where the answer is not their own id; a text with many rows is spread over the salts
+    asked = (texts.join(lows, "root").where("copies > 1 or class <> low").select("k1", "k2", "class")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    told = (rows.withColumn("salt", F.pmod(F.xxhash64("doc", F.spark_partition_id()), F.lit(SALTS)).cast("int"))
+            .join(asked, ["k1", "k2", "salt"], "left"))
     null = F.lit(int(NULL_ID))
-    return (docs.select(F.coalesce("doc_id", null).alias("doc")).join(told, "doc", "left")
-            .select(F.nullif("doc", null).alias("doc_id"), F.nullif(F.coalesce("class", "doc"), null).alias("class_id")))
+    return told.select(F.nullif("doc", null).alias("doc_id"), F.nullif(F.coalesce("class", "doc"), null).alias("class_id"))
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class: the one whose id is the class id (one row of it).
+    """One row of each class: one with the class's smallest id, of its text with the smallest key among several.
 
-    Rows with a null doc_id cannot be told apart and always stay.
+    Rows without words are classes of their own and all stay.
     """
-    found = settled(classes(docs, similarity), "near-classes")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    rows, ids = found.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if rows == ids:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    columns = docs.columns
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("given"))
+    _, texts = _rooted(docs, similarity)
+    kept = texts.groupBy("root").agg(F.min(F.struct("low", "k1", "k2")).alias("x")).select(F.col("x.low").alias("doc"), "x.k1", "x.k2")
+    tagged = keyed(inner).drop("doc_id", "text")
+    # rows that repeat an id and a text are one document: the copies of a task go before the exchange
+    once = tagged.where("k1 is not null").dropDuplicates(["doc", "k1", "k2"]).join(kept.hint("merge"), ["doc", "k1", "k2"], "left_semi")
+    return once.select("given.*").unionByName(tagged.where("k1 is null").select("given.*"))

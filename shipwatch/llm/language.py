@@ -253,7 +253,15 @@ def language_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """The documents whose language is recognised with a probability of at least ``least``."""
+def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The documents whose language is recognised.
+
+    Texts without letters go, and predictions with a probability under
+    ``least`` (a parameter; by default none). With nothing to learn from, every
+    text with a letter stays: a corpus without labels is not an empty one.
+    """
     columns = docs.columns
-    return predicted(docs, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    model = fit(docs)
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return predicted(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)

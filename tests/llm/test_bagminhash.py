@@ -79,10 +79,42 @@ def test_repeated_rows_nulls_and_empty(spark):
     text = " ".join(words(40, 1))
     found = M.classes(docs(spark, [(5, text), (5, text), (None, text), (None, None), (9, text + " end")])).collect()
     assert sorted((str(r.doc_id), str(r.class_id)) for r in found) == [
-        ("5", "5"), ("5", "5"), ("9", "5"), ("None", "5"), ("None", "5")]
+        ("5", "5"), ("5", "5"), ("9", "5"), ("None", "5"), ("None", "None")]     # the null text is alone, whatever its id
     assert M.classes(docs(spark, [])).collect() == []
 
 
+def near(text, k):
+    return text + f" end{k}"
+
+
+def test_ids_do_not_join_texts(spark):
+    """Null and repeated ids stand over unrelated texts; classes and kept rows go by the texts."""
+    a, b, c, d = (" ".join(words(50, 100 + k)) for k in range(4))
+    rows = [(1, a), (None, near(a, 1)), (2, b), (None, near(b, 1)), (7, near(c, 1)), (7, near(d, 1)), (3, c), (4, d), (5, a + " " + d), (5, b + " " + c),
+            (None, a + " " + b), (None, a + " " + b), (6, None), (6, None), (None, ""), (8, a), (8, near(a, 2)), (8, b)]
+    got = sorted(((str(r.doc_id), str(r.class_id)) for r in M.classes(docs(spark, rows).repartition(5)).collect()))
+    assert got == sorted((str(x), str(y)) for x, y in brute(rows))
+    assert ("2", "2") in got and ("7", "3") in got and ("7", "4") in got
+    kept = [(r.doc_id, r.text) for r in M.representatives(docs(spark, rows).repartition(3)).collect()]
+    want = [(1, a), (2, b), (3, c), (4, d), (5, a + " " + d), (5, b + " " + c), (None, a + " " + b), (6, None), (6, None), (None, "")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_a_third_of_all_rows_without_id(spark):
+    r = random.Random(6)
+    texts = [" ".join(words(r.randint(5, 60), 700 + k)) for k in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(k // 2 % 60, near(r.choice(texts), k)) for k in range(120)]
+    rows += [(None, near(texts[k % 60], 500 + k % 7)) for k in range(80)] + [(None, "all the same words again") for _ in range(40)]
+    got = sorted(((str(x.doc_id), str(x.class_id)) for x in M.classes(docs(spark, rows).repartition(4)).collect()))
+    assert got == sorted((str(x), str(y)) for x, y in brute(rows))
+    kept = M.representatives(docs(spark, rows)).collect()
+    assert len({bag_key(x.text) for x in kept}) == len(kept)
+
+
+def bag_key(text):
+    return tuple(sorted(bag_of(text).items()))
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     shingle = rng.integers(1, 2 ** 63, 60).astype(np.uint64)

@@ -68,3 +68,10 @@ def test_weights_are_sparse():
     rows = [(np.array([1, 5 + k % 3]), np.array([1.0, 0.01])) for k in range(60)] + [(np.array([2]), np.array([1.0]))] * 60
     w, _ = L.ftrl(rows, [0] * 60 + [1] * 60, 2)
     assert w[1, 0] > 0 > w[2, 0] and np.count_nonzero(w[5:8]) < 6 and not w[100:].any()
+
+
+def test_without_labels_lettered_documents_stay(spark):
+    rows = [(1, "some words here"), (2, "été"), (3, "12 %% 7"), (4, None), (5, "")]
+    table = docs(spark, rows).selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    kept = L.accepted(table)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
