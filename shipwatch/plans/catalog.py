@@ -8,6 +8,7 @@ table is reachable through at least one named query run over whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,7 +18,7 @@ from shipwatch.functions import parse_number
 from shipwatch.operators import (curate, encoding, filters, learn, metrics, model, quality, ranking, sample, sensors,
                                  stock, trace)
 from shipwatch.session import shared_path
-from shipwatch.sources import fixtures as fx
+from shipwatch.sources import fixtures as fx, io
 from shipwatch.sources.committed import Store
 from shipwatch.streaming import live
 
@@ -39,6 +40,18 @@ def q_curated_orders(spark, sf_dir):
     return curate.curate_orders(fx.raw_orders(spark, sf_dir), on_bad_dates="drop")
 
 
+@query("export_lines")
+def q_export_lines(spark, sf_dir):
+    path = fx.damaged_export(spark, sf_dir, f"{shared_path(spark, 'export')}-{uuid.uuid4().hex}")
+    good, bad = io.read_raw_csv_checked(spark, path)
+    none = F.lit(None).cast("string")
+    kept = good.select(F.col("Order Item Id").alias("id"), F.col("Customer Street").alias("street"), F.col("Sales").alias("sales"),
+                       F.lit(len(good.columns)).alias("fields"), none.alias("reason"))
+    aside = bad.select(F.split("line", ",")[1].alias("id"), none.alias("street"), none.alias("sales"), "fields", "reason")
+    return kept.unionByName(aside).select(parse_number("id", "bigint").alias("order_item_id"), "street",
+                                          (F.col("sales").isNotNull()).alias("has_sales"), "fields", "reason")
+
+
 @query("anonymised_customers")
 def q_anonymised_customers(spark, sf_dir):
     cur = curate.curate_orders(fx.raw_orders(spark, sf_dir), on_bad_dates="drop")

@@ -781,3 +781,11 @@ FROM (SELECT s, p, n, coalesce(sum(p) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUND
                                             AND 1 PRECEDING), 0) AS above
       FROM (SELECT score AS s, count_if(label = 1) AS p, count_if(label = 0) AS n
             FROM scored_lines GROUP BY score) g) t"""}))
+
+oracle("export_lines", with_ctes("""
+SELECT order_item_id, CASE WHEN order_item_id % 101 > 1 THEN 'ru\u00e9-' || order_item_id END AS street,
+       order_item_id % 101 > 1 AND order_item_id % 83 <> 0 AS has_sales,
+       CASE order_item_id % 101 WHEN 0 THEN 5 WHEN 1 THEN 36 ELSE 34 END AS fields,
+       CASE order_item_id % 101 WHEN 0 THEN 'too few fields' WHEN 1 THEN 'too many fields' END AS reason
+FROM order_lines
+""", "order_lines"))

@@ -221,6 +221,21 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(*cols, *personal)
 
 
+def damaged_export(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """``raw_orders`` as a Latin-1 CSV export with damaged lines, written to ``path``.
+
+    Lines with ``order_item_id % 101 = 0`` break off after the fifth field,
+    those with ``order_item_id % 101 = 1`` carry two fields too many.
+    """
+    raw = raw_orders(spark, sf_dir).withColumn("Customer Street", F.concat(F.lit("ru\u00e9-"), F.col("Order Item Id")))
+    line, turn = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in raw.columns])), F.pmod(F.col("Order Item Id").cast("bigint"), F.lit(101))
+    damaged = F.when(turn == 0, F.substring_index(line, ",", 5)).when(turn == 1, F.concat(line, F.lit(",more,9"))).otherwise(line)
+    # one raw column whose name is the header line: the writer must neither quote nor separate
+    (raw.select(damaged.alias(",".join(raw.columns))).write.option("header", True).option("encoding", "ISO-8859-1")
+     .option("sep", "\u0001").option("quote", "\u0000").option("escapeQuotes", False).mode("overwrite").csv(path))
+    return path
+
+
 def raw_access_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web access log (text columns) from events, part and pages."""
     ev = read_table(spark, sf_dir, "events", "event_id", "ts")

@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shipwatch import fixed_values as fv
 from shipwatch.operators.learn import LateRiskModel
@@ -51,6 +51,37 @@ def read_raw_csv(spark: SparkSession, path: str, encoding: str = RAW_ENCODING) -
     return df.select([F.when(~F.col(f"`{c}`").isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+CORRUPT = "_line"
+
+
+def read_raw_csv_checked(spark: SparkSession, path: str, encoding: str = RAW_ENCODING) -> tuple[DataFrame, DataFrame]:
+    """The raw export without its damaged lines, and these lines with the reason.
+
+    A line is damaged if it has not as many fields as the header. The first
+    table is as ``read_raw_csv`` gives it; the second has ``line``, ``fields``
+    (as many as the line has), ``expected`` and ``reason``. Both are lazy: one
+    bad line sets itself aside and does not fail the job.
+    """
+    check_path(spark, path)
+    options = {"header": True, "encoding": encoding}
+    names = spark.read.options(**options).option("inferSchema", False).csv(path).columns
+    if not names:
+        raise ValueError(f"no header in {path}")
+    schema = StructType([StructField(c, StringType()) for c in [*names, CORRUPT]])
+    # all fields are read, whatever is selected: only so every line is looked at as a whole
+    rows = spark.read.schema(schema).options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False).csv(path)
+    # Spark refuses to look at the damaged line alone, without a field beside it
+    beside = F.length(F.concat_ws("", F.col(f"`{names[0]}`"))) >= 0
+    good = rows.where(F.col(CORRUPT).isNull() & beside).select(
+        [F.when(~F.col(f"`{c}`").isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in names])
+    # quoted parts count as one letter each, so that their commas separate nothing
+    fields = F.size(F.split(F.regexp_replace(F.col(CORRUPT), r'"(?:[^"\\]|\\.)*"', "q"), ","))
+    bad = rows.where(F.col(CORRUPT).isNotNull() & beside).select(
+        F.col(CORRUPT).alias("line"), fields.alias("fields"), F.lit(len(names)).alias("expected"))
+    return good, bad.withColumn("reason", F.when(F.col("fields") < F.col("expected"), "too few fields")
+                                .when(F.col("fields") > F.col("expected"), "too many fields").otherwise("unreadable"))
+
+
 def read_curated(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None,
                  required: Iterable[str] = (), what: str = "table") -> DataFrame:
     """Curated table; fails when the path is missing, a column is missing, or it is empty."""

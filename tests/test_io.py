@@ -59,3 +59,38 @@ def test_filtered_orders_are_exported(spark, tmp_path):
     assert back.count() == chosen.count() > 0
     assert back.agg(F.min("market"), F.max("market"), F.sum("quantity")).first() == chosen.agg(
         F.min("market"), F.max("market"), F.sum("quantity")).first()
+
+
+def test_damaged_lines_are_set_aside(spark, tmp_path):
+    path = tmp_path / "export.csv"
+    lines = ['a,b,c', '1,"x, y",\u00e9', '2,only', '3,"p, q",r,s', '4,,nan', '5,u,v,w,x', '6,"say ""hi"", you",z']
+    path.write_bytes("\n".join(lines).encode("latin-1"))
+    good, bad = io.read_raw_csv_checked(spark, str(path))
+    assert sorted(map(tuple, good.where("a <> '6'").collect())) == [("1", "x, y", "\u00e9"), ("4", None, None)]
+    assert {(r.line, r.fields, r.expected, r.reason) for r in bad.collect() if not r.line.startswith("6")} == {
+        ("2,only", 2, 3, "too few fields"), ('3,"p, q",r,s', 4, 3, "too many fields"), ("5,u,v,w,x", 5, 3, "too many fields")}
+    # what is selected does not change what is damaged
+    assert good.select("a").where("a <> '6'").count() == 2 and good.count() + bad.count() == 6
+    with pytest.raises(FileNotFoundError):
+        io.read_raw_csv_checked(spark, str(tmp_path / "none"))
+
+
+def test_marks_and_store(spark, tmp_path):
+    from shipwatch.sources.committed import Marks, Store
+    marks = Marks(spark, str(tmp_path / "m"))
+    assert marks.names() == [] and marks.read("one") is None
+    marks.write("one", {"rows": 3, "text": "\u00e9"})
+    marks.write("one", {"rows": 4, "text": "\u00e9"})
+    assert marks.names() == ["one"] and marks.read("one") == {"rows": 4, "text": "\u00e9"}
+    store, built = Store(spark, str(tmp_path / "s")), []
+
+    def build(at):
+        spark.range(3).write.parquet(at)
+        built.append(at)
+        if len(built) == 1:
+            raise RuntimeError("broken after it wrote")
+
+    with pytest.raises(RuntimeError):
+        store.get("k", build)
+    assert store.find("k") is None
+    assert store.get("k", build) == store.get("k", build) == built[1] and len(built) == 2
