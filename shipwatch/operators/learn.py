@@ -233,13 +233,17 @@ def share_terms(train: DataFrame, slots: DataFrame) -> DataFrame:
     return categories.unionByName(others).checkpoint()
 
 
-def score_by_terms(terms: DataFrame, rows: DataFrame) -> DataFrame:
+def score_by_terms(terms: DataFrame, rows: DataFrame, missing: frozenset[str] = frozenset()) -> DataFrame:
     """Add ``late_delivery_risk_probability`` and the strict >0.5 class: a sparse dot product by joins.
 
     Each categorical feature meets its terms by an equi join on the value (one
     that is rare or unknown takes the shared term); the numbers, the shared
     terms and the intercept, some fifteen values, are one scalar subquery.
+    Features in ``missing`` are the missing text in every row: their terms come
+    the same way, as a join on a constant would have no key.
     """
+    unknown = terms.where((F.col("kind") == "category") & (F.col("value") == fv.MISSING_TEXT)).agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", "coefficient")))).scalar()
     shared = terms.where("kind <> 'category' or value is null").agg(F.map_from_entries(F.collect_list(
         F.struct("feature", F.struct("coefficient", "mean", "deviation"))))).scalar()
 
@@ -248,6 +252,9 @@ def score_by_terms(terms: DataFrame, rows: DataFrame) -> DataFrame:
 
     out, total = rows, one("intercept")
     for c in CAT:
+        if c in missing:
+            total = total + F.coalesce(F.try_element_at(unknown, F.lit(c)), one(c), F.lit(0.0))
+            continue
         mine = terms.where((F.col("kind") == "category") & (F.col("feature") == c) & F.col("value").isNotNull()).select(
             F.col("value").alias(f"{c}__value"), F.col("coefficient").alias(f"{c}__term"))
         out = out.join(mine, F.col(c).cast("string") == F.col(f"{c}__value"), "left")
@@ -314,7 +321,7 @@ def score_scenarios(model: "LateRiskModel | DataFrame", scenarios: DataFrame) ->
     terms = model if isinstance(model, DataFrame) else model.terms
     # the filled values stand in the feature columns while scoring, the given ones in the result
     given = scenarios.select("*", F.struct(*[F.col(f"`{c}`") for c in scenarios.columns]).alias("_given"))
-    scored = score_by_terms(terms, fill_scenarios(given))
+    scored = score_by_terms(terms, fill_scenarios(given), frozenset(CAT) - set(scenarios.columns))
     return scored.select("_given.*", "late_delivery_risk_probability",
                          (F.col("late_delivery_risk_probability") >= F.lit(fv.DECISION_THRESHOLD))
                          .cast("int").alias("late_delivery_risk_class"))

@@ -38,3 +38,9 @@ def test_membership_filter_reaches_the_scan(spark):
     plan = _plan(filters.apply_filters(lines, markets=["ASIA"], shipping_modes=["Same Day"]))
     region = next(line for line in plan.splitlines() if "region.parquet" in line)
     assert "PushedFilters" in region and "ASIA" in region
+
+
+def test_scenarios_are_scored_without_all_pairs_joins(spark):
+    """Features that a scenario table lacks are constants: they must not become joins without a key."""
+    plan = _plan(entry.queries()["scenario_scores"](spark, SF_SMALL))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
