@@ -16,7 +16,7 @@ from tests.llm.test_bagminhash import brute as near_classes
 
 def test_one_query_per_operator():
     names = list(QUERIES)
-    assert [n.split("_")[0] for n in names[:-1]] == [f"op{k}" for k in range(1, 11)] and names[-1] == "pipeline"
+    assert [n.split("_")[0] for n in names[:-1]] == [f"op{k}" for k in range(1, 14)] and names[-1] == "pipeline"
     assert set(names) <= set(entry.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "privacy", "packing"]
 
