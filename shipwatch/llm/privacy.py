@@ -2,25 +2,29 @@
 
 Protected entities are the values that the base patterns find (e-mail, IP,
 card and phone). A term discloses an entity as far as it narrows down who is
-meant: with document frequencies over the whole corpus, the information that
-term t gives on entity c is the pointwise mutual information
-``log2(N * df(c, t) / (df(c) * df(t)))``, and the entity's own information is
-``log2(N / df(c))``. Where the share of the two reaches ``DISCLOSURE`` for some
-entity, the term is generalised at all its places in every text that holds it,
-near the entity, far from it or without it. The base spans are always removed.
-
-The share of a term's texts that hold an entity is counted on ``SAMPLE`` texts
-of the term, those with the least keys (a uniform choice; all texts of a term
-that stands in no more), and ``PRIOR`` texts more that follow the corpus. So one
-or two texts are weak evidence and still evidence: how many suffice depends on
-the information of the entity. Copies of a text count once everywhere.
-
-Passes: (1) a map over all texts finds base spans and entities; (2) a map gives
-(term, text key) for the words outside base spans, at most ``SAMPLE`` texts a
-term and task; joined with the entities by text key they decide per term; (3) a
-map with a bit table of fixed size finds places of words that may be disclosing
-terms, and a join by term, salted, keeps those that are. Texts are never
-shuffled for the report. Entities that stand in the same texts are judged once.
+meant: the information that term t gives on entity c is the pointwise mutual
+information ``log2(P(c | t) / P(c))``, and the entity's own information is
+``-log2 P(c)``, with document frequencies over the whole corpus. ``P(c | t)`` is
+taken at the lower end of its 90 % score interval, so one text is weak evidence
+in a corpus of any size. Where at most ``RESIDUAL`` bits about some entity remain
+and the term gives at least the share ``DISCLOSURE`` of its information, the term
+is generalised at all its places in every text that holds it, near the entity,
+far from it or without it. Words of the general vocabulary stand mostly in texts
+without the entity, and rare words in one text only: both stay. The base spans
+are always removed.
+
+Copies count once. Equal texts are one text; texts with a common minhash over
+runs of five words are one kind, and m texts weigh as evidence what their
+effective number of kinds does, ``m ** 2 / sum(texts of a kind ** 2)``.
+
+Passes: (1) a map over all texts finds base spans, entities and minhashes; (2) a
+map gives (term, text key) for the texts whose entity stands in texts of several
+kinds (no other can disclose), joined with the entities by text key; (3) a map
+counts the texts of the terms left, as partial sums, by text key only where a
+text has copies; (4) a map with a bit table of fixed size finds places of words
+that may be disclosing terms, and a join by term, salted, keeps those that are.
+Texts are never shuffled for the report, no count is capped or sampled. Entities
+that stand in the same texts are judged once.
 
 Offsets are code points, ends exclusive. Defined cases: null and empty texts
 have no data; added spans belong to a text, so rows with a repeated or null
@@ -37,17 +41,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.window import Window
 
 from shipwatch.llm import batches as B
 from shipwatch.llm.store import free_name, settled
 
 KINDS = ("email", "ip", "card", "phone")
-DISCLOSURE = 0.9
-PRIOR = 2 / 3
-SAMPLE = 64
+DISCLOSURE = 0.75
+RESIDUAL = 1.0
+DEVIATES = 1.2816       # of the normal distribution: one-sided 90 %
+SHINGLE = 5
+PRINTS = 4
 SALTS = 16
 COPY_SALTS = 4
 TABLE_BITS = 24
@@ -59,7 +64,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _ENTITY = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, text_key long, "
-           "base array<struct<kind:int,start:int,end:int>>, entities array<binary>")
+           "base array<struct<kind:int,start:int,end:int>>, entities array<binary>, prints array<long>")
 _SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -144,22 +149,39 @@ def entities_of(text: str, base: list[tuple[int, int, int]]) -> list[bytes]:
 _FIND_SCHEMA = pa.schema([
     ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("text_key", pa.int64()),
     ("base", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))),
-    ("entities", pa.list_(pa.binary()))])
+    ("entities", pa.list_(pa.binary())), ("prints", pa.list_(pa.int64()))])
+
+
+def minhashes(f: _Free) -> np.ndarray:
+    """PRINTS minhashes of every text over runs of SHINGLE free words; a text of fewer words has its key."""
+    count = np.bincount(f.doc[f.free], minlength=len(f.texts))
+    runs = np.maximum(count - SHINGLE + 1, 0)
+    window = B.window_hash(f.words.hash[f.free], SHINGLE)
+    window = window[B.window_starts(np.concatenate([[0], np.cumsum(count)]), SHINGLE)]
+    out = np.repeat(np.array([text_key(t) for t in f.texts], np.int64)[:, None], PRINTS, 1)
+    full = np.flatnonzero(runs)
+    if len(full):
+        at = (np.cumsum(runs) - runs)[full]
+        for j in range(PRINTS):
+            out[full, j] = B.signed(np.minimum.reduceat(B.mix(window + np.uint64(j)), at))
+    return out
 
 
 def found_data(docs: DataFrame) -> DataFrame:
-    """Base spans and entities of every document, without its text."""
+    """Base spans, entities and (with entities) minhashes of every document, without its text."""
     B.prepare(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in B.slices(batch):
-                rows = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    base = base_spans(text)
+                rows, texts = [], part.column("text").to_pylist()
+                bases = [base_spans(t) for t in texts]
+                some = [k for k, base in enumerate(bases) if base]
+                prints = dict(zip(some, minhashes(_Free(part.take(pa.array(some)))).tolist())) if some else {}
+                for k, (doc, text, base) in enumerate(zip(part.column("doc_id").to_pylist(), texts, bases)):
                     n = [sum(j == kind for j, _, _ in base) for kind in range(len(KINDS))]
                     rows.append((doc, *n, None if text is None else text_key(text),
-                                 [{"kind": j, "start": a, "end": b} for j, a, b in base], entities_of(text, base)))
+                                 [{"kind": j, "start": a, "end": b} for j, a, b in base], entities_of(text, base), prints.get(k, [])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t.type) for c, t in zip(zip(*rows), _FIND_SCHEMA)], schema=_FIND_SCHEMA)
 
@@ -194,68 +216,148 @@ class _Free:
 _FLUSH = 1_000_000
 
 
-def _least(term: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (term, key), of each term the SAMPLE least keys."""
-    order = np.lexsort((key, term))
-    term, key = term[order], key[order]
+def _distinct(term: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, by term."""
+    order = np.lexsort((of, term))
+    term, of = term[order], of[order]
     new = np.ones(len(term), bool)
-    new[1:] = (term[1:] != term[:-1]) | (key[1:] != key[:-1])
-    term, key = term[new], key[new]
-    first = np.ones(len(term), bool)
-    first[1:] = term[1:] != term[:-1]
-    at = np.flatnonzero(first)
-    rank = np.arange(len(term)) - np.repeat(at, np.diff(np.append(at, len(term))))
-    keep = rank < SAMPLE
-    return term[keep], key[keep]
-
-
-def term_texts(docs: DataFrame) -> DataFrame:
-    """(term, key): texts of each term, at most SAMPLE of a task's; the lowest bit of a key says that the text has an entity."""
+    new[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])
+    return term[new], of[new]
+
+
+def _summed(term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    term, at = np.unique(term, return_inverse=True)
+    return term, np.bincount(at, n, len(term)).astype(np.int64)
+
+
+def _in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a bit table."""
+    bit = table[((h & np.uint64((1 << TABLE_BITS) - 1)) >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))
+    return (bit & np.uint64(1)) > 0
+
+
+def term_texts(docs: DataFrame, keys: np.ndarray) -> DataFrame:
+    """Distinct (term, key) of the texts whose key may be in the bit table ``keys``."""
+    B.prepare(docs.sparkSession)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in it:
+            for part in B.slices(batch):
+                texts = part.column("text").to_pylist()
+                some = {k: text_key(t) for k, t in enumerate(texts) if t and base_spans(t)}
+                held = _in(keys, np.array(list(some.values()), np.int64).view(np.uint64))
+                some = {key: k for (k, key), h in zip(some.items(), held) if h and key not in seen}
+                if not some:
+                    continue
+                seen.update(some)
+                f = _Free(part.take(pa.array(list(some.values()))))
+                term, doc = _distinct(B.signed(f.words.hash[f.free]), f.doc[f.free])
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.array(list(some), np.int64)[doc])], names=["term", "key"])
+                if len(seen) > _SEEN:
+                    seen.clear()
+
+    return docs.select("text").mapInArrow(run, "term long, key long").distinct()
+
+
+def text_counts(docs: DataFrame, terms: np.ndarray, copied: np.ndarray) -> DataFrame:
+    """(term, texts): in how many different texts the terms of a bit table stand.
+
+    Texts without a copy are summed per task; only those whose key may be in
+    ``copied`` travel by key.
+    """
     B.prepare(docs.sparkSession)
 
+    def rows(term: np.ndarray, n: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
+        keys = pa.nulls(len(term), pa.int64()) if key is None else pa.array(key)
+        return pa.RecordBatch.from_arrays([pa.array(term), keys, pa.array(n)], names=["term", "key", "n"])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        kept, more, size = none, [], 0
+        none = np.zeros(0, np.int64)
+        kept, more, size, seen = (none, none), [], 0, set()
         for batch in it:
             for part in B.slices(batch):
                 f = _Free(part)
-                keys = np.array([text_key(t) & -2 | bool(b) for t, b in zip(f.texts, f.base)], np.int64)
-                w = f.doc[f.free]
-                more.append(_least(B.signed(f.words.hash[f.free]), keys[w]))
+                w = _maybe(f, terms)
+                if not len(w):
+                    continue
+                term, doc = _distinct(B.signed(f.words.hash[w]), f.doc[w])
+                key = np.zeros(len(f.texts), np.int64)
+                for k in np.unique(doc).tolist():
+                    key[k] = text_key(f.texts[k])
+                twice = _in(copied, key.view(np.uint64))
+                new = np.ones(len(key), bool)
+                for k in np.flatnonzero(twice).tolist():
+                    new[k] = key[k] not in seen
+                    seen.add(int(key[k]))
+                single, other = ~twice[doc], (twice & new)[doc]
+                if other.any():
+                    yield rows(term[other], np.ones(int(other.sum()), np.int64), key[doc[other]])
+                more.append(_summed(term[single], np.ones(int(single.sum()), np.int64)))
                 size += len(more[-1][0])
                 if size > _FLUSH:
-                    kept, more, size = _least(*map(np.concatenate, zip(kept, *more))), [], 0
+                    kept, more, size = _summed(*map(np.concatenate, zip(kept, *more))), [], 0
                     if len(kept[0]) > _FLUSH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["term", "key"])
-                        kept = none
-        kept = _least(*map(np.concatenate, zip(kept, *more)))
-        if len(kept[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["term", "key"])
-
-    return docs.select("text").mapInArrow(run, "term long, key long")
-
-
-def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
-    """The terms that give at least ``disclosure`` of the information of some entity."""
-    total = float(max(found.where("text_key is not null").select("text_key").distinct().count(), 1))
-    holds = found.where(F.size("entities") > 0).select(F.col("text_key").bitwiseOR(F.lit(1)).alias("key"), F.explode("entities").alias("entity")).distinct()
-    # entities that stand in the same texts are alike: one of them is judged
-    alike = (holds.groupBy("entity").agg(F.count("*").alias("df"), F.expr("bit_xor(key)").alias("x"), F.expr("bit_xor(xxhash64(key))").alias("y"))
+                        yield rows(*kept)
+                        kept = none, none
+                if len(seen) > _SEEN:
+                    seen.clear()
+        yield rows(*_summed(*map(np.concatenate, zip(kept, *more))))
+
+    return (docs.select("text").mapInArrow(run, "term long, key long, n long").groupBy("term", "key").agg(F.sum("n").alias("n"))
+            .groupBy("term").agg(F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(1)).alias("texts")))
+
+
+def entity_texts(found: DataFrame) -> DataFrame:
+    """(key, entity, kind): the different texts of every entity, texts with a common minhash as one kind."""
+    texts = (found.where(F.size("entities") > 0).groupBy(F.col("text_key").alias("key"))
+             .agg(F.first("entities").alias("entities"), F.first("prints").alias("prints")))
+    prints = (texts.select("key", F.posexplode("prints").alias("j", "print"))
+              .withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")))
+    shared = (prints.groupBy("j", "print").agg(F.count("*").alias("size")).where("size > 1")
+              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    kinds = prints.join(shared, ["j", "print", "salt"]).groupBy("key").agg(F.max(F.struct("size", "j", "print")).alias("most"))
+    return texts.join(kinds, "key", "left").select(
+        "key", F.explode("entities").alias("entity"), F.when(F.col("most").isNull(), F.col("key")).otherwise(F.xxhash64("most.j", "most.print")).alias("kind"))
+
+
+def lower_limit(share: Column, n: Column) -> Column:
+    """The lower end of the score interval of a share seen in n cases."""
+    z2 = DEVIATES ** 2
+    return (share + z2 / (2 * n) - DEVIATES * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE, residual: float = RESIDUAL) -> DataFrame:
+    """The terms that leave at most ``residual`` bits of some entity and give at least the share ``disclosure`` of it."""
+    spark = docs.sparkSession
+    known = found.where("text_key is not null").groupBy("text_key").agg(F.count("*").alias("copies"))
+    total = float(max(known.count(), 1))
+    holds = settled(entity_texts(found), "privacy-holds")
+    # entities that stand in the same texts are alike: one of them is judged, if its texts are of several kinds
+    alike = (holds.groupBy("entity").agg(F.count("*").alias("df"), F.expr("bit_xor(key)").alias("x"), F.expr("bit_xor(xxhash64(key))").alias("y"),
+                                         (F.min("kind") != F.max("kind")).alias("several")).where("several")
              .groupBy("df", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "df")
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    holds = holds.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(alike, ["entity", "salt"]).drop("salt")
-
-    order = F.dense_rank().over(Window.partitionBy("term").orderBy("key"))
-    terms = (term_texts(docs).withColumn("r", order).where(F.col("r") <= SAMPLE).groupBy("term")
-             .agg(F.max("r").alias("texts"), F.collect_set(F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.col("key"))).alias("keys")))
-    # no entity can ask less of a term than one that stands in a single text
-    terms = terms.where((F.size("keys") > 0) & ((F.size("keys") + prior) / (F.col("texts") + prior) >= total ** (disclosure - 1)))
-    both = (terms.select("term", "texts", F.explode("keys").alias("key")).join(holds, "key")
-            .groupBy("term", "texts", "entity", "df").agg(F.count("*").alias("both")))
-    base_rate = F.col("df") / F.lit(total)
-    own = -F.log2(base_rate)
-    share = (F.col("both") + prior * base_rate) / (F.col("texts") + prior)
-    return both.where((own > 0) & (own + F.log2(share) >= disclosure * own)).select("term").distinct()
+    holds = settled(holds.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(alike, ["entity", "salt"]).drop("salt"), "privacy-several")
+    keys = bit_table(holds.select(F.col("key").alias("term")))
+    if not keys.any():
+        return spark.createDataFrame([], "term long")
+
+    def telling(limit: Column) -> Column:
+        own, left = -F.log2(F.col("df") / F.lit(total)), -F.log2(limit)
+        return (own > 0) & (left <= residual) & (own - left >= disclosure * own)
+
+    both = (term_texts(docs, keys).join(holds, "key").groupBy("term", "entity", "df", "kind").agg(F.count("*").alias("m"))
+            .groupBy("term", "entity", "df").agg(F.sum("m").alias("both"), F.sum(F.col("m") * F.col("m")).alias("squares"))
+            .withColumn("kinds", F.col("both") * F.col("both") / F.col("squares")))
+    # a term that stands in no other text tells most
+    maybe = settled(both.where(telling(lower_limit(F.lit(1.0), F.col("kinds")))), "privacy-maybe")
+    table = bit_table(maybe)
+    copied = bit_table(known.where("copies > 1").select(F.col("text_key").alias("term")))
+    counts = text_counts(docs, table, copied).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = maybe.withColumn("salt", F.pmod(F.xxhash64("entity"), F.lit(SALTS)).cast("int")).join(counts, ["term", "salt"])
+    share = F.col("both") / F.col("texts")
+    return judged.where(telling(lower_limit(share, F.col("kinds") / share))).select("term").distinct()
 
 
 def bit_table(terms: DataFrame) -> np.ndarray:
@@ -271,9 +373,7 @@ def bit_table(terms: DataFrame) -> np.ndarray:
 
 def _maybe(f: _Free, table: np.ndarray) -> np.ndarray:
     """Indexes of the free words that may be in the table."""
-    h = f.words.hash
-    bit = table[((h & np.uint64((1 << TABLE_BITS) - 1)) >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))
-    return np.flatnonzero(f.free & ((bit & np.uint64(1)) > 0))
+    return np.flatnonzero(f.free & _in(table, f.words.hash))
 
 
 _SEEN = 1_000_000
@@ -320,12 +420,12 @@ def _with_added(rows: DataFrame, key: str, added: DataFrame, name: str) -> DataF
         *[salted[c] for c in rows.columns], spread[name])
 
 
-def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
+def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, residual: float = RESIDUAL) -> DataFrame:
     """Per document: counts, base spans and the spans that the method adds; no text."""
     found = settled(found_data(docs), "privacy-found")
-    terms = settled(disclosing(found, docs, disclosure, prior), "privacy-terms")
+    terms = settled(disclosing(found, docs, disclosure, residual), "privacy-terms")
     added = added_spans(docs, terms, bit_table(terms))
-    return _with_added(found.drop("entities"), "text_key", added, "added").select(
+    return _with_added(found.drop("entities", "prints"), "text_key", added, "added").select(
         "doc_id", *[f"n_{k}" for k in KINDS], "base", F.coalesce("added", F.array().cast(_SPANS)).alias("added"))
 
 
@@ -349,7 +449,7 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
+def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, residual: float = RESIDUAL) -> DataFrame:
     """The documents with base spans and disclosing terms generalised to their kind.
 
     Texts without a word that may be a disclosing term are done in place; only
@@ -357,7 +457,7 @@ def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PR
     """
     B.prepare(docs.sparkSession)
     found = settled(found_data(docs), "privacy-found")
-    terms = settled(disclosing(found, docs, disclosure, prior), "privacy-terms")
+    terms = settled(disclosing(found, docs, disclosure, residual), "privacy-terms")
     table = bit_table(terms)
     added = settled(added_spans(docs, terms, table), "privacy-added")
     columns, key_name = docs.columns, free_name(docs, "_key")

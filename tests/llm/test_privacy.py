@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -94,23 +96,76 @@ def test_overlapping_spans_become_one():
     assert V.redacted("call +4111111111111111 now", [("card", 6, 22), ("phone", 5, 22), ("term", 0, 4)]) == "[TERM] [PHONE] now"
 
 
-def added_terms(spark, rows):
+def added_terms(spark, rows, table=None):
     """What the method adds, by document id, as text."""
     texts = dict(rows)
     return {x.doc_id: [texts[x.doc_id][int(a):int(b)] for k, a, b in (s.split(":") for s in x.spans.split(",") if s) if k == "term"]
-            for x in V.privacy_report(docs(spark, rows)).collect()}
+            for x in V.privacy_report(table if table is not None else docs(spark, rows)).collect()}
 
 
-def test_one_or_two_texts_are_evidence(spark):
+def test_two_different_texts_are_evidence_and_one_is_not(spark):
     rows = [(k, " ".join(words(60, 900 + k, 60)) + " common") for k in range(1000)]
     rows += [(2000, "common Quillfeather w1 common 10.1.2.3 common"),
              (2001, "common w2 Brandywyne solo@mail.example.org common"), (2002, "w3 Brandywyne common solo@mail.example.org w4"),
              (2003, "w5 Ottoline common"), (2004, "w6 Ottoline w7"), (2005, "w8 Ottoline w9 10.9.9.9 common")]
     got = added_terms(spark, rows)
-    assert got[2000] == ["Quillfeather"] and got[2001] == got[2002] == ["Brandywyne"]
+    assert got[2001] == got[2002] == ["Brandywyne"] and not got[2000]   # ordinary rare words stand in one text, too
     assert not any(got[d] for d in range(1000)) and not got[2005]      # common words; a name that stands mostly elsewhere
 
 
+def test_rare_words_of_one_text_stay(spark):
+    rows = [(k, " ".join(words(30, k, 60))) for k in range(400)]
+    said = "the photosynthesis lecture discussed chlorophyll and mitochondria thoroughly contact {}"
+    rows.append((500, said.format("bob@example.com")))
+    clean = {r.doc_id: r.text for r in V.sanitised(docs(spark, rows)).collect()}
+    assert clean[500] == said.format("[EMAIL]") and all(clean[k] == t for k, t in rows[:400])
+
+
+def test_near_copies_are_one_kind(spark):
+    base = [f"rare{k}" for k in range(120)]
+    rows = [(k, " ".join(words(30, k, 60))) for k in range(400)]
+    for k in range(60):
+        w = list(base)
+        w[2 * k] = f"edit{k}"
+        rows.append((500 + k, " ".join(w) + " jo@mail.example.org"))
+    assert not any(added_terms(spark, rows).values())
+
+
+def wilson(k, n):
+    p, z = k / n, V.DEVIATES
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def test_terms_are_those_of_a_plain_count(spark):
+    """Many texts a term, copies, several entities; without near copies a text is its own kind."""
+    r = random.Random(8)
+    people = {f"name{k}": f"p{k}@mail.example.org" for k in range(12)}
+    rows = []
+    for k, (name, mail) in enumerate(people.items()):
+        for _ in range(r.choice([1, 2, 5, 90])):                 # name and entity
+            rows.append(" ".join([name, *words(12, r.random(), 5000), mail]))
+        for _ in range(r.choice([0, 1, 3, 80])):                 # the name without it
+            rows.append(" ".join([name, *words(12, r.random(), 5000)]))
+    rows += [" ".join(words(12, r.random(), 5000)) for _ in range(300)]
+    rows += rows[:60] + rows[:30]
+    table = docs(spark, list(enumerate(rows))).repartition(5)
+    texts = {t: (set(re.sub(r"\S+@\S+", "", t).split()), set(re.findall(r"\S+@\S+", t))) for t in rows}
+    held, both, df = Counter(), Counter(), Counter()
+    for terms, mails in texts.values():
+        df.update(terms)
+        held.update(mails)
+        both.update((t, c) for t in terms for c in mails)
+    want = set()
+    for (t, c), k in both.items():
+        own, left = math.log2(len(texts) / held[c]), -math.log2(wilson(k, df[t]))
+        if left <= V.RESIDUAL and own - left >= V.DISCLOSURE * own:
+            want.add(t)
+    got = {t for _, found in added_terms(spark, list(enumerate(rows)), table).items() for t in found}
+    assert got == want and any(t.startswith("name") for t in want) and len(want & set(people)) < 12
+    # words that stand in two or three texts of one entity by chance are few
+    assert len(want - set(people)) <= 0.001 * len(set(df) - set(people))
+
+
 def test_a_disclosing_term_goes_at_all_its_places(spark):
     common = [" ".join(words(60, 900 + k, 60)) for k in range(1008)]
     rows = list(enumerate(common[:1000]))
