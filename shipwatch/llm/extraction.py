@@ -1,7 +1,9 @@
 """Main-text extraction: boosted trees over DOM nodes, decoded along the tree.
 
 A page becomes a tree of its block elements (inline markup belongs to the block
-around it; scripts, styles, titles, form controls and comments are dropped).
+around it, formulas and the fallback text of media too; scripts, styles, titles,
+form controls and comments are dropped). Whether a block is hidden is a feature,
+not a cut: article parts that open on a click stay.
 Every node has features: what kind of tag it and its ancestors are, tokens of
 its class, id and role attributes, depth, siblings, and the density of text,
 links, punctuation and tags in its subtree. Gradient-boosted trees give the
@@ -16,12 +18,12 @@ the second time without the tell-tale tags and attribute words, so they also
 learn from density and position and carry over to pages without such marks; and
 a third time as if every node stood in marked side matter, which is never main
 text however dense it is. At
-most about ``PAGES`` pages are sampled, by a hash of their ids (a documented
-bound). Prediction is one pass over whole pages, without a shuffle.
+most about ``PAGES`` of the pages that mark an article are sampled, by a hash of
+their ids (a documented bound), however few of all pages they are. Prediction is one pass over whole pages, without a shuffle.
 
 Defined cases: null or empty html, and pages without main text, give an empty
 text; rows that repeat are extracted row by row; null ids and urls pass; extra
-columns are ignored; where no sampled page marks an article, a fixed rule of
+columns are ignored; where no page of the table marks an article, a fixed rule of
 link and text density takes the trees' place.
 """
 
@@ -43,8 +45,7 @@ PAGES = 800
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption nav header footer aside form fieldset details summary address center menu dialog".split())
-DROPPED = frozenset("script style noscript template svg math iframe object canvas head title textarea select option button "
-                    "datalist audio video map".split())
+DROPPED = frozenset("script style noscript template svg iframe head title textarea select option button datalist map".split())
 RAW = frozenset("script style textarea title noscript iframe".split())      # their content is no markup
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
@@ -64,24 +65,35 @@ _SCOPES = frozenset("table ul ol dl td th div section article main body blockquo
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>"""
     r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|[^<]++|<""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+_NAMING = ("class", "id", "role", "itemprop")
+_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+#: pages that may mark their article
+_MARKED = r"""(?i)<(?:article|main)[\s/>]|role\s*=\s*["']?\s*main"""
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 FEATURES = ("article_tag side_tag heading text_tag list_tag inside_article inside_side main_words side_words "
             "inside_main_words inside_side_words depth children place siblings_alike log_text share_of_page link_share "
-            "tag_density punctuation words_per_block parent_link_share before log_own").split()
+            "tag_density punctuation words_per_block parent_link_share before log_own hidden inside_hidden").split()
 MARKS = [FEATURES.index(f) for f in ("article_tag side_tag inside_article inside_side main_words side_words "
                                      "inside_main_words inside_side_words").split()]
 SIDE_MARKS = [FEATURES.index(f) for f in "side_words inside_side_words side_tag inside_side".split()]
 
 
+def attributes_of(rest: str) -> dict[str, str]:
+    """Attributes of a start tag by lower-case name; of repeated ones the first."""
+    found: dict[str, str] = {}
+    for name, x, y, z in _ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), x or y or z)
+    return found
+
+
 class Page:
     """The block tree of a page, parents before children."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.attributes, self.role_main = [-1], ["html"], [""], [False]
+        self.parent, self.tag, self.attributes, self.role_main, self.hidden = [-1], ["html"], [""], [False], [False]
         self.children, self.tags, self.links = [0], [1], [0]        # tags, link characters inside
         self.chunks: list[tuple[int, int, list[str]]] = []          # (node, chunk number, texts)
         self._read(source)
@@ -146,13 +158,15 @@ class Page:
                     break
             current, chunk = None, chunk + 1
             up = stack[-1][1]
-            if up < 0 or _HIDDEN.search(rest):
+            if up < 0:
                 stack.append((tag, -1))
                 continue
-            found = {a.lower(): (x or y or z) for a, x, y, z in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
+            found = attributes_of(rest) if rest.strip(" /") else {}
             self.parent.append(up)
             self.tag.append(tag)
-            self.attributes.append(" ".join(found.values()))
+            self.attributes.append(" ".join(v for k, v in found.items() if k in _NAMING))
+            self.hidden.append("hidden" in found or found.get("aria-hidden", "").lower() == "true"
+                               or bool(_DISPLAY.search(found.get("style", ""))))
             self.role_main.append(tag in ARTICLE or found.get("role", "").lower() == "main")
             self.children.append(0)
             self.tags.append(1)
@@ -184,14 +198,14 @@ class Page:
             tags[p] += tags[i]
             signs[p] += signs[i]
             units[p] += units[i]
-        depth, inside, place = [0] * n, [(False, False, False, False)] * n, [0] * n
+        depth, inside, place = [0] * n, [(False,) * 5] * n, [0] * n
         alike: dict[tuple[int, str], int] = {}
         seen = [0] * n
         for i in range(1, n):
             p = self.parent[i]
             depth[i] = depth[p] + 1
-            a, s, mw, sw = inside[p]
-            inside[i] = (a or self.role_main[p], s or self.tag[p] in SIDE, mw or words[p][0], sw or words[p][1])
+            a, s, mw, sw, h = inside[p]
+            inside[i] = (a or self.role_main[p], s or self.tag[p] in SIDE, mw or words[p][0], sw or words[p][1], h or self.hidden[p])
             place[i] = seen[p]
             seen[p] += 1
             alike[p, self.tag[i]] = alike.get((p, self.tag[i]), 0) + 1
@@ -204,7 +218,7 @@ class Page:
                 place[i] / max(1, self.children[p]) if p >= 0 else 0, alike.get((p, t), 1), np.log1p(text[i]),
                 text[i] / max(1, total), links[i] / max(1, text[i]), text[i] / tags[i], 100 * signs[i] / max(1, text[i]),
                 text[i] / max(1, units[i]), links[p] / max(1, text[p]) if p >= 0 else 0, before[i] / max(1, total),
-                np.log1p(own[i])))
+                np.log1p(own[i]), self.hidden[i], inside[i][4]))
         return np.array(rows, np.float64)
 
     def weak_labels(self) -> np.ndarray | None:
@@ -261,9 +275,10 @@ def by_rule(x: np.ndarray) -> np.ndarray:
 def learned(pages: DataFrame, most: int = PAGES) -> boosting.Trees | None:
     """Trees fitted on the sampled pages that mark their article."""
     B.prepare(pages.sparkSession)
-    n = pages.count()
+    marked = pages.where(F.col("html").rlike(_MARKED)).select("page_id", "url", "html")
+    n = marked.count()
     hashed = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) / float(1 << 20)
-    sample = pages.where((hashed < min(1.0, most / max(n, 1))) & F.col("html").isNotNull()).select("page_id", "html")
+    sample = marked.where(hashed < min(1.0, most / max(n, 1)))
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

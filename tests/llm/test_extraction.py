@@ -97,3 +97,26 @@ def test_edges(spark, model):
     assert X.main_text(spark.createDataFrame([], SCHEMA)).collect() == []
     rule = X.extracted(spark.createDataFrame([(1, "u", "<p>text</p><div class=ad>no</div>")], SCHEMA), None).collect()
     assert rule[0].text == "text"
+
+
+@pytest.mark.parametrize("part", ['<div class="panel hidden md:block">', '<section title="The hidden costs of X">', '<div data-note="a hidden gem">',
+                                  "<section hidden>", '<div aria-hidden="true">', "<div style='color:red; display: none'>", "<div title='class=ad'>"])
+def test_article_parts_that_mention_hidden_stay(part, model):
+    end = part[1:].split()[0].rstrip(">")
+    page = X.Page(f"<article><p>{SENTENCES}</p>{part}<p>{SENTENCES}Inner.</p></{end}><p>Let <math><mi>x</mi>=<mn>2</mn></math> be "
+                  f"<video src=a>no film</video>shown.</p></article><nav>Home</nav>")
+    text = page.text(X.decoded(page.parent, model.probability(page.features())))
+    assert text.split("\n") == [SENTENCES.strip(), SENTENCES + "Inner.", "Let x=2 be no filmshown."]
+
+
+def test_attributes_are_read_by_name():
+    got = X.attributes_of(""" a=1 HIDDEN class='x "y"' title="id=z hidden" class=w data-a = "b" /""")
+    assert got == {"a": "1", "hidden": "", "class": 'x "y"', "title": "id=z hidden", "data-a": "b"}
+    assert len(X.attributes_of("a='" * 50_000 + "b=\"" * 50_001)) > 0
+
+
+def test_few_marked_pages_are_all_sampled(spark):
+    rows = [(k, "u", f"<div class=story><p>{SENTENCES}</p></div><div class=menu>Menu {k}</div>") for k in range(2000)]
+    rows += [(5000 + k, "u", f"<nav>Menu</nav><article><p>{SENTENCES}</p><p>More, {k}.</p></article><footer>Foot</footer>") for k in range(4)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert X.learned(table, 20) is not None
