@@ -19,8 +19,8 @@ effective number of kinds does, ``m ** 2 / sum(texts of a kind ** 2)``.
 
 Passes: (1) a map over all texts finds base spans, entities and minhashes; (2) a
 map gives (term, text key) for the texts whose entity stands in texts of several
-kinds (no other can disclose), joined with the entities by text key; (3) a map
-counts the texts of the terms left, as partial sums, by text key only where a
+kinds (no other can disclose), joined with the entities by text key; terms that these
+texts alone show to stand mostly elsewhere are done; (3) a map counts the texts of the terms left, as partial sums, by text key only where a
 text has copies; (4) a map with a bit table of fixed size finds places of words
 that may be disclosing terms, and a join by term, salted, keeps those that are.
 Texts are never shuffled for the report, no count is capped or sampled. Entities
@@ -347,17 +347,22 @@ def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE
         own, left = -F.log2(F.col("df") / F.lit(total)), -F.log2(limit)
         return (own > 0) & (left <= residual) & (own - left >= disclosure * own)
 
-    both = (term_texts(docs, keys).join(holds, "key").groupBy("term", "entity", "df", "kind").agg(F.count("*").alias("m"))
+    def judged(rows: DataFrame, counts: DataFrame) -> DataFrame:
+        """The (term, entity) that tell enough if the term stands in ``texts`` texts."""
+        spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        share = F.col("both") / F.col("texts")
+        return (rows.withColumn("salt", F.pmod(F.xxhash64("entity"), F.lit(SALTS)).cast("int")).join(spread, ["term", "salt"])
+                .where(telling(lower_limit(share, F.col("kinds") / share))).select(*rows.columns))
+
+    pairs = settled(term_texts(docs, keys), "privacy-pairs")
+    both = (pairs.join(holds, "key").groupBy("term", "entity", "df", "kind").agg(F.count("*").alias("m"))
             .groupBy("term", "entity", "df").agg(F.sum("m").alias("both"), F.sum(F.col("m") * F.col("m")).alias("squares"))
-            .withColumn("kinds", F.col("both") * F.col("both") / F.col("squares")))
-    # a term that stands in no other text tells most
-    maybe = settled(both.where(telling(lower_limit(F.lit(1.0), F.col("kinds")))), "privacy-maybe")
+            .withColumn("kinds", F.col("both") * F.col("both") / F.col("squares")).where(telling(lower_limit(F.lit(1.0), F.col("kinds")))))
+    # the texts of other entities, already at hand, rule out most words: more texts only tell less
+    maybe = settled(judged(both, pairs.groupBy("term").agg(F.count("*").alias("texts"))), "privacy-maybe")
     table = bit_table(maybe)
     copied = bit_table(known.where("copies > 1").select(F.col("text_key").alias("term")))
-    counts = text_counts(docs, table, copied).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    judged = maybe.withColumn("salt", F.pmod(F.xxhash64("entity"), F.lit(SALTS)).cast("int")).join(counts, ["term", "salt"])
-    share = F.col("both") / F.col("texts")
-    return judged.where(telling(lower_limit(share, F.col("kinds") / share))).select("term").distinct()
+    return judged(maybe, text_counts(docs, table, copied)).select("term").distinct()
 
 
 def bit_table(terms: DataFrame) -> np.ndarray:
