@@ -5,7 +5,8 @@ white space, each with at most one space before it) never lets a merge cross a
 word, so the ids of a text are the ids of its words in a row. Words are found
 for a whole slice at once; only words not met before by this worker go through
 the ``tokenizers`` library. Texts with characters outside the Latin, Greek,
-Cyrillic, Armenian and general punctuation blocks go through it whole.
+Cyrillic, Armenian and general punctuation blocks go through it whole. For a
+vocabulary that drops white space, words are what stands between white space.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 from shipwatch.llm import batches as B
 
 VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 CACHE_WORDS = 1_000_000             # distinct words kept by a worker before it starts anew
 RECENT_WORDS = 50_000               # of them in a dictionary, the others in ordered arrays
 PART_CHARS = 1 << 19                # a longer text is split between words
@@ -68,6 +70,15 @@ def word_starts(code: np.ndarray, kind: np.ndarray, texts: np.ndarray) -> np.nda
     return begin
 
 
+def white_starts(code: np.ndarray, kind: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The same for a vocabulary that drops white space: a word and the white space after it."""
+    first = np.zeros(len(code) + 1, bool)
+    first[texts] = True
+    begin = kind != _SPACE
+    begin[1:] &= kind[:-1] == _SPACE
+    return begin | first[:-1]
+
+
 class Encoder:
     """Ids of many texts at a time. One per worker process and vocabulary file."""
 
@@ -77,6 +88,9 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        drops_white = self.tokenizer.encode(" a", add_special_tokens=False).ids == self.tokenizer.encode(
+            "a", add_special_tokens=False).ids
+        self.starts = white_starts if drops_white else word_starts
         self._clear()
 
     @classmethod
@@ -123,7 +137,7 @@ class Encoder:
         code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         kind = _CLASS[code]
-        start = np.flatnonzero(word_starts(code, kind, offsets))
+        start = np.flatnonzero(self.starts(code, kind, offsets))
         end = np.concatenate([start[1:], [len(code)]])
         up, down = _POWERS.take(len(code) + 1)
         total = np.zeros(len(code) + 1, np.uint64)
