@@ -48,7 +48,7 @@ def token_count(vocabulary: str = VOCABULARY) -> Column:
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import public_tokenizers
-        encoder = Encoder.at(public_tokenizers.path(vocabulary))
+        encoder = Encoder.at(public_tokenizers.path(vocabulary), with_ids=False)
         for s in texts:
             yield pd.Series(encoder.counts([t or "" for t in s]))
 

@@ -6,7 +6,8 @@ word, so the ids of a text are the ids of its words in a row. Words are found
 for a whole slice at once; only words not met before by this worker go through
 the ``tokenizers`` library. Texts with characters outside the Latin, Greek,
 Cyrillic, Armenian and general punctuation blocks go through it whole. For a
-vocabulary that drops white space, words are what stands between white space.
+vocabulary that drops white space and lower-cases, a space joins no word, and
+texts with combining marks go through whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -40,22 +42,15 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+#: where a normaliser works on signs: what may melt into, or turn into more than, its neighbours is foreign
+_PLAIN_CLASS = np.where([c in (0x130, 0x2300) or unicodedata.category(chr(c))[0] == "M" for c in range(0x2301)], _FOREIGN, _CLASS)
 _POWERS = B._Powers(0x8CB92BA72F3D8DD7)
 _MIXED = B.mix(np.arange(1, 0x2302, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def word_starts(code: np.ndarray, kind: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Mask of the positions at which a word begins; ``texts``: offsets of the texts in ``code``."""
+def _contractions(code: np.ndarray, kind: np.ndarray, first: np.ndarray, begin: np.ndarray) -> None:
+    """An apostrophe that begins a word, before s t m d re ve ll, takes these letters only."""
     n = len(code)
-    first = np.zeros(n + 1, bool)
-    first[texts] = True
-    begin = first[:n].copy()
-    begin[1:] |= kind[1:] != kind[:-1]
-    # the last sign of a white run stands before what follows: a space joins it, others stay alone
-    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~first[1:n])
-    begin[last] = True
-    begin[last[code[last] == 0x20] + 1] = False
-    # contractions: an apostrophe that begins a word, before s t m d re ve ll
     at = np.flatnonzero((code[:-1] == 0x27) & begin[:-1] & (kind[1:] == _LETTER) & ~first[1:n])
     if len(at):
         x = code[at + 1]
@@ -67,37 +62,54 @@ def word_starts(code: np.ndarray, kind: np.ndarray, texts: np.ndarray) -> np.nda
         after = np.concatenate([at[one] + 2, at[two] + 3])
         after = after[after < n]
         begin[after[~first[after] & (kind[after] == _LETTER)]] = True
+
+
+def word_starts(code: np.ndarray, kind: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Mask of the positions at which a word begins; ``texts``: offsets of the texts in ``code``."""
+    n = len(code)
+    first = np.zeros(n + 1, bool)
+    first[texts] = True
+    begin = first[:n].copy()
+    begin[1:] |= kind[1:] != kind[:-1]
+    # the last sign of a white run stands before what follows: a space joins it, others stay alone
+    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~first[1:n])
+    begin[last] = True
+    begin[last[code[last] == 0x20] + 1] = False
+    _contractions(code, kind, first, begin)
     return begin
 
 
 def white_starts(code: np.ndarray, kind: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """The same for a vocabulary that drops white space: a word and the white space after it."""
+    """The same for a vocabulary that drops white space and takes capital letters for small ones."""
     first = np.zeros(len(code) + 1, bool)
     first[texts] = True
-    begin = kind != _SPACE
-    begin[1:] &= kind[:-1] == _SPACE
-    return begin | first[:-1]
+    begin = first[:-1].copy()
+    begin[1:] |= kind[1:] != kind[:-1]
+    _contractions(np.where((code >= 0x41) & (code <= 0x5A), code + 0x20, code), kind, first, begin)
+    return begin
 
 
 class Encoder:
     """Ids of many texts at a time. One per worker process and vocabulary file."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, with_ids: bool = True):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.with_ids = Tokenizer.from_file(path), with_ids
         self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
         drops_white = self.tokenizer.encode(" a", add_special_tokens=False).ids == self.tokenizer.encode(
             "a", add_special_tokens=False).ids
-        self.starts = white_starts if drops_white else word_starts
+        self.starts, self.classes = (white_starts, _PLAIN_CLASS) if drops_white else (word_starts, _CLASS)
         self._clear()
 
     @classmethod
-    def at(cls, path: str) -> Encoder:
+    def at(cls, path: str, with_ids: bool = True) -> Encoder:
+        """``with_ids`` false: for ``counts`` only, in less time and memory."""
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return cls._made.get(path) or cls._made.setdefault(path, cls(path))
+        key = (path, with_ids)
+        return cls._made.get(key) or cls._made.setdefault(key, cls(path, with_ids))
 
     def _clear(self) -> None:
         self.slot: dict[int, int] = {}      # words learned lately
@@ -110,15 +122,16 @@ class Encoder:
         self.used = 0
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
         need = self.size + len(found)
         while need > len(self.begin):
             self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
         lengths = np.array([len(x) for x in found], np.int64)
         total = int(lengths.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used:self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        if self.with_ids:
+            while self.used + total > len(self.flat):
+                self.flat = np.resize(self.flat, 2 * len(self.flat))
+            self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32, total)
         self.begin[self.size:need] = self.used + np.cumsum(lengths) - lengths
         self.count[self.size:need] = lengths
         self.slot.update(zip(hashes, range(self.size, need)))
@@ -136,7 +149,7 @@ class Encoder:
         joined = "".join(parts)
         code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        kind = _CLASS[code]
+        kind = self.classes[code]
         start = np.flatnonzero(self.starts(code, kind, offsets))
         end = np.concatenate([start[1:], [len(code)]])
         up, down = _POWERS.take(len(code) + 1)
@@ -167,7 +180,7 @@ class Encoder:
         for k, t in enumerate(texts):
             if not t:
                 continue
-            if not t.isascii() and (_CLASS[np.minimum(np.frombuffer(t.encode("utf-32-le"), np.uint32), 0x2300)]
+            if not t.isascii() and (self.classes[np.minimum(np.frombuffer(t.encode("utf-32-le"), np.uint32), 0x2300)]
                                     == _FOREIGN).any():
                 foreign[k] = t
                 continue
