@@ -72,3 +72,57 @@ class Store:
             Marks(self.spark, f"{self.root}/{key}").write(run, {"key": key})
             found = self.find(key)
         return found
+
+
+class Run:
+    """A job of named steps that can break anywhere and go on.
+
+    Tables go to ``folder``, apart from those of other runs. A step's mark is
+    written after its build, with what the build returned: a later call under
+    the same id takes that and goes on at the first step without a mark, which
+    writes its tables anew. ``commit`` comes last; ``committed_run`` finds only
+    runs that have it. One writer per id at a time. ``inputs`` (plain values)
+    are kept with the run: other inputs under its id are an error.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, run_id: str, inputs: dict):
+        self.root, self.run_id = root.rstrip("/"), run_id
+        self.folder = f"{self.root}/run={run_id}"
+        self._steps, self._runs = Marks(spark, self.folder), Marks(spark, self.root)
+        given = json.loads(json.dumps(inputs, default=str))
+        begun = self._steps.read("inputs")
+        if begun is None:
+            self._steps.write("inputs", given)
+        elif begun != given:
+            raise ValueError(f"run {run_id} was begun with other inputs: {begun}")
+
+    def step(self, name: str, build: Callable[[], object]):
+        """What ``build`` returns (as JSON has it); it is not called if the step is done."""
+        done = self._steps.read(f"step-{name}")
+        if done is None:
+            self._steps.write(f"step-{name}", {"result": build()})
+            done = self._steps.read(f"step-{name}")
+        return done["result"]
+
+    def commit(self, record: dict) -> dict:
+        """Make the run visible; a run that is committed stays as it is."""
+        if self._runs.read(self.run_id) is None:
+            number = 1 + max((self._runs.read(r)["number"] for r in self._runs.names()), default=0)
+            self._runs.write(self.run_id, {"number": number, "record": record})
+        return self._runs.read(self.run_id)["record"]
+
+
+def committed_run(spark: SparkSession, root: str) -> str:
+    """The folder of the run that was committed last."""
+    marks = Marks(spark, root)
+    runs = sorted((marks.read(r)["number"], r) for r in marks.names())
+    if not runs:
+        raise FileNotFoundError(f"no committed run in {root}")
+    return f"{root.rstrip('/')}/run={runs[-1][1]}"
+
+
+def files_told(spark: SparkSession, path: str) -> list[list]:
+    """Name, length and time of change of the files of an input, in order of name."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted([f.getPath().getName(), f.getLen(), f.getModificationTime()] for f in fs.listStatus(p))

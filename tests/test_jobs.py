@@ -6,10 +6,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from shipwatch.operators import curated_schema, learn
+from shipwatch.operators import curate, curated_schema, learn, metrics, sensors
 from shipwatch.plans import catalog, jobs
 from shipwatch.sources import fixtures as fx
 from shipwatch.sources import io
+from shipwatch.sources.committed import Run, committed_run
 from tests.conftest import SF_SMALL
 
 
@@ -67,6 +68,62 @@ def test_foundation_job(spark, raw_files, tmp_path):
         assert json.loads(fh.readline())["raw_columns"] == 34
 
 
+def test_a_broken_run_goes_on(spark, raw_files, tmp_path, monkeypatch):
+    out = str(tmp_path / "curated")
+    given = (spark, raw_files[0], raw_files[1], out, "first", fx.stock_levels(spark, SF_SMALL))
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    for place, name in ((curate, "web_demand"), (sensors, "checkpoint_plan"), (metrics, "stock_summary")):
+        with monkeypatch.context() as m:
+            m.setattr(place, name, fails)
+            with pytest.raises(RuntimeError, match="lost"):
+                jobs.committed_foundation(*given, on_bad_dates="drop")
+        with pytest.raises(FileNotFoundError):
+            committed_run(spark, out)
+    # a table that was half written, without its step's mark, is written anew
+    spark.range(3).write.json(f"{out}/run=first/stock_summary", mode="overwrite")
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "curated").rglob("*.parquet")}
+    assert before
+    record = jobs.committed_foundation(*given, on_bad_dates="drop")
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "curated").rglob("*.parquet")}
+    assert after == before                              # what was done is not done again
+    folder = committed_run(spark, out)
+    data = io.register_datasets(spark, folder)
+    assert data["orders"].count() == record["quality"]["clean_rows"] > 0
+    assert record["stock"]["products"] == data["inventory"].count()
+    want = metrics.orders_daily(curate.curate_orders(io.read_raw_csv(spark, raw_files[0]), on_bad_dates="drop"))
+    assert data["orders_daily"].count() == want.count() and data["orders_daily"].exceptAll(want).isEmpty()
+    assert jobs.committed_foundation(*given, on_bad_dates="drop") == record
+    with pytest.raises(ValueError, match="other inputs"):
+        jobs.committed_foundation(*given, on_bad_dates="raise")
+
+
+@pytest.mark.parametrize("broken", range(5))
+def test_runs_break_after_any_step(spark, tmp_path, broken):
+    root, built = str(tmp_path / "out"), []
+
+    def job(stop):
+        run = Run(spark, root, "r", {"a": 1})
+        for k in range(4):
+            if k == stop:
+                raise RuntimeError("lost")
+            assert run.step(f"s{k}", lambda k=k: built.append(k) or {"n": k}) == {"n": k}
+        if stop == 4:
+            raise RuntimeError("lost")
+        return run.commit({"steps": 4})
+
+    with pytest.raises(RuntimeError):
+        job(broken)
+    with pytest.raises(FileNotFoundError):
+        committed_run(spark, root)
+    assert job(None) == {"steps": 4} and built == [0, 1, 2, 3]
+    assert committed_run(spark, root) == f"{root}/run=r"
+    Run(spark, root, "a-later-one", {}).commit({})
+    assert committed_run(spark, root) == f"{root}/run=a-later-one"
+
+
 def test_empty_table_is_rejected(spark, tmp_path):
     p = str(tmp_path / "empty")
     io.write_table(spark.createDataFrame([], "order_date_day date, product_id long, product_name string, "
