@@ -39,7 +39,7 @@ def parse_number(c: Column | str, to: str = "double") -> Column:
     c = F.col(c) if isinstance(c, str) else c
     s = F.btrim(c.cast("string"), F.lit(WHITESPACE))
     if to in ("int", "bigint", "long"):
-        return F.regexp_replace(s, r"^([+-]?[0-9]+)\.0*$", "$1").try_cast(to)
+        return F.when(s.contains("."), F.regexp_replace(s, r"^([+-]?[0-9]+)\.0*$", "$1")).otherwise(s).try_cast(to)
     return F.when(~s.rlike("[A-Za-z]$"), s).try_cast(to)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from shipwatch import fixed_values as fv
 from shipwatch.functions import (calendar_day, clean_text, hash_identifier, month_text,
                                  parse_hour, parse_number, parse_timestamp, weekday_name)
-from shipwatch.operators.schema_ops import (drop_present, normalize_columns, project,
+from shipwatch.operators.schema_ops import (computed_once, drop_present, normalize_columns, project,
                                             rename_present, require_columns)
 
 INTEGER_COLUMNS = {"quantity", "late_delivery_risk", "days_shipping_real", "days_shipping_scheduled"}
@@ -80,14 +80,15 @@ def curate_orders(raw: DataFrame, on_bad_dates: str = "raise", check_empty: bool
         assert_dates_parsed(df, check_empty)
     elif on_bad_dates == "assert":
         df = dates_checked(df)
-    elif on_bad_dates == "drop":
-        df = df.filter(F.col("order_date").isNotNull() & F.col("shipping_date").isNotNull())
-    else:
+    elif on_bad_dates != "drop":
         raise ValueError(f"on_bad_dates must be 'raise', 'assert' or 'drop', not {on_bad_dates!r}")
     df = rename_present(df, fv.ORDER_RENAMES)
     require_columns(df, ["customer_id"], "order export")
-    df = df.withColumn("customer_id_hash", hash_identifier("customer_id"))
     df = coerce_order_numbers(df)
+    df = computed_once(df, ["order_date", "shipping_date", *[c for c in fv.NUMERIC_ORDER_COLUMNS if c in df.columns]])
+    if on_bad_dates == "drop":
+        df = df.filter(F.col("order_date").isNotNull() & F.col("shipping_date").isNotNull())
+    df = df.withColumn("customer_id_hash", hash_identifier("customer_id"))
     orders = project(df, fv.OPERATIVE_COLUMNS, "curated orders")
     orders = orders.dropna(subset=fv.REQUIRED_ORDER_COLUMNS)
     text_cols = [f.name for f in orders.schema.fields if f.dataType.simpleString() == "string"]

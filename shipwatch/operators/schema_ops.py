@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from shipwatch.functions.names import normalize_names
 
@@ -45,3 +45,14 @@ def project(df: DataFrame, columns: list[str], what: str = "table") -> DataFrame
     """Allow-list projection, checked first."""
     require_columns(df, columns, what)
     return df.select(*columns)
+
+
+def computed_once(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same rows, whose ``columns`` (computed below) are computed once a row.
+
+    A filter on a computed column is pushed below the column, which repeats its
+    expression in the filter, and so do later columns that use it. Here they
+    pass through a generator of one row, which no expression is moved through.
+    """
+    packed = df.withColumn("_once", F.struct(*[F.col(c) for c in columns]))
+    return packed.select(*[c for c in df.columns if c not in columns], F.inline(F.array("_once")))

@@ -19,6 +19,11 @@ DEFAULT_CONF: dict[str, str] = {
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
 }
 
+# The JVM compiles no method of more bytecode than this: generated code beyond it
+# would be interpreted for the whole run, so Spark is told to run such a stage
+# operator by operator, in methods that are compiled.
+COMPILED_METHOD_BYTES = 8000
+
 
 def get_session(master: str | None = None, app_name: str = "shipwatch",
                 shuffle_partitions: int | None = None,
@@ -35,6 +40,7 @@ def get_session(master: str | None = None, app_name: str = "shipwatch",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_compiled_code(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -49,6 +55,13 @@ def ensure_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def ensure_compiled_code(spark: SparkSession) -> None:
+    """Keep Spark from one generated method a stage where the JVM would not compile it."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(key, "65535")) > COMPILED_METHOD_BYTES:
+        spark.conf.set(key, str(COMPILED_METHOD_BYTES))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint directory, setting one only if unset.
 

@@ -108,10 +108,14 @@ def _order_lines(spark: SparkSession, sf_dir: str, opaque: bool = False) -> Data
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     if not opaque:
         li = li.withColumn("line_no", F.row_number().over(w))
-    lines = li.join(orders, li.l_orderkey == orders.o_orderkey)
-    lines = lines.join(product_dimension(spark, sf_dir), lines.l_partkey == F.col("product_id"))
+    products = product_dimension(spark, sf_dir)
     if opaque:
+        # the order key last: the window needs no further exchange of the joined rows
+        lines = li.join(products, li.l_partkey == F.col("product_id")).join(orders, li.l_orderkey == orders.o_orderkey)
         lines = lines.withColumn("line_no", F.row_number().over(w))
+    else:
+        lines = li.join(orders, li.l_orderkey == orders.o_orderkey)
+        lines = lines.join(products, lines.l_partkey == F.col("product_id"))
 
     mode, sched = _priority_mode(F.col("o_orderpriority"))
     order_date = add_minutes("o_orderdate", F.pmod(F.col("l_orderkey") * 37, F.lit(1440)))

@@ -363,3 +363,15 @@ def test_global_rank(spark):
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
     assert global_rank(df.limit(0), F.col("k")).count() == 0
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_curation_parses_each_value_once(spark):
+    raw = _raw_orders(spark, [("1/31/2018 22:56", "2/1/2018"), ("bad", "2/1/2018")])
+    cur = curate_orders(raw, on_bad_dates="drop")
+    assert cur.count() == 1
+    # two dates, each brought into ISO order by two replacements; a filter that repeats them doubles that
+    assert _optimized(cur.select("order_date", "shipping_date")).count("$3-$1-$2") == 2
