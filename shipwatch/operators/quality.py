@@ -29,18 +29,26 @@ def missing_count_columns(raw: DataFrame) -> list[Column]:
 def missing_share_from_counts(counts: DataFrame, columns: list[str],
                               top: int = fv.MISSING_SHARE_TOP) -> DataFrame:
     """(column, share) rows from a one-row table of ``missing_count_columns``."""
-    tall = counts.select("__rows", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").cast("bigint").alias("k"))
-        for i, c in enumerate(columns)])).alias("kv")).select("__rows", "kv.*")
+    return counts.select(F.inline(missing_share_array(columns, top)))
+
+
+def missing_share_array(columns: list[str], top: int = fv.MISSING_SHARE_TOP) -> Column:
+    """The same rows as one array of (column_name, missing_share), in their order."""
     scale = 10_000
-    n = F.greatest(F.col("__rows"), F.lit(1))
-    q = F.expr(f"(k * {scale}) div greatest(__rows, 1)")
-    r = F.col("k") * scale - q * n
-    rounded = (F.when(r * 2 > n, q + 1).when((r * 2 == n) & (F.pmod(q, F.lit(2)) == 1), q + 1)
-               .otherwise(q))
-    # order by the exact count (all shares have one denominator), then name
-    return (tall.select("column_name", "k", (rounded / F.lit(float(scale))).alias("missing_share"))
-            .orderBy(F.desc("k"), "column_name").limit(top).drop("k"))
+    # ordered by the exact count (all shares have one denominator), then name
+    entries = F.slice(F.array_sort(F.array(*[
+        F.struct((-F.col(f"m{i}").cast("bigint")).alias("less"), F.lit(c).alias("column_name"), F.col("__rows").alias("n"))
+        for i, c in enumerate(columns)])), 1, top)
+
+    def share(e: Column) -> Column:
+        n, k = F.greatest(e["n"], F.lit(1)), -e["less"] * scale
+        r = F.pmod(k, n)
+        q = ((k - r) / n).cast("bigint")
+        up = (r * 2 > n) | ((r * 2 == n) & (F.pmod(q, F.lit(2)) == 1))
+        return F.struct(e["column_name"].alias("column_name"),
+                        (F.when(up, q + 1).otherwise(q) / F.lit(float(scale))).alias("missing_share"))
+
+    return F.transform(entries, share)
 
 
 def missing_share(raw: DataFrame, top: int = fv.MISSING_SHARE_TOP) -> DataFrame:
@@ -73,9 +81,16 @@ def quality_report(raw: DataFrame, clean: DataFrame, figures: DataFrame | None =
     """One row: raw/clean sizes, rows rejected and why, distinct orders, products
     and countries, date range and late-delivery rate. Each side is one global
     aggregate; ``figures`` (``raw_figures``) saves the raw one."""
-    r = (raw_figures(raw) if figures is None else figures).select(
-        F.col("__rows").alias("raw_rows"), F.lit(len(raw.columns)).alias("raw_columns"),
-        F.col("__bad_dates").alias("rejected_date_rows"))
+    return _report(_raw_side(raw_figures(raw) if figures is None else figures, raw.columns), clean)
+
+
+def _raw_side(figures: DataFrame, columns: list[str], *also: Column) -> DataFrame:
+    return figures.select(
+        F.col("__rows").alias("raw_rows"), F.lit(len(columns)).alias("raw_columns"),
+        F.col("__bad_dates").alias("rejected_date_rows"), *also)
+
+
+def _report(r: DataFrame, clean: DataFrame) -> DataFrame:
     c = clean.agg(F.count(F.lit(1)).alias("clean_rows"),
                   F.countDistinct("order_id").alias("unique_orders"),
                   F.countDistinct("product_id").alias("unique_products"),
@@ -88,7 +103,7 @@ def quality_report(raw: DataFrame, clean: DataFrame, figures: DataFrame | None =
         "raw_rows", "raw_columns", "rejected_date_rows",
         (F.col("raw_rows") - F.col("rejected_date_rows") - F.col("clean_rows")).alias("rejected_incomplete_rows"),
         "clean_rows", "clean_columns", "unique_orders", "unique_products", "unique_countries", "date_min", "date_max",
-        "late_delivery_risk_rate")
+        "late_delivery_risk_rate", *r.columns[3:])
 
 
 def quality_document(raw: DataFrame, clean: DataFrame, figures: DataFrame | None = None) -> DataFrame:
@@ -96,8 +111,8 @@ def quality_document(raw: DataFrame, clean: DataFrame, figures: DataFrame | None
     shaped for a JSON document."""
     if figures is None:
         figures = raw_figures(raw)
-    shares = missing_share_from_counts(figures, raw.columns).agg(F.map_from_entries(F.collect_list(
-        F.struct("column_name", "missing_share"))).alias("top_missing_raw_columns_pct"))
-    rep = combine_one_row(quality_report(raw, clean, figures), shares)
+    # one use of the figures, whose pass over the raw rows would run again for a second
+    shares = F.map_from_entries(missing_share_array(raw.columns)).alias("top_missing_raw_columns_pct")
+    rep = _report(_raw_side(figures, raw.columns, shares), clean)
     return rep.withColumn("sensitive_columns_removed",
                           F.array(*[F.lit(c) for c in sorted(fv.SENSITIVE_COLUMNS)]))

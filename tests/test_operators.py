@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shipwatch import fixed_values as fv
-from shipwatch.operators import filters, metrics, model, sample, sensors, stock, trace
+from shipwatch.operators import filters, metrics, model, quality, sample, sensors, stock, trace
 from shipwatch.operators.curate import curate_orders
 
 
@@ -375,3 +375,11 @@ def test_curation_parses_each_value_once(spark):
     assert cur.count() == 1
     # two dates, each brought into ISO order by two replacements; a filter that repeats them doubles that
     assert _optimized(cur.select("order_date", "shipping_date")).count("$3-$1-$2") == 2
+
+
+def test_quality_document_reads_the_raw_rows_once_for_its_figures(spark):
+    raw = _raw_orders(spark, [("1/31/2018 22:56", "2/1/2018"), ("bad", "2/1/2018")])
+    doc = quality.quality_document(raw, curate_orders(raw, on_bad_dates="drop"))
+    assert _optimized(doc).count("LogicalRDD") == 2            # the figures' pass and that of the clean rows
+    row = doc.first()
+    assert (row["raw_rows"], row["rejected_date_rows"], row["clean_rows"]) == (2, 1, 1)
