@@ -24,6 +24,12 @@ DEFAULT_CONF: dict[str, str] = {
 # operator by operator, in methods that are compiled.
 COMPILED_METHOD_BYTES = 8000
 
+# What a task reads of a shuffle, and the input that counts as one shuffle partition
+# (order lines take some two and a half times their Parquet size in a shuffle):
+# with both, the memory of a task stays the same however large the input is.
+TASK_SHUFFLE_BYTES = 16 << 20
+PARTITION_INPUT_BYTES = 4 << 20
+
 
 def get_session(master: str | None = None, app_name: str = "shipwatch",
                 shuffle_partitions: int | None = None,
@@ -62,6 +68,16 @@ def ensure_compiled_code(spark: SparkSession) -> None:
         spark.conf.set(key, str(COMPILED_METHOD_BYTES))
 
 
+def ensure_task_sizes(spark: SparkSession, sf_dir: str) -> None:
+    """Shuffle partitions by the size of the input; adaptive execution joins the small ones."""
+    advisory, initial = (f"spark.sql.adaptive.{k}" for k in ("advisoryPartitionSizeInBytes", "coalescePartitions.initialPartitionNum"))
+    if spark.conf.get(advisory) == f"{64 << 20}b":                  # Spark's default: nobody has set it
+        spark.conf.set(advisory, f"{TASK_SHUFFLE_BYTES}b")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    length = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    spark.conf.set(initial, str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-length // PARTITION_INPUT_BYTES))))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint directory, setting one only if unset.
 

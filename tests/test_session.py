@@ -11,3 +11,16 @@ def test_generated_methods_stay_small_enough_to_be_compiled(spark):
         assert int(spark.conf.get(key)) == session.COMPILED_METHOD_BYTES
     finally:
         session.ensure_compiled_code(spark)
+
+
+def test_shuffle_partitions_follow_the_input(spark, monkeypatch):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        session.ensure_task_sizes(spark, SF_SMALL)
+        assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == f"{session.TASK_SHUFFLE_BYTES}b"
+        monkeypatch.setattr(session, "PARTITION_INPUT_BYTES", 1000)
+        session.ensure_task_sizes(spark, SF_SMALL)
+        assert int(spark.conf.get(key)) > 100
+    finally:
+        spark.conf.unset(key)
