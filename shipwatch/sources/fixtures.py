@@ -236,7 +236,7 @@ def damaged_export(spark: SparkSession, sf_dir: str, path: str) -> str:
     damaged = F.when(turn == 0, F.substring_index(line, ",", 5)).when(turn == 1, F.concat(line, F.lit(",more,9"))).otherwise(line)
     # one raw column whose name is the header line: the writer must neither quote nor separate
     (raw.select(damaged.alias(",".join(raw.columns))).write.option("header", True).option("encoding", "ISO-8859-1")
-     .option("sep", "\u0001").option("quote", "\u0000").option("escapeQuotes", False).mode("overwrite").csv(path))
+     .option("compression", "gzip").option("sep", "\u0001").option("quote", "\u0000").option("escapeQuotes", False).mode("overwrite").csv(path))
     return path
 
 

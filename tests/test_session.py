@@ -1,5 +1,6 @@
 from __spark_entry__ import queries
 from shipwatch import session
+from shipwatch.sources import fixtures as fx
 from tests.conftest import SF_SMALL
 
 
@@ -24,3 +25,9 @@ def test_shuffle_partitions_follow_the_input(spark, monkeypatch):
         assert int(spark.conf.get(key)) > 100
     finally:
         spark.conf.unset(key)
+
+
+def test_damaged_export_is_written_compressed(spark, tmp_path):
+    path = fx.damaged_export(spark, SF_SMALL, str(tmp_path / "export"))
+    parts = [p.name for p in (tmp_path / "export").glob("part-*")]
+    assert parts and all(p.endswith(".csv.gz") for p in parts) and path == str(tmp_path / "export")
