@@ -341,8 +341,9 @@ def run_counts(split: DataFrame) -> DataFrame:
 
 def rows_fingerprint(rows: DataFrame, settings: str = "") -> str:
     """A name for the content of ``rows``, whatever their order and partitioning (one aggregate)."""
-    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
-    a, b = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    # a null leaves such a hash as it is, so each value stands beside whether it is one
+    values = [x for c in sorted(rows.columns) for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    a, b = F.xxhash64(*values), F.xxhash64(F.lit(1), *values)
     r = rows.select(a.alias("a"), b.alias("b")).agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("x"), F.sum(F.col("a").cast("decimal(38,0)")).alias("s"),
         F.bit_xor("b").alias("y"), F.sum(F.col("b").cast("decimal(38,0)")).alias("t")).first()
@@ -366,7 +367,10 @@ class TrainingRun:
     # -- the split
 
     def _write_split(self, path: str) -> None:
-        frame = mdl.model_frame(self.orders, key=self.key, check="plan")
+        # the medians and the frame read the rows written once, not the plan behind them each
+        self.orders.write.parquet(f"{path}/rows")
+        rows = self.spark.read.schema(self.orders.schema).parquet(f"{path}/rows")
+        frame = mdl.model_frame(rows, key=self.key, check="plan")
         frame.write.parquet(f"{path}/frame")
         frame = self.spark.read.schema(frame.schema).parquet(f"{path}/frame")
         stratified_split(frame, self.key, fv.TARGET_COLUMN).write.parquet(f"{path}/split")
