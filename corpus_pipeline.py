@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet in the shared folder and read again as the next one's
 documents. All but the last return the columns of ``documents``.
 
-1. language: documents whose language is not recognised go.
+1. language: documents whose language is not recognised go (texts without letters,
+   and those whose likeliest language has a probability under ``language.LEAST``).
 2. near_duplicates: one document of each class of near-duplicates stays.
 3. decontamination: contaminated documents go; from the others the words that
    match the benchmark are cut out.

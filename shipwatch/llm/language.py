@@ -43,6 +43,7 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.5
 SCALE = 100.0                       # frequencies are per cent
 UNKNOWN = "und"
+LEAST = 0.9                         # calibrated probability from which a language counts as recognised
 SLICE_BYTES = 256 << 10             # of text at a time: an n-gram costs some 100 bytes
 
 
@@ -253,11 +254,12 @@ def language_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
+def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents whose language is recognised.
 
-    Texts without letters go, and predictions with a probability under
-    ``least`` (a parameter; by default none). With nothing to learn from, every
+    Texts without letters go, and those whose predicted language has a
+    probability under ``least``: by default they are texts for which one
+    prediction in ten or more is wrong. With nothing to learn from, every
     text with a letter stays: a corpus without labels is not an empty one.
     """
     columns = docs.columns

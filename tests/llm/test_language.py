@@ -75,3 +75,13 @@ def test_without_labels_lettered_documents_stay(spark):
     table = docs(spark, rows).selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
     kept = L.accepted(table)
     assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_a_language_that_is_not_recognised_goes(spark):
+    import corpus_pipeline
+    rows = [(k, t, lang, "s", 0) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 20)]
+    table = docs(spark, [*rows, (200, "日本語", None, "s", 0), (201, "Hund und Katze", None, "s", 0)])
+    score = {r.doc_id: r.score for r in L.predicted(table, L.fit(table)).collect()}
+    assert score[200] < L.LEAST <= score[201]
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, table, "").collect()}
+    assert kept == {d for d, s in score.items() if s >= L.LEAST} and 200 not in kept and 201 in kept
