@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -25,4 +27,4 @@ def month_text(ts) -> Column:
 
 def weekday_name(ts) -> Column:
     """English weekday name (Monday ... Sunday)."""
-    return F.date_format(_c(ts), "EEEE")
+    return F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday(_c(ts)) + 1)

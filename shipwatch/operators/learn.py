@@ -28,11 +28,12 @@ from shipwatch import fixed_values as fv
 from shipwatch.functions import parse_number
 from shipwatch.operators import model as mdl
 from shipwatch.operators.encoding import indexed_slots, slot_column, with_slots
-from shipwatch.operators.medians import median_table
+from shipwatch.operators.medians import exact_medians, median_table
 from shipwatch.operators.metrics import combine_one_row
 from shipwatch.operators.ranking import global_rank
-from shipwatch.operators.sample import stratified_split
-from shipwatch.sources.committed import Store
+from shipwatch.operators.sample import class_quotas, hash_limits, is_kept, seeded_hash
+from shipwatch.operators.schema_ops import unpivoted
+from shipwatch.sources.committed import Marks, Store
 
 INFREQUENT = "__infrequent__"
 CAT = fv.CATEGORICAL_FEATURES
@@ -41,9 +42,7 @@ NUM = fv.NUMERICAL_FEATURES
 
 def value_counts(train: DataFrame) -> DataFrame:
     """(feature, value, n) of every categorical feature: one partial aggregate."""
-    tall = train.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in CAT]))
-        .alias("kv")).select("kv.*")
+    tall = unpivoted(train, CAT, "string", "value")
     return tall.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -69,8 +68,7 @@ def encoder_slots(train: DataFrame, min_frequency: int = fv.MIN_CATEGORY_FREQUEN
 
 def scaler_constants(train: DataFrame) -> DataFrame:
     """(feature, mean, deviation): population values, a zero deviation as 1."""
-    tall = train.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in NUM])).alias("kv")).select("kv.*")
+    tall = unpivoted(train, NUM, "double", "v")
     return tall.groupBy("feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("s")).select(
         "feature", "mean", F.when(F.col("s") > 0, F.col("s")).otherwise(F.lit(1.0)).alias("deviation"))
 
@@ -203,8 +201,7 @@ def share_terms(train: DataFrame, slots: DataFrame) -> DataFrame:
     model to compare a fitted one with; its sums are exact.
     """
     y = F.col(fv.TARGET_COLUMN)
-    tall = train.select(y.alias("y"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in CAT])).alias("kv")).select("y", "kv.*")
+    tall = unpivoted(train.withColumn("y", y), CAT, "string", "value", ["y"])
     late = tall.groupBy("feature", "value").agg(F.sum("y").alias("late"), F.count(F.lit(1)).alias("n"))
     frequent = slots.where("value is not null").select("feature", "value", "slot")
     met = late.join(frequent, ["feature", "value"], "left").withColumn("value", F.when(F.col("slot").isNotNull(), F.col("value")))
@@ -339,48 +336,64 @@ def run_counts(split: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("split") == "test", y)).alias("positive_class_rate_test"))
 
 
-def rows_fingerprint(rows: DataFrame, settings: str = "") -> str:
-    """A name for the content of ``rows``, whatever their order and partitioning (one aggregate)."""
-    # a null leaves such a hash as it is, so each value stands beside whether it is one
-    values = [x for c in sorted(rows.columns) for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
-    a, b = F.xxhash64(*values), F.xxhash64(F.lit(1), *values)
-    r = rows.select(a.alias("a"), b.alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("x"), F.sum(F.col("a").cast("decimal(38,0)")).alias("s"),
-        F.bit_xor("b").alias("y"), F.sum(F.col("b").cast("decimal(38,0)")).alias("t")).first()
-    return hashlib.sha256("|".join(map(str, [*r, settings, fv.RANDOM_SEED, fv.TEST_FRACTION, fv.MIN_CATEGORY_FREQUENCY])).encode()).hexdigest()[:32]
+def rows_fingerprint(*tables: DataFrame, settings: str = "") -> str:
+    """A name for the content of the tables, whatever the order and partitioning of their rows (one aggregate)."""
+    def hashed(k: int, rows: DataFrame) -> DataFrame:
+        # a null leaves such a hash as it is, so each value stands beside whether it is one
+        values = [x for c in sorted(rows.columns) for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+        return rows.select(F.lit(k).alias("k"), F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
+
+    all_rows = hashed(0, tables[0])
+    for k, t in enumerate(tables[1:], 1):
+        all_rows = all_rows.unionAll(hashed(k, t))
+    # the halves of a hash add up as longs, exactly, in tables of up to 2^31 rows; beyond, the job fails
+    halves = [F.sum(x) for c in ("a", "b") for x in (F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))]
+    found = all_rows.groupBy("k").agg(F.count(F.lit(1)), F.bit_xor("a"), F.bit_xor("b"), *halves).collect()
+    told = [*sorted(map(tuple, found)), settings, fv.RANDOM_SEED, fv.TEST_FRACTION, fv.MIN_CATEGORY_FREQUENCY]
+    return hashlib.sha256("|".join(map(str, told)).encode()).hexdigest()[:32]
 
 
 class TrainingRun:
     """Everything one training produces, read from a store of committed results.
 
-    The store is keyed by the fingerprint of the training rows: the first run
-    over some rows writes the split once, then the model and what follows from
-    it, and commits them; every later run over the same rows reads them. A run
-    that breaks commits nothing.
+    The store is keyed by the fingerprint of the training rows, or of ``inputs``,
+    the tables that they are made of by a fixed rule (named in ``rule``), which
+    is read without the joins between them. The first run over some rows writes
+    them once, parsed, then the model and what follows from it, and commits
+    them; every later run over the same rows reads them. A run that breaks
+    commits nothing.
+
+    The medians and the hash limits of the split are some numbers, kept beside
+    the parsed rows: what is filled and who is in the test part follow from
+    them row by row, so the rows are not written again for either.
     """
 
-    def __init__(self, orders: DataFrame, store: Store, key: str = "order_item_id"):
+    def __init__(self, orders: DataFrame, store: Store, key: str = "order_item_id",
+                 inputs: list[DataFrame] | None = None, rule: str = ""):
         self.spark, self.store, self.key = orders.sparkSession, store, key
         self.orders = orders.select(key, *CAT, *NUM, fv.TARGET_COLUMN)
-        self.name = rows_fingerprint(self.orders)
+        self.name = rows_fingerprint(*(inputs or [self.orders]), settings=rule)
 
     # -- the split
 
+    def _parsed(self, path: str) -> DataFrame:
+        columns = [f"{self.key} {self.orders.schema[self.key].dataType.simpleString()}", *[f"{c} string" for c in CAT],
+                   *[f"{c} double" for c in NUM], f"{fv.TARGET_COLUMN} int"]
+        return self.spark.read.schema(", ".join(columns)).parquet(f"{path}/parsed")
+
     def _write_split(self, path: str) -> None:
-        # the medians and the frame read the rows written once, not the plan behind them each
-        self.orders.write.parquet(f"{path}/rows")
-        rows = self.spark.read.schema(self.orders.schema).parquet(f"{path}/rows")
-        frame = mdl.model_frame(rows, key=self.key, check="plan")
-        frame.write.parquet(f"{path}/frame")
-        frame = self.spark.read.schema(frame.schema).parquet(f"{path}/frame")
-        stratified_split(frame, self.key, fv.TARGET_COLUMN).write.parquet(f"{path}/split")
+        mdl.parsed_frame(self.orders, key=self.key, check="plan").write.parquet(f"{path}/parsed")
+        rows = self._parsed(path)
+        hashed = rows.select(fv.TARGET_COLUMN, seeded_hash(self.key).alias("_h"))
+        limits = hash_limits(hashed, "_h", fv.TARGET_COLUMN, lambda sizes: class_quotas(sizes, fv.TEST_FRACTION))
+        Marks(self.spark, path).write("figures", {"medians": exact_medians(rows, NUM), "limits": list(limits.items())})
 
     @property
     def split(self) -> DataFrame:
         path = self.store.get(f"split-{self.name}", self._write_split)
-        columns = [f"{self.key} {self.orders.schema[self.key].dataType.simpleString()}", *[f"{c} string" for c in CAT],
-                   *[f"{c} double" for c in NUM], f"{fv.TARGET_COLUMN} int", "split string"]
-        return self.spark.read.schema(", ".join(columns)).parquet(f"{path}/split")
+        figures = Marks(self.spark, path).read("figures")
+        in_test = is_kept(seeded_hash(self.key), {c: h for c, h in figures["limits"]}, fv.TARGET_COLUMN)
+        return mdl.filled_frame(self._parsed(path), figures["medians"]).withColumn("split", F.when(in_test, "test").otherwise("train"))
 
     @property
     def frame(self) -> DataFrame:

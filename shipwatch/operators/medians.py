@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shipwatch.operators.schema_ops import unpivoted
+
 DIGIT_BITS = 16
 KEY_BITS = 64
 _MANTISSA = 1 << 52
@@ -61,9 +63,7 @@ def median_table(df: DataFrame, columns: list[str]) -> DataFrame:
 
     The median of an even number of values is the mean of the two in the middle.
     """
-    tall = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]))
-        .alias("x")).select("x.*").where("v is not null")
+    tall = unpivoted(df, columns, "double", "v").where("v is not null")
     counts = with_order_key(tall).groupBy("feature", "key").agg(F.count(F.lit(1)).alias("n"))
     ends = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
     wanted = ends.select("feature", F.explode(F.array(

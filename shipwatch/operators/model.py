@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType
 
 from shipwatch import fixed_values as fv
 from shipwatch.functions import clean_text, parse_number
 from shipwatch.operators.medians import exact_medians, median_map, median_table  # noqa: F401
-from shipwatch.operators.schema_ops import require_columns
+from shipwatch.operators.schema_ops import require_columns, unpivoted
 
 def check_target(df: DataFrame, target: str = fv.TARGET_COLUMN, also: list[Column] | None = None):
     """Fail when the target has nulls, unparsable text or classes other than 0/1.
@@ -29,9 +30,9 @@ def check_target(df: DataFrame, target: str = fv.TARGET_COLUMN, also: list[Colum
     return row
 
 
-def checked_target(target: str = fv.TARGET_COLUMN) -> Column:
-    """The target as 0/1; any other value fails the job that reads it."""
-    t = parse_number(target)
+def checked_target(target: str = fv.TARGET_COLUMN, number: Column | None = None) -> Column:
+    """The target (``number``, if it is parsed already) as 0/1; any other value fails the job that reads it."""
+    t = parse_number(target) if number is None else number
     told = F.concat(F.lit(f"target {target!r} is not 0 or 1: "), F.coalesce(F.col(target).cast("string"), F.lit("missing")))
     return F.when(t.isin(0.0, 1.0), t.cast("int")).otherwise(F.raise_error(told).cast("int"))
 
@@ -48,21 +49,39 @@ def model_frame(df: DataFrame, key: str | None = "order_item_id", check: bool |
     nothing runs before it; False does not check. Medians that are not given
     are a scalar subquery of the plan.
     """
+    staged = parsed_frame(df, key, check)
+    if medians is None:
+        found = median_map(df.select(*[number_of(df, c).alias(c) for c in fv.NUMERICAL_FEATURES]), fv.NUMERICAL_FEATURES)
+        filled = {c: F.coalesce(c, F.try_element_at(found, F.lit(c)), F.lit(0.0)) for c in fv.NUMERICAL_FEATURES}
+        return staged.withColumns(filled)
+    return filled_frame(staged, medians)
+
+
+def number_of(df: DataFrame, column: str) -> Column:
+    """A numeric column as a finite double; text is parsed, what is no number is null."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, DoubleType):
+        return F.when(F.abs(c) < float("inf"), c)
+    return c.cast("double") if isinstance(kind, (IntegerType, LongType)) else parse_number(column)
+
+
+def parsed_frame(df: DataFrame, key: str | None = "order_item_id", check: bool | str = True) -> DataFrame:
+    """``model_frame`` with its missing numbers still null."""
     require_columns(df, fv.CATEGORICAL_FEATURES + fv.NUMERICAL_FEATURES + [fv.TARGET_COLUMN],
                     "model input")
-    staged = df.withColumns({c: parse_number(c) for c in fv.NUMERICAL_FEATURES})
     if check is True:
-        check_target(staged)
-    if medians is None:
-        found = median_map(staged, fv.NUMERICAL_FEATURES)
-        filled = {c: F.coalesce(c, F.try_element_at(found, F.lit(c)), F.lit(0.0)) for c in fv.NUMERICAL_FEATURES}
-    else:
-        filled = {c: F.coalesce(c, F.lit(0.0 if medians.get(c) is None else medians[c])) for c in fv.NUMERICAL_FEATURES}
+        check_target(df)
     cols = [key] if key else []
     cols += [clean_text(c, nan_is_missing=False).alias(c) for c in fv.CATEGORICAL_FEATURES]
-    cols += [filled[c].alias(c) for c in fv.NUMERICAL_FEATURES]
-    target = checked_target() if check == "plan" else parse_number(fv.TARGET_COLUMN).cast("int")
-    return staged.select(*cols, target.alias(fv.TARGET_COLUMN))
+    cols += [number_of(df, c).alias(c) for c in fv.NUMERICAL_FEATURES]
+    target = number_of(df, fv.TARGET_COLUMN)
+    target = checked_target(number=target) if check == "plan" else target.cast("int")
+    return df.select(*cols, target.alias(fv.TARGET_COLUMN))
+
+
+def filled_frame(parsed: DataFrame, medians: dict[str, float | None]) -> DataFrame:
+    """``parsed_frame`` with its missing numbers set to the medians (0 for a column without one)."""
+    return parsed.withColumns({c: F.coalesce(c, F.lit(0.0 if medians.get(c) is None else medians[c])) for c in fv.NUMERICAL_FEATURES})
 
 
 def features_and_target(frame: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -86,9 +105,7 @@ def category_vocabulary(frame: DataFrame, top: int = fv.MAX_CATEGORY_OPTIONS) ->
     Unpivot -> (feature, value) counts (partial aggregate) -> rank per feature
     over the distinct values only.
     """
-    tall = frame.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
-        for c in fv.CATEGORICAL_FEATURES])).alias("kv")).select("kv.*").na.drop()
+    tall = unpivoted(frame, fv.CATEGORICAL_FEATURES, "string", "value").na.drop()
     counts = tall.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("frequency"))
     w = Window.partitionBy("feature").orderBy(F.desc("frequency"), "value")
     ranked = counts.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= top)

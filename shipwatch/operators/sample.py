@@ -99,8 +99,13 @@ def mark_bottom_k(df: DataFrame, key: str, quotas, group: str, seed: int = fv.RA
         limits = hash_limits(hashed, h, group, quotas)
     finally:
         hashed.unpersist()
+    return df.withColumn(flag, is_kept(seeded_hash(key, seed), limits, group))
+
+
+def is_kept(hashed: Column, limits: dict, group: str) -> Column:
+    """The row's hash is not above the limit of its group."""
     limit = _literal_of({g: "g" if x is None else x for g, x in limits.items()}, group, "string")
-    return df.withColumn(flag, F.coalesce(seeded_hash(key, seed) <= limit, F.lit(False)))
+    return F.coalesce(hashed <= limit, F.lit(False))
 
 
 def exact_sample(df: DataFrame, key: str, n: int = fv.ORDER_SAMPLE_ROWS,

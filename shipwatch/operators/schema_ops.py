@@ -47,6 +47,13 @@ def project(df: DataFrame, columns: list[str], what: str = "table") -> DataFrame
     return df.select(*columns)
 
 
+def unpivoted(df: DataFrame, columns: list[str], kind: str, value: str, keep: list[str] | None = None) -> DataFrame:
+    """(*keep, feature, ``value``): a row for each of ``columns``, whose values are cast to ``kind``."""
+    keep = keep or []
+    cast = df.select(*keep, *[F.col(f"`{c}`").cast(kind).alias(c) for c in columns])
+    return cast.unpivot(keep, [f"`{c}`" for c in columns], "feature", value)
+
+
 def computed_once(df: DataFrame, columns: list[str]) -> DataFrame:
     """The same rows, whose ``columns`` (computed below) are computed once a row.
 

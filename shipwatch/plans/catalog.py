@@ -282,7 +282,8 @@ def frame(spark, sf_dir) -> DataFrame:
 
 def training(spark, sf_dir) -> "learn.TrainingRun":
     """The training over all lines: its split, encoder and model are stored once for the same rows."""
-    return learn.TrainingRun(model_source(spark, sf_dir), Store(spark, shared_path(spark, "training")))
+    return learn.TrainingRun(model_source(spark, sf_dir), Store(spark, shared_path(spark, "training")),
+                             inputs=fx.line_inputs(spark, sf_dir), rule=f"model source 1, {fx.LINE_RULE}")
 
 
 @query("model_frame")

@@ -39,6 +39,18 @@ LINE_SPAN = 1_000_003
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
               "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
+# every table and column that the order lines are made of
+LINE_INPUTS: dict[str, list[str]] = {
+    "lineitem": ["l_orderkey", *LINE_ORDER],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"],
+    "customer": ["c_custkey", "c_nationkey", "c_mktsegment"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "region": ["r_regionkey", "r_name"],
+}
+# to be changed with the rule by which they are made: stored results name it
+LINE_RULE = "order lines 1"
+
 
 def _priority_mode(priority: F.Column) -> tuple[F.Column, F.Column]:
     key = F.substring(priority, 1, 1)
@@ -51,8 +63,7 @@ def _priority_mode(priority: F.Column) -> tuple[F.Column, F.Column]:
 
 def dimension_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation joined to region: 25 rows by the schema's definition."""
-    nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
-    region = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
+    nation, region = (read_table(spark, sf_dir, t, *LINE_INPUTS[t]) for t in ("nation", "region"))
     # region is a fixed five-row dimension: broadcasting it is size-safe
     return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey) \
         .select("n_nationkey", "n_name", "r_name")
@@ -60,7 +71,7 @@ def dimension_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part -> product, category and department ids and names."""
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size") \
+    part = read_table(spark, sf_dir, "part", *LINE_INPUTS["part"]) \
         .withColumn("category_name", F.concat_ws("-", "p_type", F.format_string("%02d", F.col("p_size"))))
     # category id = position of the category in the sorted list of distinct ones
     # (type and size: 300 at most); the window runs over these, never over part rows
@@ -75,6 +86,11 @@ def product_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("p_brand").alias("department_name")))
 
 
+def line_inputs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The tables that ``order_lines`` reads, with the columns it reads."""
+    return [read_table(spark, sf_dir, t, *columns) for t, columns in LINE_INPUTS.items()]
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curated order-line table (30 columns) built from the test tables."""
     return _order_lines(spark, sf_dir).drop("customer_id")
@@ -88,10 +104,7 @@ def _order_lines(spark: SparkSession, sf_dir: str, opaque: bool = False) -> Data
     file it stands in for (predicates over text parsed from it are evaluated
     once above it, not copied into its join conditions).
     """
-    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", *LINE_ORDER)
-    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
-                        "o_orderdate", "o_orderpriority")
-    customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    li, orders, customer = (read_table(spark, sf_dir, t, *LINE_INPUTS[t]) for t in ("lineitem", "orders", "customer"))
     geo = dimension_geo(spark, sf_dir)
 
     # customer and geography ride on the orders side first (a join of

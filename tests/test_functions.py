@@ -110,3 +110,22 @@ def test_every_shape_of_timestamp(spark):
     day = dt.datetime(2020, 1, 5)
     assert got == [day.replace(hour=3, minute=7), dt.datetime(2020, 12, 31, 23, 59), *[day.replace(hour=3, minute=7, second=9)] * 3,
                    day.replace(hour=3, minute=7), day, day, None, None, None, None, None, day]
+
+
+def test_clean_text_trims_every_ascii_white_sign_and_no_other(spark):
+    from shipwatch.functions import clean_text
+    values = ["a", " a", "a\t", "\na b\r", "\x0b\x0c", "", " ", "nan", " nan", "\u00a0a\u00a0", "\x01a\x1f", "é", " é", None, "x\x0b"]
+    white = " \t\n\x0b\f\r"
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", clean_text("v").alias("a"), clean_text("v", nan_is_missing=False).alias("b")).collect()
+    for r in rows:
+        t = None if r.v is None else r.v.strip(white)
+        assert r.b == (t or "UNKNOWN") and r.a == ("UNKNOWN" if t in (None, "", "nan") else t)
+    assert spark.range(3).select(clean_text("id").alias("a")).collect()[2].a == "2"
+
+
+def test_weekday_names_of_a_week(spark):
+    import datetime as dt
+    from shipwatch.functions import weekday_name
+    days = [dt.datetime(1899, 12, 28, 23, 59) + dt.timedelta(days=k) for k in range(8)] + [None]
+    rows = spark.createDataFrame([(d,) for d in days], "d timestamp_ntz").select("d", weekday_name("d").alias("n")).collect()
+    assert all(r.n == (r.d and r.d.strftime("%A")) for r in rows)

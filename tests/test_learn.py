@@ -124,3 +124,26 @@ def test_no_vocabulary_comes_to_the_driver(spark, train):
     plan = encoding.with_slots(train, slots)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") >= len(fv.CATEGORICAL_FEATURES) and "In(" not in plan
     assert not hasattr(learn, "frequent_vocabulary")
+
+
+def test_split_is_that_of_the_frame_and_stored_rows_are_not_made_again(spark, tmp_path):
+    from shipwatch.operators import model as mdl, sample
+    from shipwatch.sources import fixtures as fx
+    orders, store = catalog.model_source(spark, SF_SMALL), Store(spark, str(tmp_path / "store"))
+    run = learn.TrainingRun(orders, store, inputs=fx.line_inputs(spark, SF_SMALL))
+    want = sample.stratified_split(mdl.model_frame(orders), "order_item_id", fv.TARGET_COLUMN)
+    assert run.split.columns == want.columns and run.split.exceptAll(want).isEmpty() and want.exceptAll(run.split).isEmpty()
+    # the same tables: neither the name nor the split runs the plan of the rows
+    failing = orders.withColumn("quantity", F.raise_error(F.lit("rows made again")).cast("string"))
+    again = learn.TrainingRun(failing, store, inputs=[t.repartition(2) for t in fx.line_inputs(spark, SF_SMALL)])
+    assert again.name == run.name and again.split.count() == want.count()
+    other = [t.where("p_partkey <> 1") if "p_partkey" in t.columns else t for t in fx.line_inputs(spark, SF_SMALL)]
+    assert learn.TrainingRun(orders, store, inputs=other).name != run.name
+
+
+def test_line_inputs_name_every_column_that_order_lines_read(spark):
+    import re
+    from shipwatch.sources import fixtures as fx
+    plan = fx.order_lines(spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+    read = {c for x in re.findall(r"FileScan parquet \[([^\]]*)\]", plan) for c in re.findall(r"([a-z]_[a-z]+)#", x)}
+    assert {"l_orderkey", "c_mktsegment"} <= read <= {c for columns in fx.LINE_INPUTS.values() for c in columns}
