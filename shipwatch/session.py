@@ -30,6 +30,12 @@ COMPILED_METHOD_BYTES = 8000
 TASK_SHUFFLE_BYTES = 16 << 20
 PARTITION_INPUT_BYTES = 4 << 20
 
+# A table is broadcast without a hint up to this size of its Parquet file's share,
+# or of its rows once they are shuffled. Parquet packs keys and repeated text many
+# times over, so Spark's 10 MB of a file may be a gigabyte in every task.
+BROADCAST_FILE_BYTES = 1 << 20
+BROADCAST_ROW_BYTES = 10 << 20
+
 
 def get_session(master: str | None = None, app_name: str = "shipwatch",
                 shuffle_partitions: int | None = None,
@@ -69,12 +75,16 @@ def ensure_compiled_code(spark: SparkSession) -> None:
 
 
 def ensure_task_sizes(spark: SparkSession, sf_dir: str) -> None:
-    """Shuffle partitions by the size of the input; adaptive execution joins the small ones."""
+    """Shuffle partitions by the size of the input (adaptive execution joins the small ones), and what may be broadcast."""
     advisory, initial = (f"spark.sql.adaptive.{k}" for k in ("advisoryPartitionSizeInBytes", "coalescePartitions.initialPartitionNum"))
     if spark.conf.get(advisory) == f"{64 << 20}b":                  # Spark's default: nobody has set it
         spark.conf.set(advisory, f"{TASK_SHUFFLE_BYTES}b")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
     length = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    static = "spark.sql.autoBroadcastJoinThreshold"
+    if spark.conf.get(static) == f"{10 << 20}b":                    # Spark's default as well
+        spark.conf.set(static, f"{BROADCAST_FILE_BYTES}b")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", f"{BROADCAST_ROW_BYTES}b")
     spark.conf.set(initial, str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-length // PARTITION_INPUT_BYTES))))
 
 
