@@ -159,7 +159,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
     rows = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))))
     schema = StructType([*rows.schema.fields, StructField("k1", LongType()), StructField("k2", LongType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(B.released(run), schema)
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *keys, lists], names=["doc", "k1", "k2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
+    return docs.select("doc_id", "text").mapInArrow(B.released(run), _SIGNED)
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def verified(members: DataFrame, nodes: DataFrame, docs: DataFrame, similarity:
     # one text of each key; copies go in the task that reads them
     once = keyed(docs.select("doc_id", "text")).where("k1 is not null").groupBy("k1", "k2").agg(F.min("text").alias("text"))
     texts = once.join(wanted.hint("merge"), ["k1", "k2"]).select("node", "text")
-    elements = texts.mapInArrow(sets, "node long, elements binary")
+    elements = texts.mapInArrow(B.released(sets), "node long, elements binary")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = (members.withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("node", "gid"), F.col("n")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -293,7 +293,7 @@ def verified(members: DataFrame, nodes: DataFrame, docs: DataFrame, similarity:
         close()
         yield table()
 
-    return rows.mapInArrow(pairs, "a long, b long")
+    return rows.mapInArrow(B.released(pairs), "a long, b long")
 
 
 def _rooted(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:

@@ -270,7 +270,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                     pa.array([sorted(found[k][1]) if k in found else [] for k in range(n)],
                              pa.list_(pa.string()))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, SPANS)
+    return docs.select("doc_id", "text").mapInArrow(B.released(scan), SPANS)
 
 
 def verdicts(found: DataFrame, share: int = HIT_SHARE) -> DataFrame:
@@ -323,7 +323,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 yield part.set_column(i, part.schema.field(i), pa.array(column, part.schema.field(i).type)).filter(
                     pa.array(keep))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(B.released(scan), docs.schema)
 
 
 __all__ = ["SuffixAutomaton", "contamination", "decontaminated", "item_words", "verdicts"]

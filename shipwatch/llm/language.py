@@ -192,7 +192,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["f", "n"])
 
     df = np.zeros(FEATURES)
-    for r in usable.select("text").mapInArrow(frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
+    for r in usable.select("text").mapInArrow(B.released(frequencies), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():
         df[r.f] = r.n
     idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
 
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                     pa.array([(n[a:b] / max(t, 1)).astype(np.float32).tobytes() for a, b, t in rows], pa.binary())],
                     names=["doc_id", "lang", "f", "x"])
 
-    got = sorted(sample.mapInArrow(vectors, "doc_id long, lang string, f binary, x binary").collect(),
+    got = sorted(sample.mapInArrow(B.released(vectors), "doc_id long, lang string, f binary, x binary").collect(),
                  key=lambda r: (r.doc_id, r.lang, r.f))
     rows, y = [], []
     for r in got:
@@ -245,7 +245,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                     names=[*part.schema.names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(B.released(run), schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -146,5 +146,6 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW,
                 yield packer.take()
         packer.seal()
         yield packer.take()
+        Encoder.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(B.released(run), PIECES)

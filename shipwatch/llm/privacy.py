@@ -185,7 +185,7 @@ def found_data(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t.type) for c, t in zip(zip(*rows), _FIND_SCHEMA)], schema=_FIND_SCHEMA)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ENTITY)
+    return docs.select("doc_id", "text").mapInArrow(B.released(run), _ENTITY)
 
 
 class _Free:
@@ -257,7 +257,7 @@ def term_texts(docs: DataFrame, keys: np.ndarray) -> DataFrame:
                 if len(seen) > _SEEN:
                     seen.clear()
 
-    return docs.select("text").mapInArrow(run, "term long, key long").distinct()
+    return docs.select("text").mapInArrow(B.released(run), "term long, key long").distinct()
 
 
 def text_counts(docs: DataFrame, terms: np.ndarray, copied: np.ndarray) -> DataFrame:
@@ -304,7 +304,7 @@ def text_counts(docs: DataFrame, terms: np.ndarray, copied: np.ndarray) -> DataF
                     seen.clear()
         yield rows(*_summed(*map(np.concatenate, zip(kept, *more))))
 
-    return (docs.select("text").mapInArrow(run, "term long, key long, n long").groupBy("term", "key").agg(F.sum("n").alias("n"))
+    return (docs.select("text").mapInArrow(B.released(run), "term long, key long, n long").groupBy("term", "key").agg(F.sum("n").alias("n"))
             .groupBy("term").agg(F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(1)).alias("texts")))
 
 
@@ -408,7 +408,7 @@ def added_spans(docs: DataFrame, terms: DataFrame, table: np.ndarray) -> DataFra
                 if len(seen) > _SEEN:
                     seen.clear()
 
-    places = (docs.select("text").mapInArrow(run, "text_key long, term long, start int, end int")
+    places = (docs.select("text").mapInArrow(B.released(run), "text_key long, term long, start int, end int")
               .withColumn("salt", F.pmod("text_key", F.lit(SALTS)).cast("int")))
     spread = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (places.join(spread, ["term", "salt"]).groupBy("text_key")
@@ -498,6 +498,6 @@ def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, residual: float =
             for part in B.slices(batch):
                 yield masked(part.select(columns), part.column(more_name).to_pylist())
 
-    keyed = docs.mapInArrow(telling, StructType([*docs.schema.fields, StructField(key_name, LongType())]))
+    keyed = docs.mapInArrow(B.released(telling), StructType([*docs.schema.fields, StructField(key_name, LongType())]))
     joined = _with_added(keyed, key_name, added, more_name).drop(key_name)
-    return docs.mapInArrow(quiet, docs.schema).unionByName(joined.mapInArrow(cover, docs.schema))
+    return docs.mapInArrow(B.released(quiet), docs.schema).unionByName(joined.mapInArrow(B.released(cover), docs.schema))

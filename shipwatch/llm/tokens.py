@@ -111,6 +111,11 @@ class Encoder:
         key = (path, with_ids)
         return cls._made.get(key) or cls._made.setdefault(key, cls(path, with_ids))
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drop the vocabularies and words of this worker; the next task loads them anew."""
+        cls._made.clear()
+
     def _clear(self) -> None:
         self.slot: dict[int, int] = {}      # words learned lately
         self.known = np.zeros(0, np.uint64)   # the others: hashes in order, with their slots

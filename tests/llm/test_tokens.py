@@ -117,3 +117,14 @@ def test_packing_of_a_table(spark, encoder):
     assert P.packed(docs(spark, [])).count() == 0
     twice = P.packed(docs(spark, [(None, "a b"), (1, "c"), (1, "c")])).collect()
     assert sorted((r.doc_id is None, r.length) for r in twice) == [(False, 2), (False, 2), (True, 3)]
+
+
+def test_a_task_gives_back_what_it_held(monkeypatch):
+    from shipwatch.llm import batches as B
+    told = []
+    monkeypatch.setattr(B, "give_back", lambda: told.append(1))
+    batches = B.released(lambda it: (x for x in it))(iter([1, 2]))
+    assert next(batches) == 1 and not told and list(batches) == [2] and told == [1]
+    T.Encoder.at(public_tokenizers.path(T.VOCABULARY))
+    T.Encoder.forget()
+    assert not T.Encoder._made
