@@ -43,6 +43,8 @@ def released(run):
 
 
 def give_back() -> None:
+    for powers in (*_BYTE_POWERS, *_WORD_POWERS):
+        powers.forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -70,6 +72,9 @@ class _Powers:
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.forget()
+
+    def forget(self) -> None:
         self.up = self.down = np.ones(1, U64)
 
     def take(self, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -341,7 +341,7 @@ def disclosing(found: DataFrame, docs: DataFrame, disclosure: float = DISCLOSURE
     holds = settled(holds.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(alike, ["entity", "salt"]).drop("salt"), "privacy-several")
     keys = bit_table(holds.select(F.col("key").alias("term")))
     if not keys.any():
-        return spark.createDataFrame([], "term long")
+        return spark.range(0).select(F.col("id").alias("term"))     # made without Python workers
 
     def telling(limit: Column) -> Column:
         own, left = -F.log2(F.col("df") / F.lit(total)), -F.log2(limit)
@@ -458,7 +458,8 @@ def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, residual: float =
     """The documents with base spans and disclosing terms generalised to their kind.
 
     Texts without a word that may be a disclosing term are done in place; only
-    the others meet their added spans by the key of the text.
+    the others meet their added spans by the key of the text. They are written
+    before that: no task holds two Python workers, which would live on.
     """
     B.prepare(docs.sparkSession)
     found = settled(found_data(docs), "privacy-found")
@@ -498,6 +499,7 @@ def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, residual: float =
             for part in B.slices(batch):
                 yield masked(part.select(columns), part.column(more_name).to_pylist())
 
-    keyed = docs.mapInArrow(B.released(telling), StructType([*docs.schema.fields, StructField(key_name, LongType())]))
+    keyed = settled(docs.mapInArrow(B.released(telling), StructType([*docs.schema.fields, StructField(key_name, LongType())])),
+                    "privacy-telling")
     joined = _with_added(keyed, key_name, added, more_name).drop(key_name)
     return docs.mapInArrow(B.released(quiet), docs.schema).unionByName(joined.mapInArrow(B.released(cover), docs.schema))

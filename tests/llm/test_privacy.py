@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyspark.sql.functions as F
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,6 +93,15 @@ def test_texts_are_sanitised(spark, rows):
     assert got[5].text == dict(rows)[5] and len(got) == len(rows)
 
 
+def test_no_task_holds_two_python_workers(spark, monkeypatch):
+    """A worker lives on after its task, so a second one a task is memory of the executor for good."""
+    monkeypatch.setattr(spark, "createDataFrame", None)         # its rows come from Python workers of their own
+    out = V.sanitised(spark.range(40).select(F.col("id").alias("doc_id"), F.lit("w1 w2 a@b.ch").alias("text")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Union" in plan, plan      # the quiet texts, and the others
+    assert {r.text for r in out.collect()} == {"w1 w2 [EMAIL]"}
+
+
 def test_overlapping_spans_become_one():
     assert V.redacted("call +4111111111111111 now", [("card", 6, 22), ("phone", 5, 22), ("term", 0, 4)]) == "[TERM] [PHONE] now"
 

@@ -128,3 +128,12 @@ def test_a_task_gives_back_what_it_held(monkeypatch):
     T.Encoder.at(public_tokenizers.path(T.VOCABULARY))
     T.Encoder.forget()
     assert not T.Encoder._made
+
+
+def test_tables_of_powers_are_given_back():
+    from shipwatch.llm import batches as B
+    tables = (*B._BYTE_POWERS, *B._WORD_POWERS)
+    want = [[x.copy() for x in p.take(5000)] for p in tables]
+    B.give_back()
+    assert all(len(p.up) == len(p.down) == 1 for p in tables)
+    assert all((a == b).all() for p, w in zip(tables, want) for a, b in zip(p.take(5000), w))
