@@ -1,19 +1,25 @@
 """One-hot encoding by a table of slots.
 
 The encoder is the table ``encoder_slots`` (feature, value, n, slot): rows meet
-it by one equi join a feature, which Spark broadcasts or shuffles by the size
-of that feature's part. No vocabulary passes the driver; what does are the
-numbers of slots, one a feature.
+it by one equi join a feature, which is a broadcast if that feature has few
+values. No vocabulary passes the driver; what does are the numbers of slots,
+one a feature.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shipwatch import fixed_values as fv
 
 CAT = fv.CATEGORICAL_FEATURES
 
+# A feature of so few values is sent to the rows: without that, Spark's estimate (the file of
+# all features) has the rows shuffled by a text of few values, into as few tasks.
+FEW_VALUES = 10_000
+
 
 def slot_column(feature: str) -> str:
     return f"{feature}__slot"
@@ -24,17 +30,27 @@ def shared_slots(slots: DataFrame) -> Column:
     return slots.where("value is null").agg(F.map_from_entries(F.collect_list(F.struct("feature", "slot")))).scalar()
 
 
+def sent_if_few(table: DataFrame) -> Callable[[str, DataFrame], DataFrame]:
+    """Marks a feature's part of ``table`` (a row a feature and value) to be broadcast if it has few values.
+
+    The numbers of values are counted first: some numbers, one a feature.
+    """
+    counts = dict(table.where("value is not null").groupBy("feature").agg(F.count(F.lit(1))).collect())
+    return lambda feature, part: F.broadcast(part) if counts.get(feature, 0) <= FEW_VALUES else part
+
+
 def with_slots(rows: DataFrame, slots: DataFrame) -> DataFrame:
     """Add ``<feature>__slot`` of every categorical feature.
 
     Rare values, and values that the table does not know, take the shared slot.
     """
+    sent = sent_if_few(slots)
     shared = shared_slots(slots)
     out = rows
     for c in CAT:
         mine = slots.where((F.col("feature") == c) & F.col("value").isNotNull()).select(
             F.col("value").alias(f"{c}__value"), F.col("slot").alias(slot_column(c)))
-        out = out.join(mine, F.col(c).cast("string") == F.col(f"{c}__value"), "left").drop(f"{c}__value")
+        out = out.join(sent(c, mine), F.col(c).cast("string") == F.col(f"{c}__value"), "left").drop(f"{c}__value")
     return out.withColumns({slot_column(c): F.coalesce(slot_column(c), F.element_at(shared, F.lit(c))) for c in CAT})
 
 

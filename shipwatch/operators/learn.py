@@ -17,22 +17,28 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from shipwatch import fixed_values as fv
 from shipwatch.functions import parse_number
 from shipwatch.operators import model as mdl
-from shipwatch.operators.encoding import indexed_slots, slot_column, with_slots
+from shipwatch.operators.encoding import indexed_slots, sent_if_few, slot_column, with_slots
 from shipwatch.operators.medians import exact_medians, median_table
 from shipwatch.operators.metrics import combine_one_row
 from shipwatch.operators.ranking import global_rank
 from shipwatch.operators.sample import class_quotas, hash_limits, is_kept, seeded_hash
 from shipwatch.operators.schema_ops import unpivoted
+from shipwatch.session import shared_path
 from shipwatch.sources.committed import Marks, Store
 
 INFREQUENT = "__infrequent__"
@@ -80,31 +86,37 @@ def class_weights(train: DataFrame, label: str = fv.TARGET_COLUMN) -> DataFrame:
     return per.select(label, "rows", (n / (F.lit(2) * F.col("rows"))).cast("double").alias("class_weight"))
 
 
-def population_scaler(train: DataFrame) -> SQLTransformer:
+def training_figures(train: DataFrame, label: str = fv.TARGET_COLUMN) -> Row:
+    """Rows, late rows, and each number's mean and population deviation: one aggregate."""
+    return train.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("late"),
+                     *[x for c in NUM for x in (F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))]).first()
+
+
+def scales(figures: Row) -> dict[str, tuple[float, float]]:
+    """(mean, deviation) of each number; a zero deviation as 1."""
+    found = {c: (float(figures[f"{c}__m"] or 0.0), float(figures[f"{c}__s"] or 0.0)) for c in NUM}
+    return {c: (m, sd if sd > 0.0 else 1.0) for c, (m, sd) in found.items()}
+
+
+def population_scaler(train: DataFrame, figures: Row | None = None) -> SQLTransformer:
     """Zero mean, unit population variance for the numeric features.
 
     Mean and population standard deviation come from one aggregate over the
-    training rows; a zero deviation scales by 1. The fitted constants live in
-    a SQL stage, so the step is saved and loaded with the model.
+    training rows (``figures``, if it was taken already); a zero deviation
+    scales by 1. The fitted constants live in a SQL stage, so the step is saved
+    and loaded with the model.
     """
-    row = train.agg(*[x for c in NUM for x in (F.avg(c).alias(f"{c}__m"),
-                                              F.stddev_pop(c).alias(f"{c}__s"))]).first()
-    parts = []
-    for c in NUM:
-        m = float(row[f"{c}__m"] or 0.0)
-        sd = float(row[f"{c}__s"] or 0.0)
-        sd = sd if sd > 0.0 else 1.0
-        parts.append(f"(`{c}` - CAST('{m!r}' AS DOUBLE)) / CAST('{sd!r}' AS DOUBLE) AS `numerical__{c}`")
+    figures = figures or training_figures(train)
+    parts = [f"(`{c}` - CAST('{m!r}' AS DOUBLE)) / CAST('{sd!r}' AS DOUBLE) AS `numerical__{c}`" for c, (m, sd) in scales(figures).items()]
     return SQLTransformer(statement="SELECT *, " + ", ".join(parts) + " FROM __THIS__")
 
 
-def balanced_weights(train: DataFrame, label: str = fv.TARGET_COLUMN) -> DataFrame:
-    """weight = n / (2 x n_class), from two scalar subqueries."""
-    n = train.agg(F.count(F.lit(1))).scalar()
-    pos = train.agg(F.count_if(F.col(label) == 1)).scalar()
-    neg = n - pos
-    w = F.when(F.col(label) == 1, n / (F.lit(2) * pos)).otherwise(n / (F.lit(2) * neg))
-    return train.withColumn("class_weight", w.cast("double"))
+def balanced_weights(train: DataFrame, label: str = fv.TARGET_COLUMN, figures: Row | None = None) -> DataFrame:
+    """weight = n / (2 x n_class)."""
+    figures = figures or training_figures(train, label)
+    n, late = figures["n"], figures["late"]
+    late_weight, other_weight = (F.lit(n / (2 * k) if k else None).cast("double") for k in (late, n - late))
+    return train.withColumn("class_weight", F.when(F.col(label) == 1, late_weight).otherwise(other_weight))
 
 
 TERMS = "kind string, feature string, value string, slot int, index int, coefficient double, mean double, deviation double"
@@ -152,44 +164,76 @@ def fit_late_risk_model(train: DataFrame, max_iter: int = fv.MAX_ITERATIONS,
     if slots is None:
         slots = encoder_slots(train, min_frequency).checkpoint()
     vec_cols = [f"{c}__vec" for c in CAT]
-    last = {r["feature"]: float(r["last"]) for r in slots.groupBy("feature").agg(F.max("slot").alias("last")).collect()}
+    last = {r["feature"]: r["last"] for r in slots.groupBy("feature").agg(F.max("slot").alias("last")).collect()}
     # the one-hot stage learns the number of slots from a row of the last ones: eleven numbers
-    sizes = spark.createDataFrame([tuple(last[c] for c in CAT)], ", ".join(f"`{slot_column(c)}` double" for c in CAT))
+    sizes = spark.range(1).select(*[F.lit(float(last[c])).alias(slot_column(c)) for c in CAT])
     ohe = OneHotEncoder(inputCols=[slot_column(c) for c in CAT], outputCols=vec_cols, dropLast=False).fit(sizes)
-    prepared = with_indexes(train, slots)
-    scaler = population_scaler(train)
+    figures = training_figures(train)
+    scaler = population_scaler(train, figures)
     assembler = VectorAssembler(inputCols=vec_cols + [f"numerical__{c}" for c in NUM], outputCol="features")
-    encoded = assembler.transform(scaler.transform(ohe.transform(prepared)))
-    weighted = balanced_weights(encoded, label).select("features", label, "class_weight").persist()
+    n = figures["n"]
+    folder = f"{shared_path(spark, 'features')}-{uuid.uuid4().hex}"
     try:
-        n = weighted.count()
+        rows = feature_rows(train, slots, {c: last[c] + 1 for c in CAT}, scaler, figures, folder)
         lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="class_weight",
                                 regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
-                                maxIter=max_iter, tol=1e-4, fitIntercept=True,
+                                maxIter=max_iter, tol=1e-4, fitIntercept=True, maxBlockSizeInMB=BLOCK_MEGABYTES,
                                 probabilityCol="probability", rawPredictionCol="raw_score")
-        lr_model = lr.fit(weighted)
+        lr_model = lr.fit(rows.coalesce(max(2 * spark.sparkContext.defaultParallelism, n * BLOCK_BYTES_A_ROW // PARTITION_BYTES)))
     finally:
-        weighted.unpersist()
-    return LateRiskModel(model_terms(train, slots, lr_model), PipelineModel(stages=[ohe, scaler, assembler, lr_model]))
+        remove(spark, folder)
+    return LateRiskModel(model_terms(slots, figures, lr_model), PipelineModel(stages=[ohe, scaler, assembler, lr_model]))
+
+
+# What a training row takes in the fit's blocks (12 bytes a number that is not zero, and its
+# label and weight), and how much of that one partition holds at most.
+BLOCK_BYTES_A_ROW = 12 * (len(CAT) + len(NUM)) + 20
+PARTITION_BYTES = 256 << 20
+# The arrays of a block stay below half a megabyte, from which a JVM of small heap regions
+# gives each regions of its own: those of larger blocks waste a third of the heap.
+BLOCK_MEGABYTES = 0.7
+
 
+def feature_rows(train: DataFrame, slots: DataFrame, widths: dict[str, int], scaler: SQLTransformer, figures: Row, folder: str) -> DataFrame:
+    """(features, label, class_weight) of every training row, written once to ``folder``.
 
-def model_terms(train: DataFrame, slots: DataFrame, fitted) -> DataFrame:
+    The vectors are those of the one-hot and assembling stages, put together by
+    SQL: a vector is stored as (type, size, indices, values). The stages name
+    every slot in the metadata of their columns, which with a slot a product
+    would go with each task and plan; these columns have none.
+    """
+    label, ones, at = fv.TARGET_COLUMN, [], 0
+    for c in CAT:
+        ones.append((F.lit(at) + F.col(slot_column(c))).cast("int"))
+        at += widths[c]
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(at + len(NUM)).alias("size"),
+                      F.array(*ones, *[F.lit(at + k) for k in range(len(NUM))]).alias("indices"),
+                      F.array(*[F.lit(1.0) for _ in CAT], *[F.col(f"numerical__{c}") for c in NUM]).alias("values"))
+    encoded = scaler.transform(with_slots(train.select(*CAT, *NUM, label), slots))
+    weighted = balanced_weights(encoded, label, figures)
+    weighted.select(vector.alias("features"), F.col(label).cast("double").alias(label), "class_weight").write.parquet(folder)
+    schema = StructType().add("features", VectorUDT()).add(label, DoubleType()).add("class_weight", DoubleType())
+    return train.sparkSession.read.schema(schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def model_terms(slots: DataFrame, figures: Row, fitted) -> DataFrame:
     """The coefficient vector met with the slots by index; the vector is the fit's own state."""
-    spark, values = train.sparkSession, fitted.coefficients.toArray().tolist()
-    by_index = spark.createDataFrame(list(enumerate(map(float, values))), "index int, coefficient double")
+    spark, values = slots.sparkSession, fitted.coefficients.toArray()
     n_slots = len(values) - len(NUM)
-    categories = indexed_slots(slots).join(by_index.where(F.col("index") < n_slots), "index").select(
+    by_index = spark.createDataFrame(pa.table({"index": pa.array(np.arange(n_slots, dtype="int32")), "coefficient": pa.array(values[:n_slots])}))
+    categories = indexed_slots(slots).join(by_index, "index").select(
         F.lit("category").alias("kind"), "feature", "value", "slot", "index", "coefficient",
         F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("deviation"))
-    at = F.array_position(F.array(*[F.lit(c) for c in NUM]), F.col("feature")).cast("int") - 1 + n_slots
-    none = F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("slot")
-    numbers = scaler_constants(train).withColumn("index", at).join(by_index, "index").select(
-        F.lit("number").alias("kind"), "feature", *none, "index", "coefficient", "mean", "deviation")
-    return categories.unionByName(numbers).unionByName(intercept_term(spark, float(fitted.intercept))).checkpoint()
-
-
-def intercept_term(spark: SparkSession, value: float) -> DataFrame:
-    return spark.createDataFrame([("intercept", "intercept", None, None, None, value, None, None)], TERMS)
+    others = [("number", c, None, None, n_slots + k, float(values[n_slots + k]), m, sd) for k, (c, (m, sd)) in enumerate(scales(figures).items())]
+    others.append(("intercept", "intercept", None, None, None, float(fitted.intercept), None, None))
+    kinds = StructType.fromDDL(TERMS)
+    others = spark.createDataFrame(pa.table({f.name: [r[k] for r in others] for k, f in enumerate(kinds)}), kinds)
+    return categories.unionByName(others).checkpoint()
 
 
 def share_terms(train: DataFrame, slots: DataFrame) -> DataFrame:
@@ -247,14 +291,14 @@ def score_by_terms(terms: DataFrame, rows: DataFrame, missing: frozenset[str] =
     def one(feature: str, part: str = "coefficient") -> Column:
         return F.element_at(shared, F.lit(feature))[part]
 
-    out, total = rows, one("intercept")
+    out, total, sent = rows, one("intercept"), sent_if_few(terms)
     for c in CAT:
         if c in missing:
             total = total + F.coalesce(F.try_element_at(unknown, F.lit(c)), one(c), F.lit(0.0))
             continue
         mine = terms.where((F.col("kind") == "category") & (F.col("feature") == c) & F.col("value").isNotNull()).select(
             F.col("value").alias(f"{c}__value"), F.col("coefficient").alias(f"{c}__term"))
-        out = out.join(mine, F.col(c).cast("string") == F.col(f"{c}__value"), "left")
+        out = out.join(sent(c, mine), F.col(c).cast("string") == F.col(f"{c}__value"), "left")
         total = total + F.coalesce(f"{c}__term", one(c), F.lit(0.0))
     for c in NUM:
         total = total + one(c) * ((F.col(c) - one(c, "mean")) / one(c, "deviation"))

@@ -147,3 +147,35 @@ def test_line_inputs_name_every_column_that_order_lines_read(spark):
     plan = fx.order_lines(spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
     read = {c for x in re.findall(r"FileScan parquet \[([^\]]*)\]", plan) for c in re.findall(r"([a-z]_[a-z]+)#", x)}
     assert {"l_orderkey", "c_mktsegment"} <= read <= {c for columns in fx.LINE_INPUTS.values() for c in columns}
+
+
+def test_stored_vectors_are_those_of_the_stages_and_name_no_slot(train, model, spark, tmp_path):
+    """A slot named in a column's metadata goes with every task: one a product outgrows an executor."""
+    slots, figures = model.slots.checkpoint(), learn.training_figures(train)
+    widths = {r.feature: r.width for r in slots.groupBy("feature").agg((F.max("slot") + 1).alias("width")).collect()}
+    rows = learn.feature_rows(train, slots, widths, learn.population_scaler(train, figures), figures, str(tmp_path / "rows"))
+    assert all(f.metadata == {} for f in rows.schema)
+    as_array = vector_to_array("features").alias("x")
+    want = learn.balanced_weights(learn.score(model, train)).select(as_array, F.col(fv.TARGET_COLUMN).cast("double"), "class_weight")
+    assert sorted(map(str, rows.select(as_array, fv.TARGET_COLUMN, "class_weight").collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_fit_leaves_no_vectors_behind(spark, train, model):
+    import os
+    from shipwatch.session import shared_path
+    folder = shared_path(spark, "").removeprefix("file:")
+    assert not [x for x in os.listdir(folder) if x.startswith("features-")]
+
+
+def test_features_of_few_values_are_sent_whatever_the_size_of_all(spark, train, model, monkeypatch):
+    """Rows shuffled by a text of four values meet in four tasks."""
+    slots, key = model.slots.checkpoint(), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        plans = [encoding.with_slots(train, slots), learn.score_by_terms(model.terms, train)]
+        assert all(df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == len(fv.CATEGORICAL_FEATURES) for df in plans)
+        monkeypatch.setattr(encoding, "FEW_VALUES", 0)
+        assert "BroadcastHashJoin" not in encoding.with_slots(train, slots)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
