@@ -11,6 +11,7 @@ from shipwatch.operators.schema_ops import require_columns
 
 PLAN_INPUT = ["order_id", "order_item_id", "order_date", "shipping_date", "product_id",
               "product_name", "order_month", "days_shipping_real"]
+READS = ("is_line", "read_item_id", "seen")
 CONFORMANCE_STATES = ["EARLY", "IN_WINDOW", "LATE", "MISSING", "UNPLANNED"]
 
 
@@ -29,10 +30,11 @@ def location_for(stage) -> F.Column:
     return F.element_at(_stage_map(fv.MILESTONE_LOCATIONS), stage)
 
 
-def milestone_plan(orders: DataFrame) -> DataFrame:
+def milestone_plan(orders: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Each order line -> one row per milestone stage with its expected window.
 
     A narrow ``explode`` of a 6-element array: no shuffle, output = 6 x input.
+    The columns ``also`` of the lines come last.
     """
     require_columns(orders, PLAN_INPUT, "orders for milestone plan")
     od, sd, real = F.col("order_date"), F.col("shipping_date"), F.col("days_shipping_real")
@@ -55,13 +57,13 @@ def milestone_plan(orders: DataFrame) -> DataFrame:
         "order_id", "order_item_id", "product_id", "product_name",
         epc("product_id", "order_id", "order_item_id").alias("epc"),
         lot_id("product_id", "order_month").alias("lot_id"),
-        F.explode(stages).alias("m"))
+        *also, F.explode(stages).alias("m"))
     return exploded.select(
         "order_id", "order_item_id", "product_id", "product_name", "epc", "lot_id",
         "m.stage_seq", "m.event_type",
         reader_for(F.col("m.event_type")).alias("reader_id"),
         location_for(F.col("m.event_type")).alias("location"),
-        "m.expected_start", "m.expected_end")
+        "m.expected_start", "m.expected_end", *also)
 
 
 def first_reads(reads: DataFrame) -> DataFrame:
@@ -76,15 +78,41 @@ def first_reads(reads: DataFrame) -> DataFrame:
                  F.min("order_id").alias("read_order_id")))
 
 
+def of_a_stage() -> F.Column:
+    return F.coalesce(F.col("event_type").isin(*fv.MILESTONE_STAGES), F.lit(False))
+
+
+def with_reads(orders: DataFrame, reads: DataFrame) -> DataFrame:
+    """Order lines with their first reads as a map by stage (``READS``), and a row for the reads of no line.
+
+    ``milestone_plan(.., READS)`` carries them to the plan rows. So a line is
+    exchanged once, with its dates, instead of six times with a stage and its
+    window.
+    """
+    by_line = first_reads(reads).where(of_a_stage()).groupBy(F.col("order_item_id").alias("read_item_id")).agg(
+        F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("first_read", "read_count", "read_order_id")))).alias("seen"))
+    lines = orders.select(*PLAN_INPUT, F.lit(True).alias("is_line"))
+    return lines.join(by_line, F.col("order_item_id") == F.col("read_item_id"), "full_outer")
+
+
 def milestone_conformance(plan: DataFrame, reads: DataFrame, tolerance_minutes: int = 60) -> DataFrame:
     """Plan rows vs. observed reads, classed EARLY/IN_WINDOW/LATE/MISSING/UNPLANNED.
 
     Reads reduce to one row per (line, stage) first, so the full outer join is
-    1:1 on its key and cannot blow up on a hot line.
+    1:1 on its key and cannot blow up on a hot line. A plan of lines that have
+    their reads (``with_reads``) is not joined again.
     """
-    tol = F.lit(tolerance_minutes)
     seen = first_reads(reads)
-    j = plan.join(seen, ["order_item_id", "event_type"], "full_outer")
+    if set(READS) <= set(plan.columns):
+        # the reads of no line have six rows as well: those of their stages stay; reads of no stage can meet no plan row
+        met = plan.withColumn("read", F.try_element_at("seen", F.col("event_type"))) \
+            .where(F.col("is_line").isNotNull() | F.col("read").isNotNull())
+        rows = met.select("order_id", F.coalesce("order_item_id", "read_item_id").alias("order_item_id"),
+                          "event_type", "expected_start", "expected_end", "read.*")
+        j = rows.unionByName(seen.where(~of_a_stage()), allowMissingColumns=True)
+    else:
+        j = plan.join(seen, ["order_item_id", "event_type"], "full_outer")
+    tol = F.lit(tolerance_minutes)
     lo = add_minutes(F.col("expected_start"), -tol)
     hi = add_minutes(F.col("expected_end"), tol)
     status = (F.when(F.col("expected_start").isNull(), F.lit("UNPLANNED"))

@@ -168,8 +168,9 @@ def q_milestone_plan(spark, sf_dir):
 
 @query("milestone_conformance")
 def q_milestone_conformance(spark, sf_dir):
-    plan = trace.milestone_plan(lines(spark, sf_dir))
-    return trace.milestone_conformance(plan, fx.rfid_reads(spark, sf_dir), tolerance_minutes=60)
+    reads = fx.rfid_reads(spark, sf_dir)
+    plan = trace.milestone_plan(trace.with_reads(lines(spark, sf_dir), reads), trace.READS)
+    return trace.milestone_conformance(plan, reads, tolerance_minutes=60)
 
 
 @query("order_trace")

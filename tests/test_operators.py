@@ -264,6 +264,30 @@ def test_milestone_plan_and_conformance(spark):
     assert conf.count() == 6 + 1
 
 
+def test_conformance_of_lines_is_that_of_their_plan_and_exchanges_a_line_once(spark):
+    od = dt.datetime(2024, 1, 1, 8, 0)
+    one = _lines(spark, real=2, od=od)
+    other = one.withColumn("order_item_id", F.lit(102).cast("bigint"))
+    lines = one.unionByName(one).unionByName(other).unionByName(one.withColumn("order_item_id", F.lit(None).cast("bigint"))) \
+        .unionByName(one.withColumns({"order_item_id": F.lit(103).cast("bigint"), "order_date": F.lit(None).cast("timestamp_ntz")}))
+    reads = spark.createDataFrame([
+        (od - dt.timedelta(hours=2), 1, 101, "RECEIVED"), (od + dt.timedelta(minutes=100), 1, 101, "PICKED"),
+        (od + dt.timedelta(minutes=90), 1, 101, "PICKED"), (od, 1, 101, "A STAGE OF NO PLAN"), (od, 1, 101, None), (None, 1, 102, "PACKED"),
+        (od, 1, 103, "PICKED"), (od, 9, 901, "SHIPPED"), (od, 9, 901, "PICKED"), (od, 9, None, "SHIPPED"), (od, 9, None, None)],
+        "timestamp timestamp_ntz, order_id long, order_item_id long, event_type string")
+    want = trace.milestone_conformance(trace.milestone_plan(lines), reads, 60)
+    got = trace.milestone_conformance(trace.milestone_plan(trace.with_reads(lines, reads), trace.READS), reads, 60)
+    assert got.dtypes == want.dtypes and got.count() == want.count()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_conformance_query_joins_lines_before_their_stages(spark):
+    from shipwatch.plans import catalog
+    from tests.conftest import SF_SMALL
+    plan = catalog.QUERIES["milestone_conformance"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join FullOuter")
+
+
 def test_kpis_empty_orders(spark):
     o = spark.createDataFrame([], "order_id long, sales double, late_delivery_risk int")
     r = spark.createDataFrame([(1,), (2,)], "x int")
