@@ -78,6 +78,7 @@ class _Powers:
         self.up = self.down = np.ones(1, U64)
 
     def take(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``n`` powers of each, however far the tables have grown."""
         if len(self.up) < n:
             size = max(n + (n >> 3), 1 << 16)
             grown = []
@@ -86,9 +87,9 @@ class _Powers:
                 a[0] = 1
                 grown.append(np.multiply.accumulate(a))
             if size > 2 << 20:  # one huge text: do not keep its tables
-                return grown[0], grown[1]
+                return grown[0][:n], grown[1][:n]
             self.up, self.down = grown
-        return self.up, self.down
+        return self.up[:n], self.down[:n]
 
 
 _BYTE_POWERS = (_Powers(_ODD), _Powers(_ODD2))
